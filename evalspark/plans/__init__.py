@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("profiling",)
+GROUPS = ("profiling", "scoring")
 
 
 def load_queries():
