@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("profiling", "scoring")
+GROUPS = ("profiling", "scoring", "generation")
 
 
 def load_queries():
