@@ -40,10 +40,17 @@ def class_of(length: int) -> int:
     return int(_CLASSES[np.searchsorted(_CLASSES, length, side="right") - 1])
 
 
+_power_cache: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, count: int) -> np.ndarray:
-    values = np.full(count, base, dtype=np.uint64)
-    values[0] = 1
-    return np.cumprod(values, dtype=np.uint64)
+    """The first ``count`` powers modulo 2**64; grown as needed and kept per worker."""
+    known = _power_cache.get(base)
+    if known is None or len(known) < count:
+        values = np.full(max(count, 4096), base, dtype=np.uint64)
+        values[0] = 1
+        known = _power_cache[base] = np.cumprod(values, dtype=np.uint64)
+    return known[:count]
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -122,22 +129,18 @@ def text_keys(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def overlap_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``mapInPandas`` body: frames of ``(ord, norm)`` to frames of :data:`KEY_SCHEMA`."""
     for frame in batches:
-        for start in range(0, len(frame), 256):
-            part = frame.iloc[start : start + 256]
-            out = []
-            for ord_value, text in zip(part["ord"].tolist(), part["norm"].tolist()):
-                contained, size_class, keys, positions = text_keys(text)
-                out.append(
-                    pd.DataFrame(
-                        {
-                            "ord": np.int64(ord_value),
-                            "contained": contained,
-                            "size_class": size_class.astype(np.int32),
-                            "block_key": keys,
-                            "pos": positions.astype(np.int32),
-                            "len": np.int32(len(text)),
-                        }
-                    )
-                )
-            if out:
-                yield pd.concat(out, ignore_index=True)
+        for start in range(0, len(frame), 1024):
+            part = frame.iloc[start : start + 1024]
+            texts = part["norm"].tolist()
+            found = [text_keys(text) for text in texts]
+            sizes = [len(f[3]) for f in found]
+            yield pd.DataFrame(
+                {
+                    "ord": np.repeat(part["ord"].to_numpy(dtype=np.int64), sizes),
+                    "contained": np.concatenate([f[0] for f in found]),
+                    "size_class": np.concatenate([f[1] for f in found]).astype(np.int32),
+                    "block_key": np.concatenate([f[2] for f in found]),
+                    "pos": np.concatenate([f[3] for f in found]).astype(np.int32),
+                    "len": np.repeat(np.array([len(t) for t in texts], dtype=np.int32), sizes),
+                }
+            )
