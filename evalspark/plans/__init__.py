@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("profiling", "scoring", "generation")
+GROUPS = ("profiling", "scoring", "generation", "source")
 
 
 def load_queries():

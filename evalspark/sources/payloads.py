@@ -35,8 +35,7 @@ def list_endpoints(specs: DataFrame, ids: list[str], spec: str = "spec", limit:
     parsed = F.from_json(paths, "map<string,map<string,string>>")
     keys = F.filter(
         F.json_object_keys(paths),
-        lambda p: F.map_contains_key(F.coalesce(F.try_element_at(parsed, p), F.create_map().cast("map<string,string>")), "get")
-        & ~F.contains(p, F.lit("{")),
+        lambda p: F.try_element_at(F.try_element_at(parsed, p), F.lit("get")).isNotNull() & ~F.contains(p, F.lit("{")),
     )
     return specs.select(*ids, F.posexplode(F.slice(keys, 1, limit)).alias("pos", "path"))
 
