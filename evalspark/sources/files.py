@@ -36,9 +36,9 @@ def extension_of(path: str) -> str:
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> list[str]:
-    """URIs of the files at or below a path, as the reader names them; no content is read."""
+    """URIs of the files at or below a path, as scans name them in their metadata; no content is read."""
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return sorted(listing.inputFiles())
+    return sorted(r["p"] for r in listing.select(F.col("_metadata.file_path").alias("p")).collect())
 
 
 def discover_files(spark: SparkSession, path: str, recursive: bool = True, extensions: Iterable[str] | None = None) -> list[str]:
