@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-GROUPS = ("profiling", "scoring", "generation", "source")
+GROUPS = ("profiling", "scoring", "generation", "source", "workflow")
 
 
 def load_queries():

@@ -25,8 +25,7 @@ def _written(spark, sf, name, kind):
     path = scratch_path(spark, f"{name}-{kind}")
     df = table(spark, sf, name)
     if kind in ("csv", "tsv"):
-        # The writer names every file .csv, so tab-separated files are written as text under their own name.
-        df.write.option("header", True).option("sep", "\t" if kind == "tsv" else ",").option("quote", '"').option("escape", '"').csv(path)
+        df.write.option("header", True).option("extension", kind).option("sep", "\t" if kind == "tsv" else ",").option("quote", '"').option("escape", '"').csv(path)
     else:
         df.write.json(path)
     return path
@@ -82,7 +81,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     first, second = _written(spark, sf, "customer", "csv"), _written(spark, sf, "supplier", "json")
-    merged = files.read_dataset(spark, [first, second])
+    merged = files.read_dataset(spark, [first, second], formats={".json": "jsonl"})
     return merged.select(
         "row_index",
         F.regexp_extract("_source_file", r"\.(\w+)$", 1).alias("ext"),

@@ -164,13 +164,16 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_dataset(
-    spark: SparkSession, inputs: str | Sequence[str], recursive: bool = True, extensions: Iterable[str] | None = None
+    spark: SparkSession, inputs: str | Sequence[str], recursive: bool = True, extensions: Iterable[str] | None = None,
+    formats: dict[str, str] | None = None,
 ) -> DataFrame:
     """Read files and folders (a list or a comma-separated text) into one numbered dataset.
 
     Adds ``_source_file`` and ``row_index``, the position in the merged input: files in the given order,
-    folders sorted by path, rows in file order.
+    folders sorted by path, rows in file order. ``formats`` overrides how an extension is read, such as
+    ``{".json": "jsonl"}`` for folders of JSON lines written by Spark.
     """
+    kinds = {**FORMATS, **(formats or {})}
     names = [p.strip() for p in inputs.split(",")] if isinstance(inputs, str) else list(inputs)
     files: list[str] = []
     for name in filter(None, names):
@@ -185,7 +188,7 @@ def read_dataset(
         raise ValueError("no files to read")
     by_kind: dict[str, list[str]] = {}
     for file in files:
-        by_kind.setdefault(FORMATS[extension_of(file)], []).append(unquote(file))
+        by_kind.setdefault(kinds[extension_of(file)], []).append(unquote(file))
     parts = [df for kind, paths in by_kind.items() for df in _read_group(spark, kind, paths)]
     merged = merge(parts)
     order = spark.createDataFrame(
