@@ -33,14 +33,40 @@ def strip_quotes(text: Column) -> Column:
     return F.regexp_replace(text, r'^"|"$', "")
 
 
+# White space outside ASCII, which most texts do not contain.
+_RARE_SPACE = r"[   -     　﻿]"
+_DROPPED = r"[\x00-\x08\x0e-\x1f!-/:-`{-\x{10ffff}]+"
+_UNEVEN_SPACE = r"\s{2,}|[\t\n\x0b\f\r]"
+
+
+def has_plain_space(text: Column) -> Column:
+    """True where all white space is ASCII; then the cheap patterns below apply.
+
+    Character classes with many ranges are several times slower, so they are kept for the few texts that
+    need them. Pure ASCII is recognised by comparing lengths.
+    """
+    return (F.length(text) == F.octet_length(text)) | ~text.rlike(_RARE_SPACE)
+
+
+def collapse_space(text: Column) -> Column:
+    """Every run of white space becomes one space."""
+    full = F.regexp_replace(text, f"[{WHITESPACE_CLASS}]+", " ")
+    return F.when(has_plain_space(text), F.regexp_replace(text, _UNEVEN_SPACE, " ")).otherwise(full)
+
+
 def normalize_prompt(text: Column) -> Column:
     """Lower-case, keep ``[a-z0-9]`` and white space, collapse white space, trim."""
-    kept = F.regexp_replace(F.lower(text), f"[^a-z0-9{WHITESPACE_CLASS}]", "")
-    return F.btrim(F.regexp_replace(kept, f"[{WHITESPACE_CLASS}]+", " "))
+    lowered = F.lower(text)
+    plain = F.regexp_replace(F.regexp_replace(lowered, _DROPPED, ""), _UNEVEN_SPACE, " ")
+    kept = F.regexp_replace(lowered, f"[^a-z0-9{WHITESPACE_CLASS}]+", "")
+    full = F.regexp_replace(kept, f"[{WHITESPACE_CLASS}]+", " ")
+    return F.btrim(F.when(has_plain_space(text), plain).otherwise(full))
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.split(trim_ws(text), f"[{WHITESPACE_CLASS}]+"))
+    """Number of words; a blank text counts as one, as splitting it gives one empty piece."""
+    spaced = F.btrim(collapse_space(text))
+    return F.length(spaced) - F.length(F.replace(spaced, F.lit(" "), F.lit(""))) + 1
 
 
 def contains_ci(text: Column, value: Column) -> Column:

@@ -36,7 +36,7 @@ def _verified(facts: Column, row: Column) -> Column:
     return F.array_compact(F.transform(facts, check))
 
 
-def ground_answers(drafts: DataFrame, rows: DataFrame, label: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+def ground_answers(drafts: DataFrame, rows: DataFrame, label: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Check each draft's facts against the row it refers to and rewrite facts and location.
 
     Drafts without a usable reference stay unchanged, and so do the facts of a draft when none of them

@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 HOT_ROWS = 5_000_000
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Join ``rows`` (any skew) with ``lookup`` (one row per ``key``, a string column on both sides).
 
     Keys with more than ``hot_rows`` rows get their lookup value from a broadcast; there can be at most
     ``count / hot_rows`` of them, one lookup row each. For the shuffle join such rows, and rows without
-    a key, carry a spread-out key that matches nothing, so that no partition collects a hot key.
+    a key, carry a spread-out key that matches nothing, so that no partition collects a hot key. Callers
+    that know no key can be hot pass ``hot_rows=None`` and save the pass that counts keys.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how}")
     values = [c for c in lookup.columns if c != key]
+    if hot_rows is None:
+        return rows.join(lookup, key, how).select(*[F.col(f"`{c}`") for c in [*rows.columns, *values]])
     counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot_keys = counts.filter(F.col("_n") > hot_rows).select(key)
     hot = lookup.join(F.broadcast(hot_keys), key, "left_semi").select(

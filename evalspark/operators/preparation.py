@@ -122,7 +122,7 @@ def prompt_key(prompt: Column) -> Column:
     return F.lower(trim_ws(prompt))
 
 
-def attach_assertions(rows: DataFrame, sidecar: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def attach_assertions(rows: DataFrame, sidecar: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Left-join the assertions of ``sidecar(ord, prompt, assertions)`` by trimmed, lower-cased prompt.
 
     Items without assertions are ignored and the last of several items with one prompt wins. Prompts

@@ -31,7 +31,7 @@ def first_of_equal(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def near_duplicate_pairs(texts: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def near_duplicate_pairs(texts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``(short_ord, long_ord)``: distinct texts where the longer contains the shorter, ratio above 0.8.
 
     ``texts`` has ``ord`` and distinct ``norm``. The steps never pair the rows of a block with each other:
@@ -106,7 +106,7 @@ def resolve_keep_first(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, dropped).distinct()
 
 
-def deduplicate(items: DataFrame, text: str = "prompt", hot_rows: int = HOT_ROWS) -> DataFrame:
+def deduplicate(items: DataFrame, text: str = "prompt", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Items that a greedy first-come pass keeps: no equal and no near-equal earlier kept item.
 
     Copies of a dropped text match the same kept item, so equal texts can go first.
@@ -210,7 +210,7 @@ def summarize(kept: DataFrame, item_count: Column, total_rows: Column) -> DataFr
     )
 
 
-def validate_items(items: DataFrame, total_rows: int, hot_rows: int = HOT_ROWS) -> Validation:
+def validate_items(items: DataFrame, total_rows: int, hot_rows: int | None = HOT_ROWS) -> Validation:
     """Deduplicate, then check balance, coverage and confidence of what is left."""
     kept = deduplicate(items, hot_rows=hot_rows)
     count = items.agg(F.count(F.lit(1))).scalar()

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from evalspark.operators import questions
 from evalspark.plans import sqltext as q
 from evalspark.plans.registry import numbered, table
-from evalspark.sources.rowindex import with_row_index
 
 SHIFT = 1 << questions.CATEGORY_SHIFT
 KINDS = {name: kind for columns in (q.PART, q.CUSTOMER, q.SUPPLIER, q.ORDERS) for name, kind in columns}
@@ -36,7 +35,7 @@ def customer_places(spark, sf) -> questions.Dataset:
     places = table(spark, sf, "nation").join(
         F.broadcast(table(spark, sf, "region")), F.col("n_regionkey") == F.col("r_regionkey")
     )
-    rows = with_row_index(table(spark, sf, "customer")).join(
+    rows = numbered(spark, sf, "customer").join(
         F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")
     )
     return questions.Dataset(rows.select("row_index", "c_name", "n_name", "r_name"), "customer.parquet", "c_name")

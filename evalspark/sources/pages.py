@@ -75,7 +75,7 @@ def same_host_links(parsed: DataFrame) -> DataFrame:
     return links.filter(F.col("link.host") == F.col("_host")).select("url", "pos", F.col("link.target").alias("target"))
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, hot_rows: int = HOT_ROWS) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """``(seed, visit_no, url)``: breadth-first visits from every seed at once, ``max_pages`` each.
 
     ``seeds`` has ``seed`` (a URL) and ``links`` has ``url, pos, target``. A visit counts against the budget
