@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import facts, profiling
 from evalspark.plans import sqltext as q
-from evalspark.plans.registry import numbered, query, table
+from evalspark.plans.registry import numbered, query, scan_table, table
 from evalspark.sources.rowindex import with_row_index_by
 
 PROFILE_FIELDS = ["field", "data_type", "null_count", "unique_count", "total_count", "min", "max"]
@@ -26,7 +26,7 @@ def _(spark, sf):
     FROM lineitem""",
 )
 def _(spark, sf):
-    return with_row_index_by(table(spark, sf, "lineitem"), LINE_KEYS).select(
+    return with_row_index_by(scan_table(spark, sf, "lineitem"), LINE_KEYS).select(
         "l_orderkey", "l_linenumber", "l_partkey", "row_index"
     )
 
@@ -38,7 +38,7 @@ def _(spark, sf):
 
 @query("profile_lineitem", f"SELECT {PROFILE_SQL} FROM ({q.profile('lineitem', q.LINEITEM)})")
 def _(spark, sf):
-    return profiling.profile_columns(table(spark, sf, "lineitem")).select(*PROFILE_FIELDS)
+    return profiling.profile_columns(scan_table(spark, sf, "lineitem")).select(*PROFILE_FIELDS)
 
 
 @query("profile_date_range", f"SELECT {PROFILE_SQL} FROM ({q.profile('orders', q.ORDERS)}) WHERE data_type = 'date'")
@@ -187,7 +187,7 @@ _LINES = f"""(SELECT *, row_number() OVER (ORDER BY {', '.join(LINE_KEYS)}) - 1
 
 @query("fact_extreme_rows", _EXTREMES.format(stats=q.stats(_LINES, q.LINEITEM, "rn")))
 def _(spark, sf):
-    df = with_row_index_by(table(spark, sf, "lineitem"), LINE_KEYS)
+    df = with_row_index_by(scan_table(spark, sf, "lineitem"), LINE_KEYS)
     profile = profiling.dataset_profile(df)
     return facts.extreme_rows(profile.stats, profile.columns)
 
