@@ -78,21 +78,21 @@ def _(spark, sf):
     return rows.eval_rows(spark, sf).select("ord", full.alias("full_prompt"))
 
 
-def shout(texts: list[str]) -> list[str]:
+def echo(texts: list[str]) -> list[str]:
     """A deterministic stand-in for an answering service; it fails on long prompts."""
     if any(len(t) > 300 for t in texts):
         raise RuntimeError("prompt too long")
-    return [f" echo {t.upper()} " for t in texts]
+    return [f" echo {t} " for t in texts]
 
 
 @query(
     "eval_batch_answers",
     f"""SELECT ord, CASE WHEN actual_answer <> '' THEN actual_answer
       WHEN length('Be brief.' || chr(10) || chr(10) || prompt) > 300 THEN '[ERROR: prompt too long]'
-      ELSE trim('echo ' || upper('Be brief.' || chr(10) || chr(10) || prompt), ' ' || chr(10)) END AS actual_answer FROM ({rows.ROWS_SQL})""",
+      ELSE trim('echo Be brief.' || chr(10) || chr(10) || prompt, ' ' || chr(10)) END AS actual_answer FROM ({rows.ROWS_SQL})""",
 )
 def _(spark, sf):
-    return preparation.answer_prompts(rows.eval_rows(spark, sf), shout, system_prompt="Be brief.").select(
+    return preparation.answer_prompts(rows.eval_rows(spark, sf), echo, system_prompt="Be brief.").select(
         "ord", "actual_answer"
     )
 

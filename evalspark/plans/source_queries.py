@@ -11,7 +11,7 @@ from evalspark.operators import chunking, preparation
 from evalspark.plans import drafts as d
 from evalspark.plans import evalrows, fixtures
 from evalspark.plans.generation_queries import all_items
-from evalspark.plans.registry import query, table
+from evalspark.plans.registry import query, scan_table, table
 from evalspark.session import scratch_path
 from evalspark.sources import archives, evalfiles, files, pages, payloads, sinks
 from evalspark.streaming import incremental
@@ -23,7 +23,7 @@ _CUSTOMER_TEXT = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST
 def _written(spark, sf, name, kind):
     """A table written as csv / tsv / json lines below a fresh folder."""
     path = scratch_path(spark, f"{name}-{kind}")
-    df = table(spark, sf, name)
+    df = scan_table(spark, sf, name)  # keeps the order of rows over the written files
     if kind in ("csv", "tsv"):
         df.write.option("header", True).option("extension", kind).option("sep", "\t" if kind == "tsv" else ",").option("quote", '"').option("escape", '"').csv(path)
     else:
