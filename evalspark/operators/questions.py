@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.text import js_string, trim_ws
 from evalspark.operators.profiling import ROW_INDEX
+from evalspark.session import ensure_checkpoint_dir
 
 # Question categories with their target shares, in order.
 CATEGORY_WEIGHTS = {
@@ -346,6 +347,9 @@ def edge_case_questions(data: Dataset, first: str, second: str, max_domain: int
         .agg(F.count(F.lit(1)).alias("n"))
         .drop("n")
     )
+    ensure_checkpoint_dir(data.rows.sparkSession)
+    # Read by both domains and the anti join; the distinct combinations are written once.
+    present = present.checkpoint()
 
     def domain(column: str) -> Column:
         few = present.select(column).distinct().limit(max_domain + 1)

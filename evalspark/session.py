@@ -20,6 +20,8 @@ def build_session(app_name: str = "evalspark", master: str | None = None, **conf
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Rank filters up to this bound are applied before the shuffle as well.
+        .config("spark.sql.optimizer.windowGroupLimitThreshold", "100000")
     )
     if master:
         builder = builder.master(master)

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from evalspark.operators import diagnostics, grounding, questions
 
-ROWS = [("Northwind", "Dana", "Active", "High", 0), ("Contoso", "Lee", "Paused", "Low", 1), ("Fabrikam", "Kim", "Active", "Medium", 2)]
+ROWS = [("Alder Foods", "Dana", "Active", "High", 0), ("Birch Tools", "Lee", "Paused", "Low", 1), ("Cedar Mills", "Kim", "Active", "Medium", 2)]
 
 
 @pytest.fixture(scope="module")
@@ -11,7 +11,7 @@ def rows(spark):
     return spark.createDataFrame(ROWS, "supplier_name string, owner string, status string, risk string, row_index long")
 
 
-def draft(spark, location, facts, answer="Dana owns Northwind.", prompt="Who owns it?"):
+def draft(spark, location, facts, answer="Dana owns Alder Foods.", prompt="Who owns it?"):
     return spark.createDataFrame(
         [(0, prompt, "attribute_retrieval", "easy", answer, facts, location)],
         "ord long, prompt string, category string, difficulty string, expected_answer string, supporting_facts array<string>, source_location string",
@@ -39,7 +39,7 @@ def test_ground_answers(spark, rows, location, facts, expected, where):
 @pytest.mark.parametrize(
     ("facts", "answer", "level"),
     [
-        (["owner=Dana", "name=Northwind"], "Dana owns northwind", "high"),
+        (["owner=Dana", "name=Alder Foods"], "Dana owns alder foods", "high"),
         (["a=1", "b=zzz"], "only 1", "medium"),
         (["a=zzz"], "nothing", "low"),
         ([], "x", "low"),
@@ -53,10 +53,10 @@ def test_confidence(spark, facts, answer, level):
 
 
 def test_assertions_from_facts(spark):
-    facts = ["a=1", "b=High", "c=High", "d=Northwind", "e=2024-01-01", "f=absent", "g=Dana", "h=Paused now", "i=AB"]
-    answer = "High Northwind 2024-01-01 dana Paused now AB 1"
+    facts = ["a=1", "b=High", "c=High", "d=Alder Foods", "e=2024-01-01", "f=absent", "g=Dana", "h=Paused now", "i=AB"]
+    answer = "High Alder Foods 2024-01-01 dana Paused now AB 1"
     got = grounding.build_items(draft(spark, "f:row 1", facts, answer)).first()["assertions"]
-    assert [a["value"] for a in got] == ["High", "Northwind", "2024-01-01", "Dana", "Paused now"]
+    assert [a["value"] for a in got] == ["High", "Alder Foods", "2024-01-01", "Dana", "Paused now"]
     assert [a["whole_word"] for a in got] == [True, None, None, True, None]
     long_value = "x" * 81
     assert grounding.build_items(draft(spark, "f:row 1", [f"a={long_value}"], long_value)).first()["assertions"] == []
@@ -99,10 +99,10 @@ def test_reply_without_json(spark):
 def test_generators_on_small_table(spark, rows):
     data = questions.Dataset(rows, "s.csv", "supplier_name")
     single = questions.single_record_questions(data, ["owner", "status"]).orderBy("ord").first()
-    assert single["expected_answer"] == "Northwind: owner is Dana, status is Active."
+    assert single["expected_answer"] == "Alder Foods: owner is Dana, status is Active."
     assert single["supporting_facts"] == ["owner=Dana", "status=Active"] and single["source_location"] == "s.csv:row 1"
     found = questions.filtered_find_questions(data, ["status"], listed=1).orderBy("ord").collect()
-    assert found[0]["expected_answer"] == "With status Active: Fabrikam and 1 more."
+    assert found[0]["expected_answer"] == "With status Active: Cedar Mills and 1 more."
     absent = questions.edge_case_questions(data, "status", "risk").collect()
     assert sorted(tuple(r["supporting_facts"]) for r in absent) == [
         ("status=Active", "risk=Low"), ("status=Paused", "risk=High"), ("status=Paused", "risk=Medium"),
