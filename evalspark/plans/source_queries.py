@@ -296,6 +296,16 @@ def _(spark, sf):
     return spark.read.json(_results(spark, sf, "json")).withColumn("similarity_score", F.col("similarity_score").cast("int"))
 
 
+@query("source_eval_rows_positional", f"SELECT {_TRIM.format('prompt')} AS prompt, {_TRIM.format('expected_answer')} AS expected_answer, source_location, {_TRIM.format('actual_answer')} AS actual_answer FROM ({evalrows.ROWS_SQL})")
+def _(spark, sf):
+    path = scratch_path(spark, "positional")
+    rows = evalrows.eval_rows(spark, sf).select("prompt", "expected_answer", "source_location", "actual_answer")
+    rows.write.option("header", False).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    trim = lambda c: F.btrim(c, F.lit(" \n\t\r")).alias(c)
+    read = evalfiles.read_eval_rows(spark, path, "csv")
+    return read.select(trim("prompt"), trim("expected_answer"), "source_location", trim("actual_answer"))
+
+
 # --- chunking --------------------------------------------------------------------------------------
 
 _WORDS = r"string_split_regex(text, '\s+')"

@@ -74,12 +74,10 @@ def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
     reader = delimited_reader(spark, separator)
     if has_header(first, separator):
         names = deduplicate_headers([h.strip() for h in next(csv.reader([first], delimiter=separator))])
-    else:
-        reader = reader.option("header", False)
-        count = len(first.split(separator))
-        names = [POSITIONAL[i] if i < len(POSITIONAL) else f"column_{i + 1}" for i in range(count)]
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return reader.schema(schema).csv(path)
+        return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
+    # Columns are counted by the reader, as a first line may hold quoted separators or line breaks.
+    raw = reader.option("header", False).csv(path)
+    return raw.toDF(*[POSITIONAL[i] if i < len(POSITIONAL) else f"column_{i + 1}" for i in range(len(raw.columns))])
 
 
 def read_eval_rows(spark: SparkSession, path: str, kind: str | None = None, with_score: bool = False) -> DataFrame:

@@ -102,7 +102,7 @@ def test_generators_on_small_table(spark, rows):
     assert single["expected_answer"] == "Alder Foods: owner is Dana, status is Active."
     assert single["supporting_facts"] == ["owner=Dana", "status=Active"] and single["source_location"] == "s.csv:row 1"
     found = questions.filtered_find_questions(data, ["status"], listed=1).orderBy("ord").collect()
-    assert found[0]["expected_answer"] == "With status Active: Cedar Mills and 1 more."
+    assert found[0]["expected_answer"] == "With status Active: Alder Foods and 1 more."
     absent = questions.edge_case_questions(data, "status", "risk").collect()
     assert sorted(tuple(r["supporting_facts"]) for r in absent) == [
         ("status=Active", "risk=Low"), ("status=Paused", "risk=High"), ("status=Paused", "risk=Medium"),
