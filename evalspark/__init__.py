@@ -1,0 +1,8 @@
+"""Evaluation sets on Spark: ingest, profile, generate, ground, validate, answer, check and score."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions used inside tasks travel with the task, so workers need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
