@@ -12,6 +12,7 @@ from evalspark.operators.profiling import (
     profiled_columns,
     unpivot_cells,
 )
+from evalspark.session import ensure_checkpoint_dir
 from evalspark.sources.rowindex import with_row_reference
 
 MAX_FACTS = 200
@@ -105,7 +106,9 @@ def target_rows(columns: int, max_facts: int = MAX_FACTS) -> int:
 
 def selected_rows(df: DataFrame, profile: DatasetProfile, max_facts: int = MAX_FACTS) -> DataFrame:
     """All selected row indexes, distinct."""
-    first = priority_rows(df, profile)
+    ensure_checkpoint_dir(df.sparkSession)
+    # A few rows per column, used twice: written once instead of being derived again.
+    first = priority_rows(df, profile).checkpoint()
     total = df.agg(F.count(F.lit(1))).scalar()
     target = target_rows(len(profiled_columns(df)), max_facts)
     return first.unionAll(spread_rows(first, total, target)).distinct()
