@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.llm.files import local_uri, open_fs
 from evalspark.session import scratch_path
 
 SEPARATOR = "\r\n\r\n"
@@ -109,15 +110,6 @@ def write_archives(typed: DataFrame, path: str, records_per_file: int = 20_000)
     )
 
 
-def _open(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
-def _uri(path: str) -> str:
-    """Spark prints local paths as ``file:/x``; other readers want ``file:///x``."""
-    return path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-
-
 def parse_head(head: bytes) -> dict[str, str]:
     lines = head.decode("utf-8").split("\r\n")
     if not lines[0].startswith("WARC/"):
@@ -178,8 +170,8 @@ def _chunks(fs: pyarrow.fs.FileSystem, path: str) -> Iterator[bytes]:
 
 def _normalise_file(source: str, target: str, attempt: str) -> Iterator[dict]:
     """Rewrite one archive member by member; both files appear under their names only when complete."""
-    fs, src = _open(source)
-    out_fs, dst = _open(target)
+    fs, src = open_fs(source)
+    out_fs, dst = open_fs(target)
     offset, index = 0, []
     with out_fs.open_output_stream(f"{dst}.{attempt}", compression=None) as out:
         for headers, record in split_records(inflate(_chunks(fs, src))):
@@ -208,7 +200,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
     files = (
         spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "length")
     )
-    fs, root = _open(target)
+    fs, root = open_fs(target)
     fs.create_dir(root, recursive=True)
 
     def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,7 +208,7 @@ def normalise(spark: SparkSession, source: str, target: str) -> DataFrame:
         for frame in batches:
             for path in frame["path"]:
                 name = path.rsplit("/", 1)[-1].removesuffix(".gz").removesuffix(".txt")
-                yield pd.DataFrame(list(_normalise_file(_uri(path), f"{target}/{name}.warc.gz", attempt)))
+                yield pd.DataFrame(list(_normalise_file(local_uri(path), f"{target}/{name}.warc.gz", attempt)))
 
     # One file is one unit of work, so names are dealt by their hash.
     dealt = files.repartition(spark.sparkContext.defaultParallelism * 4, "path")
@@ -246,7 +238,7 @@ def read_records(index: DataFrame) -> DataFrame:
         for frame in batches:
             out = []
             for archive, rows in frame.groupby("archive", sort=False):
-                fs, path = _open(archive)
+                fs, path = open_fs(archive)
                 with fs.open_input_file(path) as handle:
                     for offset, length in zip(rows["offset"], rows["length"]):
                         headers, block = read_member(fs, handle, int(offset), int(length))
@@ -277,6 +269,6 @@ def read_records(index: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     """Archive ``pages``, normalise the archives and read every record back by offset."""
     spark = pages.sparkSession
-    base = _uri(scratch_path(spark, "warc"))
+    base = local_uri(scratch_path(spark, "warc"))
     write_archives(with_record_types(pages, revisit_from), f"{base}/plain")
     return read_records(normalise(spark, f"{base}/plain", f"{base}/members"))
