@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_query", "sharding_query", "decontamination_query", "secrets_query", "warc_query", "packing_query")
+MODULES = ("quality_query", "sharding_query", "decontamination_query", "jaccard_query", "secrets_query", "warc_query", "packing_query")
 
 
 def load_queries():
