@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
+from evalspark.llm.frames import frame
 from evalspark.llm.shingles import mix, set_digest, shingle_set
 from evalspark.session import ensure_checkpoint_dir, scratch_path
 
@@ -122,9 +123,9 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     names = [c.split()[0] for c in _SETS_SCHEMA.split(", ")]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for rows in batches:
             out = []
-            for row_id, text_key, whole in zip(frame["row_id"], frame["text_key"], frame["t"]):
+            for row_id, text_key, whole in zip(rows["row_id"], rows["text_key"], rows["t"]):
                 values = shingle_set(whole)
                 if not len(values):
                     out.append((row_id, text_key, None, 0, 0, 0, 0))
@@ -133,11 +134,11 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
                 empty = [_empty(values, band) for band in bands]
                 node = np.uint64(set_digest(values)).astype(np.int64)
                 out.append((row_id, text_key, int(node), len(values), bands[0], empty[0], empty[-1]))
-            yield pd.DataFrame(out, columns=names).astype({"row_id": "Int64", "node": "Int64"})
+            yield frame(out, names, ("row_id", "node"))
 
     whole = F.col(f"`{text}`")
     return docs.select(
-        F.col(f"`{key}`").cast("long").alias("row_id"), F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t")
+        F.col(f"`{key}`").cast("long").cast("string").alias("row_id"), F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t")
     ).mapInPandas(measure, _SETS_SCHEMA)
 
 
@@ -180,12 +181,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sig, node = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
     is_long = False  # the run held over has already been reported up to its last row
 
-    def short(members: np.ndarray) -> pa.RecordBatch:
+    def short(s: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
         rows, width = members.shape
         lists = pa.ListArray.from_arrays(np.arange(0, rows * width + 1, width, dtype=np.int32), pa.array(members.ravel()))
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(rows, pa.int64()), pa.nulls(rows, pa.int64()), lists], names=["sig", "node", "members"]
-        )
+        return pa.RecordBatch.from_arrays([pa.array(s), pa.nulls(rows, pa.int64()), lists], names=["sig", "node", "members"])
 
     def long(s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
@@ -209,7 +208,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for width in range(2, LIST + 1):
             at = begin[(size == width) & ~wide]
             if len(at):
-                yield short(n[at[:, None] + np.arange(width)])
+                yield short(s[at], n[at[:, None] + np.arange(width)])
 
     for batch in batches:
         s = np.concatenate((sig, batch.column(0).to_numpy()))
@@ -241,10 +240,10 @@ def _lists(signatures: DataFrame, label: str) -> DataFrame:
     return signatures.sparkSession.read.parquet(path)
 
 
-def _bitmap(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size that holds every node; some others pass as well."""
-    slot = F.pmod(F.col("node"), F.lit(_BITMAP))
-    words = nodes.groupBy(F.shiftright(slot, 6).alias("w")).agg(
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size that holds every key; some others pass as well."""
+    slot = F.pmod(F.col("text_key"), F.lit(_BITMAP))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits")
     )
     out = np.zeros(_BITMAP >> 6, dtype=np.int64)
@@ -253,28 +252,33 @@ def _bitmap(nodes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _fetch_sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
-    """``(node, elements)`` for ``nodes``, written once; the bitmap keeps most other sets out of the shuffle."""
+def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(node, elements)`` for ``nodes``, written once. One text per set is read again.
+
+    The bitmap of those texts keeps most others from being cut into shingles; the join leaves out the rest.
+    """
     spark = docs.sparkSession
-    bitmap = spark.sparkContext.broadcast(_bitmap(nodes))
+    keys = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    bitmap = spark.sparkContext.broadcast(_bitmap(keys))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
         for batch in batches:
+            slot = batch.column(0).to_numpy() % _BITMAP
+            chosen = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
             found = {}
-            for whole in batch.column(0).to_pylist():
+            for whole in batch.column(1).take(pa.array(chosen)).to_pylist():
                 values = shingle_set(whole)
                 if len(values):
-                    node = int(np.uint64(set_digest(values)).astype(np.int64))
-                    slot = node % _BITMAP
-                    if int(bits[slot >> 6]) >> (slot & 63) & 1:
-                        found[node] = values.view(np.int64)
+                    found[int(np.uint64(set_digest(values)).astype(np.int64))] = values.view(np.int64)
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], names=["node", "elements"]
                 )
 
-    sets = docs.select(F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(fetch, "node long, elements array<long>")
+    whole = F.col(f"`{text}`")
+    texts = docs.select(F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t"))
+    sets = texts.mapInArrow(fetch, "node long, elements array<long>")
     path = scratch_path(spark, "sets")
     sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
@@ -286,7 +290,15 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     common = F.size(F.array_intersect("ea", "eb"))
     union = F.size("ea") + F.size("eb") - common
-    return pairs.distinct().join(right, "b").join(left, "a").filter(100 * common >= 75 * union).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").filter(100 * common >= 75 * union).select("a", "b")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose members aren't in one component yet."""
+    a = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+    b = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+    named = pairs.join(a, "a", "left").join(b, "b", "left")
+    return named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").distinct()
 
 
 def _relabelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
@@ -317,11 +329,22 @@ def _short(lists: DataFrame) -> DataFrame:
     return members.select(F.xxhash64("members").alias("list"), F.explode("members").alias("node"))
 
 
+def _meetings(lists: DataFrame, needs: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that meet on short lists of one band as often as each of them needs."""
+    alike = lists.filter(F.col("members").isNotNull()).groupBy("members", _band().alias("band")).agg(F.count(F.lit(1)).alias("n"))
+    firsts = alike.select("members", "band", "n", F.explode("members").alias("a"))
+    pairs = firsts.select("a", F.explode(F.filter("members", lambda m: m > F.col("a"))).alias("b"), "band", "n")
+    met = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
+    of_a = needs.select(F.col("node").alias("a"), "band", F.col("need").alias("need_a"))
+    of_b = needs.select(F.col("node").alias("b"), "band", F.col("need").alias("need_b"))
+    joined = met.join(of_a, ["a", "band"]).join(of_b, ["b", "band"])
+    return joined.filter(F.col("n") >= F.greatest("need_a", "need_b")).select("a", "b").distinct()
+
+
 class _Links:
-    """Verified links so far, and the components they make."""
+    """The components that the verified links so far make."""
 
     def __init__(self, spark):
-        self.links = spark.createDataFrame([], "a long, b long")
         self.labels = spark.createDataFrame([], "node long, component long")
 
     def add(self, found: DataFrame) -> int:
@@ -334,10 +357,15 @@ class _Links:
         return count
 
 
-def _heavy(counts: DataFrame, sizes: DataFrame, deletions: bool) -> DataFrame:
-    """The nodes of ``sizes(node, n, band, empty, empty_next)`` that lose more segments than they have in reserve.
+def _band() -> Column:
+    return F.col("sig").bitwiseAND(F.lit(int(_BAND_BITS))).cast("int")
 
-    ``counts(node, band, lost)`` has the segments lost to long lists. Without deletions empty ones are lost as well.
+
+def _needs(lost: DataFrame, sizes: DataFrame, deletions: bool) -> DataFrame:
+    """``(node, band, need)``: in how many segments with short lists a node surely meets each partner of the band.
+
+    That is how many segments agree at least, less the ones lost to long lists (``lost(node, band, lost)``) and, without
+    deletions, the empty ones. ``sizes(node, n, band, empty, empty_next)``.
     """
     table = [(b, segments(b, deletions), int(LIMITS[b]), int(LIMITS[b + 1]) - 1) for b in range(len(LIMITS) - 1)]
     bands = F.broadcast(sizes.sparkSession.createDataFrame(table, "band int, m long, first long, most long"))
@@ -346,20 +374,21 @@ def _heavy(counts: DataFrame, sizes: DataFrame, deletions: bool) -> DataFrame:
     next_band = sizes.select("node", "n", (F.col("band") + 1).alias("band"), F.col("empty_next").alias("gone"))
     both = own.join(bands, "band").union(next_band.join(bands, "band").filter(partner >= F.col("first")))
     worst = F.floor((F.col("n") + F.least(partner, F.col("most"))) / 7)
-    met = F.col("m") - (F.floor(worst / 2) if deletions else worst)
+    agree = F.col("m") - (F.floor(worst / 2) if deletions else worst)
     gone = F.lit(0) if deletions else F.col("gone")
-    return (
-        both.join(counts, ["node", "band"], "left")
-        .filter(gone + F.coalesce("lost", F.lit(0)) >= met)
-        .select("node")
-        .distinct()
+    return both.join(lost, ["node", "band"], "left").select(
+        "node", "band", (agree - gone - F.coalesce("lost", F.lit(0))).alias("need")
     )
 
 
+def _heavy(needs: DataFrame) -> DataFrame:
+    """Nodes that may not meet a partner on short lists."""
+    return needs.filter("need <= 0").select("node").distinct()
+
+
 def _lost(long: DataFrame) -> DataFrame:
     """``(node, band, lost)``: how many segments of a node have long lists."""
-    band = F.col("sig").bitwiseAND(F.lit(int(_BAND_BITS))).cast("int")
-    return long.groupBy("node", band.alias("band")).agg(F.count(F.lit(1)).alias("lost"))
+    return long.groupBy("node", _band().alias("band")).agg(F.count(F.lit(1)).alias("lost"))
 
 
 def _neighbourhoods(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -389,11 +418,27 @@ def _along(rows: DataFrame, state: _Links, sets: DataFrame) -> None:
         hub = mixed.join(ranked.filter(F.col("rank") == turn).select("sig", "node"), ["sig", "node"]).select(
             "sig", F.col("node").alias("a"), F.col("label").alias("label_a")
         )
-        pairs = mixed.join(hub, "sig").filter("label != label_a").select("a", F.col("node").alias("b"))
+        pairs = mixed.join(hub, "sig").filter("label != label_a").select("a", F.col("node").alias("b")).distinct()
         state.add(_linked(pairs, sets))
         turn += 1
 
 
+def _close_neighbours(heavy: DataFrame, sizes: DataFrame, sets: DataFrame, state: _Links) -> None:
+    """Add the links among ``heavy`` by the index of one-deletion neighbourhoods, then along what lists stay long."""
+    close = _neighbourhoods(sets, heavy)
+    lists = _lists(close.select("sig", "node"), "deletions")
+    short, long = _short(lists), lists.filter(F.col("node").isNotNull()).select("sig", "node")
+    state.add(_linked(_within(_relabelled(short, state.labels, "list"), "list").distinct(), sets))
+    mixed = _relabelled(long, state.labels, "sig").select("sig", "node").checkpoint()
+    if mixed.isEmpty():
+        return
+    state.add(_linked(_apart(_stars(mixed, "sig").distinct(), state.labels), sets))
+    held = close.join(mixed, ["sig", "node"], "left_semi").select("node", "place").distinct()
+    lost = held.groupBy("node", F.pmod("place", F.lit(64)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("lost"))
+    left = _heavy(_needs(lost, sizes.join(heavy, "node", "left_semi"), True))
+    _along(mixed.join(left, "node", "left_semi"), state, sets)
+
+
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(row_id, text_key, n, label, component_id)`` per row of ``docs``; equal labels are linked."""
     spark = docs.sparkSession
@@ -404,30 +449,24 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sizes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "band", "empty", "empty_next")])
 
     lists = _lists(_signatures(docs, text), "subsets")
-    short, long = _short(lists), lists.filter(F.col("node").isNotNull()).select("sig", "node")
+    long = lists.filter(F.col("node").isNotNull()).select("sig", "node")
+    needs = _needs(_lost(long), sizes, False).checkpoint()
+    heavy = _heavy(needs)
     # Only sets that may depend on long lists go on with them.
-    heavy = _heavy(_lost(long), sizes, False).checkpoint()
     long = long.join(heavy, "node", "left_semi").select("sig", "node").checkpoint()
-    sets = _fetch_sets(docs, text, short.select("node").union(heavy).distinct())
+    pairs = _meetings(lists, needs).union(_stars(long, "sig")).distinct().checkpoint()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(heavy).distinct()
+    sets = _fetch_sets(docs, text, rows, wanted)
 
     state = _Links(spark)
-    state.add(_linked(_stars(short, "list").union(_stars(long, "sig")), sets))
-    state.add(_linked(_within(_relabelled(short, state.labels, "list"), "list"), sets))
+    state.add(_linked(pairs.groupBy("b").agg(F.min("a").alias("a")), sets))
+    state.add(_linked(_apart(pairs, state.labels), sets))
 
     # A list inside one component hides no link; what still depends on other long lists, or on empty segments.
     mixed = _relabelled(long, state.labels, "sig").select("sig", "node")
-    heavy = _heavy(_lost(mixed), sizes.join(heavy, "node", "left_semi"), False).checkpoint()
-    close = _neighbourhoods(sets, heavy)
-    near = _lists(close.select("sig", "node"), "deletions")
-    near_short, near_long = _short(near), near.filter(F.col("node").isNotNull()).select("sig", "node")
-    state.add(_linked(_within(_relabelled(near_short, state.labels, "list"), "list"), sets))
-    open_lists = _relabelled(near_long, state.labels, "sig").select("sig", "node").checkpoint()
-    if not open_lists.isEmpty():
-        state.add(_linked(_stars(open_lists, "sig"), sets))
-        held = close.join(near_long, ["sig", "node"], "left_semi").select("node", "place").distinct()
-        near_lost = held.groupBy("node", F.pmod("place", F.lit(64)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("lost"))
-        left = _heavy(near_lost, sizes.join(heavy, "node", "left_semi"), True)
-        _along(open_lists.join(left, "node", "left_semi"), state, sets)
+    heavy = _heavy(_needs(_lost(mixed), sizes.join(heavy, "node", "left_semi"), False)).checkpoint()
+    if not heavy.isEmpty():
+        _close_neighbours(heavy, sizes, sets, state)
 
     named = rows.join(state.labels, "node", "left").select(
         "row_id", "text_key", "n", F.coalesce("component", "node").alias("label")
@@ -436,3 +475,24 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return named.join(smallest, "label", "left").select(
         "row_id", "text_key", "n", "label", F.when(F.col("label").isNull(), F.col("row_id")).otherwise(F.col("smallest")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The first row of each component, with its own columns; rows without words stay, as they are linked with nothing.
+
+    The first row has the smallest id (rows without an id come last), then the smallest text hash. Of rows equal in both
+    one stays.
+    """
+    rows = similar(docs, key, text).filter("label IS NOT NULL")
+    order = F.struct(F.col("row_id").isNull(), "row_id", "text_key")
+    first = rows.groupBy("label").agg(F.min_by(F.struct("row_id", "text_key"), order).alias("first")).select("first.*")
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        F.col(f"`{key}`").cast("long").alias("_id"),
+        F.xxhash64(F.col(f"`{text}`")).alias("_key"),
+        F.coalesce(F.col(f"`{text}`").rlike(r"[^ \t-\r]"), F.lit(False)).alias("_words"),
+    )
+    same = F.col("_id").eqNullSafe(F.col("row_id")) & (F.col("_key") == F.col("text_key"))
+    chosen = packed.filter("_words").join(first, same, "left_semi")
+    one = chosen.dropDuplicates(["_id", "_key"])
+    return one.select("_row.*").unionByName(packed.filter(~F.col("_words")).select("_row.*"))

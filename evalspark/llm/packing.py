@@ -15,10 +15,10 @@ than the id and the text are not carried. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import base64
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,6 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.llm.frames import frame
 from evalspark.session import scratch_path
 
 CAPACITY = 2048
@@ -34,7 +35,7 @@ CLASSES = 16
 FILL = 0.95
 # Rests of this many tokens share one stream, which leaves at most one sequence part-filled.
 STREAM_TOKENS = 1 << 16
-_CACHED_WORDS = 300_000
+_CACHED_WORDS = 600_000
 _WIDE_SPACE = re.compile(r"\s\s")
 
 PIECE_SCHEMA = (
@@ -61,39 +62,62 @@ def cut(tokens: int, capacity: int = CAPACITY, classes: int = CLASSES) -> list[t
 
 
 class Encoder:
-    """Token ids of whole texts, with a bounded cache of words.
+    """Token ids of whole texts by a byte-level vocabulary, with a bounded cache of words.
 
-    The tokenizer splits a text before each single space and around each single line break, whatever stands beside
-    them, as long as no two white-space characters touch. Such a text is looked up word by word; any other text is
-    encoded whole.
+    The vocabulary's pattern splits a text before each single space and around each single line break, whatever else
+    stands beside them, as long as no two white-space characters touch. Such a text is looked up word by word, where a
+    word starts with its space or line break; new words are encoded in one go and parted at the tokens that start with
+    either. Any other text is encoded whole.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
-        self._words: dict[str, list[int]] = {}
-
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        import public_tokenizers
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._encoding = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._starts = np.zeros(max(ranks.values()) + 1, dtype=bool)
+        self._starts[[rank for token, rank in ranks.items() if token[:1] in (b" ", b"\n")]] = True
+        self._words: dict[str, bytes] = {}
+
+    def _encode(self, text: str) -> np.ndarray:
+        return self._encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self._words) + len(words) > _CACHED_WORDS:
+            self._words.clear()
+        # A word that ends in white space would touch the next one.
+        joined = [w for w in words if not w[-1:].isspace() and w]
+        ids = self._encode("".join([w if w[0] == "\n" else " " + w for w in joined]))
+        starts = np.flatnonzero(self._starts[ids])
+        if len(starts) != len(joined):
+            raise ValueError("words and tokens don't start together")
+        whole, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
+        at = 0
+        for w, end in zip(joined, ends):
+            self._words[w] = whole[at:end]
+            at = end
+        for w in words.difference(joined):
+            self._words[w] = self._encode(w if w[:1] == "\n" else " " + w).tobytes()
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of ``text`` and the end id."""
-        if _WIDE_SPACE.search(text):
-            found = self._encode([text])[0]
+        if not text or text[0].isspace() or _WIDE_SPACE.search(text):
+            found = self._encode(text)
         else:
-            first, *words = text.replace("\n", " \n").split(" ")
-            missing = [w for w in set(words) if w not in self._words]
-            if missing:
+            # The first word is looked up behind a line break, which is then left out.
+            words = ("\n" + text.replace("\n", " \n")).split(" ")
+            try:
+                found = b"".join(map(self._words.__getitem__, words))
+            except KeyError:
+                missing = set(words).difference(self._words)
                 if len(self._words) + len(missing) > _CACHED_WORDS:
-                    self._words.clear()
-                    missing = list(set(words))
-                encoded = self._encode([w if w.startswith("\n") else " " + w for w in missing])
-                self._words.update(zip(missing, encoded))
-            head = self._encode([first])[0] if first else []
-            found = chain(head, chain.from_iterable(map(self._words.__getitem__, words)))
-        return np.append(np.fromiter(found, dtype="<u4"), np.uint32(END_ID))
+                    missing = set(words)
+                self._learn(missing)
+                found = b"".join(map(self._words.__getitem__, words))
+            found = np.frombuffer(found, dtype="<u4")[1:]
+        return np.append(found, np.uint32(END_ID))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -147,12 +171,12 @@ def _first_pass(docs: DataFrame, key: str, text: str, path: str, capacity: int)
         def taken() -> pd.DataFrame:
             nonlocal n
             rows, bins.rows = bins.rows, []
-            out = pd.DataFrame([(*r[:5], part, *r[5:7], n + i, r[7]) for i, r in enumerate(rows)], columns=names)
+            out = frame([(*r[:5], part, *r[5:7], n + i, r[7]) for i, r in enumerate(rows)], names, ("doc_id", "bin", "offset"))
             n += len(rows)
-            return out.astype({"doc_id": "Int64", "bin": "Int64", "offset": "Int64"})
+            return out
 
-        for frame in batches:
-            for doc, whole in zip(frame["k"], frame["t"]):
+        for docs in batches:
+            for doc, whole in zip(docs["k"], docs["t"]):
                 ids = encode.ids(whole)
                 start = 0
                 for size, k in cut(len(ids), capacity):
@@ -165,18 +189,21 @@ def _first_pass(docs: DataFrame, key: str, text: str, path: str, capacity: int)
         bins.close()
         yield taken()
 
-    chosen = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    chosen = docs.select(F.col(f"`{key}`").cast("long").cast("string").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
     return chosen.mapInPandas(pieces, PIECE_SCHEMA)
 
 
 def pack(
     docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY
 ) -> DataFrame:
-    """One row per piece: its document, place there, checksum of its ids, sequence and place there."""
+    """One row per piece: its document, place there, checksum of its ids, sequence and place there.
+
+    ``tokenizer`` is the path of a byte-level vocabulary as ranks.
+    """
     if tokenizer is None:
         import public_tokenizers
 
-        tokenizer = str(public_tokenizers.path("byte_bpe_50k.json"))
+        tokenizer = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     spark = docs.sparkSession
     path = scratch_path(spark, "pieces")
     _first_pass(docs, key, text, tokenizer, capacity).write.parquet(path)

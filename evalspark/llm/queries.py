@@ -4,7 +4,19 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality_query", "sharding_query", "decontamination_query", "jaccard_query", "secrets_query", "warc_query", "packing_query")
+MODULES = (
+    "quality_query",
+    "sharding_query",
+    "decontamination_query",
+    "jaccard_query",
+    "secrets_query",
+    "licenses_query",
+    "templates_query",
+    "warc_query",
+    "language_query",
+    "packing_query",
+    "pipeline_query",
+)
 
 
 def load_queries():

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evalspark.llm.files import local_uri, open_fs
+from evalspark.llm.frames import frame
 from evalspark.session import scratch_path
 
 SEPARATOR = "\r\n\r\n"
@@ -235,9 +236,9 @@ def read_records(index: DataFrame) -> DataFrame:
     """The records behind ``index`` rows; a response's payload is checked against its digest."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
+        for batch in batches:
             out = []
-            for archive, rows in frame.groupby("archive", sort=False):
+            for archive, rows in batch.groupby("archive", sort=False):
                 fs, path = open_fs(archive)
                 with fs.open_input_file(path) as handle:
                     for offset, length in zip(rows["offset"], rows["length"]):
@@ -261,7 +262,7 @@ def read_records(index: DataFrame) -> DataFrame:
                             )
                         )
             names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield frame(out, names, ("page_id", "refers_to"))
 
     return index.mapInPandas(read, RECORD_SCHEMA)
 
