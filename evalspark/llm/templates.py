@@ -40,6 +40,9 @@ VARIABLE = b"<*>"
 
 _DIGITS = bytes(48 if 48 <= c <= 57 else c for c in range(256))
 _LINE_NAMES = ("pos", "tokens", "leaf", *[f"b{k}" for k in range(BLOCKS)], "surrounding")
+LINE_SCHEMA = (
+    f"doc long, text_key long, pos int, tokens int, leaf long, {', '.join(f'b{k} int' for k in range(BLOCKS))}, surrounding long"
+)
 _TEMPLATE = ["leaf", "tokens", *[f"b{k}" for k in range(BLOCKS)]]
 
 
@@ -51,7 +54,8 @@ def masked(line: bytes) -> list[bytes]:
 
 
 def _hash(tokens: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) if tokens else 0
+    """32 bits suffice for a block, as it is compared within its leaf and along with other blocks."""
+    return xxhash.xxh3_64_intdigest(b" ".join(tokens)) & 0xFFFFFFFF if tokens else 0
 
 
 def line_keys(text: bytes) -> list[tuple]:
@@ -96,7 +100,7 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     whole = F.col(f"`{text}`")
     lines = docs.select(
         F.col(f"`{key}`").cast("long").alias("doc"), F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t")
-    ).mapInArrow(read, f"doc long, text_key long, {', '.join(f'{c} long' for c in _LINE_NAMES)}")
+    ).mapInArrow(read, LINE_SCHEMA)
     path = scratch_path(docs.sparkSession, "lines")
     lines.write.parquet(path)
     return docs.sparkSession.read.parquet(path)
@@ -104,7 +108,8 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _batch(rows: list[tuple], owner: pa.Array, ids: pa.Array, keys: pa.Array) -> pa.RecordBatch:
     values = np.array(rows, dtype=np.uint64).view(np.int64)
-    columns = [pa.array(np.ascontiguousarray(values[:, k])) for k in range(values.shape[1])]
+    narrow = [n in ("pos", "tokens") or n.startswith("b") for n in _LINE_NAMES]
+    columns = [pa.array(values[:, k].astype(np.int32 if narrow[k] else np.int64)) for k in range(values.shape[1])]
     return pa.RecordBatch.from_arrays([ids.take(owner), keys.take(owner), *columns], names=["doc", "text_key", *_LINE_NAMES])
 
 
@@ -139,7 +144,7 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         grouped.join(recurring, place)
         .filter(~F.col("doc").eqNullSafe(F.col("first")) | F.col("first").isNull())
         .groupBy("doc", "text_key")
-        .agg(F.collect_set("pos").alias("dropped"))
+        .agg(F.collect_set(F.col("pos").cast("long")).alias("dropped"))
     )
 
 
