@@ -27,6 +27,7 @@ touched. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -39,7 +40,7 @@ from evalspark.llm.frames import frame
 from evalspark.llm.shingles import mix, set_digest, shingle_set
 from evalspark.session import ensure_checkpoint_dir, scratch_path
 
-LIST = 16
+LIST = 64
 _BAND_BITS = np.uint64(63)
 _BITMAP = 1 << 24
 _SETS_SCHEMA = "row_id long, text_key long, node long, n long, band int, empty long, empty_next long"
@@ -62,10 +63,12 @@ def _most(band: int) -> int:
 
 
 def segments(band: int, deletions: bool) -> int:
-    """Segments of a band: enough for the pigeonhole, and an eighth in reserve."""
+    """Segments of a band: enough for the pigeonhole, and a reserve for those that stay empty or meet long lists."""
     need = _most(band) + 1
-    need = -(-need // 2) if deletions else need
-    return need + need // 8
+    if deletions:
+        need = -(-need // 2)
+        return need + need // 8
+    return need + need // 16 + isqrt(need)
 
 
 def differences(size: int, band: int) -> int:
@@ -303,7 +306,7 @@ def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _relabelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
     """``rows(key, node)`` with ``label``, without the keys whose nodes all share one label."""
-    named = rows.join(labels, "node", "left").select(key, "node", F.coalesce("component", "node").alias("label"))
+    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select(key)
     return named.join(mixed, key, "left_semi")
 
@@ -391,8 +394,8 @@ def _lost(long: DataFrame) -> DataFrame:
     return long.groupBy("node", _band().alias("band")).agg(F.count(F.lit(1)).alias("lost"))
 
 
-def _neighbourhoods(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(sig, node, place)`` of the one-deletion index of ``nodes``."""
+def _neighbourhoods(sets: DataFrame) -> DataFrame:
+    """``(sig, node, place)`` of the one-deletion index."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,29 +406,41 @@ def _neighbourhoods(sets: DataFrame, nodes: DataFrame) -> DataFrame:
                     names=["sig", "node", "place"],
                 )
 
-    return sets.join(nodes, "node", "left_semi").select("node", "elements").mapInArrow(sign, "sig long, node long, place long")
+    return sets.select("node", "elements").mapInArrow(sign, "sig long, node long, place long")
 
 
 def _along(rows: DataFrame, state: _Links, sets: DataFrame) -> None:
-    """Compare the members of long lists with one member after the other, until no list has two components."""
+    """Compare the members of long lists, until no list has two components.
+
+    In turn t the members of the next 2**t ranks of a list are compared with those behind them that are still apart, so
+    a list of one component ends early and any other after as many turns as its length has digits.
+    """
     order = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
     ranked = rows.select("sig", "node").distinct().withColumn("rank", order).checkpoint()
-    turn = 1
+    tested = None
+    first, count = 1, 1
     while True:
-        mixed = _relabelled(ranked.filter(F.col("rank") >= turn).select("sig", "node"), state.labels, "sig").checkpoint()
+        behind = ranked.filter(F.col("rank") >= first)
+        mixed = _relabelled(behind, state.labels, "sig").checkpoint()
         if mixed.isEmpty():
             return
-        hub = mixed.join(ranked.filter(F.col("rank") == turn).select("sig", "node"), ["sig", "node"]).select(
-            "sig", F.col("node").alias("a"), F.col("label").alias("label_a")
+        hubs = mixed.filter(F.col("rank") < first + count).select(
+            "sig", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a")
         )
-        pairs = mixed.join(hub, "sig").filter("label != label_a").select("a", F.col("node").alias("b")).distinct()
+        pairs = mixed.join(hubs, "sig").filter((F.col("label") != F.col("label_a")) & (F.col("rank") > F.col("rank_a")))
+        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = pairs.checkpoint()
+        tested = pairs if tested is None else tested.union(pairs)
         state.add(_linked(pairs, sets))
-        turn += 1
+        first, count = first + count, 2 * count
 
 
 def _close_neighbours(heavy: DataFrame, sizes: DataFrame, sets: DataFrame, state: _Links) -> None:
     """Add the links among ``heavy`` by the index of one-deletion neighbourhoods, then along what lists stay long."""
-    close = _neighbourhoods(sets, heavy)
+    sets = sets.join(heavy, "node", "left_semi").checkpoint()
+    close = _neighbourhoods(sets)
     lists = _lists(close.select("sig", "node"), "deletions")
     short, long = _short(lists), lists.filter(F.col("node").isNotNull()).select("sig", "node")
     state.add(_linked(_within(_relabelled(short, state.labels, "list"), "list").distinct(), sets))
@@ -433,6 +448,7 @@ def _close_neighbours(heavy: DataFrame, sizes: DataFrame, sets: DataFrame, state
     if mixed.isEmpty():
         return
     state.add(_linked(_apart(_stars(mixed, "sig").distinct(), state.labels), sets))
+    mixed = _relabelled(mixed, state.labels, "sig").select("sig", "node").checkpoint()
     held = close.join(mixed, ["sig", "node"], "left_semi").select("node", "place").distinct()
     lost = held.groupBy("node", F.pmod("place", F.lit(64)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("lost"))
     left = _heavy(_needs(lost, sizes.join(heavy, "node", "left_semi"), True))
