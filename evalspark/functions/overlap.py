@@ -65,6 +65,8 @@ class RollingHash:
     def __init__(self, text: str):
         codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64) + np.uint64(1)
         self.length = len(codes)
+        if self.length >= 1 << _POSITION_BITS:
+            raise ValueError(f"texts of {1 << _POSITION_BITS} characters or more have to be cut first")
         self.sums = np.zeros(self.length + 1, dtype=np.uint64)
         np.cumsum(codes * _powers(_BASE, self.length), dtype=np.uint64, out=self.sums[1:])
         self.inverse = _powers(_INVERSE, self.length)

@@ -34,7 +34,7 @@ def strip_quotes(text: Column) -> Column:
 
 
 # White space outside ASCII, which most texts do not contain.
-_RARE_SPACE = r"[   -     　﻿]"
+_RARE_SPACE = f"[{WHITESPACE_CLASS.removeprefix(chr(92) + 's')}]"
 _DROPPED = r"[\x00-\x08\x0e-\x1f!-/:-`{-\x{10ffff}]+"
 _UNEVEN_SPACE = r"\s{2,}|[\t\n\x0b\f\r]"
 
@@ -134,6 +134,14 @@ def js_number_string(number: Column) -> Column:
     )
 
 
+ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
+
+
+def iso_text(instant: Column) -> Column:
+    """A timestamp as UTC clocks show it, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(instant, F.current_timezone()), ISO_MILLIS)
+
+
 def js_string(col: Column, data_type: T.DataType) -> Column:
     """The text of a cell as it appears in facts, samples and value counts."""
     if isinstance(data_type, T.StringType):
@@ -142,8 +150,10 @@ def js_string(col: Column, data_type: T.DataType) -> Column:
         return js_number_string(col.cast("double"))
     if isinstance(data_type, T.DecimalType):
         return F.regexp_replace(F.regexp_replace(col.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(col, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    if isinstance(data_type, T.TimestampType):
+        return iso_text(col)
+    if isinstance(data_type, T.TimestampNTZType):
+        return F.date_format(col, ISO_MILLIS)
     if isinstance(data_type, (T.ArrayType, T.MapType, T.StructType)):
         return F.to_json(col)
     if isinstance(data_type, T.VariantType):

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import fact_field, fact_value, js_string, strip_quotes
-from evalspark.operators.joins import HOT_ROWS, lookup_join
+from evalspark.operators.joins import lookup_join
 from evalspark.operators.preparation import ASSERTION
 from evalspark.operators.profiling import ROW_INDEX
 
@@ -36,7 +36,7 @@ def _verified(facts: Column, row: Column) -> Column:
     return F.array_compact(F.transform(facts, check))
 
 
-def ground_answers(drafts: DataFrame, rows: DataFrame, label: str | None = None, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def ground_answers(drafts: DataFrame, rows: DataFrame, label: str | None = None) -> DataFrame:
     """Check each draft's facts against the row it refers to and rewrite facts and location.
 
     Drafts without a usable reference stay unchanged, and so do the facts of a draft when none of them
@@ -54,7 +54,7 @@ def ground_answers(drafts: DataFrame, rows: DataFrame, label: str | None = None,
         file.alias("_file"),
         F.map_from_arrays(F.array(*[F.lit(c) for c in names]), F.array(*cells)).alias("_cells"),
     )
-    joined = lookup_join(asked, lookup, "_row", "left", hot_rows)
+    joined = lookup_join(asked, lookup, "_row", "left")
     verified = _verified(F.col("supporting_facts"), F.col("_cells"))
     located = F.concat("_file", F.lit(":row "), (F.col("_row").cast("bigint") + 1).cast("string"))
     found = F.col("_cells").isNotNull()

@@ -1,40 +1,18 @@
-"""A lookup join that survives one key holding a large part of the rows."""
+"""Lookup of one row per key."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 5_000_000
 
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Join ``rows`` (any skew) with ``lookup`` (one row per ``key``); both inputs are read once.
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "left", hot_rows: int | None = HOT_ROWS) -> DataFrame:
-    """Join ``rows`` (any skew) with ``lookup`` (one row per ``key``, a string column on both sides).
-
-    Keys with more than ``hot_rows`` rows get their lookup value from a broadcast; there can be at most
-    ``count / hot_rows`` of them, one lookup row each. For the shuffle join such rows, and rows without
-    a key, carry a spread-out key that matches nothing, so that no partition collects a hot key. Callers
-    that know no key can be hot pass ``hot_rows=None`` and save the pass that counts keys.
+    A key that holds many rows makes one side of a sort-merge join large, which adaptive execution splits. Rows without
+    a key match nothing.
     """
     if how not in ("left", "inner"):
         raise ValueError(f"unsupported join type {how}")
     values = [c for c in lookup.columns if c != key]
-    if hot_rows is None:
-        return rows.join(lookup, key, how).select(*[F.col(f"`{c}`") for c in [*rows.columns, *values]])
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot_keys = counts.filter(F.col("_n") > hot_rows).select(key)
-    hot = lookup.join(F.broadcast(hot_keys), key, "left_semi").select(
-        key, F.struct(F.lit(True).alias("_found"), *values).alias("_hot")
-    )
-    spread = F.concat(F.lit("\u0000"), F.monotonically_increasing_id().cast("string"))
-    tagged = rows.join(F.broadcast(hot), key, "left").withColumn(
-        "_join_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread)
-    )
-    side = lookup.select(
-        F.col(key).alias("_join_key"), F.struct(F.lit(True).alias("_found"), *values).alias("_cold")
-    )
-    joined = tagged.join(side, "_join_key", "left")
-    match = F.coalesce("_hot", "_cold")
-    if how == "inner":
-        joined = joined.filter(match.isNotNull())
-    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], *[match[v].alias(v) for v in values])
+    return rows.join(lookup, key, how).select(*[F.col(f"`{c}`") for c in [*rows.columns, *values]])

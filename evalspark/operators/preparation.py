@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.text import normalize_prompt, trim_ws
-from evalspark.operators.joins import HOT_ROWS, lookup_join
+from evalspark.operators.joins import lookup_join
+from evalspark.session import scratch_path
 
 # Accepted column names (trimmed, lower-case) of evaluation files.
 HEADER_ALIASES = {
@@ -50,31 +51,20 @@ TextFunction = Callable[[list[str]], list[str]]
 
 def map_headers(headers: list[str], with_score: bool = False) -> dict[str, str]:
     """Raw header -> canonical column. Raises when a required column is missing."""
-    aliases = {**HEADER_ALIASES, **SCORE_ALIASES} if with_score else HEADER_ALIASES
-    mapping = {}
-    for raw in headers:
-        canonical = aliases.get(raw.strip().lower())
-        if canonical:
-            mapping[raw] = canonical
-    missing = [c for c in REQUIRED if c not in mapping.values()]
-    if missing:
-        raise ValueError(f"missing required column(s): {', '.join(missing)}; found columns: [{', '.join(headers)}]")
-    return mapping
+    aliases = HEADER_ALIASES | SCORE_ALIASES if with_score else HEADER_ALIASES
+    spelled = {raw: raw.strip().lower() for raw in headers}
+    by_meaning = {name: [raw for raw in headers if aliases.get(spelled[raw]) == name] for name in dict.fromkeys(aliases.values())}
+    absent = [name for name in REQUIRED if not by_meaning[name]]
+    if absent:
+        raise ValueError(f"no column for {' / '.join(absent)} among {headers}")
+    return {raw: name for name, found in by_meaning.items() for raw in found}
 
 
 def deduplicate_headers(headers: list[str]) -> list[str]:
-    """Repeated names (ignoring case) get ``_dup1``, ``_dup2`` ... so that the first one is used."""
-    seen: dict[str, int] = {}
-    result = []
-    for header in headers:
-        key = header.lower()
-        if key in seen:
-            seen[key] += 1
-            result.append(f"{header}_dup{seen[key]}")
-        else:
-            seen[key] = 0
-            result.append(header)
-    return result
+    """Repeated names (ignoring case) are numbered ``_dup1``, ``_dup2`` ... from the second on."""
+    folded = [h.lower() for h in headers]
+    earlier = [folded[:i].count(name) for i, name in enumerate(folded)]
+    return [f"{h}_dup{n}" if n else h for h, n in zip(headers, earlier)]
 
 
 def normalize_rows(df: DataFrame, with_score: bool = False) -> DataFrame:
@@ -122,7 +112,7 @@ def prompt_key(prompt: Column) -> Column:
     return F.lower(trim_ws(prompt))
 
 
-def attach_assertions(rows: DataFrame, sidecar: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def attach_assertions(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Left-join the assertions of ``sidecar(ord, prompt, assertions)`` by trimmed, lower-cased prompt.
 
     Items without assertions are ignored and the last of several items with one prompt wins. Prompts
@@ -135,24 +125,12 @@ def attach_assertions(rows: DataFrame, sidecar: DataFrame, hot_rows: int | None
         .agg(F.max_by("assertions", "ord").alias("assertions"))
     )
     keyed = rows.drop("assertions").withColumn("_key", F.sha2(prompt_key(F.col("prompt")), 256))
-    return lookup_join(keyed, last, "_key", "left", hot_rows).drop("_key")
-
-
-def assemble_prompt(
-    prompt: Column,
-    system_prompt: str | None = None,
-    connector_id: str | None = None,
-    connector_label: str = "connector",
-) -> Column:
-    """Connector instruction, system prompt and question, separated by blank lines."""
-    parts = []
-    if connector_id:
-        parts.append(
-            F.lit(f"Target {connector_label} ID: {connector_id}. Always search this connector before answering.")
-        )
-    if system_prompt:
-        parts.append(F.lit(system_prompt))
-    return F.concat_ws("\n\n", *parts, prompt)
+    return lookup_join(keyed, last, "_key", "left").drop("_key")
+
+
+def assemble_prompt(prompt: Column, system_prompt: str | None = None, instruction: str | None = None) -> Column:
+    """The caller's instruction (such as which connector to search), system prompt and question, between blank lines."""
+    return F.concat_ws("\n\n", *[F.lit(part) for part in (instruction, system_prompt) if part], prompt)
 
 
 def resolve_system_prompt(inline: str | None = None, file_text: str | None = None) -> str | None:
@@ -168,8 +146,9 @@ def call_per_row(
 ) -> DataFrame:
     """Replace ``target`` by ``fn`` applied to ``source`` on the workers.
 
-    ``partitions`` bounds how many calls run at once. A failing call becomes ``failure(error)`` for the
-    texts of its batch only. A retried task repeats its calls: write the result before using it twice.
+    ``partitions`` bounds how many calls run at once. A failing call, or one with missing replies, becomes
+    ``failure(error)`` for the texts of its batch only. The result is written to the shared scratch folder at once, so
+    that no later use of it repeats the calls; only a lost task repeats its own.
     """
     schema = T.StructType(
         [f for f in df.schema.fields if f.name != target] + [T.StructField(target, T.StringType())]
@@ -183,7 +162,10 @@ def call_per_row(
             for start in range(0, len(texts), batch):
                 part = texts[start : start + batch]
                 try:
-                    replies.extend(fn(part))
+                    answers = list(fn(part))
+                    if len(answers) != len(part) or any(a is None for a in answers):
+                        raise ValueError(f"{len(part)} replies expected, {sum(a is not None for a in answers)} given")
+                    replies.extend(answers)
                 except Exception as error:  # noqa: BLE001 - the error is data here
                     replies.extend([failure(error)] * len(part))
                 if delay_seconds:
@@ -193,12 +175,14 @@ def call_per_row(
             yield frame[names]
 
     spread = df.repartition(partitions) if partitions else df
-    return spread.mapInPandas(run, schema)
+    path = scratch_path(df.sparkSession, "replies")
+    spread.mapInPandas(run, schema).write.parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)
 
 
 def answer_prompts(
-    rows: DataFrame, fn: TextFunction, system_prompt: str | None = None, connector_id: str | None = None,
-    connector_label: str = "connector", partitions: int | None = None, delay_seconds: float = 0.0, batch: int = 1,
+    rows: DataFrame, fn: TextFunction, system_prompt: str | None = None, instruction: str | None = None,
+    partitions: int | None = None, delay_seconds: float = 0.0, batch: int = 1,
 ) -> DataFrame:
     """Fill blank ``actual_answer`` values; answered rows pass through without touching Python.
 
@@ -206,7 +190,7 @@ def answer_prompts(
     """
     answered = F.col("actual_answer").isNotNull() & (F.col("actual_answer") != "")
     pending = rows.filter(~answered).withColumn(
-        "_prompt", assemble_prompt(F.col("prompt"), system_prompt, connector_id, connector_label)
+        "_prompt", assemble_prompt(F.col("prompt"), system_prompt, instruction)
     )
     replied = call_per_row(
         pending, "_prompt", "actual_answer", fn, lambda e: f"{ERROR_MARK} {e}]", partitions, delay_seconds, batch

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from evalspark.functions.text import js_string, trim_ws
 from evalspark.operators.profiling import ROW_INDEX
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.sources.rowindex import with_row_index_by
 
 # Question categories with their target shares, in order.
 CATEGORY_WEIGHTS = {
@@ -206,8 +206,28 @@ def attribute_questions(data: Dataset, fields: Sequence[str]) -> DataFrame:
     return _drafts(drafted, "attribute_retrieval", F.col(ROW_INDEX) * len(fields) + F.col("pos"))
 
 
+def filtered_find_members(data: Dataset, fields: Sequence[str]) -> DataFrame:
+    """``(field, value, rank, entity, row_index)``: every entity of every category value, in alphabetical order.
+
+    The cells are sorted over all tasks at once and numbered; a rank is the distance to the value's first number, so a
+    value that holds most rows is neither gathered nor sorted by itself.
+    """
+    cells = F.array(*[F.struct(F.lit(f).alias("field"), data.text(f).alias("value")) for f in fields])
+    melted = data.rows.filter(_filled(data.text(data.title))).select(
+        ROW_INDEX, data.entity().alias("entity"), F.explode(cells).alias("cell")
+    )
+    melted = melted.filter(_filled(F.col("cell.value"))).select("cell.*", "entity", ROW_INDEX)
+    numbered = with_row_index_by(melted, ["field", "value", "entity", ROW_INDEX], "_n")
+    starts = numbered.groupBy("field", "value").agg(F.min("_n").alias("_first"))
+    return numbered.join(starts, ["field", "value"]).select(
+        "field", "value", (F.col("_n") - F.col("_first") + 1).alias("rank"), "entity", ROW_INDEX
+    )
+
+
 def filtered_find_questions(data: Dataset, fields: Sequence[str], listed: int = LISTED_ENTITIES) -> DataFrame:
-    """Which entities have a category value: the alphabetically first ones, and how many more there are.
+    """Which entities have a category value: a short text of the alphabetically first ones and how many more there are.
+
+    ``filtered_find_members`` has the whole answer as rows.
 
     The list is a top-k per value and the rank filter is a constant, so map tasks send at most ``listed``
     entities per value; a value holding a third of the rows is counted, never gathered.
@@ -334,36 +354,25 @@ def comparison_questions(data: Dataset, group: str, number: str, block_rows: int
     return _drafts(drafted, "comparison", F.col(ROW_INDEX))
 
 
-def edge_case_questions(data: Dataset, first: str, second: str, max_domain: int = 20) -> DataFrame:
-    """Combinations of two category values that no row has.
+def edge_case_questions(data: Dataset, first: str, second: str) -> DataFrame:
+    """For each value of ``first``, the lowest value of ``second`` that no row has together with it.
 
-    Only small domains qualify: the combination list is built from one row holding two arrays of at most
-    ``max_domain`` values, and is empty where a domain is larger.
+    Values of ``second`` are ranked. The lowest rank that a value lacks is 0 or follows one that it has, so the present
+    pairs themselves give all candidates and the domains are never multiplied. A value that has every other gives none.
     """
-    present = (
+    pairs = (
         data.rows.select(data.text(first).alias("a"), data.text(second).alias("b"))
         .filter(_filled(F.col("a")) & _filled(F.col("b")))
-        .groupBy("a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .drop("n")
-    )
-    ensure_checkpoint_dir(data.rows.sparkSession)
-    # Read by both domains and the anti join; the distinct combinations are written once.
-    present = present.checkpoint()
-
-    def domain(column: str) -> Column:
-        few = present.select(column).distinct().limit(max_domain + 1)
-        return few.agg(F.array_sort(F.collect_set(column)).alias("d")).scalar()
-
-    one = data.rows.sparkSession.range(1).select(domain("a").alias("da"), domain("b").alias("db"))
-    small = one.filter((F.size("da") <= max_domain) & (F.size("db") <= max_domain))
-    all_pairs = small.select(F.posexplode("da").alias("ia", "a"), "db").select(
-        "ia", "a", F.posexplode("db").alias("ib", "b")
+        .distinct()
     )
-    absent = all_pairs.join(present, ["a", "b"], "left_anti")
-    drafted = absent.select(
+    ranks = with_row_index_by(pairs.select("b").distinct(), ["b"], "ib")
+    order = with_row_index_by(pairs.select("a").distinct(), ["a"], "ia")
+    present = pairs.join(ranks, "b").select("a", "ib")
+    candidates = order.select("a", F.lit(0).cast("bigint").alias("ib")).union(present.select("a", F.col("ib") + 1))
+    absent = candidates.join(present, ["a", "ib"], "left_anti").join(ranks, "ib")
+    lowest = absent.groupBy("a").agg(F.min_by("b", "ib").alias("b"))
+    drafted = lowest.join(order, "a").select(
         "ia",
-        "ib",
         F.concat(F.lit(f"Which records have {first} "), "a", F.lit(f" and {second} "), "b", F.lit("?")).alias("prompt"),
         F.concat(
             F.lit(f"There are no matching records: none has {first} "), "a", F.lit(f" and {second} "), "b", F.lit(".")
@@ -371,7 +380,7 @@ def edge_case_questions(data: Dataset, first: str, second: str, max_domain: int
         F.array(F.concat(F.lit(f"{first}="), "a"), F.concat(F.lit(f"{second}="), "b")).alias("supporting_facts"),
         F.lit(data.label).alias("source_location"),
     )
-    return _drafts(drafted, "edge_case", F.col("ia") * (max_domain + 1) + F.col("ib"))
+    return _drafts(drafted, "edge_case", F.col("ia"))
 
 
 def union_drafts(*drafts: DataFrame) -> DataFrame:

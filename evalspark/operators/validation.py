@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evalspark.functions.overlap import KEY_SCHEMA, overlap_keys
 from evalspark.functions.text import normalize_prompt
-from evalspark.operators.joins import HOT_ROWS, lookup_join
+from evalspark.operators.joins import lookup_join
 from evalspark.operators.questions import CATEGORY_WEIGHTS, category_dimension
 from evalspark.session import ensure_checkpoint_dir
 
@@ -31,7 +31,7 @@ def first_of_equal(texts: DataFrame) -> DataFrame:
     return texts.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
-def near_duplicate_pairs(texts: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     """``(short_ord, long_ord)``: distinct texts where the longer contains the shorter, ratio above 0.8.
 
     ``texts`` has ``ord`` and distinct ``norm``. The steps never pair the rows of a block with each other:
@@ -67,12 +67,12 @@ def near_duplicate_pairs(texts: DataFrame, hot_rows: int | None = HOT_ROWS) -> D
         .agg(F.collect_set(F.struct(offset.alias("start"), F.col("short_len").alias("size"))).alias("spans"))
     )
     keyed = containers.select("ord", profile_key.alias("_profile"))
-    matched = lookup_join(keyed, spans, "_profile", "inner", hot_rows)
+    matched = lookup_join(keyed, spans, "_profile", "inner")
     cuts = matched.select("ord", F.explode("spans").alias("span")).select("ord", "span.*").distinct()
     cut = F.substring(F.col("norm"), F.col("start") + 1, F.col("size"))
     pieces = cuts.join(usable, "ord").select(F.col("ord").alias("long_ord"), F.sha2(cut, 256).alias("_digest"))
     digests = usable.select(F.sha2("norm", 256).alias("_digest"), F.col("ord").alias("short_ord"))
-    return lookup_join(pieces.distinct(), digests, "_digest", "inner", hot_rows).select("short_ord", "long_ord").distinct()
+    return lookup_join(pieces.distinct(), digests, "_digest", "inner").select("short_ord", "long_ord").distinct()
 
 
 def resolve_keep_first(pairs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def resolve_keep_first(pairs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionAll, dropped).distinct()
 
 
-def deduplicate(items: DataFrame, text: str = "prompt", hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def deduplicate(items: DataFrame, text: str = "prompt") -> DataFrame:
     """Items that a greedy first-come pass keeps: no equal and no near-equal earlier kept item.
 
     Copies of a dropped text match the same kept item, so equal texts can go first.
@@ -115,7 +115,7 @@ def deduplicate(items: DataFrame, text: str = "prompt", hot_rows: int | None = H
     normed = items.withColumn("norm", normalize_prompt(F.col(text)))
     # The distinct items are read by every later step, so they are written once.
     first = first_of_equal(normed).checkpoint()
-    dropped = resolve_keep_first(near_duplicate_pairs(first.select("ord", "norm"), hot_rows))
+    dropped = resolve_keep_first(near_duplicate_pairs(first.select("ord", "norm")))
     return first.join(dropped, "ord", "left_anti").drop("norm")
 
 
@@ -210,9 +210,9 @@ def summarize(kept: DataFrame, item_count: Column, total_rows: Column) -> DataFr
     )
 
 
-def validate_items(items: DataFrame, total_rows: int, hot_rows: int | None = HOT_ROWS) -> Validation:
+def validate_items(items: DataFrame, total_rows: int) -> Validation:
     """Deduplicate, then check balance, coverage and confidence of what is left."""
-    kept = deduplicate(items, hot_rows=hot_rows)
+    kept = deduplicate(items)
     count = items.agg(F.count(F.lit(1))).scalar()
     result = summarize(kept, count, F.lit(total_rows))
     issues = result.select(F.posexplode("issues").alias("pos", "issue"))

@@ -9,8 +9,8 @@ from evalspark.operators import assertions, preparation
 from evalspark.plans.registry import table
 
 # The same rows in SQL; word lists index from 1 in both engines here.
-ROWS_SQL = """SELECT u.conv_id * 1000 + u.turn AS ord, u.conv_id, u.text AS prompt, u.text AS expected_answer,
-    'conversations.parquet:row ' || CAST(u.conv_id * 1000 + u.turn + 1 AS VARCHAR) AS source_location,
+ROWS_SQL = """SELECT u.conv_id * 4294967296 + u.turn AS ord, u.conv_id, u.text AS prompt, u.text AS expected_answer,
+    'conversations.parquet:row ' || CAST(u.conv_id * 4294967296 + u.turn + 1 AS VARCHAR) AS source_location,
     CASE WHEN u.conv_id % 11 = 0 THEN '[ERROR: timeout]' ELSE coalesce(a.text, '') END AS actual_answer,
     CASE WHEN u.conv_id % 13 = 0 THEN NULL ELSE 'turn ' || CAST(u.turn AS VARCHAR) END AS category
   FROM conversations u LEFT JOIN conversations a
@@ -28,7 +28,7 @@ def eval_rows(spark, sf) -> DataFrame:
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply")
     )
     users = turns.filter("role = 'user'").drop("role")
-    position = F.col("conv_id") * 1000 + F.col("turn")
+    position = F.col("conv_id") * (1 << 32) + F.col("turn")
     answer = F.when(F.col("conv_id") % 11 == 0, "[ERROR: timeout]").otherwise(F.coalesce("reply", F.lit("")))
     return users.join(replies, ["conv_id", "turn"], "left").select(
         position.alias("ord"),
@@ -41,33 +41,35 @@ def eval_rows(spark, sf) -> DataFrame:
     )
 
 
-# Assertions derived from the prompt's own words.
-WORDS_SQL = "string_split(prompt, ' ')"
+# Assertions derived from the first, middle and last word of every prompt.
+WORDS_SQL = "list_filter(string_split(prompt, ' '), lambda x: x <> '')"
 SIDECAR_SQL = f"""SELECT ord, prompt, pos, kind, "value", "values", whole FROM (
-    SELECT ord, prompt, {WORDS_SQL} AS w FROM rows WHERE len({WORDS_SQL}) >= 4) src,
+    SELECT ord, prompt, {WORDS_SQL} AS w FROM rows WHERE len({WORDS_SQL}) >= 1) src,
   LATERAL (VALUES
-    (0, 'must_contain', w[2], NULL, false), (1, 'must_contain', w[3], NULL, true),
-    (2, 'must_contain_any', NULL, [w[1], w[4], 'the'], false), (3, 'must_not_contain', 'ing', NULL, false),
+    (0, 'must_contain', w[len(w)], NULL, false), (1, 'must_contain', w[len(w) // 2 + 1], NULL, true),
+    (2, 'must_contain_any', NULL, [w[1], w[len(w)], 'the'], false), (3, 'must_not_contain', 'ing', NULL, false),
     (4, 'must_match', w[1], NULL, false)) AS t(pos, kind, "value", "values", whole)"""
 
 
 def sidecar(rows: DataFrame) -> DataFrame:
-    """``(ord, prompt, assertions)`` for the prompts with at least four words."""
-    words = F.split("prompt", " ")
+    """``(ord, prompt, assertions)`` for every prompt with a word."""
+    words = F.filter(F.split("prompt", " "), lambda w: w != "")
+    first, last = F.get(words, F.lit(0)), F.element_at(words, -1)
+    middle = F.get(words, F.floor(F.size(words) / 2).cast("int"))
     unknown = F.struct(
         F.lit("must_match").alias("type"),
-        words[0].alias("value"),
+        first.alias("value"),
         F.lit(None).cast("array<string>").alias("values"),
         F.lit(False).alias("whole_word"),
     ).cast(preparation.ASSERTION)
     items = F.array(
-        assertions.must_contain(words[1]),
-        assertions.must_contain(words[2], whole_word=True),
-        assertions.must_contain_any(F.array(words[0], words[3], F.lit("the"))),
+        assertions.must_contain(last),
+        assertions.must_contain(middle, whole_word=True),
+        assertions.must_contain_any(F.array(first, last, F.lit("the"))),
         assertions.must_not_contain(F.lit("ing")),
         unknown,
     )
-    return rows.filter(F.size(words) >= 4).select("ord", "prompt", items.alias("assertions"))
+    return rows.filter(F.size(words) >= 1).select("ord", "prompt", items.alias("assertions"))
 
 
 # Attached by prompt text: the last item of a prompt wins.

@@ -106,9 +106,24 @@ def _(spark, sf):
     return d.flat(questions.comparison_questions(d.part(spark, sf), "p_type", "p_retailprice", block_rows=300))
 
 
-@query("question_edge_case", _draft_sql(d.PLACES.edge("r_name", "n_name", 25)))
+@query(
+    "question_filtered_members",
+    """SELECT 'c_mktsegment' AS field, c_mktsegment AS "value", row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_name, c_custkey) AS rank,
+    c_name AS entity FROM customer""",
+)
+def _(spark, sf):
+    return questions.filtered_find_members(d.customer(spark, sf), ["c_mktsegment"]).drop("row_index")
+
+
+@query("question_edge_case", _draft_sql(d.PLACES.edge("r_name", "n_name")))
 def _(spark, sf):
-    return d.flat(questions.edge_case_questions(d.customer_places(spark, sf), "r_name", "n_name", 25))
+    return d.flat(questions.edge_case_questions(d.customer_places(spark, sf), "r_name", "n_name"))
+
+
+# Both domains have more than twenty values.
+@query("question_edge_case_wide", _draft_sql(d.PART.edge("p_name", "p_brand")))
+def _(spark, sf):
+    return d.flat(questions.edge_case_questions(d.part(spark, sf), "p_name", "p_brand"))
 
 
 @query(
@@ -221,18 +236,18 @@ def _(spark, sf):
     return items.select("ord", "pos", "a.value", F.coalesce("a.whole_word", F.lit(False)).alias("whole_word"))
 
 
-# Seven facts, two of them equal: distinct, then the first five.
+# Every word of a text as a fact: distinct, then the first five.
 @query(
     "ground_assertion_limit",
     """SELECT doc_id, CAST(pos AS INTEGER) AS pos, v AS "value" FROM (
       SELECT doc_id, v, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos FROM (
         SELECT doc_id, v, min(i) AS i FROM (
           SELECT doc_id, unnest(w) AS v, generate_subscripts(w, 1) AS i FROM (
-            SELECT doc_id, string_split(text, ' ')[1:7] AS w FROM documents))
+            SELECT doc_id, string_split(text, ' ') AS w FROM documents))
         WHERE length(v) BETWEEN 2 AND 80 AND v NOT LIKE '%"%' AND v = trim(v, ' ' || chr(10) || chr(9) || chr(13)) GROUP BY doc_id, v)) WHERE pos < 5""",
 )
 def _(spark, sf):
-    words = F.slice(F.split("text", " "), 1, 7)
+    words = F.split("text", " ")
     facts_of = F.transform(
         F.filter(words, lambda w: ~F.contains(w, F.lit('"')) & (w == F.btrim(w, F.lit(" \n\t\r")))),
         lambda w: F.concat(F.lit("word="), w),
@@ -304,12 +319,12 @@ def _(spark, sf):
     return validation.near_duplicate_pairs(_variant_norms(spark, sf))
 
 
-_GREEDY = f"""{_PAIRS},
-    edges AS (SELECT least(short_ord, long_ord) AS e, greatest(short_ord, long_ord) AS l FROM pairs),
+_FOLD = """edges AS (SELECT least(short_ord, long_ord) AS e, greatest(short_ord, long_ord) AS l FROM pairs),
     nodes AS (SELECT l AS ord, list(e) AS nbr FROM edges GROUP BY l UNION ALL SELECT DISTINCT e, CAST([] AS BIGINT[]) FROM edges WHERE e NOT IN (SELECT l FROM edges)),
     fold AS (SELECT list_reduce(list(list_concat([ord], nbr) ORDER BY ord),
       lambda acc, x: CASE WHEN list_has_any(acc, x[2:]) THEN acc ELSE list_append(acc, x[1]) END, CAST([] AS BIGINT[])) AS kept FROM nodes),
     dropped AS (SELECT ord FROM nodes, fold WHERE NOT list_contains(kept, ord))"""
+_GREEDY = f"{_PAIRS}, {_FOLD}"
 
 
 @query("dedup_resolution", f"WITH {_GREEDY} SELECT ord FROM dropped")
@@ -373,10 +388,28 @@ def _(spark, sf):
     )
 
 
-@query("validate_eval_set")
+# Prompts are short: all their long parts are looked up among the prompts.
+_VALID = f"""WITH {_ITEMS},
+    texts AS (SELECT min(ord) AS ord, norm, length(norm) AS n FROM (SELECT ord, {_NORM.replace('text', 'prompt')} AS norm FROM items) GROUP BY norm),
+    parts AS (SELECT DISTINCT ord, n, substring(norm, i, k) AS part FROM texts, unnest(range(n * 4 // 5 + 1, n)) AS u(k), unnest(range(1, n - k + 2)) AS v(i)),
+    pairs AS (SELECT s.ord AS short_ord, p.ord AS long_ord FROM parts p JOIN texts s ON s.norm = p.part AND s.norm <> ''),
+    {_FOLD},
+    kept AS (SELECT * FROM items WHERE ord IN (SELECT ord FROM texts) AND ord NOT IN (SELECT ord FROM dropped)),
+    counts AS (SELECT count(*) AS total_items, (SELECT count(*) FROM items) - count(*) AS removed,
+      coalesce(count(DISTINCT source_location) / nullif(least((SELECT count(*) FROM part), count(*) * 2), 0), 0) AS coverage,
+      count(*) FILTER (confidence = 'low') AS low FROM kept),
+    uneven AS (SELECT count(*) AS k FROM (VALUES {WEIGHTS}) AS t(i, c, w)
+      WHERE abs((SELECT count(*) FROM kept WHERE category = c) / (SELECT greatest(total_items, 1) FROM counts) - w) > 0.15)
+    SELECT (removed = 0 AND k = 0 AND coverage >= 0.3 AND low <= total_items * 0.2) OR (removed = 0 AND coverage >= 0.2) AS passed,
+      CAST(total_items AS BIGINT) AS total_items, CAST(removed AS BIGINT) AS duplicates_removed, round(coverage, 9) AS coverage_score,
+      CAST(low AS BIGINT) AS low_confidence FROM counts, uneven"""
+
+
+@query("validate_eval_set", _VALID)
 def _(spark, sf):
-    # Part prompts share most of their text, so the greedy pass has work; checked against brute force in tests.
-    return validation.validate_items(all_items(spark, sf), table(spark, sf, "part").count()).result
+    # Part prompts share most of their text, so the greedy pass has work.
+    result = validation.validate_items(all_items(spark, sf), table(spark, sf, "part").count()).result
+    return result.withColumn("coverage_score", F.round("coverage_score", 9))
 
 
 @query(
@@ -414,13 +447,13 @@ def _(spark, sf):
 
 _WORDING = r"""regexp_matches(prompt, '(?i)\b(how many|count|total|average|sum|all)\b')"""
 _BROAD = r"""regexp_matches(prompt, '(?i)\b(list all|show all|every|summarize all|everything)\b')"""
-_ASKED = "SELECT conv_id * 1000 + turn AS ord, CASE WHEN conv_id % 4 = 0 THEN 'List all of: ' || text ELSE text END AS prompt FROM conversations"
+_ASKED = "SELECT conv_id * 4294967296 + turn AS ord, CASE WHEN conv_id % 4 = 0 THEN 'List all of: ' || text ELSE text END AS prompt FROM conversations"
 
 
 @query("diagnose_wording", f"SELECT ord, {_WORDING} AS aggregation, {_BROAD} AS broad FROM ({_ASKED})")
 def _(spark, sf):
     asked = table(spark, sf, "conversations").selectExpr(
-        "conv_id * 1000 + turn AS ord", "if(conv_id % 4 = 0, concat('List all of: ', text), text) AS prompt"
+        "conv_id * 4294967296 + turn AS ord", "if(conv_id % 4 = 0, concat('List all of: ', text), text) AS prompt"
     )
     return asked.select(
         "ord",

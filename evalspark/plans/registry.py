@@ -28,26 +28,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def spread_small(scan: DataFrame, df: DataFrame | None = None) -> DataFrame:
-    """Use all cores for an input of fewer splits than cores; a larger one is left as it is.
-
-    A file of one row group is one split however many cores there are. Such an input is small by
-    construction, so moving its rows once is cheap; the split count is checked on the plain scan.
-    """
-    df = scan if df is None else df
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if scan.rdd.getNumPartitions() < cores else df
-
-
 def scan_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread_small(scan_table(spark, sf_dir, name))
+    return scan_table(spark, sf_dir, name)
 
 
 def numbered(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table with ``row_index`` in file order."""
-    scan = scan_table(spark, sf_dir, name)
-    return spread_small(scan, with_row_index(scan))
+    return with_row_index(scan_table(spark, sf_dir, name))

@@ -70,11 +70,11 @@ def _(spark, sf):
 
 @query(
     "eval_prompt_assembly",
-    f"""SELECT ord, 'Target connector ID: c-1. Always search this connector before answering.' || chr(10) || chr(10)
+    f"""SELECT ord, 'Search connector c-1 first.' || chr(10) || chr(10)
       || 'Answer briefly.' || chr(10) || chr(10) || prompt AS full_prompt FROM ({rows.ROWS_SQL})""",
 )
 def _(spark, sf):
-    full = preparation.assemble_prompt(F.col("prompt"), "Answer briefly.", "c-1")
+    full = preparation.assemble_prompt(F.col("prompt"), "Answer briefly.", "Search connector c-1 first.")
     return rows.eval_rows(spark, sf).select("ord", full.alias("full_prompt"))
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from evalspark.operators import chunking, preparation
 from evalspark.plans import drafts as d
 from evalspark.plans import evalrows, fixtures
-from evalspark.plans.generation_queries import all_items
+from evalspark.plans.generation_queries import _ITEMS, all_items
 from evalspark.plans.registry import query, scan_table, table
 from evalspark.session import scratch_path
 from evalspark.sources import archives, evalfiles, files, pages, payloads, sinks
@@ -46,14 +46,41 @@ def _(spark, sf):
     return files.read_json_lines(spark, _written(spark, sf, "customer", "json"))
 
 
-@query("source_json_array", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+# JSON lines in files named .json, as Spark writes them.
+@query("source_json_lines_in_json", "SELECT * REPLACE (CAST(c_nationkey AS BIGINT) AS c_nationkey) FROM customer")
+def _(spark, sf):
+    return files.read_json_documents(spark, _written(spark, sf, "customer", "json"))
+
+
+# Files of one folder whose columns stand in different orders.
+@query(
+    "source_mixed_headers",
+    """SELECT c_name AS prompt, c_mktsegment AS expected_answer, CAST(c_custkey AS VARCHAR) AS source_location, '' AS actual_answer FROM customer""",
+)
+def _(spark, sf):
+    rows = scan_table(spark, sf, "customer")
+    path = scratch_path(spark, "mixed")
+    columns = [F.col("c_name").alias("Prompt"), F.col("c_mktsegment").alias("Expected Answer"), F.col("c_custkey").alias("source_location")]
+    for part, order in ((0, columns), (1, columns[::-1])):
+        rows.filter(F.col("c_custkey") % 2 == part).select(*order).write.mode("append").option("header", True).csv(path)
+    return evalfiles.read_eval_rows(spark, path, "csv")
+
+
+@query("source_eval_json", f"SELECT prompt, expected_answer, source_location, actual_answer, similarity_score FROM ({evalrows.SCORED_SQL})")
+def _(spark, sf):
+    scored = preparation.score_answers(evalrows.eval_rows(spark, sf))
+    path = sinks.write_results(scored, "in/set.json", scratch_path(spark, "results"), "json")
+    return evalfiles.read_eval_rows(spark, path, "json", with_score=True)
+
+
+@query("source_json_array", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders")
 def _(spark, sf):
     # One array document per 10,000 orders, in a folder of its own.
     docs = (
         table(spark, sf, "orders")
         .withColumn("block", F.floor(F.col("o_orderkey") / 10_000))
         .groupBy("block")
-        .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"))), ",\n"), F.lit("\n]")).alias("value"))
+        .agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list(F.to_json(F.struct("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("o_orderdate"), "o_orderpriority"))), ",\n"), F.lit("\n]")).alias("value"))
     )
     path = scratch_path(spark, "orders-json")
     docs.write.partitionBy("block").text(path)
@@ -249,17 +276,24 @@ def _(spark, sf):
     return evalfiles.read_eval_rows(spark, path, "csv")
 
 
-@query("sink_eval_set", f"SELECT ord, prompt, source_location, category, difficulty, substring(sha256(prompt || '|' || source_location), 1, 12) AS id FROM ({d.ALL_SQL})")
+@query(
+    "sink_eval_set",
+    f"""WITH {_ITEMS} SELECT ord, prompt, expected_answer, source_location, '' AS actual_answer, category, difficulty, confidence,
+      substring(sha256(prompt || '|' || source_location), 1, 12) AS id FROM items""",
+)
 def _(spark, sf):
     path = sinks.write_eval_set(all_items(spark, sf), scratch_path(spark, "eval-set"), "all tables", "part.parquet")
     rows, _ = evalfiles.read_eval_set(spark, path)
-    return rows.select("ord", "prompt", "source_location", "category", "difficulty", "id")
+    return rows.drop("assertions")
 
 
-@query("sink_eval_set_envelope", f"SELECT '1.0' AS version, 'all tables' AS description, CAST(count(*) AS BIGINT) AS item_count FROM ({d.ALL_SQL})")
+@query("sink_eval_set_envelope", f"SELECT '1.0' AS version, 'all tables' AS description, 'part.parquet' AS source_file, CAST(count(*) AS BIGINT) AS item_count, 'checked' AS warnings, 'unknown' AS model FROM ({d.ALL_SQL})")
 def _(spark, sf):
-    path = sinks.write_eval_set(all_items(spark, sf), scratch_path(spark, "eval-set"), "all tables", "part.parquet")
-    return evalfiles.read_eval_set(spark, path)[1].select("version", "description", "item_count")
+    path = sinks.write_eval_set(all_items(spark, sf), scratch_path(spark, "eval-set"), "all tables", "part.parquet", ["checked"])
+    envelope = evalfiles.read_eval_set(spark, path)[1]
+    return envelope.select(
+        "version", "description", "source_file", "item_count", F.array_join("warnings", ", ").alias("warnings"), F.col("metadata")["model"].alias("model")
+    )
 
 
 _RESULTS = f"""SELECT prompt, expected_answer, source_location, actual_answer,
@@ -275,20 +309,19 @@ def _results(spark, sf, kind):
 
 # The reader trims cells, as evaluation files are edited by hand.
 _TRIM = "trim({0}, ' ' || chr(10) || chr(9) || chr(13))"
+_RESULT_ROWS = f"SELECT {', '.join(_TRIM.format(c) + ' AS ' + c for c in sinks.EVAL_COLUMNS)}, similarity_score FROM ({_RESULTS})"
 
 
-@query("sink_results_csv", f"SELECT {_TRIM.format('prompt')} AS prompt, {_TRIM.format('actual_answer')} AS actual_answer, similarity_score FROM ({_RESULTS})")
+@query("sink_results_csv", _RESULT_ROWS)
 def _(spark, sf):
     read = evalfiles.read_eval_rows(spark, _results(spark, sf, "csv"), "csv", with_score=True)
-    trim = lambda c: F.btrim(c, F.lit(" \n\t\r"))
-    return read.select(trim("prompt").alias("prompt"), trim("actual_answer").alias("actual_answer"), "similarity_score")
+    return read.select(*[F.btrim(c, F.lit(" \n\t\r")).alias(c) for c in sinks.EVAL_COLUMNS], "similarity_score")
 
 
-@query("sink_results_tsv", f"SELECT {_TRIM.format('prompt')} AS prompt, {_TRIM.format('actual_answer')} AS actual_answer, similarity_score FROM ({_RESULTS})")
+@query("sink_results_tsv", _RESULT_ROWS)
 def _(spark, sf):
     read = evalfiles.read_eval_rows(spark, _results(spark, sf, "tsv"), "tsv", with_score=True)
-    trim = lambda c: F.btrim(c, F.lit(" \n\t\r"))
-    return read.select(trim("prompt").alias("prompt"), trim("actual_answer").alias("actual_answer"), "similarity_score")
+    return read.select(*[F.btrim(c, F.lit(" \n\t\r")).alias(c) for c in sinks.EVAL_COLUMNS], "similarity_score")
 
 
 @query("sink_results_json", _RESULTS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import csv
+import os
+from collections.abc import Iterable
+from functools import partial, reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from evalspark.operators.preparation import (
     warn_version,
 )
 from evalspark.sources import archives
-from evalspark.sources.files import delimited_reader, extension_of
+from evalspark.sources.files import delimited_reader, extension_of, first_line, list_files, read_json_documents
 
 EVAL_FORMATS = {".csv": "csv", ".tsv": "tsv", ".xlsx": "xlsx", ".json": "json"}
 POSITIONAL = ("prompt", "expected_answer", "source_location", "actual_answer")
@@ -57,48 +60,57 @@ ENVELOPE_SCHEMA = T.StructType(
 )
 
 
-def _first_line(spark: SparkSession, path: str) -> str | None:
-    row = spark.read.text(path).filter(F.trim("value") != "").first()
-    return row["value"] if row else None
+def is_header(cells: Iterable[str | None]) -> bool:
+    """A first row is a header if any of its cells is a known column name."""
+    return not {(c or "").strip().lower() for c in cells}.isdisjoint(HEADER_ALIASES.keys() | SCORE_ALIASES.keys())
 
 
-def has_header(first_line: str, separator: str) -> bool:
-    fields = [f.strip().removeprefix('"').removesuffix('"').lower() for f in first_line.split(separator)]
-    return any(f in HEADER_ALIASES or f in SCORE_ALIASES for f in fields)
+def _delimited(spark: SparkSession, path: str, separator: str) -> list[DataFrame]:
+    """The files at ``path``, one table for all files with equal first rows where these are headers.
 
-
-def _delimited(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    first = _first_line(spark, path)
-    if first is None:
-        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in POSITIONAL))
-    reader = delimited_reader(spark, separator)
-    if has_header(first, separator):
-        names = deduplicate_headers([h.strip() for h in next(csv.reader([first], delimiter=separator))])
-        return reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).csv(path)
-    # Columns are counted by the reader, as a first line may hold quoted separators or line breaks.
-    raw = reader.option("header", False).csv(path)
-    return raw.toDF(*[POSITIONAL[i] if i < len(POSITIONAL) else f"column_{i + 1}" for i in range(len(raw.columns))])
+    Cells may hold line breaks, so each file is read as a whole.
+    """
+    reader = delimited_reader(spark, separator, multiline=True).option("header", False)
+    by_header: dict[tuple[str, ...] | None, list[str]] = {}
+    for file in list_files(spark, path):
+        if os.path.basename(file).startswith(("_", ".")):
+            continue
+        first = reader.csv(unquote(file)).first()
+        if first is not None:
+            by_header.setdefault(tuple(c or "" for c in first) if is_header(first) else None, []).append(unquote(file))
+    tables = []
+    for header, files in by_header.items():
+        if header is not None:
+            names = deduplicate_headers([h.strip() for h in header])
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+            tables.append(reader.option("header", True).schema(schema).csv(files))
+            reader = delimited_reader(spark, separator, multiline=True).option("header", False)
+        else:
+            raw = reader.csv(files)
+            tables.append(raw.toDF(*[POSITIONAL[i] if i < len(POSITIONAL) else f"column_{i + 1}" for i in range(len(raw.columns))]))
+    return tables or [spark.createDataFrame([], ", ".join(f"`{c}` string" for c in POSITIONAL))]
 
 
 def read_eval_rows(spark: SparkSession, path: str, kind: str | None = None, with_score: bool = False) -> DataFrame:
     """Evaluation rows from a file (format by extension) or from a folder written by the sinks (``kind``).
 
-    The header of delimited files is recognised by its names; without one, columns are positional.
+    The header of delimited files is recognised by its names, for each file by itself; without one, columns are
+    positional. JSON is an array, or one object per line as the sinks write it.
     """
     kind = kind or EVAL_FORMATS.get(extension_of(path))
     if kind not in EVAL_FORMATS.values():
         raise ValueError(f"unsupported file extension {extension_of(path)!r}; supported: {', '.join(EVAL_FORMATS)}")
     if kind == "json":
-        first = _first_line(spark, path)
-        if first is not None and not first.lstrip().startswith("["):
-            raise ValueError(f"expected a JSON array in {path}")
-        raw = spark.read.option("multiLine", True).json(path)
+        first = first_line(spark, path)
+        if first is not None and not first.lstrip().startswith(("[", "{")):
+            raise ValueError(f"expected a JSON array, or one object per line, in {path}")
+        tables = [read_json_documents(spark, path)]
     elif kind == "xlsx":
         cells = archives.workbook_cells(spark.read.format("binaryFile").load(path))
-        raw = archives.map_columns(cells).drop("path", "row_no")
+        tables = [archives.map_columns(cells).drop("path", "row_no")]
     else:
-        raw = _delimited(spark, path, "\t" if kind == "tsv" else ",")
-    return normalize_rows(raw, with_score)
+        tables = _delimited(spark, path, "\t" if kind == "tsv" else ",")
+    return reduce(partial(DataFrame.unionByName, allowMissingColumns=True), [normalize_rows(t, with_score) for t in tables])
 
 
 def _assertions(column: str = "assertions"):

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterable, Sequence
 from functools import reduce
 from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from pyspark.sql import types as T
 from evalspark.functions.text import js_string
 from evalspark.operators.chunking import chunk_rows, text_sections
 from evalspark.sources import archives
-from evalspark.sources.rowindex import BROADCAST_FILE_LIMIT
+from evalspark.sources.rowindex import with_offsets
 
 # File extensions and how they are read.
 FORMATS = {
@@ -48,34 +50,96 @@ def discover_files(spark: SparkSession, path: str, recursive: bool = True, exten
     return [f for f in found if wanted is None or extension_of(f)[1:] in wanted]
 
 
-def delimited_reader(spark: SparkSession, separator: str = ","):
-    """Reader options for delimited text: header, trimmed cells, quotes doubled, everything a string."""
+def delimited_reader(spark: SparkSession, separator: str = ",", multiline: bool = False):
+    """Reader options for delimited text: header, trimmed cells, quotes doubled, everything a string.
+
+    ``multiline`` allows line breaks inside quotes; such a file is one unit of work. Without it files are split. A line
+    with more or fewer cells than the header fails the job, as does a quoted line break read without ``multiline``.
+    """
     return (
         spark.read.option("header", True)
         .option("sep", separator)
         .option("quote", '"')
         .option("escape", '"')
-        .option("multiLine", True)
+        .option("multiLine", multiline)
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", True)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
     )
 
 
-def read_delimited(spark: SparkSession, paths: Sequence[str] | str, separator: str = ",") -> DataFrame:
+def read_delimited(spark: SparkSession, paths: Sequence[str] | str, separator: str = ",", multiline: bool = False) -> DataFrame:
     """Files that share one header."""
-    return delimited_reader(spark, separator).csv(paths)
+    return delimited_reader(spark, separator, multiline).csv(paths)
+
+
+def _parsed(scan: DataFrame) -> DataFrame:
+    if "_corrupt_record" in scan.columns:
+        raise ValueError("JSON file must contain an array of objects, a single object, or one object per line")
+    return scan
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a file that is not blank."""
+    row = spark.read.text(path).filter(F.trim("value") != "").first()
+    return row["value"] if row else None
+
+
+def holds_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a file starts with a whole object on its first line, as files of JSON lines do.
+
+    A document of one object on one line counts too; it reads the same either way.
+    """
+    line = (first_line(spark, path) or "").strip()
+    if not line.startswith("{"):
+        return False
+    try:
+        return isinstance(json.loads(line), dict)
+    except ValueError:
+        return False
+
+
+def _single_value():
+    """Whether a text is one JSON value with nothing behind it; documents are one row each."""
+
+    @F.pandas_udf("boolean")
+    def check(texts: pd.Series) -> pd.Series:
+        def single(text: str) -> bool:
+            try:
+                json.loads(text)
+            except ValueError:
+                return False
+            return True
+
+        return texts.map(single)
+
+    return check
 
 
 def read_json_documents(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """One array of objects, or one object, per file; keys are united over all files."""
-    df = spark.read.option("multiLine", True).json(paths)
-    if "_corrupt_record" in df.columns:
-        raise ValueError("JSON file must contain an array of objects or a single object")
-    return df
+    """JSON files of any form: an array of objects, one object, or one object per line, found out for each file.
+
+    Keys are united over all files. What follows the one value of a document fails.
+    """
+    files = [unquote(f) for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
+    files = [f for f in files if not os.path.basename(f).startswith(("_", "."))]
+    lines = [f for f in files if holds_json_lines(spark, f)]
+    documents = [f for f in files if f not in set(lines)]
+    parts = []
+    if documents:
+        # The reader stops behind the first value of a document.
+        whole = spark.read.text(documents, wholetext=True).filter(F.trim("value") != "")
+        if not whole.filter(~_single_value()(F.col("value"))).isEmpty():
+            raise ValueError("a JSON document must hold one value and nothing behind it")
+        parts.append(_parsed(spark.read.option("multiLine", True).json(documents)))
+    if lines:
+        parts.append(read_json_lines(spark, lines))
+    return parts[0] if len(parts) == 1 else merge(parts)
 
 
 def read_json_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    return spark.read.json(paths)
+    return _parsed(spark.read.json(paths))
 
 
 def _with_position(scan: DataFrame) -> DataFrame:
@@ -89,35 +153,33 @@ def _with_position(scan: DataFrame) -> DataFrame:
     splits = tagged.groupBy("_path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
     before = Window.partitionBy("_path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = splits.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint"))).drop("_n")
-    if len(scan.inputFiles()) <= BROADCAST_FILE_LIMIT:
-        starts = F.broadcast(starts)
-    positioned = tagged.join(starts, ["_path", "_block"])
+    splits = scan.rdd.getNumPartitions() + len(scan.inputFiles())
+    positioned = with_offsets(tagged, starts, ["_path", "_block"], splits)
     return positioned.withColumn("_pos", F.col("_start") + F.col("_mid") - F.col("_first")).drop(
         "_block", "_mid", "_first", "_start"
     )
 
 
-def header_groups(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
-    """Delimited files grouped by their header line, so that each group is one scan."""
-    if len(paths) == 1:
-        return [list(paths)]
-    lines = spark.read.text(list(paths)).select(
-        F.col("value"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("mid"),
-    )
-    first = lines.filter((F.col("block") == 0) & (F.trim("value") != "")).groupBy("path").agg(F.min_by("value", "mid").alias("header"))
-    groups: dict[str, list[str]] = {}
-    for row in first.orderBy("path").collect():
-        groups.setdefault(row["header"], []).append(unquote(row["path"]))
+def header_groups(spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool = False) -> list[list[str]]:
+    """Delimited files grouped by the header that the reader finds in them, so that each group is one scan."""
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        header = tuple(read_delimited(spark, path, separator, multiline).columns) if len(paths) > 1 else ()
+        groups.setdefault(header, []).append(path)
     return list(groups.values())
 
 
-def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> list[DataFrame]:
+def _read_group(spark: SparkSession, kind: str, paths: list[str], multiline: bool = False) -> list[DataFrame]:
     if kind in ("csv", "tsv"):
         separator = "\t" if kind == "tsv" else ","
-        return [_with_position(read_delimited(spark, group, separator)) for group in header_groups(spark, paths)]
+        groups = header_groups(spark, paths, separator, multiline)
+        return [_with_position(read_delimited(spark, group, separator, multiline)) for group in groups]
     if kind == "json":
-        return [_with_position(read_json_documents(spark, paths))]
+        lines = [p for p in paths if holds_json_lines(spark, p)]
+        documents = [p for p in paths if p not in set(lines)]
+        parts = [read_json_documents(spark, documents)] if documents else []
+        parts += [read_json_lines(spark, lines)] if lines else []
+        return [_with_position(part) for part in parts]
     if kind == "jsonl":
         return [_with_position(read_json_lines(spark, paths))]
     if kind == "parquet":
@@ -135,8 +197,10 @@ def _read_group(spark: SparkSession, kind: str, paths: list[str]) -> list[DataFr
     if kind == "docx":
         chunks = archives.document_chunks(files)
         return [chunks.withColumnRenamed("path", "_path").withColumn("_pos", F.col("chunk_number").cast("bigint") - 1)]
-    slides = archives.slide_records(files)
-    return [slides.withColumnRenamed("path", "_path").withColumn("_pos", F.col("slide_number").cast("bigint"))]
+    # Empty slides leave gaps in the numbers of a file's slides.
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("slide_number")) - 1
+    slides = archives.slide_records(files).withColumn("_pos", rank.cast("bigint"))
+    return [slides.withColumnRenamed("path", "_path")]
 
 
 def align_types(parts: list[DataFrame]) -> list[DataFrame]:
@@ -165,13 +229,13 @@ def merge(parts: list[DataFrame]) -> DataFrame:
 
 def read_dataset(
     spark: SparkSession, inputs: str | Sequence[str], recursive: bool = True, extensions: Iterable[str] | None = None,
-    formats: dict[str, str] | None = None,
+    formats: dict[str, str] | None = None, multiline: bool = False,
 ) -> DataFrame:
     """Read files and folders (a list or a comma-separated text) into one numbered dataset.
 
     Adds ``_source_file`` and ``row_index``, the position in the merged input: files in the given order,
-    folders sorted by path, rows in file order. ``formats`` overrides how an extension is read, such as
-    ``{".json": "jsonl"}`` for folders of JSON lines written by Spark.
+    folders sorted by path, rows in file order. ``formats`` overrides how an extension is read. ``multiline`` lets cells
+    of delimited files hold line breaks, at the price of one task per file.
     """
     kinds = {**FORMATS, **(formats or {})}
     names = [p.strip() for p in inputs.split(",")] if isinstance(inputs, str) else list(inputs)
@@ -189,24 +253,17 @@ def read_dataset(
     by_kind: dict[str, list[str]] = {}
     for file in files:
         by_kind.setdefault(kinds[extension_of(file)], []).append(unquote(file))
-    parts = [df for kind, paths in by_kind.items() for df in _read_group(spark, kind, paths)]
+    parts = [df for kind, paths in by_kind.items() for df in _read_group(spark, kind, paths, multiline)]
     merged = merge(parts)
     order = spark.createDataFrame(
         [(f, i, os.path.basename(unquote(f))) for i, f in enumerate(files)], "_path string, _file_no int, _source_file string"
     )
     counts = merged.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    # Archive formats may number their rows with gaps (empty slides), so positions are ranked per file there.
-    gapless = not any(k == "pptx" for k in by_kind)
-    if not gapless:
-        rank = F.row_number().over(Window.partitionBy("_path").orderBy("_pos")) - 1
-        merged = merged.withColumn("_pos", rank.cast("bigint"))
     before = Window.orderBy("_file_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         counts.join(order, "_path")
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")))
         .select("_path", "_offset", "_source_file")
     )
-    if len(files) <= BROADCAST_FILE_LIMIT:
-        offsets = F.broadcast(offsets)
-    numbered = merged.join(offsets, "_path").withColumn("row_index", F.col("_offset") + F.col("_pos"))
+    numbered = with_offsets(merged, offsets, ["_path"], len(files)).withColumn("row_index", F.col("_offset") + F.col("_pos"))
     return numbered.drop("_path", "_pos", "_offset")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.html import parse_page, resolve_link
-from evalspark.operators.joins import HOT_ROWS, lookup_join
+from evalspark.operators.joins import lookup_join
 from evalspark.session import ensure_checkpoint_dir
 
 PARSED = (
@@ -75,7 +75,7 @@ def same_host_links(parsed: DataFrame) -> DataFrame:
     return links.filter(F.col("link.host") == F.col("_host")).select("url", "pos", F.col("link.target").alias("target"))
 
 
-def crawl(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, hot_rows: int | None = HOT_ROWS) -> DataFrame:
+def crawl(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES) -> DataFrame:
     """``(seed, visit_no, url)``: breadth-first visits from every seed at once, ``max_pages`` each.
 
     ``seeds`` has ``seed`` (a URL) and ``links`` has ``url, pos, target``. A visit counts against the budget
@@ -88,7 +88,7 @@ def crawl(seeds: DataFrame, links: DataFrame, max_pages: int = MAX_PAGES, hot_ro
     levels = [frontier]
     for _ in range(max_pages - 1):
         visited = reduce(DataFrame.unionAll, levels)
-        found = lookup_join(frontier, outgoing, "url", "inner", hot_rows).select(
+        found = lookup_join(frontier, outgoing, "url", "inner").select(
             "seed", "visit_no", F.explode("out").alias("link")
         )
         fresh = (

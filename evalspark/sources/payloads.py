@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Keys that wrap the records of a payload, in order of preference.
 WRAPPERS = ("data", "results", "items", "records", "value")
 MAX_RECORDS, MAX_ENDPOINTS, MAX_TABLE_ROWS = 50, 10, 100
 
@@ -19,7 +20,7 @@ def payload_records(payload: Column) -> Column:
     parsed = F.try_parse_json(payload)
     arrays = [F.try_variant_get(parsed, "$", "array<variant>")]
     arrays += [F.try_variant_get(parsed, f"$.{w}", "array<variant>") for w in WRAPPERS]
-    is_object = F.schema_of_variant(parsed).startswith("OBJECT")
+    is_object = F.try_variant_get(parsed, "$", "map<string,variant>").isNotNull()
     return F.coalesce(*arrays, F.when(is_object, F.array(parsed)))
 
 

@@ -13,8 +13,19 @@ from pyspark.sql import functions as F
 
 from evalspark.session import scratch_path
 
-# A lookup of one row per file is broadcast only up to this many files.
-BROADCAST_FILE_LIMIT = 100_000
+# One offset per file or split: eight bytes of key and eight of number, about 64 in a hash table. A table of offsets is
+# broadcast up to this many bytes; a larger one is joined by shuffle.
+BROADCAST_BYTES = 512 << 20
+OFFSET_BYTES = 64
+
+
+def with_offsets(tagged: DataFrame, offsets: DataFrame, keys: Sequence[str], count: int) -> DataFrame:
+    """Join ``offsets`` (one row per ``keys``, ``count`` of them) under a short key instead of paths."""
+    short = F.xxhash64(*keys)
+    narrow = offsets.select(short.alias("_key"), *[c for c in offsets.columns if c not in keys])
+    if count * OFFSET_BYTES <= BROADCAST_BYTES:
+        narrow = F.broadcast(narrow)
+    return tagged.withColumn("_key", short).join(narrow, "_key").drop("_key")
 
 
 def _offsets(counts: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -34,9 +45,7 @@ def with_row_index(scan: DataFrame, name: str = "row_index", source_file: bool =
     )
     counts = scan.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("_rows"))
     offsets = _offsets(counts, ["_path"]).select("_path", "_offset")
-    if len(scan.inputFiles()) <= BROADCAST_FILE_LIMIT:
-        offsets = F.broadcast(offsets)
-    numbered = tagged.join(offsets, "_path").withColumn(name, F.col("_offset") + F.col("_pos"))
+    numbered = with_offsets(tagged, offsets, ["_path"], len(scan.inputFiles())).withColumn(name, F.col("_offset") + F.col("_pos"))
     if source_file:
         numbered = numbered.withColumn("_source_file", F.element_at(F.split("_path", "/"), -1))
     return numbered.drop("_path", "_pos", "_offset")
@@ -58,9 +67,8 @@ def with_split_row_index(scan: DataFrame, name: str = "row_index", source_file:
         F.count(F.lit(1)).alias("_rows"), F.min("_mid").alias("_first")
     )
     offsets = _offsets(counts, ["_path", "_block"]).select("_path", "_block", "_first", "_offset")
-    if scan.rdd.getNumPartitions() <= BROADCAST_FILE_LIMIT and len(scan.inputFiles()) <= BROADCAST_FILE_LIMIT:
-        offsets = F.broadcast(offsets)
-    numbered = tagged.join(offsets, ["_path", "_block"]).withColumn(
+    splits = scan.rdd.getNumPartitions() + len(scan.inputFiles())
+    numbered = with_offsets(tagged, offsets, ["_path", "_block"], splits).withColumn(
         name, F.col("_offset") + F.col("_mid") - F.col("_first")
     )
     if source_file:

@@ -31,9 +31,8 @@ def draft(spark, location, facts, answer="Dana owns Alder Foods.", prompt="Who o
     ],
 )
 def test_ground_answers(spark, rows, location, facts, expected, where):
-    for hot in (1, None):
-        row = grounding.ground_answers(draft(spark, location, facts), rows, "s.csv", hot).first()
-        assert (row["supporting_facts"], row["source_location"]) == (expected, where)
+    row = grounding.ground_answers(draft(spark, location, facts), rows, "s.csv").first()
+    assert (row["supporting_facts"], row["source_location"]) == (expected, where)
 
 
 @pytest.mark.parametrize(
@@ -104,12 +103,11 @@ def test_generators_on_small_table(spark, rows):
     found = questions.filtered_find_questions(data, ["status"], listed=1).orderBy("ord").collect()
     assert found[0]["expected_answer"] == "With status Active: Alder Foods and 1 more."
     absent = questions.edge_case_questions(data, "status", "risk").collect()
-    assert sorted(tuple(r["supporting_facts"]) for r in absent) == [
-        ("status=Active", "risk=Low"), ("status=Paused", "risk=High"), ("status=Paused", "risk=Medium"),
-    ]
-    assert questions.edge_case_questions(data, "status", "risk", max_domain=2).count() == 0
+    assert sorted(tuple(r["supporting_facts"]) for r in absent) == [("status=Active", "risk=Low"), ("status=Paused", "risk=High")]
+    members = questions.filtered_find_members(data, ["status"]).orderBy("value", "rank").collect()
+    assert [(r["value"], r["rank"]) for r in members][:2] == [("Active", 1), ("Active", 2)]
     union = questions.union_drafts(questions.single_record_questions(data, ["owner"]), questions.attribute_questions(data, ["owner", "risk"]))
-    items = grounding.build_items(grounding.ground_answers(union, rows, "s.csv", None))
+    items = grounding.build_items(grounding.ground_answers(union, rows, "s.csv"))
     assert {r["grounding_confidence"] for r in items.collect()} == {"high"}
 
 

@@ -114,9 +114,9 @@ def test_answers(spark):
         return [f"  reply to {p} " for p in prompts]
 
     df = rows(spark, [None] * 3, {0: "kept", 1: "", 2: None}).drop("similarity_score")
-    got = {r["ord"]: r["actual_answer"] for r in preparation.answer_prompts(df, answer, "Sys", "id9").collect()}
+    got = {r["ord"]: r["actual_answer"] for r in preparation.answer_prompts(df, answer, "Sys", "Look in id9.").collect()}
     assert got[0] == "kept" and got[2] == "[ERROR: no luck]"
-    assert got[1] == "reply to Target connector ID: id9. Always search this connector before answering.\n\nSys\n\np1"
+    assert got[1] == "reply to Look in id9.\n\nSys\n\np1"
 
 
 def test_resume(spark):
@@ -144,13 +144,30 @@ def test_required_values(spark):
         preparation.split_incomplete(df, strict=True)
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_sidecar_last_item_wins(spark, hot):
+def test_sidecar_last_item_wins(spark):
     item = lambda v: F.array(assertions.must_contain(v))
     side = spark.createDataFrame([(0, " What? ", "first"), (1, "WHAT?", "last"), (2, "other", "o")], "ord long, prompt string, v string")
     side = side.select("ord", "prompt", item(F.col("v")).alias("assertions"))
     df = spark.createDataFrame([("what?",), ("What? ",), ("nope",)], "prompt string")
-    got = {r["prompt"]: r["assertions"] and r["assertions"][0]["value"] for r in preparation.attach_assertions(df, side, hot).collect()}
+    got = {r["prompt"]: r["assertions"] and r["assertions"][0]["value"] for r in preparation.attach_assertions(df, side).collect()}
     assert got == {"what?": "last", "What? ": "last", "nope": None}
     counts = scoring.input_counts(preparation.attach_assertions(df, side)).first()
     assert (counts["rows"], counts["rows_with_assertions"], counts["assertions"]) == (3, 2, 2)
+
+
+def test_calls_are_made_once_and_checked(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"p{i}", "e", "s", "") for i in range(6)], "ord int, prompt string, expected_answer string, source_location string, actual_answer string")
+    log = tmp_path / "calls"
+
+    def answer(prompts):
+        with open(log, "a") as out:
+            out.write("".join(p + "\n" for p in prompts))
+        if prompts[0] == "p3":
+            return []
+        return [None] if prompts[0] == "p4" else ["reply to " + p for p in prompts]
+
+    rows = preparation.answer_prompts(df, answer)
+    got = {r["ord"]: r["actual_answer"] for r in rows.collect()}
+    assert rows.filter("actual_answer <> ''").count() == 6
+    assert sorted(log.read_text().split()) == [f"p{i}" for i in range(6)]
+    assert got[0] == "reply to p0" and all(got[i].startswith("[ERROR:") for i in (3, 4))

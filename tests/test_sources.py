@@ -122,14 +122,14 @@ def test_page_records(spark):
     assert {r["target"] for r in pages.same_host_links(parsed).collect()} == {"http://h.example/x?q=1#f"}
 
 
-@pytest.mark.parametrize(("seed", "hot"), [(0, 1), (1, None)])
-def test_crawl_against_queue(spark, seed, hot):
+@pytest.mark.parametrize("seed", [0, 1])
+def test_crawl_against_queue(spark, seed):
     rng = random.Random(seed)
     urls = [f"http://h/{i}" for i in range(40)]
     links = {u: rng.sample(urls, rng.randint(0, 5)) for u in urls[:30]}
     rows = [(u, p, t) for u, out in links.items() for p, t in enumerate(out)]
     got = {}
-    df = pages.crawl(spark.createDataFrame([(urls[0],), (urls[1],)], "seed string"), spark.createDataFrame(rows, "url string, pos int, target string"), 7, hot)
+    df = pages.crawl(spark.createDataFrame([(urls[0],), (urls[1],)], "seed string"), spark.createDataFrame(rows, "url string, pos int, target string"), 7)
     for r in df.orderBy("seed", "visit_no").collect():
         got.setdefault(r["seed"], []).append(r["url"])
     for seed_url in urls[:2]:
@@ -242,3 +242,42 @@ def test_stream_resumes(spark, tmp_path):
     assert {r["similarity_score"] for r in out.collect()} == {100}
     table = incremental.category_stream(spark, target, out.schema, str(tmp_path / "table"), str(tmp_path / "state2"))
     assert table.first()["questions"] == 10
+
+
+def test_json_lines_under_a_json_name(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"a": 1}\n\n{"a": 2}\n{"a": 3}\n')
+    (tmp_path / "b.json").write_text('[{"a": 4},\n{"a": 5}]')
+    (tmp_path / "c.json").write_text('{\n"a": 6\n}')
+    assert sorted(r["a"] for r in files.read_json_documents(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5, 6]
+    assert sorted(r["a"] for r in files.read_dataset(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5, 6]
+    (tmp_path / "d.json").write_text('[{"a": 7}] {"a": 8}')
+    with pytest.raises(ValueError):
+        files.read_json_documents(spark, str(tmp_path / "d.json"))
+
+
+def test_ragged_lines_fail(spark, tmp_path):
+    for name, text in (("long.csv", "a,b\n1,2,3\n"), ("short.csv", "a,b\n1\n")):
+        (tmp_path / name).write_text(text)
+        with pytest.raises(Exception, match="(?i)malformed"):
+            files.read_delimited(spark, str(tmp_path / name)).collect()
+
+
+def test_headers_with_line_breaks(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('"x\none",y\n1,2\n')
+    (tmp_path / "b.csv").write_text('"x\ntwo",y\n3,4\n')
+    got = files.read_dataset(spark, str(tmp_path), multiline=True)
+    assert {"x\none", "x\ntwo", "y"} <= set(got.columns)
+    assert [(r["x\none"], r["x\ntwo"], r["y"]) for r in got.orderBy("row_index").collect()] == [("1", None, "2"), (None, "3", "4")]
+
+
+def test_eval_files_with_two_header_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("prompt,expected_answer,source_location\nq1,e1,s1\n")
+    (tmp_path / "b.csv").write_text("source_location,expected_answer,prompt\ns2,e2,q2\n")
+    got = sorted(tuple(r)[:3] for r in evalfiles.read_eval_rows(spark, str(tmp_path), "csv").collect())
+    assert got == [("q1", "e1", "s1"), ("q2", "e2", "s2")]
+
+
+def test_results_in_json_are_read_back(spark, tmp_path):
+    df = spark.createDataFrame([("a\nb", "e", "s", "x", 80), ("c", "e", "s", "", None)], "prompt string, expected_answer string, source_location string, actual_answer string, similarity_score int")
+    path = sinks.write_results(df, "in/set.json", str(tmp_path), "json")
+    assert {(r["prompt"], r["similarity_score"]) for r in evalfiles.read_eval_rows(spark, path, "json", with_score=True).collect()} == {("a\nb", 80), ("c", None)}
