@@ -59,13 +59,13 @@ BASE_RULES = (
 )
 
 RULES = (
-    Rule("mean_word_length", "word_chars / n_words", lower=2, upper=16, from_words=1),
-    Rule("symbol_ratio", "n_symbols / n_words", upper=0.1, from_words=1),
-    Rule("letter_words", "n_letter_words / n_words", lower=0.5, from_words=1),
-    Rule("stop_words", "n_stop_words / n_words", lower=0.01, from_words=100),
-    Rule("duplicate_lines", "n_dup_lines / n_lines", upper=0.5, from_words=1),
-    Rule("bullet_lines", "n_bullet_lines / n_lines", upper=0.9, from_words=1),
-    Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", upper=0.5, from_words=1),
+    Rule("mean_word_length", "word_chars / nullif(n_words, 0)", lower=2, upper=16, from_words=1),
+    Rule("symbol_ratio", "n_symbols / nullif(n_words, 0)", upper=0.1, from_words=1),
+    Rule("letter_words", "n_letter_words / nullif(n_words, 0)", lower=0.5, from_words=1),
+    Rule("stop_words", "n_stop_words / nullif(n_words, 0)", lower=0.01, from_words=100),
+    Rule("duplicate_lines", "n_dup_lines / nullif(n_lines, 0)", upper=0.5, from_words=1),
+    Rule("bullet_lines", "n_bullet_lines / nullif(n_lines, 0)", upper=0.9, from_words=1),
+    Rule("ellipsis_lines", "n_ellipsis_lines / nullif(n_lines, 0)", upper=0.5, from_words=1),
 )
 
 METRICS = (
