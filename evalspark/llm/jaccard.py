@@ -13,7 +13,7 @@ allotted. A set that loses no more of them than its segments in reserve is certa
 subset and under every subset with one element less, which allows one difference per segment. Whoever still depends on
 long lists is compared along those lists, one list member after the other, until each list is one component or used up.
 
-*Exact verification.* Proposed pairs are compared by their whole sets. Lists are first compared with their smallest
+*Exact verification.* Sketches of parities leave out pairs that differ too much; what they leave is compared by whole sets. Lists are first compared with their smallest
 member only; members that fall into one component are not compared again, so a group of copies costs its size and not
 its square, and no link between different components is ever skipped.
 
@@ -43,6 +43,8 @@ from evalspark.session import ensure_checkpoint_dir, scratch_path
 LIST = 64
 _BAND_BITS = np.uint64(63)
 _BITMAP = 1 << 24
+_SKETCH_BITS = 1024
+_ROUNDS = 3
 _SETS_SCHEMA = "row_id long, text_key long, node long, n long, band int, empty long, empty_next long"
 
 
@@ -243,6 +245,16 @@ def _lists(signatures: DataFrame, label: str) -> DataFrame:
     return signatures.sparkSession.read.parquet(path)
 
 
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """For each of 1024 segments whether it has an odd number of elements, as 16 longs.
+
+    An element in one of two sets only turns one bit, so two sketches never differ in more bits than their sets differ
+    in elements.
+    """
+    odd = np.bincount((values & np.uint64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that holds every key; some others pass as well."""
     slot = F.pmod(F.col("text_key"), F.lit(_BITMAP))
@@ -256,7 +268,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
 
 
 def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, elements)`` for ``nodes``, written once. One text per set is read again.
+    """``(node, n, sketch, elements)`` for ``nodes``, written once. One text per set is read again.
 
     The bitmap of those texts keeps most others from being cut into shingles; the join leaves out the rest.
     """
@@ -269,24 +281,43 @@ def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -
         for batch in batches:
             slot = batch.column(0).to_numpy() % _BITMAP
             chosen = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
-            found = {}
+            found, sketches = {}, []
             for whole in batch.column(1).take(pa.array(chosen)).to_pylist():
                 values = shingle_set(whole)
-                if len(values):
-                    found[int(np.uint64(set_digest(values)).astype(np.int64))] = values.view(np.int64)
+                node = int(np.uint64(set_digest(values)).astype(np.int64))
+                if len(values) and node not in found:
+                    found[node] = values.view(np.int64)
+                    sketches.append(parity_sketch(values))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.list_(pa.int64()))], names=["node", "elements"]
+                    [
+                        pa.array(found.keys(), pa.int64()),
+                        pa.array([len(v) for v in found.values()], pa.int64()),
+                        pa.array(sketches, pa.list_(pa.int64())),
+                        pa.array(found.values(), pa.list_(pa.int64())),
+                    ],
+                    names=["node", "n", "sketch", "elements"],
                 )
 
     whole = F.col(f"`{text}`")
     texts = docs.select(F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t"))
-    sets = texts.mapInArrow(fetch, "node long, elements array<long>")
+    sets = texts.mapInArrow(fetch, "node long, n long, sketch array<long>, elements array<long>")
     path = scratch_path(spark, "sets")
     sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that sizes and sketches leave possible; they leave out only pairs that aren't linked."""
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
+    turned = F.aggregate(
+        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
+    )
+    near = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
+    return pairs.join(b, "b").join(a, "a").filter(near & (7 * turned <= F.col("na") + F.col("nb"))).select("a", "b")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs ``(a, b)`` whose whole sets have a similarity of 3/4 or more."""
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("eb"))
@@ -394,6 +425,18 @@ def _lost(long: DataFrame) -> DataFrame:
     return long.groupBy("node", _band().alias("band")).agg(F.count(F.lit(1)).alias("lost"))
 
 
+def _settle(pairs: DataFrame, state: _Links, sets: DataFrame) -> None:
+    """Add the links among ``pairs``. A few rounds compare each set with one other, so that groups of similar sets become
+    components early; then only the pairs between different components are left."""
+    apart = pairs.checkpoint()
+    for _ in range(_ROUNDS):
+        chosen = apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
+        if not state.add(_linked(chosen, sets)):
+            break
+        apart = _apart(apart.join(chosen, ["a", "b"], "left_anti"), state.labels).checkpoint()
+    state.add(_linked(apart, sets))
+
+
 def _neighbourhoods(sets: DataFrame) -> DataFrame:
     """``(sig, node, place)`` of the one-deletion index."""
 
@@ -433,7 +476,7 @@ def _along(rows: DataFrame, state: _Links, sets: DataFrame) -> None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = pairs.checkpoint()
         tested = pairs if tested is None else tested.union(pairs)
-        state.add(_linked(pairs, sets))
+        state.add(_linked(_possible(pairs, sets), sets))
         first, count = first + count, 2 * count
 
 
@@ -443,11 +486,11 @@ def _close_neighbours(heavy: DataFrame, sizes: DataFrame, sets: DataFrame, state
     close = _neighbourhoods(sets)
     lists = _lists(close.select("sig", "node"), "deletions")
     short, long = _short(lists), lists.filter(F.col("node").isNotNull()).select("sig", "node")
-    state.add(_linked(_within(_relabelled(short, state.labels, "list"), "list").distinct(), sets))
+    _settle(_possible(_within(_relabelled(short, state.labels, "list"), "list").distinct(), sets), state, sets)
     mixed = _relabelled(long, state.labels, "sig").select("sig", "node").checkpoint()
     if mixed.isEmpty():
         return
-    state.add(_linked(_apart(_stars(mixed, "sig").distinct(), state.labels), sets))
+    _settle(_possible(_apart(_stars(mixed, "sig").distinct(), state.labels), sets), state, sets)
     mixed = _relabelled(mixed, state.labels, "sig").select("sig", "node").checkpoint()
     held = close.join(mixed, ["sig", "node"], "left_semi").select("node", "place").distinct()
     lost = held.groupBy("node", F.pmod("place", F.lit(64)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("lost"))
@@ -475,8 +518,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sets = _fetch_sets(docs, text, rows, wanted)
 
     state = _Links(spark)
-    state.add(_linked(pairs.groupBy("b").agg(F.min("a").alias("a")), sets))
-    state.add(_linked(_apart(pairs, state.labels), sets))
+    _settle(_possible(pairs, sets), state, sets)
 
     # A list inside one component hides no link; what still depends on other long lists, or on empty segments.
     mixed = _relabelled(long, state.labels, "sig").select("sig", "node")
