@@ -88,9 +88,8 @@ def derive_assertions(facts: Column, answer: Column, limit: int = MAX_ASSERTIONS
     Short values made of letters only are matched as whole words. Equal values give equal assertions, so
     distinct structs are distinct (type, value) pairs.
     """
-    lowered = F.lower(F.coalesce(answer, F.lit("")))
 
-    def derive(fact):
+    def derive(fact, lowered):
         value = strip_quotes(fact_value(fact))
         usable = F.length(value).between(2, 80) & F.contains(lowered, F.lower(value))
         whole = (F.length(value) < 5) & value.rlike("^[a-zA-Z]+$")
@@ -104,7 +103,9 @@ def derive_assertions(facts: Column, answer: Column, limit: int = MAX_ASSERTIONS
             ).cast(ASSERTION),
         )
 
-    derived = F.array_compact(F.transform(facts, derive))
+    # The answer is bound by an outer array of one element, else it would be lowered again for every fact.
+    bound = F.array(F.lower(F.coalesce(answer, F.lit(""))))
+    derived = F.array_compact(F.get(F.transform(bound, lambda low: F.transform(facts, lambda f: derive(f, low))), F.lit(0)))
     return F.coalesce(F.slice(F.array_distinct(derived), 1, limit), F.array().cast(f"array<{ASSERTION.simpleString()}>"))
 
 
