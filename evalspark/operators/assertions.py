@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import contains_ci, whole_word_ci
 from evalspark.operators.preparation import ASSERTION, unusable_answer
 
+# Texts of assertion results.
+FOUND = "✅ Found "
+MISSING = "❌ Missing "
+NONE_FOUND = "❌ None found: "
+ABSENT = "✅ Correctly absent: "
+UNEXPECTED = "❌ Unexpectedly found "
+UNKNOWN = "⚠️ Unknown assertion type"
+
 
 def must_contain(value: Column, whole_word: Column | bool | None = None) -> Column:
     """An assertion struct; used to build assertion arrays in queries and tests."""
@@ -52,21 +60,21 @@ def evaluate_assertion(assertion: Column, answer: Column) -> Column:
     detail = (
         F.when(
             kind == "must_contain",
-            F.concat(F.when(present, F.lit("✅ Found ")).otherwise(F.lit("❌ Missing ")), quoted),
+            F.concat(F.when(present, F.lit(FOUND)).otherwise(F.lit(MISSING)), quoted),
         )
         .when(
             kind == "must_contain_any",
-            F.when(any_hit, F.concat(F.lit('✅ Found "'), hit, F.lit('"'))).otherwise(
-                F.concat(F.lit("❌ None found: "), listed)
+            F.when(any_hit, F.concat(F.lit(FOUND + '"'), hit, F.lit('"'))).otherwise(
+                F.concat(F.lit(NONE_FOUND), listed)
             ),
         )
         .when(
             kind == "must_not_contain",
             F.concat(
-                F.when(absent, F.lit("✅ Correctly absent: ")).otherwise(F.lit("❌ Unexpectedly found ")), quoted
+                F.when(absent, F.lit(ABSENT)).otherwise(F.lit(UNEXPECTED)), quoted
             ),
         )
-        .otherwise(F.lit("⚠️ Unknown assertion type"))
+        .otherwise(F.lit(UNKNOWN))
     )
     return F.struct(kind.alias("type"), passed.alias("passed"), detail.alias("detail"))
 

@@ -14,6 +14,12 @@ AGGREGATION_PHRASES = ["how many", "count", "total", "average", "sum", "all"]
 BROAD_PHRASES = ["list all", "show all", "every", "summarize all", "everything"]
 SHOWN_WARNINGS = 5
 
+# Texts of item issues; the name of the assistant goes into the braces.
+UNINDEXED = 'References unindexed field "'
+NOT_FOUND = '" — {} may not find this data'
+UNRELIABLE = "Aggregation question without summary items — {} may give unreliable results"
+BROAD = "Broad/exhaustive question — connector retrieval returns limited results"
+
 
 def aggregation_wording(prompt: Column) -> Column:
     return matches_any_phrase(prompt, AGGREGATION_PHRASES)
@@ -63,7 +69,7 @@ def diagnose_items(items: DataFrame, coverage: DataFrame, has_summary_items: boo
     fields = F.transform("supporting_facts", lambda f: F.lower(fact_field(f)))
     texts = F.transform(
         F.filter(fields, lambda f: F.array_contains(F.col("_unindexed"), f)),
-        lambda f: F.concat(F.lit('References unindexed field "'), f, F.lit(f'" — {assistant} may not find this data')),
+        lambda f: F.concat(F.lit(UNINDEXED), f, F.lit(NOT_FOUND.format(assistant))),
     )
     none = F.array().cast("array<string>")
     aggregation = (
@@ -71,12 +77,12 @@ def diagnose_items(items: DataFrame, coverage: DataFrame, has_summary_items: boo
         if has_summary_items
         else F.when(
             aggregation_wording(F.col("prompt")),
-            F.array(F.lit(f"Aggregation question without summary items — {assistant} may give unreliable results")),
+            F.array(F.lit(UNRELIABLE.format(assistant))),
         ).otherwise(none)
     )
     broad = F.when(
         broad_wording(F.col("prompt")),
-        F.array(F.lit("Broad/exhaustive question — connector retrieval returns limited results")),
+        F.array(F.lit(BROAD)),
     ).otherwise(none)
     with_issues = items.withColumn("_unindexed", missing).withColumn(
         "issues", F.concat(F.coalesce(texts, none), aggregation, broad)

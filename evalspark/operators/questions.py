@@ -58,15 +58,18 @@ def category_quotas(spark: SparkSession, count: int = DEFAULT_COUNT) -> DataFram
     return category_dimension(spark).select("category_pos", "category", quota.alias("quota"))
 
 
-def apply_quotas(drafts: DataFrame, count: int = DEFAULT_COUNT) -> DataFrame:
+def apply_quotas(drafts: DataFrame, count: int = DEFAULT_COUNT, block_rows: int = 1_000_000) -> DataFrame:
     """The first ``quota`` drafts of each category by ``ord``.
 
-    The constant bound lets Spark cut every map task down before the shuffle, so a category with most
-    of the drafts never reaches one task as a whole.
+    Drafts are ranked inside (category, block of ``ord``) first, and only the first ones of each block are ranked again,
+    so a category with most of the drafts never reaches one task as a whole, whatever the count is.
     """
     highest = max(max(1, int(count * w + 0.5)) for w in CATEGORY_WEIGHTS.values())
     rank = F.row_number().over(Window.partitionBy("category").orderBy("ord"))
-    top = drafts.withColumn("_rank", rank).filter(F.col("_rank") <= highest)
+    block = F.floor(F.col("ord") / block_rows)
+    in_block = F.row_number().over(Window.partitionBy("category", "_block").orderBy("ord"))
+    firsts = drafts.withColumn("_block", block).withColumn("_rank", in_block).filter(F.col("_rank") <= highest)
+    top = firsts.withColumn("_rank", rank).filter(F.col("_rank") <= highest)
     quotas = F.broadcast(category_quotas(drafts.sparkSession, count).select("category", "quota"))
     return top.join(quotas, "category").filter(F.col("_rank") <= F.col("quota")).select(*drafts.columns)
 
