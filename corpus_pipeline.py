@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evalspark.llm import decontamination, jaccard, packing, quality, templates
+from evalspark.llm import decontamination, families, jaccard, packing, quality, templates
 from evalspark.session import scratch_path
 
 
@@ -17,8 +17,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines of recurring templates; what has nothing else goes."""
-    return templates.clean(docs)
+    """Documents without lines of recurring families; what has nothing else goes."""
+    return templates.clean(docs, find=families.recurring_families)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

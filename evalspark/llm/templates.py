@@ -148,14 +148,14 @@ def recurring_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     )
 
 
-def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(row, n_lines, n_dropped, text)``: the row as it was in a struct, and its text without recurring lines."""
+def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", find=recurring_lines) -> DataFrame:
+    """``(row, n_lines, n_dropped, text)``: the row as it was in a struct, and its text without the lines of ``find``."""
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.col(f"`{key}`").cast("long").alias("_doc"),
         F.xxhash64(F.col(f"`{text}`")).alias("_key"),
     )
-    found = recurring_lines(docs, key, text)
+    found = find(docs, key, text)
     joined = rows.join(found, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_key") == F.col("text_key")), "left")
     whole = F.col(f"row.`{text}`")
     lines = F.split(whole, "\n")
@@ -169,9 +169,9 @@ def drop_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str = "n_chars", find=recurring_lines) -> DataFrame:
     """``docs`` with the remaining text, and its ``length`` where there is such a column; emptied rows go."""
-    found = drop_lines(docs, key, text)
+    found = drop_lines(docs, key, text, find)
     rest = F.col("text")
     columns = []
     for c in docs.columns:
