@@ -1,6 +1,7 @@
 """Families of recurring lines, counted by documents and not by neighbours: the line dedup of the pipeline.
 
-Lines are masked and hashed as in ``templates``. A family is one masked line.
+Lines are masked and hashed as in ``templates``. A line of eight or more tokens carries, besides itself, one signature
+for every three of its four blocks; two lines of a leaf are of one family where they share a signature.
 
 A family recurs where enough different texts hold it, whatever stands around the line, so blocks of several lines recur
 like single ones. Copies count once: a text of which less than a quarter (in tokens) is its own, as the rest stands on
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.llm.templates import BLOCKS, LONG_LINE, LONG_RECURS_IN, RECURS_IN, line_keys
+from evalspark.llm.templates import BLOCKS, GENERAL_FROM, LONG_LINE, LONG_RECURS_IN, RECURS_IN, line_keys
 from evalspark.session import scratch_path
 
 # A text of which less than one part in so many is its own counts as a copy.
@@ -74,7 +75,9 @@ def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _signatures():
-    return F.array("line")
+    """The line itself and, where it is long enough, its sets of three blocks."""
+    some = [F.xxhash64("leaf", F.lit(k), *[b for b in _BLOCK_NAMES if b != f"b{k}"]) for k in range(BLOCKS)]
+    return F.when(F.col("tokens") >= GENERAL_FROM, F.array("line", *some)).otherwise(F.array("line"))
 
 
 def _counted_as(by_text: DataFrame) -> DataFrame:

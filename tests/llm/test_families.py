@@ -49,3 +49,17 @@ def test_nulls_and_empty_tables(spark):
     assert kept(spark, rows) == {None: "a one x y\n\nb", 2: rows[1][1], 3: "e three x y\nf", 4: None, 5: "", 6: "\n"}
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert templates.drop_lines(docs, find=families.recurring_families).count() == 0
+
+
+def test_several_families_of_one_leaf(spark):
+    exact = "this notice was repeated word for word in a few texts"
+    sent = "this notice was sent to all readers whose name is {}"
+    kept_by = "this notice was kept by every office in town near {}"
+    assert {len(x.split()) for x in (exact, sent, kept_by)} == {11}
+    names = "Ann Bob Cy Dee Eve".split()
+    lines = [exact] * 3 + [sent.format(n) for n in names] + [kept_by.format(n) for n in names]
+    own = "abcdefghijklm"
+    rows = [(i, f"opening of text {own[i]} here\n{line}\nclosing of text {own[i]} there") for i, line in enumerate(lines)]
+    got = kept(spark, rows)
+    for i, text in rows:
+        assert got[i] == (text if i in (0, 3, 8) else text.replace(lines[i] + "\n", ""))
