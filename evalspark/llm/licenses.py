@@ -2,8 +2,10 @@
 
 A text is put into canonical form (lower case, no copyright lines, one space for every run of punctuation or white
 space, one spelling for words that have several) and the digest of the entire form is looked up among those of known
-license texts. The same holds for every line of a text, as an entire text of its own. The known texts are a fixed table
-of a few rows, so the lookup is a broadcast hash join and the documents are never moved.
+license texts. The same holds for every line of a text, as an entire text of its own, and for every run of consecutive
+lines. The known texts are a fixed table (``KNOWN`` and the files of ``license_texts``: license id, then ``~`` and a variant),
+so the lookup is a broadcast hash join and the documents are never moved. Runs are only sought in texts that contain the
+first words of a known one.
 
 Defined results: a null or blank text or line matches nothing. Repeated rows each report their matches. Texts that have
 equal canonical forms carry the same digest; known texts must differ. Other columns than the id are not carried. An
@@ -12,8 +14,12 @@ empty table gives no matches.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,6 +87,9 @@ KNOWN = (
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
 )
 
+_TERMS_END = "END OF TERMS AND CONDITIONS"
+LEADING_WORDS = 4
+
 MATCH_COLUMNS = ("unit", "line", "license_id", "digest")
 
 
@@ -97,19 +106,98 @@ def _entire(lines: Column) -> Column:
     return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
 
 
-def known_digests(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def all_known() -> list[tuple[str, str]]:
+    """``KNOWN`` and the texts of the folder; those with an appendix also without it, and without the line before it."""
+    out = list(KNOWN)
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        name, text = path.stem.split("~")[0], path.read_text(encoding="utf-8")
+        out.append((name, text))
+        if _TERMS_END in text:
+            terms = text[: text.index(_TERMS_END)]
+            out += [(name, terms + _TERMS_END), (name, terms)]
+    return out
+
+
+def known_forms(spark, known: Sequence[tuple[str, str]] | None = None) -> list[tuple[str, str]]:
+    """Distinct ``(license_id, canonical form)`` of the known texts, all unless given."""
+    rows = spark.createDataFrame(list(known or all_known()), "license_id string, text string")
+    return sorted(tuple(r) for r in rows.select("license_id", _entire(canonical_lines(F.col("text")))).distinct().collect())
+
+
+def _digest(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
+
+
+def known_digests(spark, known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``(license_id, digest)`` of the known texts."""
-    rows = spark.createDataFrame(list(known), "license_id string, text string")
-    return rows.select("license_id", F.sha2(_entire(canonical_lines(F.col("text"))), 256).alias("digest")).distinct()
+    return spark.createDataFrame([(name, _digest(form)) for name, form in known_forms(spark, known)], "license_id string, digest string")
+
+
+def _spelled(lines: str) -> str:
+    """One spelling, also across line breaks; the break then stands behind the word."""
+    for before, after in EQUIVALENT:
+        if " " in before:
+            pattern = re.escape(before).replace("\\ ", "[ \n]+")
+            lines = re.sub(pattern, lambda m, x=after: x.rstrip() + "\n" * m[0].count("\n") + (" " if x[-1] == " " else ""), lines)
+        else:
+            lines = lines.replace(before, after)
+    return lines
+
+
+def runs(lines: str, known: Sequence[tuple[str, str]]) -> list[tuple[int, str, str]]:
+    """``(first line, license_id, form)`` of runs of two or more lines, but not all, whose form is known.
+
+    A run inside a longer match of the same license is part of that.
+    """
+    first, last, at, parts = {}, {}, 0, []
+    for i, line in enumerate(_spelled(lines + " ").split("\n")):
+        form = " ".join(w for w in line.split(" ") if w)
+        if form:
+            first[at], last[at + len(form)] = i, i
+            at += len(form) + 1
+            parts.append(form)
+    whole = " ".join(parts)
+    found = []
+    for name, form in known:
+        start = whole.find(form)
+        while start >= 0:
+            end = start + len(form)
+            if start in first and end in last and first[start] < last[end]:
+                found.append((start, end, name, form))
+            start = whole.find(form, start + 1)
+    longest = [
+        x for x in found if not any(y[2] == x[2] and y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in found)
+    ]
+    return [(first[s], name, form) for s, e, name, form in longest if e - s < len(whole)]
+
+
+def _run_matches(forms: DataFrame, key: str, known: list[tuple[str, str]]) -> DataFrame:
+    @F.pandas_udf("array<struct<line: int, license_id: string, digest: string>>")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([[{"line": i, "license_id": n, "digest": _digest(f)} for i, n, f in runs(t, known)] for t in texts])
+
+    leading = sorted({" ".join(form.split(" ")[:LEADING_WORDS]) for _, form in known})
+    entire = F.col("_whole")
+    hit = F.lit(False)
+    for words in leading:
+        hit = hit | entire.contains(words)
+    return (
+        forms.filter(hit)
+        .select(F.col(f"`{key}`"), F.explode(found(F.col("_form"))).alias("m"))
+        .select(F.col(f"`{key}`"), F.lit("run").alias("unit"), "m.line", "m.license_id", "m.digest")
+    )
 
 
-def find(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def find(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequence[tuple[str, str]] | None = None) -> DataFrame:
     """``(key, unit, line, license_id, digest)`` per match; ``line`` counts from 0 and is null for a whole text.
 
-    Lines are those of the canonical form, in which copyright lines are blank, so places are those of the text.
+    Units are the whole text, a line, and a run of lines, which has the place of its first line. Lines are those of the
+    canonical form, in which copyright lines are blank, so places are those of the text.
     """
     forms = docs.select(F.col(f"`{key}`"), canonical_lines(F.col(f"`{text}`")).alias("_form"))
-    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line"), _entire(F.col("_form")).alias("form")))
+    forms = forms.withColumn("_whole", _entire(F.col("_form")))
+    whole = F.array(F.struct(F.lit("text").alias("unit"), F.lit(None).cast("int").alias("line"), F.col("_whole").alias("form")))
     lines = F.transform(
         F.split("_form", "\n"),
         lambda x, i: F.struct(F.lit("line").alias("unit"), i.alias("line"), _entire(x).alias("form")),
@@ -119,4 +207,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", known: Sequen
     exploded = forms.select(F.col(f"`{key}`"), F.explode(units).alias("u")).select(
         F.col(f"`{key}`"), "u.unit", "u.line", F.sha2("u.form", 256).alias("digest")
     )
-    return exploded.join(F.broadcast(known_digests(docs.sparkSession, known)), "digest").select(F.col(f"`{key}`"), *MATCH_COLUMNS)
+    table = known_forms(docs.sparkSession, known)
+    digests = docs.sparkSession.createDataFrame([(n, _digest(f)) for n, f in table], "license_id string, digest string")
+    matches = exploded.join(F.broadcast(digests), "digest").select(F.col(f"`{key}`"), *MATCH_COLUMNS)
+    return matches.unionByName(_run_matches(forms, key, table))

@@ -1,5 +1,8 @@
 """Canonical forms of license texts."""
 
+import textwrap
+from pathlib import Path
+
 import pytest
 
 from evalspark.llm import licenses
@@ -36,3 +39,24 @@ def test_known_texts_differ(spark):
     digests = licenses.known_digests(spark).collect()
     assert len({r.digest for r in digests}) == len(digests)
     assert licenses.find(spark.createDataFrame([], "doc_id long, text string, digest int")).count() == 0
+
+
+def stem(name):
+    return (Path(licenses.__file__).parent / "license_texts" / f"{name}.txt").read_text()
+
+
+@pytest.mark.parametrize("name", ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC-BY-SA-4.0", "Unlicense"])
+def test_complete_texts(spark, name):
+    assert (1, "text", None, name) in found(spark, [(1, stem(name))])
+
+
+def test_texts_inside_longer_documents(spark):
+    notice = stem("GPL-3.0~notice").strip().split("\n")
+    body = "\n".join(textwrap.wrap(licenses.KNOWN[1][1], 70))
+    rows = [
+        (1, "int a;\n/*\n" + "\n".join(" * " + line for line in notice) + "\n */\nint b;"),
+        (2, "about this\n\n" + body + "\nmore of it"),
+        (3, "about this\n\nword " + body + "\nmore of it"),
+        (4, "about this\n" + body.replace("sublicense", "sub-\nlicense") + "\nmore of it"),
+    ]
+    assert found(spark, rows) == [(1, "run", 2, "GPL-3.0"), (2, "run", 2, "MIT"), (4, "run", 1, "MIT")]
