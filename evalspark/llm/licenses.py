@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator, Sequence
+from functools import cache
 from pathlib import Path
 
 import pandas as pd
@@ -93,17 +94,33 @@ LEADING_WORDS = 4
 MATCH_COLUMNS = ("unit", "line", "license_id", "digest")
 
 
+def _name(before: str) -> str:
+    """Pattern of a letter with which a name may begin; the two words behind ``before`` in a known text don't make one."""
+    found = {m for _, text in all_known() for m in re.findall(before + r"\s+([a-z]+)\b[^a-z]*\b([a-z]+)", text.lower())}
+    pairs = "|".join(f"{x}[^a-z\\n]+{y}" for x, y in sorted(found))
+    ends = "|".join(sorted({x for x, _ in found} | {"and", "or", "is", "are", "of", "to", "in", "for", "as", "law", "laws"}))
+    return rf"(?!(?:{pairs})\b|(?:{ends})[^a-z\n]*(?:\n|$))[a-z\x{{80}}-\x{{10FFFF}}]"
+
+
+@cache
+def copyright_line() -> str:
+    """``COPYRIGHT_LINE`` behind comment marks too, and with names without a year; wrapped text isn't taken for a name."""
+    holder, listed = _name("copyright"), _name(r"(?<!copyright )\(c\)")
+    kinds = rf"copyright[ \t]+(\(c\)|©|by[ \t]|[0-9<\[{{]|{holder})|\(c\)[ \t]+([0-9<\[{{]|{listed})|©|all rights reserved"
+    return rf"(^|\n)[ \t#*/;%!<>'\"-]*({kinds})[^\n]*"
+
+
 def canonical_lines(text: Column) -> Column:
-    """Canonical form with its line breaks kept."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "\n")
-    out = F.regexp_replace(out, PUNCTUATION, " ")
-    for before, after in EQUIVALENT:
-        out = F.replace(out, F.lit(before), F.lit(after))
-    return out
+    """Canonical form but for spelling, with its line breaks kept."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), copyright_line(), "\n"), PUNCTUATION, " ")
 
 
 def _entire(lines: Column) -> Column:
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    """Words may be broken by lines, so those are joined first."""
+    out = F.concat(F.regexp_replace(lines, "[ \n]+", " "), F.lit(" "))
+    for before, after in EQUIVALENT:
+        out = F.replace(out, F.lit(before), F.lit(after))
+    return F.trim(out)
 
 
 def all_known() -> list[tuple[str, str]]:
@@ -178,10 +195,8 @@ def _run_matches(forms: DataFrame, key: str, known: list[tuple[str, str]]) -> Da
             yield pd.Series([[{"line": i, "license_id": n, "digest": _digest(f)} for i, n, f in runs(t, known)] for t in texts])
 
     leading = sorted({" ".join(form.split(" ")[:LEADING_WORDS]) for _, form in known})
-    entire = F.col("_whole")
-    hit = F.lit(False)
-    for words in leading:
-        hit = hit | entire.contains(words)
+    # One pattern, as a condition is pushed below the canonical form and would compute it once per term.
+    hit = F.col("_whole").rlike("(?:^| )(?:" + "|".join(re.escape(words) for words in leading) + ")")
     return (
         forms.filter(hit)
         .select(F.col(f"`{key}`"), F.explode(found(F.col("_form"))).alias("m"))

@@ -1,5 +1,6 @@
 """Canonical forms of license texts."""
 
+import re
 import textwrap
 from pathlib import Path
 
@@ -60,3 +61,23 @@ def test_texts_inside_longer_documents(spark):
         (4, "about this\n" + body.replace("sublicense", "sub-\nlicense") + "\nmore of it"),
     ]
     assert found(spark, rows) == [(1, "run", 2, "GPL-3.0"), (2, "run", 2, "MIT"), (4, "run", 1, "MIT")]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        MIT.replace("sublicense", "sub-\nlicense").replace("NONINFRINGEMENT", "NON-\nINFRINGEMENT"),
+        "Copyright The Foo Authors\n" + MIT,
+        "# Copyright (c) 2020 Someone\n# (c) The Foo Authors\n#\n" + "\n".join("# " + x for x in textwrap.wrap(MIT, 50)),
+        "\n".join(textwrap.wrap(MIT, 44)),
+        *["\n".join(textwrap.wrap(MIT[: MIT.index(x)], 60)) + "\n" + MIT[MIT.index(x) :] for x in ("copyright notice", "COPYRIGHT HOLDERS")],
+    ],
+)
+def test_broken_words_and_copyright_lines(spark, text):
+    assert (1, "text", None, "MIT") in [r for r in found(spark, [(1, text)]) if r[1] == "text"]
+
+
+def test_rewrapped_complete_texts(spark):
+    texts = {n: stem(n) for n in ("Unlicense", "GPL-3.0", "MPL-2.0", "BSD-3-Clause")}
+    got = found(spark, [(i, re.sub(r"(?<=[a-z,]) (?=to |in )", "\n", t)) for i, t in enumerate(texts.values())])
+    assert [r[3] for r in got if r[1] == "text"] == list(texts)
