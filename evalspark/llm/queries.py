@@ -15,6 +15,9 @@ MODULES = (
     "warc_query",
     "language_query",
     "packing_query",
+    "whitening_query",
+    "digest_merge_query",
+    "alignment_query",
     "pipeline_query",
 )
 
