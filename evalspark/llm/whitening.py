@@ -1,8 +1,8 @@
 """Whitening of embeddings on their leading principal components, found by a block Jacobi-Davidson method.
 
 The covariance is never formed. All the solver asks for is its product with a few vectors, one pass over the distinct
-vectors: each task centres its rows before it multiplies, and partial products are added up in a bounded number of
-groups before they reach the driver. The driver holds matrices of (dimensions x search vectors) only; nothing there grows with the rows.
+vectors: each task centres its rows before it multiplies, and partial products beyond ``DIRECT_BYTES`` are added up in
+groups before they reach the driver. It holds matrices of (dimensions x search vectors) only; nothing there grows with the rows.
 
 A step takes the Ritz pairs of the search space, locks the leading ones whose residual has reached ``TOLERANCE``, and expands the space by
 corrections ``t`` of the others: (I - WW')(V - theta I)(I - WW') t = -r, W being the locked and the current vectors. All
@@ -37,9 +37,9 @@ COMPONENTS = 16
 GUARD = 4
 SCALE, SHIFT = 64, 1_000_000
 BLOCK_ROWS = 4096
-# Partial products are added up in so many groups before they reach the driver.
-GROUPS = 32
-INNER_STEPS = 8
+# Partial products reach the driver at once where all tasks together give no more; else they are added up in as many groups as fit.
+DIRECT_BYTES = 16 << 20
+INNER_STEPS = 4
 INNER_GAIN = 0.05
 # Residual of a locked pair, as a share of the largest eigenvalue.
 TOLERANCE = 1e-13
@@ -220,12 +220,14 @@ class Fit:
 
         rows.select("x").distinct().mapInArrow(packed, "rows long, x binary").write.parquet(path)
         self.blocks = self.spark.read.parquet(path)
+        self.tasks = self.blocks.rdd.getNumPartitions()
         self.n = self.blocks.agg(F.sum("rows")).first()[0] or 0
-        self.sums = self._added(lambda x: x.sum(axis=0), np.int64) if self.n else np.zeros(0, dtype=np.int64)
+        self.sums = self._added(lambda x: x.sum(axis=0), np.int64, 1 << 13) if self.n else np.zeros(0, dtype=np.int64)
         self.d = len(self.sums)
 
-    def _added(self, fn: Callable[[np.ndarray], np.ndarray], dtype) -> np.ndarray:
-        """The sum over all blocks of ``fn`` of a block, flat."""
+    def _added(self, fn: Callable[[np.ndarray], np.ndarray], dtype, size: int) -> np.ndarray:
+        """The sum over all blocks of ``fn`` of a block, which is flat and has about ``size`` entries."""
+        groups = max(DIRECT_BYTES // (8 * max(size, 1)), 1)
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = None
@@ -241,8 +243,9 @@ class Fit:
             return pd.DataFrame({"part": [sum(np.frombuffer(p, dtype=dtype) for p in parts).tobytes()]})
 
         parts = self.blocks.mapInPandas(partial, "part binary")
-        groups = parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(GROUPS))).applyInPandas(merged, "part binary")
-        return sum(np.frombuffer(r.part, dtype=dtype) for r in groups.orderBy("part").collect())
+        if self.tasks > groups:
+            parts = parts.groupBy(F.pmod(F.xxhash64("part"), F.lit(groups))).applyInPandas(merged, "part binary")
+        return sum(np.frombuffer(p, dtype=dtype) for p in sorted(r.part for r in parts.collect()))
 
     def centre(self) -> Callable[[np.ndarray], np.ndarray]:
         """Whole vectors minus the mean: the whole part of the mean goes first, so no digit is lost."""
@@ -257,11 +260,11 @@ class Fit:
             c = centred(x)
             return (c.T @ (c @ vectors)).ravel()
 
-        return self._added(partial, np.float64).reshape(vectors.shape) / self.n
+        return self._added(partial, np.float64, vectors.size).reshape(vectors.shape) / self.n
 
     def trace(self) -> float:
         centred = self.centre()
-        return float(self._added(lambda x: np.array([np.square(centred(x)).sum()]), np.float64)[0] / self.n)
+        return float(self._added(lambda x: np.array([np.square(centred(x)).sum()]), np.float64, 1)[0] / self.n)
 
     def identity_error(self, turn: np.ndarray) -> float:
         """How far the covariance of the whitened fit list is from the identity."""
@@ -271,7 +274,7 @@ class Fit:
             w = centred(x) @ turn
             return np.concatenate([(w.T @ w).ravel(), w.sum(axis=0)])
 
-        total = self._added(partial, np.float64) / self.n
+        total = self._added(partial, np.float64, k * (k + 1)) / self.n
         mean = total[k * k :]
         return float(np.abs(total[: k * k].reshape(k, k) - np.outer(mean, mean) - np.eye(k)).max())
 

@@ -76,6 +76,16 @@ def test_whitened_rows(spark, d, rows):
         assert (r.n, r.deviation) == (n, deviation[i]) and abs(r.explained - values[0] / trace) < 1e-12 and r.identity_error < 1e-9
 
 
+def test_partial_products_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(whitening, "DIRECT_BYTES", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(3).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = whitening.whiten(table).collect()
+    _, _, values, _, _, trace = brute([v for _, v in rows], 3)
+    assert {r.component: r.explained for r in got} == pytest.approx({i + 1: v / trace for i, v in enumerate(values)})
+
+
 def test_no_variance_ties_nulls_and_empty(spark):
     schema = "vec_id long, embedding array<double>"
     one = whitening.whiten(spark.createDataFrame([(1, [0.5, 1.0]), (1, [0.5, 1.0]), (None, [0.5, 1.0])], schema)).collect()
