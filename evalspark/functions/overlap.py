@@ -1,4 +1,4 @@
-"""Blocking keys that bring a text and any slightly longer text containing it together.
+"""Blocking keys that bring a text and any slightly longer text containing it together, and what stands beside a block.
 
 Take a text ``s`` and a longer text ``t`` that contains it at offset ``o``, with ``len(s) > 0.8 * len(t)``.
 Lengths fall into classes ``g`` growing by a quarter. Within the first ``w = g/8`` positions of ``s`` the
@@ -7,16 +7,28 @@ that starts there (seven eighths of ``g`` long). Seen from ``t`` the same positi
 ``[o, o + w)``, with the same smallest hash. So ``t`` lists the anchors of the windows at every offset that
 a contained text could have; consecutive windows mostly share their anchor, hence about ten keys per text
 whatever its length, and no contained pair is ever missed. Equal keys only propose; callers verify.
+
+Many texts may share a block (one body with different heads and tails). So a contained text also names hashes of what it has on
+either side of the block, over lengths rounded down to a multiple of a *grain* that is the root of the longest side. A
+container gives the hashes of its own sides at all those multiples, a root's worth each, and matches a contained text
+only where both sides agree. What is left are the lengths within one grain, however many texts share the block; each is
+tried against the hash of the whole contained text, at the cost of one subtraction (``span_digests``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 
-KEY_SCHEMA = "ord long, contained boolean, size_class int, block_key long, pos int, len int"
+KEY_SCHEMA = (
+    "ord long, contained boolean, size_class int, block_key long, pos int, len int, whole long, "
+    "left_first int, lefts array<long>, right_first int, rights array<long>"
+)
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -74,6 +86,10 @@ class RollingHash:
     def of(self, starts: np.ndarray, size: int) -> np.ndarray:
         return _mix((self.sums[starts + size] - self.sums[starts]) * self.inverse[starts])
 
+    def spans(self, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of substrings of different sizes."""
+        return _mix((self.sums[starts + sizes] - self.sums[starts]) * self.inverse[np.minimum(starts, self.length - 1)])
+
     def all_of(self, size: int, count: int) -> np.ndarray:
         """Hashes of the substrings of ``size`` starting at 0 .. count-1."""
         return _mix((self.sums[size : size + count] - self.sums[:count]) * self.inverse[:count])
@@ -92,10 +108,20 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:count], ahead[width - 1 : width - 1 + count])
 
 
+def _widths(size_class: int) -> tuple[int, int]:
+    """The anchor window of a class, and the length of its blocks."""
+    width = max(1, size_class // 8)
+    return width, size_class - width + 1
+
+
+def grains(size_class: int) -> tuple[int, int]:
+    """The grain of the left and of the right side of a block: roots of the longest that can be."""
+    return max(1, math.isqrt(size_class // 8)), max(1, math.isqrt(size_class * 3 // 8))
+
+
 def _anchors(hashes: RollingHash, size_class: int, offsets: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct anchor positions of the windows at offsets 0 .. offsets-1, with their block keys."""
-    width = max(1, size_class // 8)
-    block = size_class - width + 1
+    width, block = _widths(size_class)
     order = hashes.all_of(min(_GRAM, block), offsets + width - 1)
     # The position in the low bits makes the leftmost of equal hashes the smallest.
     mask = np.uint64((1 << _POSITION_BITS) - 1)
@@ -104,45 +130,89 @@ def _anchors(hashes: RollingHash, size_class: int, offsets: int) -> tuple[np.nda
     return positions, hashes.of(positions, block).view(np.int64)
 
 
-def text_keys(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """``(contained, size_class, key, position)`` arrays of one text in both of its roles."""
+class Anchor(NamedTuple):
+    """A block of a text in one of its roles. ``lefts[i]`` is the hash of the ``(left_first + i) * grain`` characters before
+    the block, ``rights`` likewise after it; a contained text has one of each. ``whole`` is the hash of the text."""
+
+    contained: bool
+    size_class: int
+    block_key: int
+    pos: int
+    whole: int
+    left_first: int
+    lefts: list[int]
+    right_first: int
+    rights: list[int]
+
+
+def _sides(hashes: RollingHash, size_class: int, pos: int, left: tuple[int, int], right: tuple[int, int]) -> tuple:
+    """Hashes beside the block at ``pos``, for side lengths from the first to the second of ``left`` and ``right``."""
+    left_grain, right_grain = grains(size_class)
+    after = pos + _widths(size_class)[1]
+    lefts = np.arange(left[0] // left_grain, left[1] // left_grain + 1) * left_grain
+    rights = np.arange(right[0] // right_grain, right[1] // right_grain + 1) * right_grain
+    return (
+        left[0] // left_grain,
+        hashes.spans(pos - lefts, lefts).view(np.int64).tolist(),
+        right[0] // right_grain,
+        hashes.spans(np.full_like(rights, after), rights).view(np.int64).tolist(),
+    )
+
+
+def text_keys(text: str) -> list[Anchor]:
+    """The anchors of one text, first as a contained text, then as a container."""
     hashes = RollingHash(text)
     length = hashes.length
     own = class_of(length)
-    positions, keys = _anchors(hashes, own, 1)
-    parts = [(True, own, keys, positions)]
+    (pos,), (key,) = (x.tolist() for x in _anchors(hashes, own, 1))
+    whole = hashes.all_of(length, 1).view(np.int64).item()
+    right = length - pos - _widths(own)[1]
+    out = [Anchor(True, own, key, pos, whole, *_sides(hashes, own, pos, (pos, pos), (right, right)))]
     shortest, longest = length * 4 // 5 + 1, length - 1
     if shortest <= longest:
         first = np.searchsorted(_CLASSES, shortest, side="right") - 1
         last = np.searchsorted(_CLASSES, longest, side="right") - 1
         for size_class in _CLASSES[first : last + 1].tolist():
             offsets = length - max(size_class, shortest) + 1
-            positions, keys = _anchors(hashes, size_class, offsets)
-            parts.append((False, size_class, keys, positions))
-    sizes = [len(p[3]) for p in parts]
-    return (
-        np.repeat([p[0] for p in parts], sizes),
-        np.repeat([p[1] for p in parts], sizes),
-        np.concatenate([p[2] for p in parts]),
-        np.concatenate([p[3] for p in parts]),
-    )
+            width, block = _widths(size_class)
+            for pos, key in zip(*(x.tolist() for x in _anchors(hashes, size_class, offsets))):
+                # What the block and the longest other side leave of the shortest contained text.
+                most_left, most_right = min(pos, width - 1), length - pos - block
+                least_left, least_right = max(0, shortest - block - most_right), max(0, shortest - block - most_left)
+                out.append(
+                    Anchor(False, size_class, key, pos, whole, *_sides(hashes, size_class, pos, (least_left, most_left), (least_right, most_right)))
+                )
+    return out
 
 
 def overlap_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """``mapInPandas`` body: frames of ``(ord, norm)`` to frames of :data:`KEY_SCHEMA`."""
+    names = [c.split()[0] for c in KEY_SCHEMA.split(", ")]
+    for frame in batches:
+        rows: list[tuple] = []
+        for order, text in zip(frame["ord"], frame["norm"]):
+            for a in text_keys(text):
+                rows.append((order, *a[:4], len(text), *a[4:]))
+            if len(rows) > 10_000:
+                yield pd.DataFrame(rows, columns=names)
+                rows = []
+        yield pd.DataFrame(rows, columns=names)
+
+
+SPAN_SCHEMA = "ord long, start int, size int, digest string"
+
+
+def span_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``mapInPandas`` body: texts with ``spans`` of (start, size, whole, single) to those that have the hash ``whole`` if it is the single one, with SHA-256."""
+    names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
     for frame in batches:
-        for start in range(0, len(frame), 1024):
-            part = frame.iloc[start : start + 1024]
-            texts = part["norm"].tolist()
-            found = [text_keys(text) for text in texts]
-            sizes = [len(f[3]) for f in found]
-            yield pd.DataFrame(
-                {
-                    "ord": np.repeat(part["ord"].to_numpy(dtype=np.int64), sizes),
-                    "contained": np.concatenate([f[0] for f in found]),
-                    "size_class": np.concatenate([f[1] for f in found]).astype(np.int32),
-                    "block_key": np.concatenate([f[2] for f in found]),
-                    "pos": np.concatenate([f[3] for f in found]).astype(np.int32),
-                    "len": np.repeat(np.array([len(t) for t in texts], dtype=np.int32), sizes),
-                }
-            )
+        rows: list[tuple] = []
+        for order, text, spans in zip(frame["ord"], frame["norm"], frame["spans"]):
+            hashes = RollingHash(text)
+            starts, sizes = (np.array([s[n] for s in spans], dtype=np.int64) for n in ("start", "size"))
+            own = hashes.spans(starts, sizes).view(np.int64).tolist()
+            for start, size, have, span in zip(starts.tolist(), sizes.tolist(), own, spans):
+                if span["single"] and span["whole"] != have:
+                    continue
+                rows.append((order, start, size, hashlib.sha256(text[start : start + size].encode()).hexdigest()))
+        yield pd.DataFrame(rows, columns=names)

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evalspark.functions.overlap import KEY_SCHEMA, overlap_keys
+from evalspark.functions.overlap import KEY_SCHEMA, SPAN_SCHEMA, overlap_keys, span_digests
 from evalspark.functions.text import normalize_prompt
+from evalspark.operators.graphs import drop_linked_to_kept
 from evalspark.operators.joins import lookup_join
 from evalspark.operators.questions import CATEGORY_WEIGHTS, category_dimension
 from evalspark.session import ensure_checkpoint_dir
@@ -23,87 +23,75 @@ MAX_LOW_SHARE = 0.2
 def first_of_equal(texts: DataFrame) -> DataFrame:
     """Of rows with equal ``norm`` keep the one with the lowest ``ord``.
 
-    The rank filter keeps one row per text and map task before the shuffle, so copies that make up a
-    large part of the table do not meet in one task; the digest keeps the sort keys short.
+    Only digests and ``ord`` are grouped, with one row per digest and map task before the shuffle, so copies that make up
+    a large part of the table do not meet in one task, and no text is sorted.
     """
-    digest = F.sha2("norm", 256)
-    rank = F.row_number().over(Window.partitionBy(digest).orderBy("ord"))
-    return texts.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+    first = texts.groupBy(F.sha2("norm", 256).alias("_digest")).agg(F.min("ord").alias("ord")).select("ord")
+    return texts.join(first, "ord", "left_semi")
 
 
-def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
-    """``(short_ord, long_ord)``: distinct texts where the longer contains the shorter, ratio above 0.8.
-
-    ``texts`` has ``ord`` and distinct ``norm``. The steps never pair the rows of a block with each other:
+def candidate_spans(usable: DataFrame) -> DataFrame:
+    """``(ord, start, size, digest)``: spans of a text that may be another whole text; none of those that are one is missing.
 
-    1. each text gives one block key as the contained text and about ten as the container;
-    2. blocks are reduced to distinct shapes on both sides (anchor position and length), and only shapes
-       are matched, to (offset, length) spans. Their number depends on text lengths, not on rows;
-    3. each container cuts its own spans, and the digest of a span is looked up among the digests of all
-       texts, of which every digest has exactly one.
+    1. each text gives one block key as the contained text and about ten as the container (``functions/overlap``);
+       containers of a block in which no shorter text is contained go at once;
+    2. the left sides of a container's block are looked up among the distinct left sides of contained texts, then its
+       right sides among the distinct (left, right) sides. A side counts up to a multiple of its grain, so a container
+       looks up a root of its length in sides, however many texts share the block;
+    3. the lengths that fall within matched grains are tried on the text, in one pass with the digest of those left.
     """
-    usable = texts.filter(F.col("norm") != "").select("ord", "norm")
-    ensure_checkpoint_dir(texts.sparkSession)
-    # Read three times below; ten short rows per text are cheaper to keep than to compute again.
+    ensure_checkpoint_dir(usable.sparkSession)
+    # Read four times below; ten short rows per text are cheaper to keep than to compute again.
     keys = usable.mapInPandas(overlap_keys, KEY_SCHEMA).checkpoint()
-    block = ["size_class", "block_key"]
-    shapes = keys.filter("contained").select(
-        *block, F.col("pos").alias("short_pos"), F.col("len").alias("short_len")
-    ).distinct()
-    containers = keys.filter("NOT contained").select("ord", *block, "pos", "len")
-    profiles = containers.select(*block, "pos", "len").distinct()
-    offset = F.col("pos") - F.col("short_pos")
-    fits = (
-        (offset >= 0)
-        & (offset + F.col("short_len") <= F.col("len"))
-        & (F.col("short_len") < F.col("len"))
-        & (F.col("short_len") * 5 > F.col("len") * 4)
+    block = F.xxhash64("size_class", "block_key")
+    inside = keys.filter("contained").select(
+        block.alias("_block"),
+        F.xxhash64("size_class", "block_key", "left_first", F.col("lefts")[0]).alias("_left"),
+        F.xxhash64("size_class", "block_key", "left_first", F.col("lefts")[0], "right_first", F.col("rights")[0]).alias("_sides"),
+        F.struct("pos", F.col("len").alias("size"), "whole").alias("shape"),
     )
-    profile_key = F.concat_ws(":", *block, "pos", "len")
-    spans = (
-        profiles.join(shapes, block)
-        .filter(fits)
-        .groupBy(profile_key.alias("_profile"))
-        .agg(F.collect_set(F.struct(offset.alias("start"), F.col("short_len").alias("size"))).alias("spans"))
+    shortest = inside.groupBy("_block").agg(F.min("shape.size").alias("_least"))
+    around = keys.filter("NOT contained").withColumn("_block", block)
+    around = lookup_join(around, shortest, "_block", "inner").filter(F.col("_least") < F.col("len"))
+
+    side = F.posexplode("lefts").alias("_i", "_hash")
+    lefts = around.select("*", side).withColumn("_at", F.col("left_first") + F.col("_i"))
+    lefts = lefts.withColumn("_left", F.xxhash64("size_class", "block_key", "_at", "_hash"))
+    lefts = lookup_join(lefts, inside.select("_left").distinct(), "_left", "inner").select(
+        "ord", "size_class", "block_key", "pos", "len", "right_first", "rights", F.col("_at").alias("_left_at"), F.col("_hash").alias("_left_hash")
     )
-    keyed = containers.select("ord", profile_key.alias("_profile"))
-    matched = lookup_join(keyed, spans, "_profile", "inner")
-    cuts = matched.select("ord", F.explode("spans").alias("span")).select("ord", "span.*").distinct()
-    cut = F.substring(F.col("norm"), F.col("start") + 1, F.col("size"))
-    pieces = cuts.join(usable, "ord").select(F.col("ord").alias("long_ord"), F.sha2(cut, 256).alias("_digest"))
-    digests = usable.select(F.sha2("norm", 256).alias("_digest"), F.col("ord").alias("short_ord"))
-    return lookup_join(pieces.distinct(), digests, "_digest", "inner").select("short_ord", "long_ord").distinct()
+    sides = lefts.select("*", F.posexplode("rights").alias("_i", "_hash")).select(
+        "ord", "pos", "len", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash", F.col("right_first") + F.col("_i"), "_hash").alias("_sides")
+    )
+    # A cell holds at most as many shapes as pairs of lengths within its grains; a shape of one text names its hash.
+    shapes = inside.groupBy("_sides", F.col("shape.pos").alias("pos"), F.col("shape.size").alias("size")).agg(
+        F.min("shape.whole").alias("whole"), (F.min("shape.whole") == F.max("shape.whole")).alias("single")
+    )
+    cells = shapes.groupBy("_sides").agg(F.collect_list(F.struct("pos", "size", "whole", "single")).alias("shapes"))
+    found = lookup_join(sides, cells, "_sides", "inner")
+    spans = F.transform("shapes", lambda s: F.struct((F.col("pos") - s.pos).alias("start"), s["size"].alias("size"), s.whole.alias("whole"), s.single.alias("single")))
+    fits = lambda s: (s.start >= 0) & (s.start + s["size"] <= F.col("len")) & (s["size"] < F.col("len")) & (s["size"] * 5 > F.col("len") * 4)
+    kept = found.select("ord", F.filter(spans, fits).alias("spans")).filter(F.size("spans") > 0)
+    per_text = kept.groupBy("ord").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
+    return usable.join(per_text, "ord").select("ord", "norm", "spans").mapInPandas(span_digests, SPAN_SCHEMA)
 
 
-def resolve_keep_first(pairs: DataFrame) -> DataFrame:
-    """``ord`` of the items that a greedy pass in ``ord`` order drops: those matching an earlier kept item.
+def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
+    """``(short_ord, long_ord)``: distinct texts where the longer contains the shorter, ratio above 0.8.
 
-    Per round all items without an open earlier neighbour are kept and their later neighbours dropped, so
-    the number of rounds is the longest dependency chain. Each round works on the open edges only and cuts
-    its lineage with a reliable checkpoint.
+    ``texts`` has ``ord`` and distinct ``norm``. The digests of candidate spans are looked up among the digests of all texts, of
+    which every digest has exactly one.
     """
-    ensure_checkpoint_dir(pairs.sparkSession)
-    open_edges = pairs.select(
-        F.least(*pairs.columns).alias("earlier"), F.greatest(*pairs.columns).alias("later")
-    ).distinct().checkpoint()
-    dropped = []
-    while not open_edges.isEmpty():
-        kept = open_edges.select("earlier").distinct().join(
-            open_edges.select(F.col("later").alias("earlier")).distinct(), "earlier", "left_anti"
-        )
-        now = open_edges.join(kept, "earlier", "left_semi").select(F.col("later").alias("ord")).distinct().checkpoint()
-        dropped.append(now)
-        if len(dropped) == 16:
-            dropped = [reduce(DataFrame.unionAll, dropped).checkpoint()]
-        open_edges = (
-            open_edges.join(now.select(F.col("ord").alias("later")), "later", "left_anti")
-            .join(now.select(F.col("ord").alias("earlier")), "earlier", "left_anti")
-            .select("earlier", "later")
-            .checkpoint()
-        )
-    if not dropped:
-        return pairs.sparkSession.createDataFrame([], "ord long")
-    return reduce(DataFrame.unionAll, dropped).distinct()
+    usable = texts.filter(F.col("norm") != "").select("ord", "norm")
+    pieces = candidate_spans(usable).select(F.col("ord").alias("long_ord"), F.col("digest").alias("_digest")).distinct()
+    digests = usable.select(F.sha2("norm", 256).alias("_digest"), F.col("ord").alias("short_ord"))
+    return lookup_join(pieces, digests, "_digest", "inner").select("short_ord", "long_ord").distinct()
+
+
+def resolve_keep_first(pairs: DataFrame) -> DataFrame:
+    """``ord`` of the items that a greedy pass in ``ord`` order drops: those matching an earlier kept item."""
+    links = pairs.select(F.least(*pairs.columns).alias("earlier"), F.greatest(*pairs.columns).alias("later"))
+    return drop_linked_to_kept(links.filter(F.col("earlier") < F.col("later")))
 
 
 def deduplicate(items: DataFrame, text: str = "prompt") -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions import overlap
-from evalspark.operators import validation
+from evalspark.operators import graphs, validation
 from evalspark.operators.joins import lookup_join
 
 
@@ -49,23 +49,59 @@ def test_block_keys_miss_no_pair(seed):
     rng = random.Random(seed)
     texts = random_texts(rng, 10)
     position = {t: i for i, t in enumerate(texts)}
-    shapes, found = {}, set()
-    keys = [overlap.text_keys(t) for t in texts]
-    for text, (contained, size, key, pos) in zip(texts, keys):
-        for c, s, k, p in zip(contained, size, key, pos):
-            if c:
-                shapes.setdefault((s, k), set()).add((int(p), len(text)))
-    for j, (contained, size, key, pos) in enumerate(keys):
-        for c, s, k, p in zip(contained, size, key, pos):
-            for q, length in () if c else shapes.get((s, k), ()):
-                start = int(p) - q
-                if start >= 0 and start + length <= len(texts[j]) and length < len(texts[j]) and 5 * length > 4 * len(texts[j]):
-                    piece = texts[j][start : start + length]
-                    if piece in position:
-                        found.add((position[piece], j))
+    shapes, found, tried = {}, set(), 0
+    anchors = [overlap.text_keys(t) for t in texts]
+    for text, own in zip(texts, anchors):
+        a = own[0]
+        assert a.contained and not any(x.contained for x in own[1:])
+        shapes.setdefault((*a[1:3], a.left_first, a.lefts[0], a.right_first, a.rights[0]), set()).add((a.pos, len(text)))
+    for j, own in enumerate(anchors):
+        for a in own[1:]:
+            for i, left in enumerate(a.lefts):
+                for k, right in enumerate(a.rights):
+                    for q, length in shapes.get((*a[1:3], a.left_first + i, left, a.right_first + k, right), ()):
+                        start = a.pos - q
+                        if start >= 0 and start + length <= len(texts[j]) and length < len(texts[j]) and 5 * length > 4 * len(texts[j]):
+                            tried += 1
+                            piece = texts[j][start : start + length]
+                            if piece in position:
+                                found.add((position[piece], j))
     assert found == contained_pairs(texts)
     # About ten keys per text; only texts repeating a short period need one per possible offset.
-    assert all(len(k[2]) <= 30 + len(t) // 2 for k, t in zip(keys, texts))
+    assert all(len(own) <= 30 + len(t) // 2 for own, t in zip(anchors, texts))
+
+
+def test_sides_of_a_block_are_roots_of_its_length():
+    rng = random.Random(3)
+    for size in (10, 100, 1000, 10_000):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(size))
+        for a in overlap.text_keys(text)[1:]:
+            assert len(a.lefts) <= 2 + size**0.5 and len(a.rights) <= 2 + size**0.5
+
+
+def _near_copies(count, body, seed):
+    """One body with heads and tails of any length, so that nearly every text has a length of its own."""
+    rng = random.Random(seed)
+
+    def word(most):
+        return "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(0, most)))
+
+    return sorted({word(len(body) // 12) + body + word(len(body) // 12) for _ in range(count)})
+
+
+def test_candidates_grow_with_the_texts(spark):
+    rng = random.Random(8)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(4000)).strip()
+    tried = {}
+    for count in (400, 800):
+        texts = [*_near_copies(count, body, 1), body]
+        df = spark.createDataFrame(list(enumerate(texts)), "ord long, norm string").repartition(4)
+        tried[count] = validation.candidate_spans(df).count()
+        if count == 400:
+            pairs = {(r["short_ord"], r["long_ord"]) for r in validation.near_duplicate_pairs(df).collect()}
+            assert pairs == contained_pairs(texts)
+            assert len(pairs) >= 350
+    assert tried[800] <= 2.2 * tried[400] and tried[800] < 4 * 800
 
 
 @pytest.mark.parametrize("seed", [1, 2, 3])
@@ -110,6 +146,46 @@ def test_resolution_on_random_graphs(spark, seed):
     assert dropped == set(range(40)) - set(kept)
 
 
+def _jobs(spark, fn):
+    """How many jobs ``fn`` starts."""
+    tracker, group = spark.sparkContext.statusTracker(), f"count-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        fn()
+        return len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_chain_takes_few_jobs(spark):
+    def run(length):
+        chain = spark.range(length).select(F.col("id").alias("short_ord"), (F.col("id") + 1).alias("long_ord"))
+        assert {r["ord"] for r in validation.resolve_keep_first(chain).collect()} == set(range(1, length + 1, 2))
+
+    short, long = _jobs(spark, lambda: run(300)), _jobs(spark, lambda: run(5000))
+    assert long <= short + 60
+
+
+def test_components_in_shuffled_order(spark):
+    rng = random.Random(2)
+    names = rng.sample(range(10**9), 900)
+    links = [(names[i], names[i + 1]) for i in range(600)] + [(names[700], names[i]) for i in range(701, 800)] + [(names[i], names[i + 1]) for i in range(850, 890, 2)]
+    links = [tuple(sorted(x)) for x in links]
+    df = spark.createDataFrame(links, "earlier long, later long").repartition(7)
+    found = {(r["earlier"], r["later"]): r["component"] for r in graphs.with_component(df).collect()}
+    line, star = min(names[:601]), min(names[700:800])
+    assert found == {x: line if x[0] in names[:601] else star if x[0] in names[700:800] else x[0] for x in links}
+
+
+def test_large_components_by_rounds(spark):
+    rng = random.Random(4)
+    edges = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(70)}
+    df = spark.createDataFrame(list(edges), "earlier long, later long")
+    by_pass = {r["ord"] for r in graphs.drop_linked_to_kept(df).collect()}
+    assert {r["ord"] for r in graphs.drop_linked_to_kept(df, pass_links=3).collect()} == by_pass
+    assert graphs.drop_linked_to_kept(df.limit(0)).count() == 0
+
+
 ITEM = "ord long, prompt string, source_location string, category string, grounding_confidence string, assertions array<string>"
 
 
