@@ -64,7 +64,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Fold neighbours that are the same text: the first one stays, counts are added."""
     held = None
     for batch in batches:
-        rows = pa.Table.from_batches([batch])
+        # By names, as a batch may declare columns without nulls that the held row doesn't.
+        rows = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
         if held is not None:
             rows = pa.concat_tables([held, rows]).combine_chunks()
         if not rows.num_rows:

@@ -4,6 +4,7 @@ import hashlib
 import random
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +75,13 @@ def test_entries_move_one_digit_a_round(spark):
     for r in moved:
         d = r.digest[-1] & 63
         assert r.one == (r.place & 56) | (d & 7) and r.two == (r.place & 7) | (d & 56)
+
+
+def test_neighbours_fold_over_batches():
+    fields = [pa.field(n, pa.binary() if n == "digest" else pa.int64(), nullable=n != "n") for n in ("place", "digest", "bytes", "check", "keep_id", "keep_row", "n")]
+    rows = [(0, b"a", 1, 1, 9, 0, 2), (0, b"a", 1, 1, 7, 1, 1), (0, b"a", 1, 2, 7, 1, 1), (0, b"b", 1, 2, None, 4, 1), (1, b"b", 1, 2, 5, 5, 3), (1, b"b", 1, 2, 4, 6, 1)]
+    for size in (1, 2, 3, 6):
+        parts = [rows[i : i + size] for i in range(0, 6, size)]
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*p), fields)], schema=pa.schema(fields)) for p in [*parts, []] if p]
+        got = [tuple(r.values()) for b in digest_merge._merge(iter(batches)) for r in b.to_pylist()]
+        assert got == [(0, b"a", 1, 1, 9, 0, 3), (0, b"a", 1, 2, 7, 1, 1), (0, b"b", 1, 2, None, 4, 1), (1, b"b", 1, 2, 5, 5, 4)]
