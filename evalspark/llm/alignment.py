@@ -11,7 +11,7 @@ distinct irregular pairs; a block is closed at ``BLOCK_LINKS`` links, so it fits
 the pairs are counted over all blocks, each block gets the counts of its own pairs back, and its documents
 are scored next to them: documents never become rows per link. Collected and sent to all tasks is one row per id of a vocabulary at most.
 
-Texts are looked up word by word where that can't change the ids (see ``_Words``); any other text is encoded whole.
+Texts are looked up word by word where that can't change the ids (see ``Lookup``); any other text is encoded whole.
 
 Defined results: a null or empty text, and one whose joined token bytes differ from space + text on either side (such
 as one holding U+2581), has no tokens: zeros and an empty ``groups_sha256``. Equal rows stay rows of their own. Columns other than
@@ -23,7 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -60,108 +61,127 @@ class Vocabularies:
         for token, rank in ranks.items():
             self.bytes_a[rank] = token
         self.bytes_b = [self._piece(i) for i in range(self._b.get_piece_size())]
-        self.size_a, self.size_b = list(map(len, self.bytes_a)), list(map(len, self.bytes_b))
+        self.size_a, self.size_b = (np.array(list(map(len, x)), dtype=np.int64) for x in (self.bytes_a, self.bytes_b))
         # A whole piece goes before a single byte of the same value.
         same = {self.bytes_b[i]: i for i in sorted(range(len(self.bytes_b)), key=self._b.is_byte, reverse=True)}
-        self.identity = [same.get(token, -1) for token in self.bytes_a]
+        self.identity = np.array([same.get(token, -1) for token in self.bytes_a], dtype=np.int64)
+        self.opens_word = np.array([token[:1] in (b" ", b"\n") for token in self.bytes_a])
+        # What stands for an id inside a group and at the end of its side.
+        self.shown = [f"{i}{end}" for i in range(len(self.bytes_a)) for end in ",|"] + [f"{i}{end}" for i in range(len(self.bytes_b)) for end in ",;"]
 
     def _piece(self, i: int) -> bytes:
         piece = self._b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self._b.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode_a(self, text: str) -> list[int]:
-        return self._a.encode_ordinary(text)
+    def encode_a(self, text: str) -> np.ndarray:
+        return self._a.encode_to_numpy(text, disallowed_special=())
 
-    def encode_b(self, text: str) -> list[int]:
-        """Ids of ``text`` with the space that the model puts before it."""
-        return self._b.encode(text)
+    def encode_b(self, texts: list[str]) -> list[list[int]]:
+        """Ids of each text with the space that the model puts before it."""
+        return self._b.encode(texts, num_threads=1)
 
-    def fit(self, whole: str, a: list[int], b: list[int]) -> bool:
+    def fit(self, whole: str, a: Iterable[int], b: Iterable[int]) -> bool:
         want = whole.encode()
         return b"".join(map(self.bytes_a.__getitem__, a)) == want and b"".join(map(self.bytes_b.__getitem__, b)) == want
 
 
-class Part:
-    """Alignment of a stretch of text that starts and ends at a cut."""
-
-    __slots__ = ("groups", "irregular", "n_a", "n_b", "n_groups", "regular")
-
-    def __init__(self, vocabularies: Vocabularies, a: list[int], b: list[int]):
-        size_a, size_b, identity = vocabularies.size_a, vocabularies.size_b, vocabularies.identity
-        regular, irregular, groups = [], [], []
-        i = j = from_i = from_j = 0
-        end_a, end_b = size_a[a[0]], size_b[b[0]]
-        links = []
-        while True:
-            links.append(a[i] << 32 | b[j])
-            if end_a < end_b:
-                i += 1
-                end_a += size_a[a[i]]
-            elif end_b < end_a:
-                j += 1
-                end_b += size_b[b[j]]
-            else:
-                i, j = i + 1, j + 1
-                if len(links) == 1 and identity[a[i - 1]] == b[j - 1]:
-                    regular.append(a[i - 1])
-                else:
-                    irregular += links
-                groups.append(f"{','.join(map(str, a[from_i:i]))}|{','.join(map(str, b[from_j:j]))}")
-                if i == len(a):
-                    break
-                links, from_i, from_j = [], i, j
-                end_a += size_a[a[i]]
-                end_b += size_b[b[j]]
-        self.n_a, self.n_b, self.n_groups = len(a), len(b), len(groups)
-        self.groups = ";".join(groups)
-        self.regular = np.array(regular, dtype="<u4").tobytes()
-        self.irregular = np.array(irregular, dtype="<u8").tobytes()
-
-
-class _Words(dict):
-    """Aligned words, each with the space or line break before it.
-
-    The first tokenizer splits a text before each single space and around each single line break, and no piece of the second
-    has a space anywhere but in front, or a line break at all. So where no two white-space characters touch, both
-    end a token before each of the two, and a word is aligned by itself.
+class Alignment(NamedTuple):
+    """Numbers of tokens and groups of a text, its groups, the ids of regular links, and irregular links as pairs."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    regular: np.ndarray
+    irregular: np.ndarray
+
+
+NOTHING = Alignment(0, 0, 0, "", np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+
+def align_ids(v: Vocabularies, a: np.ndarray, b: np.ndarray) -> Alignment:
+    """Ids of both sides over the same bytes, aligned."""
+    ends_a, ends_b = np.cumsum(v.size_a[a]), np.cumsum(v.size_b[b])
+    # The token of the other side that holds a token's last byte.
+    over_a, over_b = np.searchsorted(ends_b, ends_a), np.searchsorted(ends_a, ends_b)
+    cut_a, cut_b = ends_b[over_a] == ends_a, ends_a[over_b] == ends_b
+    alone_a, alone_b = cut_a.copy(), cut_b.copy()
+    alone_a[1:] &= cut_a[:-1]
+    alone_b[1:] &= cut_b[:-1]
+    # Links begin and end where a token does, so there is one for each offset at which any token ends.
+    at_a = a << 32 | b[over_a]
+    regular = alone_a & alone_b[over_a] & (v.identity[a] == b[over_a])
+    irregular = np.concatenate([at_a[~regular], (a[over_b] << 32 | b)[~cut_b]])
+    # A group is written as its first side's ids and then the second's: a token's place counts those of earlier groups on the other side.
+    before_a, before_b = np.cumsum(cut_a) - cut_a, np.cumsum(cut_b) - cut_b
+    until_a, until_b = np.flatnonzero(cut_a) + 1, np.concatenate(([0], np.flatnonzero(cut_b) + 1))
+    shown = np.empty(len(a) + len(b), dtype=np.int64)
+    shown[np.arange(len(a)) + until_b[before_a]] = 2 * a + cut_a
+    shown[np.arange(len(b)) + until_a[before_b]] = 2 * (len(v.bytes_a) + b) + cut_b
+    groups = "".join(map(v.shown.__getitem__, shown.tolist()))[:-1]
+    return Alignment(len(a), len(b), int(cut_a.sum()), groups, a[regular], irregular)
+
+
+class Lookup:
+    """Ids of both sides of whole texts, with a bounded cache of words, each with the space or line break before it.
+
+    The first tokenizer splits a text before each single space and around each single line break, and no piece of the
+    second has a space anywhere but in front, or a line break at all. So where no two white-space characters touch, both
+    end a token before each of the two, and the ids of a text are those of its words. New words are encoded in one go.
     """
 
     def __init__(self, vocabularies: Vocabularies):
-        super().__init__()
         self.vocabularies = vocabularies
+        self._words: dict[str, tuple[bytes, bytes]] = {}
 
-    def __missing__(self, word: str) -> Part | None:
-        """``word`` without its space, or with its line break; None where the bytes don't fit."""
+    def _learn(self, words: list[str]) -> None:
         v = self.vocabularies
-        if word[:1] == "\n":
-            whole, a, b = word, v.encode_a(word), v.encode_b(word)[1:]
-        else:
-            whole, a, b = " " + word, v.encode_a(" " + word), v.encode_b(word)
-        part = self[word] = Part(v, a, b) if v.fit(whole, a, b) else None
-        return part
-
-    def parts(self, text: str) -> list[Part]:
-        """The parts of space + ``text``; none where the text has no tokens."""
-        if not text:
-            return []
-        if not (text[0].isspace() or text[-1].isspace() or _WIDE_SPACE.search(text)):
-            if len(self) > _CACHED_WORDS:
-                self.clear()
-            found = list(map(self.__getitem__, text.replace("\n", " \n").split(" ")))
-            if None not in found:
-                return found
+        whole = [w if w[:1] == "\n" else " " + w for w in words]
+        a, b = v.encode_a("".join(whole)), v.encode_b(words)
+        starts = np.flatnonzero(v.opens_word[a])
+        # Before a line break the second tokenizer's space is a token of its own.
+        b = [ids[1:] if w[:1] == "\n" else ids for ids, w in zip(b, words)]
+        if len(starts) != len(words) or not v.fit("".join(whole), a, [i for ids in b for i in ids]):
+            raise ValueError("words and tokens don't start together")
+        raw, ends = a.astype("<u4").tobytes(), [*(starts[1:] * 4).tolist(), 4 * len(a)]
+        at = 0
+        for word, end, ids in zip(words, ends, b):
+            self._words[word] = raw[at:end], np.array(ids, dtype="<u4").tobytes()
+            at = end
+
+    def _ids(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of space + ``text`` on both sides; none where the text has no tokens."""
         v = self.vocabularies
-        a, b = v.encode_a(" " + text), v.encode_b(text)
-        return [Part(v, a, b)] if v.fit(" " + text, a, b) else []
+        if text[0].isspace() or text[-1].isspace() or _WIDE_SPACE.search(text):
+            a, (b,) = v.encode_a(" " + text), v.encode_b([text])
+            if not v.fit(" " + text, a, b):
+                return NOTHING.regular, NOTHING.regular
+            return a.astype(np.int64), np.array(b, dtype=np.int64)
+        words = text.replace("\n", " \n").split(" ")
+        try:
+            found = list(map(self._words.__getitem__, words))
+        except KeyError:
+            if len(self._words) > _CACHED_WORDS:
+                self._words.clear()
+            self._learn(list(set(words).difference(self._words)))
+            found = list(map(self._words.__getitem__, words))
+        a, b = zip(*found)
+        return tuple(np.frombuffer(b"".join(x), dtype="<u4").astype(np.int64) for x in (a, b))
+
+    def align(self, text: str | None) -> Alignment:
+        if not text:
+            return NOTHING
+        a, b = self._ids(text)
+        return align_ids(self.vocabularies, a, b) if len(a) else NOTHING
 
 
-_loaded: dict[tuple[str, str], _Words] = {}
+_loaded: dict[tuple[str, str], Lookup] = {}
 
 
-def words(ranks_path: str, model_path: str) -> _Words:
+def lookup(ranks_path: str, model_path: str) -> Lookup:
     key = (ranks_path, model_path)
     if key not in _loaded:
-        _loaded[key] = _Words(Vocabularies(*key))
+        _loaded[key] = Lookup(Vocabularies(*key))
     return _loaded[key]
 
 
@@ -192,43 +212,42 @@ def _tokens(docs: DataFrame, key: str, text: str, ranks_path: str, model_path: s
     """Rows of documents, of blocks (``pairs`` without ``in_vector``) and of the vectors of tasks."""
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = words(ranks_path, model_path)
-        identity = np.array(lookup.vocabularies.identity, dtype=np.int64)
+        texts = lookup(ranks_path, model_path)
+        identity = texts.vocabularies.identity
         vector = np.zeros(len(identity), dtype=np.int64)
         block = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
-        held: list[np.ndarray] = []
+        links: list[np.ndarray] = []
+        ids: list[np.ndarray] = []
         n_held = 0
 
-        def pair_row(pairs, counts, in_vector: bool) -> tuple:
+        def pair_row(pairs: np.ndarray, counts: np.ndarray, in_vector: bool) -> tuple:
             return (*[None] * 8, block, in_vector, pairs, counts)
 
-        def block_rows() -> list[tuple]:
-            if not held:
-                return []
-            pairs, counts = np.unique(np.concatenate(held), return_counts=True)
-            return [pair_row(pairs.astype(np.int64), counts.astype(np.int64), False)]
+        def closed() -> pa.RecordBatch:
+            """The rows of a block: its documents and its pairs; its regular links go into the vector."""
+            nonlocal rows, links, ids, n_held, block
+            if links:
+                rows.append(pair_row(*np.unique(np.concatenate(links), return_counts=True), False))
+                vector[:] += np.bincount(np.concatenate(ids), minlength=len(vector))
+            out = _batch(rows)
+            rows, links, ids, n_held, block = [], [], [], 0, block + 1
+            return out
 
         for batch in batches:
             for doc, whole in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = lookup.parts(whole or "")
-                regular = np.frombuffer(b"".join([p.regular for p in parts]), dtype="<u4")
-                irregular = np.frombuffer(b"".join([p.irregular for p in parts]), dtype="<u8")
-                digest = hashlib.sha256(";".join([p.groups for p in parts]).encode()).hexdigest() if parts else ""
-                sizes = (sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), len(regular) + len(irregular))
-                rows.append((doc, *sizes, digest, _packed(regular, "<u4"), _packed(irregular, "<u8"), block, None, None, None))
-                vector += np.bincount(regular, minlength=len(vector))
-                held.append(irregular)
-                n_held += sizes[3]
+                one = texts.align(whole)
+                digest = hashlib.sha256(one.groups.encode()).hexdigest() if one.n_a else ""
+                n_links = len(one.regular) + len(one.irregular)
+                rows.append((doc, one.n_a, one.n_b, one.n_groups, n_links, digest, _packed(one.regular, "<u4"), _packed(one.irregular, "<u8"), block, None, None, None))
+                links.append(one.irregular)
+                ids.append(one.regular)
+                n_held += n_links
                 if n_held > BLOCK_LINKS:
-                    rows += block_rows()
-                    held, n_held = [], 0
-                    yield _batch(rows)
-                    rows, block = [], block + 1
+                    yield closed()
+        yield closed()
         seen = np.flatnonzero(vector)
-        rows += block_rows()
-        rows.append(pair_row(seen << 32 | identity[seen], vector[seen], True))
-        yield _batch(rows)
+        yield _batch([pair_row(seen << 32 | identity[seen], vector[seen], True)])
 
     chosen = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.col(f"`{text}`").alias("t"))
     return chosen.mapInArrow(aligned, _WRITTEN)
