@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.text import fact_field, fact_value, js_string, strip_quotes
 from evalspark.operators.joins import lookup_join
 from evalspark.operators.preparation import ASSERTION
 from evalspark.operators.profiling import ROW_INDEX
+from evalspark.session import ensure_checkpoint_dir
 
 MAX_ASSERTIONS = 5
 ID_CHARS = 12
+# So many files are read by name for the rows that are referred to; beyond, the scan is read as a whole.
+MOST_FILES = 10_000
 
 
 def referenced_row(location: Column) -> Column:
@@ -20,6 +25,41 @@ def referenced_row(location: Column) -> Column:
     return F.nullif(number, F.lit("")).try_cast("bigint") - 1
 
 
+def referenced_rows(scan: DataFrame, rows: DataFrame, most_files: int = MOST_FILES) -> DataFrame:
+    """The rows of a Parquet scan whose numbers stand in ``rows(row_index)``, with ``row_index``, read from their files alone.
+
+    A row number is the number of rows in the files before plus the position in its own, so footers tell which file
+    holds it. References to more than ``most_files`` different files read the whole scan instead of naming them.
+    """
+    spark = scan.sparkSession
+    counts = scan.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("_n"))
+    ensure_checkpoint_dir(spark)
+    counts = counts.checkpoint()
+    start = F.coalesce(F.sum("_n").over(Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("bigint"))
+    # Files are met by stretches of row numbers as long as a file on average, so this is an equality join.
+    total = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("files")).first()
+    stretch = max(1, (total["rows"] or 0) // max(1, total["files"]))
+    files = counts.withColumn("_start", start).withColumn(
+        "_stretch", F.explode(F.sequence(F.floor(F.col("_start") / stretch), F.floor((F.col("_start") + F.col("_n") - 1) / stretch)))
+    )
+    inside = (F.col(ROW_INDEX) >= F.col("_start")) & (F.col(ROW_INDEX) < F.col("_start") + F.col("_n"))
+    wanted = rows.select(ROW_INDEX).distinct().withColumn("_stretch", F.floor(F.col(ROW_INDEX) / stretch))
+    places = wanted.join(files, "_stretch").filter(inside).select("_path", (F.col(ROW_INDEX) - F.col("_start")).alias("_pos"), ROW_INDEX).checkpoint()
+    paths = [r["_path"] for r in places.select("_path").distinct().limit(most_files + 1).toLocalIterator()]
+    if not paths:
+        return scan.select("*", F.lit(None).cast("bigint").alias(ROW_INDEX)).limit(0)
+    if len(paths) <= most_files:
+        scan = spark.read.schema(scan.schema).parquet(*[unquote(p) for p in paths])
+    placed = scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_pos"))
+    return placed.join(places, ["_path", "_pos"]).drop("_path", "_pos")
+
+
+def ground_in_files(drafts: DataFrame, scan: DataFrame, label: str, most_files: int = MOST_FILES) -> DataFrame:
+    """``ground_answers`` against a Parquet scan of which only the files that drafts refer to are read."""
+    wanted = drafts.select(referenced_row(F.col("source_location")).alias(ROW_INDEX)).filter(F.col(ROW_INDEX).isNotNull())
+    return ground_answers(drafts, referenced_rows(scan, wanted, most_files), label)
+
+
 def _verified(facts: Column, row: Column) -> Column:
     """Facts whose value agrees with the row (a map), rewritten with the row's own value."""
 

@@ -10,7 +10,7 @@ from evalspark.plans import drafts as d
 from evalspark.plans import profiling_queries as pq
 from evalspark.plans import sqltext as q
 from evalspark.plans.registry import numbered, query, table
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.session import ensure_checkpoint_dir, scratch_path
 
 WEIGHTS = ", ".join(f"({i}, '{c}', {w})" for i, (c, w) in enumerate(questions.CATEGORY_WEIGHTS.items()))
 
@@ -256,6 +256,23 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.posexplode(derived).alias("pos", "a")).select("doc_id", "pos", "a.value")
 
 
+# Orders in sixteen files, and references that lie in two of them: only those are read.
+@query(
+    "ground_pruned_files",
+    """SELECT s_suppkey AS ord, 'orders:row ' || CAST(s_suppkey + 1 AS VARCHAR) AS source_location, 'o_orderstatus=' || o_orderstatus AS facts FROM supplier JOIN
+      (SELECT row_number() OVER (ORDER BY o_orderkey) AS n, * FROM orders) ON n = s_suppkey + 1""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "orders-files")
+    table(spark, sf, "orders").repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    drafts = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("ord"), F.concat(F.lit("x:row "), F.col("s_suppkey") + 1).alias("source_location"),
+        F.array(F.lit("o_orderstatus=F"), F.lit("o_orderstatus=O"), F.lit("o_orderstatus=P")).alias("supporting_facts"),
+    )
+    grounded = grounding.ground_in_files(drafts, spark.read.parquet(path), "orders")
+    return grounded.select("ord", "source_location", F.array_join("supporting_facts", " | ").alias("facts"))
+
+
 _ITEM_ID = "substring(sha256(prompt || '|' || source_location), 1, 12)"
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.operators import facts, profiling
+from evalspark.operators import facts, incremental_profile, profiling
 from evalspark.plans import sqltext as q
 from evalspark.plans.registry import numbered, query, scan_table, table
+from evalspark.session import scratch_path
 from evalspark.sources.rowindex import with_row_index_by
 
 PROFILE_FIELDS = ["field", "data_type", "null_count", "unique_count", "total_count", "min", "max"]
@@ -68,6 +69,28 @@ def _(spark, sf):
     return profiling.profile_columns(nulled_part(table(spark, sf, "part"))).select(*PROFILE_FIELDS)
 
 
+@query(
+    "profile_nan",
+    """SELECT 'l_extendedprice' AS field, 'number' AS data_type, CAST(0 AS BIGINT) AS null_count, CAST(count(DISTINCT CASE WHEN l_quantity % 5 = 0 THEN 'NaN' ELSE CAST(l_extendedprice AS VARCHAR) END) AS BIGINT) AS unique_count,
+      CAST(count(*) AS BIGINT) AS total_count, min(CASE WHEN l_quantity % 5 <> 0 THEN l_extendedprice END) AS num_min, max(CASE WHEN l_quantity % 5 <> 0 THEN l_extendedprice END) AS num_max FROM lineitem""",
+)
+def _(spark, sf):
+    price = F.when(F.col("l_quantity") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("l_extendedprice"))
+    found = profiling.profile_columns(scan_table(spark, sf, "lineitem").select(price.alias("l_extendedprice")))
+    return found.select("field", "data_type", "null_count", "unique_count", "total_count", "num_min", "num_max")
+
+
+# Two deliveries of files; the second update reads the new ones only. What sketches estimate is tested within its error.
+@query("profile_incremental", f"SELECT field, data_type, null_count, total_count, \"min\", \"max\" FROM ({q.profile('lineitem', q.LINEITEM)})")
+def _(spark, sf):
+    source, store = scratch_path(spark, "profiled"), scratch_path(spark, "profile-parts")
+    lines = scan_table(spark, sf, "lineitem")
+    for part in (0, 1):
+        lines.filter(F.col("l_orderkey") % 2 == part).write.mode("append").parquet(source)
+        incremental_profile.update_profile(spark, source, store)
+    return incremental_profile.profile_of_store(spark, store).select("field", "data_type", "null_count", "total_count", "min", "max")
+
+
 TEXT_KIND_SQL = r"""CASE
   WHEN v IS NULL OR v = '' THEN NULL
   WHEN regexp_full_match(v, '\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?)?') AND try_cast(v AS TIMESTAMP) IS NOT NULL THEN 'date'

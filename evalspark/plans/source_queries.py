@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evalspark.operators import chunking, preparation
+from evalspark.operators import chunking, grounding, preparation
 from evalspark.plans import drafts as d
 from evalspark.plans import evalrows, fixtures
-from evalspark.plans.generation_queries import _ITEMS, all_items
+from evalspark.plans.generation_queries import _ITEMS, _PARTIAL, _VALUE, _partial, all_items
 from evalspark.plans.registry import query, scan_table, table
 from evalspark.session import scratch_path
 from evalspark.sources import archives, evalfiles, files, pages, payloads, sinks
+from evalspark.sources.jsonscan import json_records, parse_records
 from evalspark.streaming import incremental
 
 _CUSTOMER_TEXT = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey,
@@ -87,6 +88,90 @@ def _(spark, sf):
     return files.read_json_documents(spark, path).drop("block")
 
 
+# One array of all orders in one file.
+@query("source_json_one_array", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def _(spark, sf):
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+    orders = table(spark, sf, "orders").select("o_orderkey", F.to_json(F.struct(*columns)).alias("value"))
+    first = orders.agg(F.min("o_orderkey")).first()[0]
+    lines = orders.select("o_orderkey", F.concat(F.when(F.col("o_orderkey") == first, F.lit(" ")).otherwise(F.lit(", ")), "value").alias("value"))
+    brackets = spark.createDataFrame([(first - 1, "["), (None, "]")], "o_orderkey long, value string")
+    path = scratch_path(spark, "one-array")
+    ordered = lines.unionAll(brackets).coalesce(1).sortWithinPartitions(F.col("o_orderkey").asc_nulls_last())
+    ordered.select("value").write.option("lineSep", " ").text(path)
+    return parse_records(json_records(spark, [path])).drop("_path").withColumnRenamed("_pos", "pos")
+
+
+# Every column of both tables, read from a folder that holds their files side by side.
+_MIXED = """SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row_index, 'csv' AS ext, CAST(c_custkey AS VARCHAR) AS c_custkey, c_name,
+      CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment,
+      NULL AS s_suppkey, NULL AS s_name, NULL AS s_nationkey, NULL AS s_acctbal, NULL AS r_regionkey, NULL AS r_name FROM customer
+    UNION ALL SELECT (SELECT count(*) FROM customer) + row_number() OVER (ORDER BY s_suppkey) - 1, 'json', NULL, NULL, NULL, NULL, NULL,
+      s_suppkey, s_name, s_nationkey, CAST(s_acctbal AS VARCHAR), NULL, NULL FROM supplier
+    UNION ALL SELECT (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + row_number() OVER (ORDER BY r_regionkey) - 1, 'parquet',
+      NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, r_regionkey, r_name FROM region"""
+
+
+@query("source_directory_rows", _MIXED)
+def _(spark, sf):
+    base = scratch_path(spark, "mixed-folder")
+    scan_table(spark, sf, "customer").write.option("header", True).csv(f"{base}/a")
+    scan_table(spark, sf, "supplier").write.json(f"{base}/b/c")
+    scan_table(spark, sf, "region").write.parquet(f"{base}/d")
+    read = files.read_dataset(spark, base)
+    return read.withColumn("ext", F.regexp_extract("_source_file", r"\.(\w+)$", 1)).withColumn("s_acctbal", F.col("s_acctbal").cast("string")).drop("_source_file")
+
+
+@query("source_index_schema", "SELECT r_name AS name, n_name AS field FROM nation JOIN region ON n_regionkey = r_regionkey")
+def _(spark, sf):
+    nations = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    schemas = nations.groupBy(F.col("r_name").alias("name")).agg(F.sort_array(F.collect_list("n_name")).alias("contentFields"))
+    path = scratch_path(spark, "index-schemas")
+    schemas.repartition("name").write.json(path)
+    read = evalfiles.read_index_schema(spark, path, multiple=True)
+    return read.select("name", F.explode("contentFields").alias("field"))
+
+
+# Eval sets as whole documents: one for each nation, with its customers as items.
+@query(
+    "source_eval_set_document",
+    """SELECT row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS ord, c_name AS prompt, c_mktsegment AS expected_answer,
+      CAST(c_custkey AS VARCHAR) AS source_location, '' AS actual_answer, 'temporal' AS category, c_name AS id, 'must_contain' AS kind, c_mktsegment AS "value" FROM customer""",
+)
+def _(spark, sf):
+    item = F.struct(
+        F.col("c_custkey"), F.col("c_name").alias("prompt"), F.col("c_mktsegment").alias("expected_answer"), F.col("c_custkey").cast("string").alias("source_location"),
+        F.lit("temporal").alias("category"), F.col("c_name").alias("id"),
+        F.array(F.struct(F.lit("must_contain").alias("type"), F.col("c_mktsegment").alias("value"), F.lit(True).alias("wholeWord"))).alias("assertions"),
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("c_custkey", item.alias("item"))))
+    documents = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.transform(ordered, lambda x: x["item"]).alias("items"))
+    path = scratch_path(spark, "eval-documents")
+    text = F.to_json(F.struct(F.lit("1.0").alias("version"), "items"))
+    documents.select("c_nationkey", text.alias("value")).write.partitionBy("c_nationkey").text(path)
+    rows, _ = evalfiles.read_eval_set(spark, path)
+    return rows.select(
+        "ord", "prompt", "expected_answer", "source_location", "actual_answer", "category", "id",
+        F.col("assertions")[0]["type"].alias("kind"), F.col("assertions")[0]["value"].alias("value"),
+    )
+
+
+# A header with repeated names, in files without line breaks.
+@query(
+    "source_repeated_headers",
+    """SELECT c_name AS prompt, c_mktsegment AS expected_answer, CAST(c_custkey AS VARCHAR) AS source_location, '' AS actual_answer,
+      'other ' || c_name AS "Prompt_dup1", CAST(c_nationkey AS VARCHAR) AS note, CAST(c_acctbal AS VARCHAR) AS "Note_dup1", c_name AS "NOTE_dup2" FROM customer""",
+)
+def _(spark, sf):
+    rows = table(spark, sf, "customer").select(
+        F.concat_ws(",", "c_name", "c_mktsegment", "c_custkey", F.concat(F.lit("other "), "c_name"), "c_nationkey", "c_acctbal", "c_name").alias("value")
+    )
+    header = spark.createDataFrame([("prompt,expected_answer,source_location,Prompt,note,Note,NOTE",)], "value string")
+    path = scratch_path(spark, "repeated")
+    header.unionAll(rows).coalesce(1).write.text(path)
+    return evalfiles.read_eval_rows(spark, path, "csv")
+
+
 @query(
     "source_directory",
     """SELECT 'customer' AS kind, CAST(count(*) AS BIGINT) AS n FROM customer""",
@@ -287,6 +372,26 @@ def _(spark, sf):
     return rows.drop("assertions")
 
 
+# Assertions and facts as they come back, one row each.
+@query(
+    "sink_eval_set_assertions",
+    f"""WITH i AS ({_PARTIAL}) SELECT ord, 'assertion' AS part, CAST(pos - 1 AS INTEGER) AS pos, v AS "value", length(v) < 5 AND regexp_full_match(v, '[a-zA-Z]+') AS whole_word FROM (
+      SELECT ord, unnest(vs) AS v, generate_subscripts(vs, 1) AS pos FROM (
+        SELECT ord, list_filter(list_transform(list_filter(given, lambda f: instr(f, '=') > 0), lambda f: {_VALUE}),
+          lambda v: length(v) BETWEEN 2 AND 80 AND contains(lower(answer), lower(v))) AS vs FROM i))
+    UNION ALL SELECT ord, 'fact', CAST(pos - 1 AS INTEGER), v, NULL FROM (SELECT ord, unnest(given) AS v, generate_subscripts(given, 1) AS pos FROM i)""",
+)
+def _(spark, sf):
+    path = sinks.write_eval_set(grounding.build_items(_partial(spark, sf)), scratch_path(spark, "eval-set"))
+    rows, _ = evalfiles.read_eval_set(spark, path)
+    facts = spark.read.schema("ord long, supporting_facts array<string>").json(f"{path}/items")
+    found = rows.select("ord", F.lit("assertion").alias("part"), F.posexplode("assertions").alias("pos", "a")).select(
+        "ord", "part", "pos", "a.value", F.coalesce("a.whole_word", F.lit(False)).alias("whole_word")
+    )
+    given = facts.select("ord", F.lit("fact").alias("part"), F.posexplode("supporting_facts").alias("pos", "value"), F.lit(None).cast("boolean").alias("whole_word"))
+    return found.unionAll(given)
+
+
 @query("sink_eval_set_envelope", f"SELECT '1.0' AS version, 'all tables' AS description, 'part.parquet' AS source_file, CAST(count(*) AS BIGINT) AS item_count, 'checked' AS warnings, 'unknown' AS model FROM ({d.ALL_SQL})")
 def _(spark, sf):
     path = sinks.write_eval_set(all_items(spark, sf), scratch_path(spark, "eval-set"), "all tables", "part.parquet", ["checked"])
@@ -375,6 +480,17 @@ def _(spark, sf):
     return out.select("ord", "similarity_score")
 
 
+# Half of the rows first, then all of them in new files: what comes again is not scored again.
+@query("stream_resume", f"SELECT ord, similarity_score, actual_answer FROM ({evalrows.SCORED_SQL})")
+def _(spark, sf):
+    rows = evalrows.attached(spark, sf).withColumn("sent", F.timestamp_seconds(1_700_000_000 + F.col("ord") % 1000))
+    source, out, state = (scratch_path(spark, f"resume-{x}") for x in ("in", "out", "state"))
+    for part in (F.col("ord") % 2 == 0, F.lit(True)):
+        rows.filter(part).write.mode("append").parquet(source)
+        scored = incremental.score_stream(spark, source, rows.schema, out, state, key="ord", event_time="sent", horizon="1 day")
+    return scored.select("ord", "similarity_score", "actual_answer")
+
+
 from evalspark.plans.scoring_queries import _CATEGORY, _CATEGORY_COLUMNS  # noqa: E402
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 from functools import partial, reduce
 from urllib.parse import unquote
@@ -20,9 +19,11 @@ from evalspark.operators.preparation import (
     warn_version,
 )
 from evalspark.sources import archives
-from evalspark.sources.files import delimited_reader, extension_of, first_line, list_files, read_json_documents
+from evalspark.sources.files import delimited_reader, extension_of, listing, read_json_documents
+from evalspark.sources.sniff import first_records
 
 EVAL_FORMATS = {".csv": "csv", ".tsv": "tsv", ".xlsx": "xlsx", ".json": "json"}
+HEADER_NAMES = HEADER_ALIASES.keys() | SCORE_ALIASES.keys()
 POSITIONAL = ("prompt", "expected_answer", "source_location", "actual_answer")
 
 _FILE_ASSERTION = T.StructType(
@@ -62,31 +63,26 @@ ENVELOPE_SCHEMA = T.StructType(
 
 def is_header(cells: Iterable[str | None]) -> bool:
     """A first row is a header if any of its cells is a known column name."""
-    return not {(c or "").strip().lower() for c in cells}.isdisjoint(HEADER_ALIASES.keys() | SCORE_ALIASES.keys())
+    return not {(c or "").strip().lower() for c in cells}.isdisjoint(HEADER_NAMES)
 
 
 def _delimited(spark: SparkSession, path: str, separator: str) -> list[DataFrame]:
     """The files at ``path``, one table for all files with equal first rows where these are headers.
 
-    Cells may hold line breaks, so each file is read as a whole.
+    First rows are found in one job. Cells may hold line breaks, so each file is read as a whole.
     """
-    reader = delimited_reader(spark, separator, multiline=True).option("header", False)
-    by_header: dict[tuple[str, ...] | None, list[str]] = {}
-    for file in list_files(spark, path):
-        if os.path.basename(file).startswith(("_", ".")):
-            continue
-        first = reader.csv(unquote(file)).first()
-        if first is not None:
-            by_header.setdefault(tuple(c or "" for c in first) if is_header(first) else None, []).append(unquote(file))
+    first = first_records(listing(spark, path), separator).filter(F.size("cells") > 0)
+    known = F.exists("cells", lambda c: F.lower(c).isin(sorted(HEADER_NAMES)))
+    groups = first.groupBy(F.when(known, F.col("cells")).alias("header")).agg(F.sort_array(F.collect_list("path")).alias("uris"))
     tables = []
-    for header, files in by_header.items():
+    for group in groups.toLocalIterator():
+        files, header = [unquote(u) for u in group["uris"]], group["header"]
+        reader = delimited_reader(spark, separator, multiline=True)
         if header is not None:
-            names = deduplicate_headers([h.strip() for h in header])
-            schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-            tables.append(reader.option("header", True).schema(schema).csv(files))
-            reader = delimited_reader(spark, separator, multiline=True).option("header", False)
+            schema = T.StructType([T.StructField(n, T.StringType()) for n in deduplicate_headers(header)])
+            tables.append(reader.schema(schema).csv(files))
         else:
-            raw = reader.csv(files)
+            raw = reader.option("header", False).csv(files)
             tables.append(raw.toDF(*[POSITIONAL[i] if i < len(POSITIONAL) else f"column_{i + 1}" for i in range(len(raw.columns))]))
     return tables or [spark.createDataFrame([], ", ".join(f"`{c}` string" for c in POSITIONAL))]
 
@@ -101,9 +97,6 @@ def read_eval_rows(spark: SparkSession, path: str, kind: str | None = None, with
     if kind not in EVAL_FORMATS.values():
         raise ValueError(f"unsupported file extension {extension_of(path)!r}; supported: {', '.join(EVAL_FORMATS)}")
     if kind == "json":
-        first = first_line(spark, path)
-        if first is not None and not first.lstrip().startswith(("[", "{")):
-            raise ValueError(f"expected a JSON array, or one object per line, in {path}")
         tables = [read_json_documents(spark, path)]
     elif kind == "xlsx":
         cells = archives.workbook_cells(spark.read.format("binaryFile").load(path))
@@ -172,13 +165,16 @@ def read_sidecar(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("ord", "prompt", "assertions")
 
 
-def read_index_schema(spark: SparkSession, path: str) -> DataFrame:
-    """One row: ``name, contentFields, titleField, urlField, hasSummaryItems, connectionDescription``."""
+def read_index_schema(spark: SparkSession, path: str, multiple: bool = False) -> DataFrame:
+    """One row: ``name, contentFields, titleField, urlField, hasSummaryItems, connectionDescription``.
+
+    ``multiple`` reads a folder of schemas with one JSON object per line, one row each.
+    """
     schema = (
         "name string, contentFields array<string>, titleField string, urlField string, "
         "hasSummaryItems boolean, connectionDescription string"
     )
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
+    df = spark.read.schema(schema).option("multiLine", not multiple).json(path)
     if df.filter(F.col("contentFields").isNull()).limit(1).count():
         raise ValueError('index schema must have a "contentFields" array')
     return df

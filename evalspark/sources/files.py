@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from urllib.parse import unquote
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.text import js_string
 from evalspark.operators.chunking import chunk_rows, text_sections
 from evalspark.sources import archives
-from evalspark.sources.rowindex import with_offsets
+from evalspark.sources.jsonscan import json_records, parse_records
+from evalspark.sources.rowindex import with_offsets, with_row_index_by
+from evalspark.sources.sniff import first_records
 
 # File extensions and how they are read.
 FORMATS = {
@@ -37,17 +38,23 @@ def extension_of(path: str) -> str:
     return os.path.splitext(path)[1].lower()
 
 
-def list_files(spark: SparkSession, path: str, recursive: bool = True) -> list[str]:
-    """URIs of the files at or below a path, as scans name them in their metadata; no content is read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return sorted(r["p"] for r in listing.select(F.col("_metadata.file_path").alias("p")).collect())
+def listing(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
+    """``uri`` of the files at or below a path, as scans name them in their metadata; no content is read.
+
+    Names that start with an underscore or a dot are left out, as every scan does.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
+    return files.select(F.col("_metadata.file_path").alias("uri")).filter(~F.element_at(F.split("uri", "/"), -1).rlike("^[_.]"))
+
+
+def _extension(uri: str = "uri") -> Column:
+    return F.lower(F.regexp_extract(F.element_at(F.split(uri, "/"), -1), r"(\.[^.]*)$", 1))
 
 
-def discover_files(spark: SparkSession, path: str, recursive: bool = True, extensions: Iterable[str] | None = None) -> list[str]:
-    """Supported files below a folder, sorted by path."""
-    wanted = {e.lstrip(".").lower() for e in extensions} if extensions is not None else None
-    found = [f for f in list_files(spark, path, recursive) if extension_of(f) in FORMATS]
-    return [f for f in found if wanted is None or extension_of(f)[1:] in wanted]
+def discover_files(spark: SparkSession, path: str, recursive: bool = True, extensions: Iterable[str] | None = None) -> DataFrame:
+    """``uri``, ``extension`` of the supported files below a folder."""
+    wanted = set(FORMATS) if extensions is None else {f".{e.lstrip('.').lower()}" for e in extensions} & set(FORMATS)
+    return listing(spark, path, recursive).withColumn("extension", _extension()).filter(F.col("extension").isin(sorted(wanted)))
 
 
 def delimited_reader(spark: SparkSession, separator: str = ",", multiline: bool = False):
@@ -80,62 +87,14 @@ def _parsed(scan: DataFrame) -> DataFrame:
     return scan
 
 
-def first_line(spark: SparkSession, path: str) -> str | None:
-    """The first line of a file that is not blank."""
-    row = spark.read.text(path).filter(F.trim("value") != "").first()
-    return row["value"] if row else None
-
-
-def holds_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a file starts with a whole object on its first line, as files of JSON lines do.
-
-    A document of one object on one line counts too; it reads the same either way.
-    """
-    line = (first_line(spark, path) or "").strip()
-    if not line.startswith("{"):
-        return False
-    try:
-        return isinstance(json.loads(line), dict)
-    except ValueError:
-        return False
-
-
-def _single_value():
-    """Whether a text is one JSON value with nothing behind it; documents are one row each."""
-
-    @F.pandas_udf("boolean")
-    def check(texts: pd.Series) -> pd.Series:
-        def single(text: str) -> bool:
-            try:
-                json.loads(text)
-            except ValueError:
-                return False
-            return True
-
-        return texts.map(single)
-
-    return check
-
-
 def read_json_documents(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
-    """JSON files of any form: an array of objects, one object, or one object per line, found out for each file.
+    """JSON files of any form: an array of objects, one object, or one object per line.
 
-    Keys are united over all files. What follows the one value of a document fails.
+    Keys are united over all files. Documents are cut into records on all cores (``jsonscan``); what follows the
+    one value of a document fails.
     """
-    files = [unquote(f) for p in ([paths] if isinstance(paths, str) else paths) for f in list_files(spark, p)]
-    files = [f for f in files if not os.path.basename(f).startswith(("_", "."))]
-    lines = [f for f in files if holds_json_lines(spark, f)]
-    documents = [f for f in files if f not in set(lines)]
-    parts = []
-    if documents:
-        # The reader stops behind the first value of a document.
-        whole = spark.read.text(documents, wholetext=True).filter(F.trim("value") != "")
-        if not whole.filter(~_single_value()(F.col("value"))).isEmpty():
-            raise ValueError("a JSON document must hold one value and nothing behind it")
-        parts.append(_parsed(spark.read.option("multiLine", True).json(documents)))
-    if lines:
-        parts.append(read_json_lines(spark, lines))
-    return parts[0] if len(parts) == 1 else merge(parts)
+    records = json_records(spark, [paths] if isinstance(paths, str) else paths)
+    return parse_records(records).drop("_path", "_pos")
 
 
 def read_json_lines(spark: SparkSession, paths: Sequence[str] | str) -> DataFrame:
@@ -160,46 +119,60 @@ def _with_position(scan: DataFrame) -> DataFrame:
     )
 
 
-def header_groups(spark: SparkSession, paths: Sequence[str], separator: str = ",", multiline: bool = False) -> list[list[str]]:
-    """Delimited files grouped by the header that the reader finds in them, so that each group is one scan."""
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path in paths:
-        header = tuple(read_delimited(spark, path, separator, multiline).columns) if len(paths) > 1 else ()
-        groups.setdefault(header, []).append(path)
-    return list(groups.values())
+def header_groups(files: DataFrame, separator: str = ",") -> DataFrame:
+    """``cells``, ``uris``, ``n``: the files of ``files(uri)`` that have the same first record; found in one job."""
+    return first_records(files, separator).groupBy(F.col("cells")).agg(F.sort_array(F.collect_list("path")).alias("uris"), F.count(F.lit(1)).alias("n"))
+
+
+@dataclass
+class _Scan:
+    """What the files of one format are read with: the inputs, and a filter on names."""
+
+    spark: SparkSession
+    inputs: list[str]
+    recursive: bool
+    extensions: list[str]
 
+    def reader(self, reader: DataFrameReader) -> DataFrameReader:
+        letters = ["".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in self.extensions]
+        return reader.option("pathGlobFilter", f"*{{{','.join(letters)}}}").option("recursiveFileLookup", self.recursive)
 
-def _read_group(spark: SparkSession, kind: str, paths: list[str], multiline: bool = False) -> list[DataFrame]:
+
+def _delimited_scans(scan: _Scan, files: DataFrame, separator: str, multiline: bool) -> list[DataFrame]:
+    """One scan for each different header; where all files have the same, no path is named."""
+    reader = scan.reader(delimited_reader(scan.spark, separator, multiline))
+    groups = header_groups(files, separator).filter(F.size("cells") > 0).checkpoint()
+    if groups.count() < 2:
+        return [reader.csv(scan.inputs)]
+    return [reader.csv([unquote(u) for u in group["uris"]]) for group in groups.toLocalIterator()]
+
+
+def _read_group(scan: _Scan, kind: str, files: DataFrame, multiline: bool = False) -> list[DataFrame]:
+    spark, inputs = scan.spark, scan.inputs
     if kind in ("csv", "tsv"):
-        separator = "\t" if kind == "tsv" else ","
-        groups = header_groups(spark, paths, separator, multiline)
-        return [_with_position(read_delimited(spark, group, separator, multiline)) for group in groups]
+        return [_with_position(part) for part in _delimited_scans(scan, files, "\t" if kind == "tsv" else ",", multiline)]
     if kind == "json":
-        lines = [p for p in paths if holds_json_lines(spark, p)]
-        documents = [p for p in paths if p not in set(lines)]
-        parts = [read_json_documents(spark, documents)] if documents else []
-        parts += [read_json_lines(spark, lines)] if lines else []
-        return [_with_position(part) for part in parts]
+        return [parse_records(json_records(spark, inputs, scan.reader(spark.read)))]
     if kind == "jsonl":
-        return [_with_position(read_json_lines(spark, paths))]
+        return [_with_position(_parsed(scan.reader(spark.read).json(inputs)))]
     if kind == "parquet":
-        scan = spark.read.option("mergeSchema", True).parquet(*paths)
-        return [scan.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_pos"))]
+        table = scan.reader(spark.read).option("mergeSchema", True).parquet(*inputs)
+        return [table.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_pos"))]
     if kind == "text":
-        whole = spark.read.text(paths, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+        whole = scan.reader(spark.read).text(inputs, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
         chunks = chunk_rows(whole, ["_path"], text_sections(F.col("value")), "\n\n")
         return [chunks.withColumn("_pos", F.col("chunk_number").cast("bigint") - 1)]
-    binaries = spark.read.format("binaryFile").load(paths)
-    files = binaries.select(F.col("_metadata.file_path").alias("path"), "content")
+    binaries = scan.reader(spark.read.format("binaryFile")).load(inputs)
+    contents = binaries.select(F.col("_metadata.file_path").alias("path"), "content")
     if kind == "xlsx":
-        cells = archives.workbook_cells(files)
+        cells = archives.workbook_cells(contents)
         return [archives.map_columns(cells).withColumnsRenamed({"path": "_path", "row_no": "_pos"})]
     if kind == "docx":
-        chunks = archives.document_chunks(files)
+        chunks = archives.document_chunks(contents)
         return [chunks.withColumnRenamed("path", "_path").withColumn("_pos", F.col("chunk_number").cast("bigint") - 1)]
     # Empty slides leave gaps in the numbers of a file's slides.
     rank = F.row_number().over(Window.partitionBy("path").orderBy("slide_number")) - 1
-    slides = archives.slide_records(files).withColumn("_pos", rank.cast("bigint"))
+    slides = archives.slide_records(contents).withColumn("_pos", rank.cast("bigint"))
     return [slides.withColumnRenamed("path", "_path")]
 
 
@@ -237,33 +210,45 @@ def read_dataset(
     folders sorted by path, rows in file order. ``formats`` overrides how an extension is read. ``multiline`` lets cells
     of delimited files hold line breaks, at the price of one task per file.
     """
-    kinds = {**FORMATS, **(formats or {})}
     names = [p.strip() for p in inputs.split(",")] if isinstance(inputs, str) else list(inputs)
-    files: list[str] = []
-    for name in filter(None, names):
-        if extension_of(name) in FORMATS and len(listed := list_files(spark, name)) == 1:
-            files.extend(listed)
-            continue
-        found = discover_files(spark, name, recursive, extensions)
-        if not found:
-            raise ValueError(f"no supported files found in {name}")
-        files.extend(found)
-    if not files:
+    names = [n for n in names if n]
+    if not names:
         raise ValueError("no files to read")
+    kinds = {**FORMATS, **(formats or {})}
+    manifest = _manifest(spark, names, recursive, extensions)
+    found = sorted(manifest.agg(F.collect_set("extension")).first()[0])
     by_kind: dict[str, list[str]] = {}
-    for file in files:
-        by_kind.setdefault(kinds[extension_of(file)], []).append(unquote(file))
-    parts = [df for kind, paths in by_kind.items() for df in _read_group(spark, kind, paths, multiline)]
+    for extension in found:
+        by_kind.setdefault(kinds[extension], []).append(extension)
+    parts = []
+    for kind, own in by_kind.items():
+        scan = _Scan(spark, list(dict.fromkeys(names)), recursive, own)
+        parts += _read_group(scan, kind, manifest.filter(F.col("extension").isin(own)).select("uri").distinct(), multiline)
     merged = merge(parts)
-    order = spark.createDataFrame(
-        [(f, i, os.path.basename(unquote(f))) for i, f in enumerate(files)], "_path string, _file_no int, _source_file string"
-    )
-    counts = merged.groupBy("_path").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file_no").rowsBetween(Window.unboundedPreceding, -1)
+    counts = merged.groupBy(F.col("_path").alias("uri")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        counts.join(order, "_path")
+        manifest.join(counts, "uri")
         .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0).cast("bigint")))
-        .select("_path", "_offset", "_source_file")
+        .select(F.col("uri").alias("_path"), "_offset", "_source_file")
     )
-    numbered = with_offsets(merged, offsets, ["_path"], len(files)).withColumn("row_index", F.col("_offset") + F.col("_pos"))
+    numbered = with_offsets(merged, offsets, ["_path"], manifest.count()).withColumn("row_index", F.col("_offset") + F.col("_pos"))
     return numbered.drop("_path", "_pos", "_offset")
+
+
+def _manifest(spark: SparkSession, names: list[str], recursive: bool, extensions: Iterable[str] | None) -> DataFrame:
+    """``uri``, ``extension``, ``_source_file``, ``file_no``: the files to read as a written table, numbered in order of input and path.
+
+    A path with a known extension is a file, or a folder of parts whose names say how they are read; ``extensions`` chooses
+    among the files of other folders.
+    """
+    lists = []
+    for place, name in enumerate(names):
+        chosen = None if extension_of(name) in FORMATS else extensions
+        lists.append(discover_files(spark, name, recursive, chosen).withColumn("place", F.lit(place)))
+    files = reduce(DataFrame.unionAll, lists).withColumn("_source_file", F.url_decode(F.regexp_replace(F.element_at(F.split("uri", "/"), -1), r"\+", "%2B")))
+    manifest = with_row_index_by(files, ["place", "uri"], "file_no")
+    missing = set(range(len(names))) - set(manifest.agg(F.collect_set("place")).first()[0])
+    if missing:
+        raise ValueError(f"no supported files found in {names[min(missing)]}")
+    return manifest.drop("place")
