@@ -19,11 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 
 KEY_SCHEMA = (
     "ord long, contained boolean, size_class int, block_key long, pos int, len int, whole long, "
@@ -140,23 +141,20 @@ class Anchor(NamedTuple):
     pos: int
     whole: int
     left_first: int
-    lefts: list[int]
+    lefts: np.ndarray
     right_first: int
-    rights: list[int]
+    rights: np.ndarray
 
 
 def _sides(hashes: RollingHash, size_class: int, pos: int, left: tuple[int, int], right: tuple[int, int]) -> tuple:
     """Hashes beside the block at ``pos``, for side lengths from the first to the second of ``left`` and ``right``."""
     left_grain, right_grain = grains(size_class)
-    after = pos + _widths(size_class)[1]
     lefts = np.arange(left[0] // left_grain, left[1] // left_grain + 1) * left_grain
     rights = np.arange(right[0] // right_grain, right[1] // right_grain + 1) * right_grain
-    return (
-        left[0] // left_grain,
-        hashes.spans(pos - lefts, lefts).view(np.int64).tolist(),
-        right[0] // right_grain,
-        hashes.spans(np.full_like(rights, after), rights).view(np.int64).tolist(),
-    )
+    starts = np.full(len(lefts) + len(rights), pos + _widths(size_class)[1])
+    starts[: len(lefts)] = pos - lefts
+    found = hashes.spans(starts, np.concatenate((lefts, rights))).view(np.int64)
+    return left[0] // left_grain, found[: len(lefts)], right[0] // right_grain, found[len(lefts) :]
 
 
 def text_keys(text: str) -> list[Anchor]:
@@ -185,18 +183,34 @@ def text_keys(text: str) -> list[Anchor]:
     return out
 
 
-def overlap_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: frames of ``(ord, norm)`` to frames of :data:`KEY_SCHEMA`."""
-    names = [c.split()[0] for c in KEY_SCHEMA.split(", ")]
-    for frame in batches:
+_KEY_ARROW = pa.schema(
+    [("ord", pa.int64()), ("contained", pa.bool_()), ("size_class", pa.int32()), ("block_key", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())]
+    + [("whole", pa.int64()), ("left_first", pa.int32()), ("lefts", pa.list_(pa.int64())), ("right_first", pa.int32()), ("rights", pa.list_(pa.int64()))]
+)
+
+
+def _lists(values: Sequence[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64)))
+
+
+def _key_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_KEY_ARROW)
+    made = [_lists(c) if pa.types.is_list(f.type) else pa.array(c, f.type) for c, f in zip(columns, _KEY_ARROW)]
+    return pa.RecordBatch.from_arrays(made, schema=_KEY_ARROW)
+
+
+def overlap_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body: batches of ``(ord, norm)`` to batches of :data:`KEY_SCHEMA`."""
+    for batch in batches:
         rows: list[tuple] = []
-        for order, text in zip(frame["ord"], frame["norm"]):
+        for order, text in zip(batch.column("ord").to_pylist(), batch.column("norm").to_pylist()):
             for a in text_keys(text):
                 rows.append((order, *a[:4], len(text), *a[4:]))
             if len(rows) > 10_000:
-                yield pd.DataFrame(rows, columns=names)
+                yield _key_batch(rows)
                 rows = []
-        yield pd.DataFrame(rows, columns=names)
+        yield _key_batch(rows)
 
 
 SPAN_SCHEMA = "ord long, start int, size int, digest string"

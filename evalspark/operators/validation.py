@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.functions.overlap import KEY_SCHEMA, SPAN_SCHEMA, overlap_keys, span_digests
@@ -23,11 +23,17 @@ MAX_LOW_SHARE = 0.2
 def first_of_equal(texts: DataFrame) -> DataFrame:
     """Of rows with equal ``norm`` keep the one with the lowest ``ord``.
 
-    Only digests and ``ord`` are grouped, with one row per digest and map task before the shuffle, so copies that make up
-    a large part of the table do not meet in one task, and no text is sorted.
+    The rank filter keeps one row per text and map task before the shuffle, so copies that make up a
+    large part of the table do not meet in one task; the digest keeps the sort keys short. Texts are made and moved once.
     """
-    first = texts.groupBy(F.sha2("norm", 256).alias("_digest")).agg(F.min("ord").alias("ord")).select("ord")
-    return texts.join(first, "ord", "left_semi")
+    digest = F.sha2("norm", 256)
+    rank = F.row_number().over(Window.partitionBy(digest).orderBy("ord"))
+    return texts.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+
+
+def first_ords(texts: DataFrame) -> DataFrame:
+    """``ord`` of the rows that ``first_of_equal`` keeps: only digests are grouped, and no text is moved."""
+    return texts.groupBy(F.sha2("norm", 256)).agg(F.min("ord").alias("ord")).select("ord")
 
 
 def candidate_spans(usable: DataFrame) -> DataFrame:
@@ -42,7 +48,7 @@ def candidate_spans(usable: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(usable.sparkSession)
     # Read four times below; ten short rows per text are cheaper to keep than to compute again.
-    keys = usable.mapInPandas(overlap_keys, KEY_SCHEMA).checkpoint()
+    keys = usable.mapInArrow(overlap_keys, KEY_SCHEMA).checkpoint()
     block = F.xxhash64("size_class", "block_key")
     inside = keys.filter("contained").select(
         block.alias("_block"),

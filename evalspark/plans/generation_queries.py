@@ -307,7 +307,7 @@ def _(spark, sf):
 @query("dedup_exact", f"SELECT min(doc_id) AS ord FROM (SELECT doc_id, {_NORM} AS norm FROM documents) GROUP BY norm")
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("ord"), normalize_prompt(F.col("text")).alias("norm"))
-    return validation.first_of_equal(docs).select("ord")
+    return validation.first_ords(docs)
 
 
 # Every document twice: as it is, and with its source and number added at both ends.
