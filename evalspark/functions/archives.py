@@ -5,6 +5,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from array import array
+from collections.abc import Iterator
+from typing import IO
 from xml.etree import ElementTree
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -34,7 +37,41 @@ def _column_of(reference: str) -> int:
     return number - 1
 
 
-def _cell_text(cell, shared: list[str]) -> str | None:
+class SharedStrings:
+    """The shared texts of a workbook, end to end in one buffer; no object per text."""
+
+    def __init__(self, archive: zipfile.ZipFile):
+        self._bytes, self._ends = bytearray(), array("q", [0])
+        if "xl/sharedStrings.xml" not in archive.namelist():
+            return
+        with archive.open("xl/sharedStrings.xml") as stream:
+            for item in _elements(stream, f"{_MAIN}si"):
+                self._bytes += "".join(t.text or "" for t in item.iter(f"{_MAIN}t")).encode()
+                self._ends.append(len(self._bytes))
+
+    def __getitem__(self, at: int) -> str:
+        if not 0 <= at < len(self._ends) - 1:
+            raise ValueError(f"workbook names shared text {at} of {len(self._ends) - 1}")
+        return self._bytes[self._ends[at] : self._ends[at + 1]].decode()
+
+
+def _elements(stream: IO[bytes], tag: str) -> Iterator[ElementTree.Element]:
+    """The elements called ``tag`` as they are read; each is emptied and let go after its turn."""
+    events = ElementTree.iterparse(stream, events=("start", "end"))
+    open_elements: list[ElementTree.Element] = []
+    for event, element in events:
+        if event == "start":
+            open_elements.append(element)
+            continue
+        open_elements.pop()
+        if element.tag == tag:
+            yield element
+            element.clear()
+            if open_elements:
+                open_elements[-1].remove(element)
+
+
+def _cell_text(cell: ElementTree.Element, shared: SharedStrings) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
@@ -48,35 +85,38 @@ def _cell_text(cell, shared: list[str]) -> str | None:
     return value.text
 
 
-def workbook_rows(content: bytes) -> list[dict[str, str]]:
-    """Rows of the first sheet, keyed by the header row; blank cells are left out, blank rows skipped."""
+class _Headers:
+    """Names of columns by position: those of the first row; blank ones are numbered, and so are repeated ones."""
+
+    def __init__(self, first: dict[int, str]):
+        self._first, self._names, self._seen = first, [], {}
+
+    def __getitem__(self, at: int) -> str:
+        while len(self._names) <= at:
+            base = self._first.get(len(self._names)) or "__EMPTY"
+            count = self._seen[base] = self._seen.get(base, -1) + 1
+            self._names.append(f"{base}_{count}" if count else base)
+        return self._names[at]
+
+
+def workbook_rows(content: bytes) -> Iterator[dict[str, str]]:
+    """Rows of the first sheet as they are read, keyed by the header row; blank cells are left out, blank rows skipped."""
     with zipfile.ZipFile(io.BytesIO(content)) as archive:
         name = _first_sheet_name(archive)
         if name is None:
             raise ValueError("workbook has no sheets")
-        shared = []
-        if "xl/sharedStrings.xml" in archive.namelist():
-            for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")):
-                shared.append("".join(t.text or "" for t in item.iter(f"{_MAIN}t")))
-        sheet = ElementTree.fromstring(archive.read(name))
-    grid = []
-    for row in sheet.iter(f"{_MAIN}row"):
-        cells = {}
-        for at, cell in enumerate(row.findall(f"{_MAIN}c")):
-            text = _cell_text(cell, shared)
-            if text is not None:
-                cells[_column_of(cell.get("r")) if cell.get("r") else at] = text
-        grid.append(cells)
-    if not grid:
-        return []
-    width = max((max(r, default=-1) for r in grid), default=-1) + 1
-    headers, seen = [], {}
-    for at in range(width):
-        base = grid[0].get(at) or "__EMPTY"
-        count = seen.get(base, 0)
-        seen[base] = count + 1
-        headers.append(f"{base}_{count}" if count else base)
-    return [{headers[at]: text for at, text in sorted(r.items())} for r in grid[1:] if r]
+        shared, headers = SharedStrings(archive), None
+        with archive.open(name) as stream:
+            for row in _elements(stream, f"{_MAIN}row"):
+                cells = {}
+                for at, cell in enumerate(row.findall(f"{_MAIN}c")):
+                    text = _cell_text(cell, shared)
+                    if text is not None:
+                        cells[_column_of(cell.get("r")) if cell.get("r") else at] = text
+                if headers is None:
+                    headers = _Headers(cells)
+                elif cells:
+                    yield {headers[at]: text for at, text in sorted(cells.items())}
 
 
 def document_xml(content: bytes) -> str:

@@ -159,8 +159,11 @@ class Validation:
     issues: DataFrame
 
 
-def summarize(kept: DataFrame, item_count: Column, total_rows: Column) -> DataFrame:
-    """One row with ``passed``, counts, coverage and the list of issues; one aggregation over the items."""
+def summarize(kept: DataFrame, item_count: Column | None, total_rows: Column) -> DataFrame:
+    """One row with ``passed``, counts, coverage and the list of issues; one aggregation over the items.
+
+    ``item_count`` is the number of items before duplicates went; None where all were kept.
+    """
     per_category = [F.count_if(F.col("category") == c).alias(f"n_{c}") for c in CATEGORY_WEIGHTS]
     one = kept.agg(
         F.count(F.lit(1)).alias("total_items"),
@@ -168,7 +171,8 @@ def summarize(kept: DataFrame, item_count: Column, total_rows: Column) -> DataFr
         F.count_if(F.col("grounding_confidence") == "low").alias("low_confidence"),
         *per_category,
     )
-    one = one.withColumn("duplicates_removed", item_count - F.col("total_items")).withColumn(
+    before = F.col("total_items") if item_count is None else item_count
+    one = one.withColumn("duplicates_removed", before - F.col("total_items")).withColumn(
         "coverage_score", coverage_score(F.col("locations"), F.col("total_items"), total_rows)
     )
     balance = []
@@ -206,6 +210,9 @@ def summarize(kept: DataFrame, item_count: Column, total_rows: Column) -> DataFr
 
 def validate_items(items: DataFrame, total_rows: int) -> Validation:
     """Deduplicate, then check balance, coverage and confidence of what is left."""
+    ensure_checkpoint_dir(items.sparkSession)
+    # Items are built once; they are counted and deduplicated from there.
+    items = items.checkpoint()
     kept = deduplicate(items)
     count = items.agg(F.count(F.lit(1))).scalar()
     result = summarize(kept, count, F.lit(total_rows))

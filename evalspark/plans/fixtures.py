@@ -30,16 +30,26 @@ def _zip(entries: dict[str, str]) -> bytes:
     return buffer.getvalue()
 
 
-def workbook(columns: list[str], rows: list[list]) -> bytes:
+def workbook(columns: list[str], rows: list[list], shared: bool = False) -> bytes:
+    """Texts stand in their cells, or with ``shared`` in a table of different texts that cells point to."""
+    texts: dict[str, int] = {}
+
     def cell(value) -> str:
         if value is None:
             return "<c/>"
         if isinstance(value, (int, float)):
             return f"<c><v>{value}</v></c>"
+        if shared:
+            return f'<c t="s"><v>{texts.setdefault(str(value), len(texts))}</v></c>'
         return f'<c t="inlineStr"><is><t>{escape(str(value))}</t></is></c>'
 
     body = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in [columns, *rows])
-    return _zip({"xl/workbook.xml": _WORKBOOK, "xl/_rels/workbook.xml.rels": _RELATIONS, "xl/worksheets/sheet1.xml": _SHEET.format(body)})
+    entries = {"xl/workbook.xml": _WORKBOOK, "xl/_rels/workbook.xml.rels": _RELATIONS, "xl/worksheets/sheet1.xml": _SHEET.format(body)}
+    if shared:
+        # Each text in two runs, as texts with formats are.
+        items = "".join(f"<si><r><t>{escape(t[:1])}</t></r><r><t>{escape(t[1:])}</t></r></si>" for t in texts)
+        entries["xl/sharedStrings.xml"] = f'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{items}</sst>'
+    return _zip(entries)
 
 
 def document(paragraphs: list[str]) -> bytes:
@@ -61,14 +71,14 @@ def deck(slides: list[list[str]]) -> bytes:
     )
 
 
-def as_workbooks(df: DataFrame) -> DataFrame:
+def as_workbooks(df: DataFrame, shared: bool = False) -> DataFrame:
     """``(path, content)``: one workbook per Arrow batch of rows."""
     columns = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             rows = frame.astype(object).values.tolist()
-            yield pd.DataFrame({"path": [f"book-{rows[0][0]}.xlsx"], "content": [workbook(columns, rows)]})
+            yield pd.DataFrame({"path": [f"book-{rows[0][0]}.xlsx"], "content": [workbook(columns, rows, shared)]})
 
     return df.mapInPandas(run, "path string, content binary")
 

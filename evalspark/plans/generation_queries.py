@@ -398,7 +398,7 @@ def _(spark, sf):
 def _(spark, sf):
     items = all_items(spark, sf)
     total = table(spark, sf, "part").agg(F.count(F.lit(1))).scalar()
-    result = validation.summarize(items, items.agg(F.count(F.lit(1))).scalar(), total)
+    result = validation.summarize(items, None, total)
     low = F.exists("issues", lambda i: F.contains(i, F.lit("low grounding confidence")))
     return result.select(
         "total_items", F.round("coverage_score", 6).alias("coverage_score"), "low_confidence", low.alias("low_issue")

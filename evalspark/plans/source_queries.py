@@ -208,6 +208,16 @@ def _(spark, sf):
     return archives.map_columns(archives.workbook_cells(books), names=["s_suppkey", "s_name", "s_nationkey", "s_acctbal"]).drop("path", "row_no")
 
 
+# Texts in the workbooks' shared tables; every column of the larger table.
+@query(
+    "source_workbook_shared",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal, c_mktsegment FROM customer",
+)
+def _(spark, sf):
+    books = fixtures.as_workbooks(table(spark, sf, "customer"), shared=True)
+    return archives.map_columns(archives.workbook_cells(books)).drop("path", "row_no")
+
+
 # The greedy packing over lines in SQL: a running fold of [size, chunk] per line.
 def _fold_sql(pieces: str, gap: int) -> str:
     return f"""list_reduce(list_transform({pieces}, lambda p: [length(p)]), lambda acc, x: list_append(acc,

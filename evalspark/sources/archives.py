@@ -7,6 +7,7 @@ only opens the archives; text rules run on columns afterwards.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,10 +24,10 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for path, content in zip(frame["path"], frame["content"]):
-                rows = workbook_rows(bytes(content))
-                for start in range(0, len(rows), 10_000):
-                    part = rows[start : start + 10_000]
-                    yield pd.DataFrame({"path": path, "row_no": range(start, start + len(part)), "cells": part})
+                start = 0
+                for part in batched(workbook_rows(bytes(content)), 10_000):
+                    yield pd.DataFrame({"path": path, "row_no": range(start, start + len(part)), "cells": list(part)})
+                    start += len(part)
 
     return files.select("path", "content").mapInPandas(run, "path string, row_no long, cells map<string,string>")
 

@@ -4,11 +4,14 @@ import json
 import os
 import random
 import time
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
 
+from evalspark.functions.archives import workbook_rows
 from evalspark.operators import grounding, incremental_profile, profiling
+from evalspark.plans import fixtures
 from evalspark.sources import evalfiles, files, jsonscan, sniff
 from evalspark.streaming import incremental
 
@@ -80,6 +83,28 @@ def test_one_array_is_read_without_whole_files_or_python(spark, tmp_path):
     assert [r["a"] for r in df.collect()] == list(range(50))
 
 
+def test_workbook_rows_stream_in_bounded_memory():
+    count = 500_000
+    body = "".join(f'<row><c><v>{i}</v></c><c t="s"><v>{i % 1000}</v></c></row>' for i in range(-1, count)).replace("<v>-1</v>", '<v>0</v>')
+    entries = {
+        "xl/workbook.xml": fixtures._WORKBOOK, "xl/_rels/workbook.xml.rels": fixtures._RELATIONS, "xl/worksheets/sheet1.xml": fixtures._SHEET.format(body),
+        "xl/sharedStrings.xml": f'<sst xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{"".join(f"<si><t>text {i}</t></si>" for i in range(1000))}</sst>',
+    }
+    content = fixtures._zip(entries)
+    del body, entries
+    seen = 0
+    tracemalloc.start()
+    try:
+        for row in workbook_rows(content):
+            seen += 1
+            if seen % 250_000 == 0:
+                assert row["text 999"] == f"text {(seen - 1) % 1000}"
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+    assert seen == count
+
+
 def jobs(spark, fn):
     group = f"group-{random.random()}"
     spark.sparkContext.setJobGroup(group, group)
