@@ -6,7 +6,8 @@ bands that grow by half, each with a number of segments of its own; a set takes
 larger partner may lie there, in the next.
 
 *Index of segment subsets.* Every non-empty segment gives one signature. Signatures shared by few sets propose their
-members. A segment costs what its signature's list is long: empty segments and lists over ``LIST`` members are not
+members: each member gets its size and sketch once, and pairs are tried inside the task that holds their list, so that only possible
+ones become rows. A segment costs what its signature's list is long: empty segments and lists over ``LIST`` members are not
 allotted. A set that loses no more of them than its segments in reserve is certain to meet each partner elsewhere.
 
 *One-deletion neighbourhoods.* Sets that lose more are indexed again with about half as many segments, each under its
@@ -32,20 +33,20 @@ from math import isqrt
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
 from evalspark.llm.frames import frame
 from evalspark.llm.shingles import mix, set_digest, shingle_set
-from evalspark.session import ensure_checkpoint_dir, scratch_path
+from evalspark.session import ensure_checkpoint_dir, remove_path, scratch_path
 
 LIST = 64
 _BAND_BITS = np.uint64(63)
 _BITMAP = 1 << 24
 _SKETCH_BITS = 1024
 _ROUNDS = 3
-_SETS_SCHEMA = "row_id long, text_key long, node long, n long, band int, empty long, empty_next long"
+_SETS_SCHEMA = "row_id long, text_key long, node long, n long, band int, empty long, empty_next long, sketch binary, signatures binary"
 
 
 def band_limits(limit: int = 1 << 33) -> np.ndarray:
@@ -124,7 +125,7 @@ def _empty(values: np.ndarray, band: int) -> int:
 
 
 def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One narrow row per document: its set's digest and size, and how many of its segments are empty."""
+    """One row per document: its set's digest and size, how many of its segments are empty, its sketch and its signatures."""
     names = [c.split()[0] for c in _SETS_SCHEMA.split(", ")]
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,12 +134,13 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
             for row_id, text_key, whole in zip(rows["row_id"], rows["text_key"], rows["t"]):
                 values = shingle_set(whole)
                 if not len(values):
-                    out.append((row_id, text_key, None, 0, 0, 0, 0))
+                    out.append((row_id, text_key, None, 0, 0, 0, 0, None, None))
                     continue
                 bands = bands_of(len(values))
                 empty = [_empty(values, band) for band in bands]
                 node = np.uint64(set_digest(values)).astype(np.int64)
-                out.append((row_id, text_key, int(node), len(values), bands[0], empty[0], empty[-1]))
+                packed = parity_sketch(values).tobytes(), subset_signatures(values).tobytes()
+                out.append((row_id, text_key, int(node), len(values), bands[0], empty[0], empty[-1], *packed))
             yield frame(out, names, ("row_id", "node"))
 
     whole = F.col(f"`{text}`")
@@ -147,38 +149,22 @@ def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     ).mapInPandas(measure, _SETS_SCHEMA)
 
 
-def _signatures(docs: DataFrame, text: str) -> DataFrame:
+def _signatures(rows: DataFrame) -> DataFrame:
     """``(sig, node)`` of the subset index; copies inside a batch count once."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen, keys, nodes = set(), [], []
-            rows = 0
-            for whole in batch.column(0).to_pylist():
-                values = shingle_set(whole)
-                if not len(values):
-                    continue
-                node = set_digest(values)
-                if node in seen:
-                    continue
-                seen.add(node)
-                found = subset_signatures(values)
-                keys.append(found)
-                nodes.append(np.full(len(found), node, dtype=np.uint64))
-                rows += len(found)
-                if rows > 500_000:
-                    yield _pairs(keys, nodes)
-                    keys, nodes, rows = [], [], 0
-            if keys:
-                yield _pairs(keys, nodes)
-
-    return docs.select(F.col(f"`{text}`").cast("binary").alias("t")).mapInArrow(sign, "sig long, node long")
-
-
-def _pairs(keys: list[np.ndarray], nodes: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.concatenate(x).view(np.int64)) for x in (keys, nodes)], names=["sig", "node"]
-    )
+            nodes = batch.column(0).to_numpy()
+            nodes, first = np.unique(nodes, return_index=True)
+            packed = batch.column(1).take(pa.array(first)).to_pylist()
+            for at in range(0, len(nodes), 1000):
+                part = packed[at : at + 1000]
+                counts = [len(p) // 8 for p in part]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.frombuffer(b"".join(part), dtype=np.int64)), pa.array(np.repeat(nodes[at : at + 1000], counts))], names=["sig", "node"]
+                )
+
+    return rows.filter("node IS NOT NULL").select("node", "signatures").mapInArrow(sign, "sig long, node long")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,13 +273,13 @@ def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -
                 node = int(np.uint64(set_digest(values)).astype(np.int64))
                 if len(values) and node not in found:
                     found[node] = values.view(np.int64)
-                    sketches.append(parity_sketch(values))
+                    sketches.append(parity_sketch(values).tobytes())
             if found:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(found.keys(), pa.int64()),
                         pa.array([len(v) for v in found.values()], pa.int64()),
-                        pa.array(sketches, pa.list_(pa.int64())),
+                        pa.array(sketches, pa.binary()),
                         pa.array(found.values(), pa.list_(pa.int64())),
                     ],
                     names=["node", "n", "sketch", "elements"],
@@ -301,21 +287,31 @@ def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -
 
     whole = F.col(f"`{text}`")
     texts = docs.select(F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t"))
-    sets = texts.mapInArrow(fetch, "node long, n long, sketch array<long>, elements array<long>")
+    sets = texts.mapInArrow(fetch, "node long, n long, sketch binary, elements array<long>")
     path = scratch_path(spark, "sets")
     sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
+def _near(na: np.ndarray, nb: np.ndarray, sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches leave it possible that two sets are linked."""
+    turned = np.bitwise_count(sa ^ sb).sum(axis=1, dtype=np.int64)
+    return (4 * np.minimum(na, nb) >= 3 * np.maximum(na, nb)) & (7 * turned <= na + nb)
+
+
 def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that sizes and sketches leave possible; they leave out only pairs that aren't linked."""
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-    turned = F.aggregate(
-        F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, bits: total + bits
-    )
-    near = 4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")
-    return pairs.join(b, "b").join(a, "a").filter(near & (7 * turned <= F.col("na") + F.col("nb"))).select("a", "b")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64) for c in ("sa", "sb"))
+            chosen = pa.array(_near(na, nb, sa, sb))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], names=["a", "b"])
+
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -363,16 +359,47 @@ def _short(lists: DataFrame) -> DataFrame:
     return members.select(F.xxhash64("members").alias("list"), F.explode("members").alias("node"))
 
 
-def _meetings(lists: DataFrame, needs: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that meet on short lists of one band as often as each of them needs."""
-    alike = lists.filter(F.col("members").isNotNull()).groupBy("members", _band().alias("band")).agg(F.count(F.lit(1)).alias("n"))
-    firsts = alike.select("members", "band", "n", F.explode("members").alias("a"))
-    pairs = firsts.select("a", F.explode(F.filter("members", lambda m: m > F.col("a"))).alias("b"), "band", "n")
-    met = pairs.groupBy("a", "b", "band").agg(F.sum("n").alias("n"))
-    of_a = needs.select(F.col("node").alias("a"), "band", F.col("need").alias("need_a"))
-    of_b = needs.select(F.col("node").alias("b"), "band", F.col("need").alias("need_b"))
-    joined = met.join(of_a, ["a", "band"]).join(of_b, ["b", "band"])
-    return joined.filter(F.col("n") >= F.greatest("need_a", "need_b")).select("a", "b").distinct()
+def _pairs_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(list, node, n, sketch)`` sorted by list in; the pairs of members that sizes and sketches leave possible out."""
+    held = [np.empty(0, dtype=np.int64)] * 3 + [np.empty((0, _SKETCH_BITS // 64), dtype=np.uint64)]
+
+    def possible(lists: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        begin = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1))
+        width = np.diff(np.concatenate((begin, [len(lists)])))
+        firsts, seconds = [], []
+        for members in np.unique(width[width > 1]).tolist():
+            one, other = np.triu_indices(members, 1)
+            starts = begin[width == members][:, None]
+            # At most as many lists at once as make 2 ** 18 pairs.
+            for at in range(0, len(starts), max(1, (1 << 18) // len(one))):
+                a, b = ((starts[at : at + max(1, (1 << 18) // len(one))] + x).ravel() for x in (one, other))
+                near = _near(n[a], n[b], sketch[a], sketch[b])
+                firsts.append(np.minimum(node[a[near]], node[b[near]]))
+                seconds.append(np.maximum(node[a[near]], node[b[near]]))
+        pairs = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (firsts, seconds)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
+    for batch in batches:
+        sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64)
+        new = [*(batch.column(i).to_numpy() for i in range(3)), sketches]
+        rows = [np.concatenate(x) for x in zip(held, new)]
+        # The last list may go on in the next batch.
+        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+        held = [x[last:] for x in rows]
+        if last:
+            yield possible(*(x[:last] for x in rows))
+    if len(held[0]):
+        yield possible(*held)
+
+
+def _meetings(lists: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that meet on a short list and that sizes and sketches leave possible.
+
+    Each member of a different list gets its size and sketch once; pairs are then tried inside the task that holds the list, so only possible
+    ones become rows.
+    """
+    members = _short(lists).join(sketches, "node").select("list", "node", "n", "sketch")
+    return members.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_in_lists, "a long, b long").distinct()
 
 
 class _Links:
@@ -504,21 +531,26 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     ensure_checkpoint_dir(spark)
     path = scratch_path(spark, "measured")
     _sets(docs, key, text).write.parquet(path)
-    rows = spark.read.parquet(path)
+    measured = spark.read.parquet(path)
+    lists = _lists(_signatures(measured), "subsets")
+    # Signatures are used up; what goes on is narrow.
+    narrow = scratch_path(spark, "rows")
+    measured.drop("signatures").write.parquet(narrow)
+    remove_path(spark, path)
+    rows = spark.read.parquet(narrow)
     sizes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "band", "empty", "empty_next")])
 
-    lists = _lists(_signatures(docs, text), "subsets")
     long = lists.filter(F.col("node").isNotNull()).select("sig", "node")
-    needs = _needs(_lost(long), sizes, False).checkpoint()
-    heavy = _heavy(needs)
+    heavy = _heavy(_needs(_lost(long), sizes, False)).checkpoint()
     # Only sets that may depend on long lists go on with them.
     long = long.join(heavy, "node", "left_semi").select("sig", "node").checkpoint()
-    pairs = _meetings(lists, needs).union(_stars(long, "sig")).distinct().checkpoint()
+    sketches = rows.filter("node IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
+    pairs = _meetings(lists, sketches).union(_possible(_stars(long, "sig").distinct(), sketches)).distinct().checkpoint()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(heavy).distinct()
     sets = _fetch_sets(docs, text, rows, wanted)
 
     state = _Links(spark)
-    _settle(_possible(pairs, sets), state, sets)
+    _settle(pairs, state, sets)
 
     # A list inside one component hides no link; what still depends on other long lists, or on empty segments.
     mixed = _relabelled(long, state.labels, "sig").select("sig", "node")
