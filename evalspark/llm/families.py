@@ -10,6 +10,12 @@ thus don't make a line recur, and they don't hide one that other documents hold
 
 A line goes where it carries a recurring signature and its document isn't the first with it; of several signatures the
 one in most texts decides. Every dropped line has a like one in a document with a smaller id.
+
+Lines of fewer than ``LEAST_TOKENS`` tokens are what code and headings are made of ("return None", "}", "## Summary"), and recur
+everywhere without being boilerplate. They go only beside a longer line that goes, as part of its block.
+
+Defined results: a null text has no lines. Of a signature the first document is the one with the smallest id; rows without an id
+are never first, repeated rows of the first document are all first. Blank lines stay. An empty table drops nothing.
 """
 
 from __future__ import annotations
@@ -27,6 +33,8 @@ from evalspark.session import scratch_path
 
 # A text of which less than one part in so many is its own counts as a copy.
 OWN_PART = 4
+# Shorter lines go only along with a longer one next to them.
+LEAST_TOKENS = 4
 
 _BLOCK_NAMES = [f"b{k}" for k in range(BLOCKS)]
 _NARROW = ("pos", "tokens", *_BLOCK_NAMES, "weight", "total")
@@ -115,10 +123,13 @@ def recurring_families(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kinds = kinds.select("line", F.explode(_signatures()).alias("signature"))
     order = F.struct("texts", (F.col("signature") == F.col("line")).alias("own"), "signature")
     going = kinds.join(recurring, "signature").groupBy("line").agg(F.max_by("first", order).alias("first"))
-    return (
-        rows.select("line", "doc", "text_key", "pos")
+    long = F.col("tokens") >= LEAST_TOKENS
+    places = (
+        rows.select("line", "doc", "text_key", F.col("pos").cast("long").alias("pos"), "tokens")
         .join(going, "line")
         .filter(F.col("doc").isNull() | (F.col("doc") != F.col("first")))
         .groupBy("doc", "text_key")
-        .agg(F.collect_set(F.col("pos").cast("long")).alias("dropped"))
+        .agg(F.collect_set(F.when(long, F.col("pos"))).alias("long"), F.collect_set(F.when(~long, F.col("pos"))).alias("short"))
     )
+    beside = F.filter("short", lambda p: F.array_contains("long", p - 1) | F.array_contains("long", p + 1))
+    return places.filter(F.size("long") > 0).select("doc", "text_key", F.concat("long", beside).alias("dropped"))

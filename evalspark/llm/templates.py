@@ -179,4 +179,4 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", length: str
         if c == length:
             value = F.when(F.col("n_dropped") > 0, F.length(rest).cast(docs.schema[c].dataType)).otherwise(value)
         columns.append(value.alias(c))
-    return found.filter((F.col("n_dropped") == 0) | (F.trim(rest) != "")).select(*columns)
+    return found.filter((F.col("n_dropped") == 0) | rest.rlike(r"\S")).select(*columns)

@@ -63,3 +63,33 @@ def test_several_families_of_one_leaf(spark):
     got = kept(spark, rows)
     for i, text in rows:
         assert got[i] == (text if i in (0, 3, 8) else text.replace(lines[i] + "\n", ""))
+
+
+FUNCTION = """def {0}_of(value):
+    if x:
+        return None
+    else:
+        total = {0} + value * {1}
+    return total
+}}
+## Introduction
+the {0} of each value is found by a walk over {1} others"""
+
+
+def test_code_and_headings_stay(spark):
+    words = "mean median mode range sum product".split()
+    rows = [(i, FUNCTION.format(w, words[i - 1])) for i, w in enumerate(words)]
+    assert kept(spark, rows) == dict(rows)
+
+
+def test_short_lines_go_with_their_block(spark):
+    block = [BLOCK[0], "Thank you", "}"]
+    rows = [(i, "\n".join([*body(i), *block])) for i in range(4)]
+    want = {0: rows[0][1], **{i: "\n".join([*body(i), "}"]) for i in range(1, 4)}}
+    assert kept(spark, rows) == want
+
+
+def test_blank_rests_go(spark):
+    rows = [(i, "\n".join([*body(i), BLOCK[0]])) for i in range(4)] + [(9, f"{BLOCK[0]}\n\t\n \n")]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars int")
+    assert sorted(r.doc_id for r in templates.clean(docs, find=families.recurring_families).collect()) == [0, 1, 2, 3]
