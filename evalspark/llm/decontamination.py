@@ -279,9 +279,11 @@ def decontaminate(
             )
 
     names = ("n_words", "n_hit", "items", "contaminated")
-    scanned = docs.drop(*names).withColumn("_scan", scan(F.col(f"`{text}`").cast("binary")))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    return scanned.select(*kept, "_scan.n_words", "_scan.n_hit", "_scan.items", (F.col("_scan.n_hit") > 0).alias("contaminated"))
+    # The row travels in a struct, so that no name of its own can clash.
+    kept = [c for c in docs.columns if c.lower() not in names]
+    scanned = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), scan(F.col(f"`{text}`").cast("binary")).alias("scan"))
+    found = [F.col(f"scan.{n}").alias(n) for n in names[:3]]
+    return scanned.select(*[F.col(f"row.`{c}`").alias(c) for c in kept], *found, (F.col("scan.n_hit") > 0).alias("contaminated"))
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:

@@ -97,10 +97,12 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     windows to find the repeated ones; each sorted window then looks at its two neighbours, so the work stays
     proportional to the text but for the sort.
     """
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in METRICS]
+    # The row travels in a struct, so that no name of its own can clash with those in between.
+    own = [c for c in docs.columns if c.lower() not in METRICS]
+    kept = [F.col(f"_row.`{c}`").alias(c) for c in own]
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     staged = docs.select(
-        *kept,
+        F.struct(*[F.col(f"`{c}`") for c in own]).alias("_row"),
         F.filter(F.split(whole, SPACE), lambda w: w != "").alias("_words"),
         F.filter(F.split(whole, "\n"), lambda line: line.rlike(WORD_START)).alias("_lines"),
         F.length(whole).alias("_length"),

@@ -98,19 +98,17 @@ def with_slots(placed: DataFrame, shard: str = "shard") -> DataFrame:
     from pyspark.sql import Window
 
     ensure_checkpoint_dir(placed.sparkSession)
-    fixed = placed.drop("slot").checkpoint().select(
-        "*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_pos")
-    )
-    counts = fixed.groupBy(shard, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(shard, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    rank = F.row_number().over(Window.partitionBy(shard, "_part").orderBy("_pos")) - 1
-    return (
-        fixed.withColumn("_rank", rank)
-        .join(offsets, [shard, "_part"])
-        .withColumn("slot", (F.col("_offset") + F.col("_rank")).cast("long"))
-        .drop("_part", "_pos", "_rank", "_offset")
+    fixed = placed.drop("slot").checkpoint()
+    # The row travels in a struct, so that no name of its own can clash.
+    fixed = fixed.select(
+        F.struct(*[F.col(f"`{c}`") for c in fixed.columns]).alias("row"), F.col(f"`{shard}`").alias("shard"),
+        F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("pos"),
     )
+    counts = fixed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("pos")) - 1
+    return fixed.withColumn("rank", rank).join(offsets, ["shard", "part"]).select("row.*", (F.col("offset") + F.col("rank")).cast("long").alias("slot"))
 
 
 def with_size(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -75,6 +75,10 @@ def with_record_types(pages: DataFrame, revisit_from: int = 1000) -> DataFrame:
     )
 
 
+# Fixed value: what the standard calls a revisit record of an equal payload.
+REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
 def _header(name: str, value) -> F.Column:
     """``name: value`` and a line end, or nothing for a null value; control characters are percent-encoded."""
     text = value.cast("string")
@@ -96,6 +100,7 @@ def write_archives(typed: DataFrame, path: str, records_per_file: int = 20_000)
         _header("WARC-Target-URI", F.col("url")),
         _header("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         _header("X-Payload-Length", F.col("payload_bytes")),
+        F.when(revisit, F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\n")).otherwise(""),
         _header("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">"))),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"),
@@ -169,6 +174,14 @@ def _chunks(fs: pyarrow.fs.FileSystem, path: str) -> Iterator[bytes]:
             yield part
 
 
+def _publish(fs: pyarrow.fs.FileSystem, part: str, path: str) -> None:
+    """Give a complete file its name. What a lost attempt of the same task left there has the same content and makes way, as not every store
+    moves onto a file that exists."""
+    if fs.get_file_info(path).type != pyarrow.fs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(part, path)
+
+
 def _normalise_file(source: str, target: str, attempt: str) -> Iterator[dict]:
     """Rewrite one archive member by member; both files appear under their names only when complete."""
     fs, src = open_fs(source)
@@ -191,8 +204,8 @@ def _normalise_file(source: str, target: str, attempt: str) -> Iterator[dict]:
             offset += len(member)
     with out_fs.open_output_stream(f"{dst}.idx.{attempt}", compression=None) as out:
         out.write("".join(json.dumps(x) + "\n" for x in index).encode())
-    out_fs.move(f"{dst}.{attempt}", dst)
-    out_fs.move(f"{dst}.idx.{attempt}", f"{dst}.idx.json")
+    _publish(out_fs, f"{dst}.{attempt}", dst)
+    _publish(out_fs, f"{dst}.idx.{attempt}", f"{dst}.idx.json")
     yield {"archive": target, "records": len(index), "bytes": offset}
 
 
