@@ -359,47 +359,57 @@ def _short(lists: DataFrame) -> DataFrame:
     return members.select(F.xxhash64("members").alias("list"), F.explode("members").alias("node"))
 
 
+_MEMBER = ["list", "met", "band", "node", "n", "need", "sketch"]
+
+
 def _pairs_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(list, node, n, sketch)`` sorted by list in; the pairs of members that sizes and sketches leave possible out."""
-    held = [np.empty(0, dtype=np.int64)] * 3 + [np.empty((0, _SKETCH_BITS // 64), dtype=np.uint64)]
+    """Rows of ``_MEMBER`` sorted by list in; the pairs of members that sizes and sketches leave possible out, with how often the list's
+    members meet in it and how often they need to."""
+    whole = len(_MEMBER) - 1
+    held = [np.empty(0, dtype=np.int64)] * whole + [np.empty((0, _SKETCH_BITS // 64), dtype=np.uint64)]
 
-    def possible(lists: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+    def possible(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        lists, met, band, node, n, need, sketch = rows
         begin = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1))
         width = np.diff(np.concatenate((begin, [len(lists)])))
-        firsts, seconds = [], []
         for members in np.unique(width[width > 1]).tolist():
             one, other = np.triu_indices(members, 1)
             starts = begin[width == members][:, None]
-            # At most as many lists at once as make 2 ** 18 pairs.
-            for at in range(0, len(starts), max(1, (1 << 18) // len(one))):
-                a, b = ((starts[at : at + max(1, (1 << 18) // len(one))] + x).ravel() for x in (one, other))
+            # At most as many lists at once as make 2 ** 17 pairs.
+            step = max(1, (1 << 17) // len(one))
+            for at in range(0, len(starts), step):
+                a, b = ((starts[at : at + step] + x).ravel() for x in (one, other))
                 near = _near(n[a], n[b], sketch[a], sketch[b])
-                firsts.append(np.minimum(node[a[near]], node[b[near]]))
-                seconds.append(np.maximum(node[a[near]], node[b[near]]))
-        pairs = np.unique(np.stack([np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (firsts, seconds)]), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                a, b = a[near], b[near]
+                columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), band[a], met[a], np.maximum(need[a], need[b])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "band", "met", "need"])
 
     for batch in batches:
-        sketches = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64)
-        new = [*(batch.column(i).to_numpy() for i in range(3)), sketches]
+        sketches = np.frombuffer(b"".join(batch.column(whole).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64)
+        new = [*(batch.column(i).to_numpy() for i in range(whole)), sketches]
         rows = [np.concatenate(x) for x in zip(held, new)]
         # The last list may go on in the next batch.
         last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
         held = [x[last:] for x in rows]
         if last:
-            yield possible(*(x[:last] for x in rows))
+            yield from possible([x[:last] for x in rows])
     if len(held[0]):
-        yield possible(*held)
+        yield from possible(held)
 
 
-def _meetings(lists: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that meet on a short list and that sizes and sketches leave possible.
+def _meetings(lists: DataFrame, needs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` that sizes and sketches leave possible, and that meet on short lists of one band as often as each of them needs.
 
-    Each member of a different list gets its size and sketch once; pairs are then tried inside the task that holds the list, so only possible
-    ones become rows.
+    Each member of a different list gets its size, need and sketch once; pairs are then tried inside the task that holds
+    the list, so only possible ones become rows.
     """
-    members = _short(lists).join(sketches, "node").select("list", "node", "n", "sketch")
-    return members.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_in_lists, "a long, b long").distinct()
+    alike = lists.filter(F.col("members").isNotNull()).groupBy("members", _band().alias("band")).agg(F.count(F.lit(1)).alias("met"))
+    members = alike.select(F.xxhash64("members", "band").alias("list"), "met", F.col("band").cast("long").alias("band"), F.explode("members").alias("node"))
+    known = needs.select("node", F.col("band").cast("long").alias("band"), F.col("need").cast("long").alias("need")).join(sketches, "node")
+    described = members.join(known, ["node", "band"]).select(*_MEMBER)
+    pairs = described.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_in_lists, "a long, b long, band long, met long, need long")
+    often = pairs.groupBy("a", "b", "band").agg(F.sum("met").alias("met"), F.max("need").alias("need")).filter("met >= need")
+    return often.select("a", "b").distinct()
 
 
 class _Links:
@@ -541,11 +551,12 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     sizes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "band", "empty", "empty_next")])
 
     long = lists.filter(F.col("node").isNotNull()).select("sig", "node")
-    heavy = _heavy(_needs(_lost(long), sizes, False)).checkpoint()
+    needs = _needs(_lost(long), sizes, False).checkpoint()
+    heavy = _heavy(needs).checkpoint()
     # Only sets that may depend on long lists go on with them.
     long = long.join(heavy, "node", "left_semi").select("sig", "node").checkpoint()
     sketches = rows.filter("node IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
-    pairs = _meetings(lists, sketches).union(_possible(_stars(long, "sig").distinct(), sketches)).distinct().checkpoint()
+    pairs = _meetings(lists, needs, sketches).union(_possible(_stars(long, "sig").distinct(), sketches)).distinct().checkpoint()
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(heavy).distinct()
     sets = _fetch_sets(docs, text, rows, wanted)
 
