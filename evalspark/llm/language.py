@@ -40,21 +40,53 @@ EFFECTIVE_GRAMS = 60.0
 PRIOR_PAGES = 5.0
 CLUE_PAGES = 1.0
 
-_HIDDEN = re.compile(r"(?is)<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->")
+_HIDES = re.compile(r"(?i)<(?:(script|style|noscript|template)\b|!--)")
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})\b""")
+_ROOT = re.compile(r"(?i)<html\b")
+_LANGUAGE = re.compile(r"""(?i)\blang\s*=\s*["']?([a-z]{2,3})\b""")
 _SPACE = re.compile(r"[\W\d_]+")
 
 SCORED_SCHEMA = "page_id long, host string, domain string, suffix string, declared string, grams long, loglik array<double>"
 
 
+def _without_hidden(page: str) -> str:
+    """``page`` with a blank for each comment and each element whose content isn't shown. What is never closed stays.
+
+    Once an end isn't found behind a place it isn't looked for again, so each character is read a few times at most.
+    """
+    out, at, missing = [], 0, set()
+    while found := _HIDES.search(page, at):
+        name = (found[1] or "").casefold()
+        end = None
+        if name not in missing:
+            end = re.compile(rf"(?i)</{name}\s*>" if name else "-->").search(page, found.end())
+            if end is None:
+                missing.add(name)
+        out.append(page[at : found.start() if end else found.end()])
+        if end:
+            out.append(" ")
+        at = end.end() if end else found.end()
+    return "".join(out) + page[at:]
+
+
 def visible_text(page: str) -> str:
-    return entities.unescape(_TAG.sub(" ", _HIDDEN.sub(" ", page)))
+    shown = _without_hidden(page)
+    # Behind the last closing bracket there is no tag.
+    last = shown.rfind(">") + 1
+    return entities.unescape(_TAG.sub(" ", shown[:last]) + shown[last:])
 
 
 def declared_language(page: str) -> str:
-    found = _DECLARED.search(page)
-    return found[1].lower() if found else ""
+    at = 0
+    while root := _ROOT.search(page, at):
+        end = page.find(">", root.end())
+        end = len(page) if end < 0 else end
+        found = _LANGUAGE.search(page, root.end(), end)
+        if found:
+            return found[1].lower()
+        # Other roots before this bracket have the same text behind them.
+        at = end
+    return ""
 
 
 def address_parts(url: str) -> tuple[str, str, str]:

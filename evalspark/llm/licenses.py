@@ -182,9 +182,12 @@ def runs(lines: str, known: Sequence[tuple[str, str]]) -> list[tuple[int, str, s
             if start in first and end in last and first[start] < last[end]:
                 found.append((start, end, name, form))
             start = whole.find(form, start + 1)
-    longest = [
-        x for x in found if not any(y[2] == x[2] and y[0] <= x[0] and x[1] <= y[1] and y[1] - y[0] > x[1] - x[0] for y in found)
-    ]
+    # By start, longer ones first: a run lies inside another of its license if one before it ends as late.
+    longest, reach = [], {}
+    for run in sorted(found, key=lambda x: (x[0], -x[1])):
+        if run[1] > reach.get(run[2], -1):
+            longest.append(run)
+            reach[run[2]] = run[1]
     return [(first[s], name, form) for s, e, name, form in longest if e - s < len(whole)]
 
 
