@@ -13,7 +13,7 @@ from evalspark.plans import evalrows, fixtures
 from evalspark.plans.generation_queries import _ITEMS, _PARTIAL, _VALUE, _partial, all_items
 from evalspark.plans.registry import query, scan_table, table
 from evalspark.session import scratch_path
-from evalspark.sources import archives, evalfiles, files, pages, payloads, sinks
+from evalspark.sources import archives, evalfiles, files, pages, payloads, sinks, textscan
 from evalspark.sources.jsonscan import json_records, parse_records
 from evalspark.streaming import incremental
 
@@ -473,6 +473,26 @@ def _(spark, sf):
     return chunking.chunk_sections(doubled, ["doc_id"])
 
 
+# Text files of a hundred documents each, with a heading in front of each document.
+_TITLED = f"SELECT doc_id // 100 AS doc_id, string_agg(chr(1) || '# ' || doc_id || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || chr(10)) || chr(10) || chr(10), '' ORDER BY doc_id) AS text FROM documents GROUP BY doc_id // 100"
+_FILE_SECTIONS = r"list_filter(string_split_regex(text, '\n{2,}|\x01'), lambda s: trim(s, ' ' || chr(10) || chr(9) || chr(13)) <> '')"
+
+
+@query(
+    "chunk_text_files",
+    f"""WITH text_files AS ({_TITLED})
+    SELECT doc_id AS file, chunk_number, content, CAST(len(string_split_regex(content, '\\s+')) AS INTEGER) AS word_count
+    FROM ({_chunk_sql(_FILE_SECTIONS, 'chr(10) || chr(10)', 2).replace("FROM documents", "FROM text_files")})""",
+)
+def _(spark, sf):
+    titled = F.concat(F.lit("# "), F.col("doc_id").cast("string"), F.lit("\n"), F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit("\n\n")), F.lit("\n"))
+    texts = table(spark, sf, "documents").select(F.expr("doc_id div 100").alias("file"), "doc_id", titled.alias("value"))
+    path = scratch_path(spark, "text-files")
+    texts.repartition("file").sortWithinPartitions("file", "doc_id").select("file", "value").write.partitionBy("file").text(path)
+    chunks = textscan.chunk_text_files(spark, [path])
+    return chunks.select(F.regexp_extract("path", r"/file=(\d+)/", 1).cast("long").alias("file"), "chunk_number", "content", "word_count")
+
+
 # --- streaming -------------------------------------------------------------------------------------
 
 

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evalspark.functions.text import js_string
-from evalspark.operators.chunking import chunk_rows, text_sections
 from evalspark.sources import archives
 from evalspark.sources.jsonscan import json_records, parse_records
 from evalspark.sources.rowindex import with_offsets, with_row_index_by
 from evalspark.sources.sniff import first_records
+from evalspark.sources.textscan import chunk_text_files
 
 # File extensions and how they are read.
 FORMATS = {
@@ -159,8 +159,7 @@ def _read_group(scan: _Scan, kind: str, files: DataFrame, multiline: bool = Fals
         table = scan.reader(spark.read).option("mergeSchema", True).parquet(*inputs)
         return [table.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_pos"))]
     if kind == "text":
-        whole = scan.reader(spark.read).text(inputs, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
-        chunks = chunk_rows(whole, ["_path"], text_sections(F.col("value")), "\n\n")
+        chunks = chunk_text_files(spark, inputs, scan.reader(spark.read)).withColumnRenamed("path", "_path")
         return [chunks.withColumn("_pos", F.col("chunk_number").cast("bigint") - 1)]
     binaries = scan.reader(spark.read.format("binaryFile")).load(inputs)
     contents = binaries.select(F.col("_metadata.file_path").alias("path"), "content")
