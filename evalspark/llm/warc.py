@@ -24,6 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evalspark.functions.batches import pieces
 from evalspark.llm.files import local_uri, open_fs
 from evalspark.llm.frames import frame
 from evalspark.session import scratch_path
@@ -248,9 +249,10 @@ def _page(value: str | None) -> int | None:
 def read_records(index: DataFrame) -> DataFrame:
     """The records behind ``index`` rows; a response's payload is checked against its digest."""
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
+
+    def records(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            out = []
             for archive, rows in batch.groupby("archive", sort=False):
                 fs, path = open_fs(archive)
                 with fs.open_input_file(path) as handle:
@@ -263,19 +265,20 @@ def read_records(index: DataFrame) -> DataFrame:
                             if hashlib.sha1(payload).hexdigest() != digest:
                                 raise ValueError(f"payload of {headers.get('WARC-Record-ID')} differs from its digest")
                             payload = payload.decode("utf-8")
-                        out.append(
-                            (
-                                _page(headers.get("WARC-Record-ID")),
-                                headers.get("WARC-Target-URI"),
-                                int(headers["X-Payload-Length"]),
-                                digest,
-                                headers["WARC-Type"],
-                                _page(headers.get("WARC-Refers-To")),
-                                payload,
-                            )
+                        yield (
+                            _page(headers.get("WARC-Record-ID")),
+                            headers.get("WARC-Target-URI"),
+                            int(headers["X-Payload-Length"]),
+                            digest,
+                            headers["WARC-Type"],
+                            _page(headers.get("WARC-Refers-To")),
+                            payload,
                         )
-            names = [c.split()[0] for c in RECORD_SCHEMA.split(", ")]
-            yield frame(out, names, ("page_id", "refers_to"))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A batch of index rows stands for any number of bytes; of payloads no more than a piece is held.
+        for piece in pieces(records(batches), lambda row: 512 + len(row[-1] or "")):
+            yield frame(piece, names, ("page_id", "refers_to"))
 
     return index.mapInPandas(read, RECORD_SCHEMA)
 
