@@ -129,24 +129,29 @@ def derive_assertions(facts: Column, answer: Column, limit: int = MAX_ASSERTIONS
     distinct structs are distinct (type, value) pairs.
     """
 
-    def derive(fact, lowered):
-        value = strip_quotes(fact_value(fact))
-        usable = F.length(value).between(2, 80) & F.contains(lowered, F.lower(value))
-        whole = (F.length(value) < 5) & value.rlike("^[a-zA-Z]+$")
-        return F.when(
-            usable,
-            F.struct(
-                F.lit("must_contain").alias("type"),
-                value.alias("value"),
-                F.lit(None).cast("array<string>").alias("values"),
-                F.when(whole, True).alias("whole_word"),
-            ).cast(ASSERTION),
-        )
+    def add(lowered):
+        def step(found, value):
+            usable = F.length(value).between(2, 80) & F.contains(lowered, F.lower(value))
+            return F.when(F.size(found) >= limit, found).when(usable, F.array_append(found, value)).otherwise(found)
 
+        return step
+
+    def assertion(value):
+        whole = (F.length(value) < 5) & value.rlike("^[a-zA-Z]+$")
+        return F.struct(
+            F.lit("must_contain").alias("type"),
+            value.alias("value"),
+            F.lit(None).cast("array<string>").alias("values"),
+            F.when(whole, True).alias("whole_word"),
+        ).cast(ASSERTION)
+
+    # Texts are told apart by hashes, structs would be compared with each other; and no value is looked up behind the last one needed.
+    distinct = F.array_distinct(F.transform(facts, lambda f: strip_quotes(fact_value(f))))
+    none = F.array().cast("array<string>")
     # The answer is bound by an outer array of one element, else it would be lowered again for every fact.
     bound = F.array(F.lower(F.coalesce(answer, F.lit(""))))
-    derived = F.array_compact(F.get(F.transform(bound, lambda low: F.transform(facts, lambda f: derive(f, low))), F.lit(0)))
-    return F.coalesce(F.slice(F.array_distinct(derived), 1, limit), F.array().cast(f"array<{ASSERTION.simpleString()}>"))
+    found = F.get(F.transform(bound, lambda low: F.aggregate(distinct, none, add(low))), F.lit(0))
+    return F.coalesce(F.transform(found, assertion), F.array().cast(f"array<{ASSERTION.simpleString()}>"))
 
 
 def item_id(prompt: Column, location: Column) -> Column:

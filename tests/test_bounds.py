@@ -27,3 +27,20 @@ def test_slices_keep_every_row_in_order():
     parts = list(slices([batch, batch.slice(0, 0)], 2000))
     assert [t for p in parts for t in p.column(0).to_pylist()] == batch.column(0).to_pylist()
     assert all(p.nbytes <= 2000 or p.num_rows == 1 for p in parts) and len(parts) > 8
+
+
+def test_assertions_of_very_many_facts(spark):
+    """Facts are told apart by hashes and looked up only until there are enough."""
+    words = [f"w{i}word" for i in range(30_000)]
+    row = spark.createDataFrame([(["x=absent", "x=w0word", *[f"x={w}" for w in words]], " ".join(words))], "f array<string>, a string")
+    derived = row.select(grounding.derive_assertions(F.col("f"), F.col("a")).alias("d"))
+    started = time.time()
+    assert [a["value"] for a in derived.first()["d"]] == words[:5]
+    assert time.time() - started < 5
+
+
+def test_assertions_without_facts(spark):
+    rows = spark.createDataFrame([(None, "a"), ([], "a"), (["x=aa", None, "noequals", "x=aa", "x=b"], "Aa b")], "f array<string>, a string")
+    found = [r["d"] for r in rows.select(grounding.derive_assertions(F.col("f"), F.col("a")).alias("d")).collect()]
+    assert found[:2] == [[], []]
+    assert [tuple(a) for a in found[2]] == [("must_contain", "aa", None, True)]
