@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evalspark.functions.batches import slices
 
 _WORKBOOK = (
     '<workbook xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" '
@@ -83,22 +89,47 @@ def as_workbooks(df: DataFrame, shared: bool = False) -> DataFrame:
     return df.mapInPandas(run, "path string, content binary")
 
 
-def as_documents(df: DataFrame) -> DataFrame:
-    """``(path, content)``: one document per row of ``(id, lines)``."""
+def _files(df: DataFrame, make: Callable[[list[str]], bytes]) -> DataFrame:
+    """``(path, content)``: one file per row of ``(id, lines)``; a null text has no lines."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            yield pd.DataFrame({"path": frame["id"].astype(str), "content": [document(list(x)) for x in frame["lines"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            content = [make(lines or []) for lines in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(content, pa.binary())], names=["path", "content"])
 
-    return df.select("id", "lines").mapInPandas(run, "path string, content binary")
+    return df.select(F.col("id").cast("string"), "lines").mapInArrow(run, "path string, content binary")
 
 
-def as_decks(df: DataFrame) -> DataFrame:
-    """``(path, content)``: one deck per row, a slide per line, and a slide text per word."""
+def as_documents(df: DataFrame) -> DataFrame:
+    """``(path, content)``: one document per row of ``(id, lines)``."""
+    return _files(df, document)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            decks = [deck([line.split(" ") for line in lines]) for lines in frame["lines"]]
-            yield pd.DataFrame({"path": frame["id"].astype(str), "content": decks})
 
-    return df.select("id", "lines").mapInPandas(run, "path string, content binary")
+def as_decks(df: DataFrame) -> DataFrame:
+    """``(path, content)``: one deck per row, a slide per line, and a slide text per word."""
+    return _files(df, lambda lines: deck([line.split(" ") for line in lines]))
+
+
+def join_files(spark: SparkSession, source: str, target: str) -> None:
+    """The part files of the folder ``source``, in the order of their names, as one file; a task copies them by blocks."""
+
+    def address(path: str) -> str:
+        return path if "://" in path else f"file://{path.removeprefix('file:')}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(address(source))
+        attempt = f"{target}.{TaskContext.get().taskAttemptId()}"
+        for _ in batches:
+            parts = [f for f in fs.get_file_info(pyarrow.fs.FileSelector(folder)) if f.base_name.startswith("part-")]
+            size = 0
+            with fs.open_output_stream(pyarrow.fs.FileSystem.from_uri(address(attempt))[1], compression=None) as out:
+                for part in sorted(parts, key=lambda f: f.base_name):
+                    with fs.open_input_stream(part.path, compression=None) as stream:
+                        while block := stream.read(1 << 20):
+                            size += len(block)
+                            out.write(block)
+            # A file has its name only when it is whole.
+            fs.move(*(pyarrow.fs.FileSystem.from_uri(address(x))[1] for x in (attempt, target)))
+            yield pa.RecordBatch.from_arrays([pa.array([size])], names=["size"])
+
+    spark.range(1, numPartitions=1).mapInArrow(run, "size long").collect()

@@ -29,6 +29,20 @@ def test_slices_keep_every_row_in_order():
     assert all(p.nbytes <= 2000 or p.num_rows == 1 for p in parts) and len(parts) > 8
 
 
+def test_archives_are_read_in_pieces():
+    rows = [(f"p{i}", "x" * 300_000) for i in range(10)]
+    assert [b.num_rows for b in archives._batches(iter(rows), archives._DOCUMENTS)] == [4, 4, 2]
+
+
+def test_documents_and_decks_come_back(spark):
+    texts = [(1, "one two\nthree"), (2, None), (3, "long " * 90_000 + "\nend")]
+    lines = spark.createDataFrame(texts, "id long, text string").select("id", F.split("text", "\n").alias("lines"))
+    chunks = archives.document_chunks(fixtures.as_documents(lines)).groupBy("path").count()
+    assert {(r["path"], r["count"]) for r in chunks.collect()} == {("1", 1), ("3", 2)}
+    slides = archives.slide_records(fixtures.as_decks(lines)).select("path", "slide_number", "title").collect()
+    assert sorted(map(tuple, slides)) == [("1", 1, "one"), ("1", 2, "three"), ("3", 1, "long"), ("3", 2, "end")]
+
+
 def test_assertions_of_very_many_facts(spark):
     """Facts are told apart by hashes and looked up only until there are enough."""
     words = [f"w{i}word" for i in range(30_000)]
@@ -44,3 +58,10 @@ def test_assertions_without_facts(spark):
     found = [r["d"] for r in rows.select(grounding.derive_assertions(F.col("f"), F.col("a")).alias("d")).collect()]
     assert found[:2] == [[], []]
     assert [tuple(a) for a in found[2]] == [("must_contain", "aa", None, True)]
+
+
+def test_files_are_joined_in_the_order_of_their_names(spark, tmp_path):
+    spark.range(5000, numPartitions=7).selectExpr("CAST(id AS string) AS value").write.option("lineSep", " ").text(str(tmp_path / "parts"))
+    fixtures.join_files(spark, str(tmp_path / "parts"), f"file:{tmp_path}/one.txt")
+    assert (tmp_path / "one.txt").read_text().split() == [str(i) for i in range(5000)]
+    assert [f for f in os.listdir(tmp_path) if not f.startswith(".")].count("one.txt") == 1
