@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EVAL_COLUMNS = ["prompt", "expected_answer", "source_location", "actual_answer"]
+# Cells may hold line breaks, so a delimited file is read as a whole by one task: files are cut at so many rows.
+ROWS_PER_FILE = 100_000
 SEPARATORS = {"csv": ",", "tsv": "\t"}
 
 
@@ -15,6 +17,7 @@ def _delimited_writer(df: DataFrame, separator: str):
     return (
         df.write.option("header", True)
         .option("sep", separator)
+        .option("maxRecordsPerFile", ROWS_PER_FILE)
         .option("quote", '"')
         .option("escape", '"')
         .option("emptyValue", "")

@@ -74,3 +74,13 @@ def test_one_array_keeps_its_order(spark, tmp_path):
     )
     found = load_queries()[0]["source_json_one_array"](spark, str(tmp_path)).select("pos", "o_orderkey", "o_custkey").collect()
     assert sorted(map(tuple, found)) == [(k - 1, k, c) for k, c, *_ in sorted(rows)]
+
+
+def test_eval_files_are_cut(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "ROWS_PER_FILE", 10)
+    rows = [(f"p{i}\nline", f"a{i}", f"f:row {i}") for i in range(95)]
+    items = spark.createDataFrame(rows, "prompt string, expected_answer string, source_location string").coalesce(1)
+    path = sinks.write_eval_csv(items, str(tmp_path / "set"))
+    assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 10
+    back = evalfiles.read_eval_rows(spark, path, "csv")
+    assert sorted(map(tuple, back.select("prompt", "expected_answer", "source_location").collect())) == sorted(rows)
