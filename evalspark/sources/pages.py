@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evalspark.functions.batches import pieces, slices
 from evalspark.functions.html import parse_page, resolve_link
 from evalspark.operators.joins import lookup_join
 from evalspark.session import ensure_checkpoint_dir
@@ -18,31 +19,33 @@ PARSED = (
     "links array<struct<href:string,target:string,host:string>>, "
     "tables array<struct<headers:array<string>,rows:array<array<string>>>>"
 )
+_TEXTS = pa.list_(pa.string())
+_PARSED = pa.schema(
+    [("url", pa.string()), ("title", pa.string()), ("headings", _TEXTS), ("paragraphs", _TEXTS)]
+    + [("links", pa.list_(pa.struct([("href", pa.string()), ("target", pa.string()), ("host", pa.string())])))]
+    + [("tables", pa.list_(pa.struct([("headers", _TEXTS), ("rows", pa.list_(_TEXTS))])))]
+)
 MIN_PARAGRAPH, MAX_PARAGRAPHS, MAX_PAGES = 20, 10, 10
 
 
 def parse_pages(pages: DataFrame) -> DataFrame:
     """Structure of each page; only this step runs in Python."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            out = []
-            for url, html in zip(frame["url"], frame["html"]):
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for part in slices(batches):
+            for url, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 page = parse_page(html or "")
                 resolved = [(h, resolve_link(url, h)) for h in page["links"]]
-                out.append(
-                    {
-                        "url": url,
-                        "title": page["title"],
-                        "headings": page["headings"],
-                        "paragraphs": page["paragraphs"],
-                        "links": [{"href": h, "target": r[0], "host": r[1]} for h, r in resolved if r],
-                        "tables": [{"headers": h, "rows": rows} for h, rows in page["tables"]],
-                    }
-                )
-            yield pd.DataFrame(out, columns=["url", "title", "headings", "paragraphs", "links", "tables"])
-
-    return pages.select("url", "html").mapInPandas(run, PARSED)
+                links = [{"href": h, "target": r[0], "host": r[1]} for h, r in resolved if r]
+                tables = [{"headers": h, "rows": rows} for h, rows in page["tables"]]
+                yield len(html or ""), (url, page["title"], page["headings"], page["paragraphs"], links, tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(parsed(batches), lambda row: row[0]):
+            columns = [pa.array(c, f.type) for c, f in zip(zip(*(page for _, page in piece)), _PARSED)]
+            yield pa.RecordBatch.from_arrays(columns, schema=_PARSED)
+
+    return pages.select("url", "html").mapInArrow(run, PARSED)
 
 
 def content_records(parsed: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def test_documents_and_decks_come_back(spark):
     assert sorted(map(tuple, slides)) == [("1", 1, "one"), ("1", 2, "three"), ("3", 1, "long"), ("3", 2, "end")]
 
 
+def test_pages_are_handed_on_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(pages, "pieces", lambda rows, size: pieces(rows, size, 50))
+    html = '<title>T</title><a href="/x">l</a><p>text</p><table><tr><th>a</th></tr><tr><td>1</td></tr></table>'
+    given = [(f"http://h/{i}", html) for i in range(30)] + [("http://h/none", None)]
+    parsed = pages.parse_pages(spark.createDataFrame(given, "url string, html string"))
+    assert pages.same_host_links(parsed).count() == 30
+    assert pages.table_records(parsed).count() == 30
+    assert parsed.filter("url = 'http://h/none'").select("title", "links").first() == ("", [])
+
+
 def test_assertions_of_very_many_facts(spark):
     """Facts are told apart by hashes and looked up only until there are enough."""
     words = [f"w{i}word" for i in range(30_000)]
