@@ -94,3 +94,11 @@ def test_eval_files_are_cut(spark, tmp_path, monkeypatch):
     assert len([f for f in os.listdir(path) if f.endswith(".csv")]) == 10
     back = evalfiles.read_eval_rows(spark, path, "csv")
     assert sorted(map(tuple, back.select("prompt", "expected_answer", "source_location").collect())) == sorted(rows)
+
+
+def test_questions_use_all_cores(spark, tmp_path):
+    part = spark.range(50).selectExpr("id AS p_partkey", "concat('n', id) AS p_name")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    rows = drafts.part(spark, str(tmp_path)).rows
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert sorted(r["row_index"] for r in rows.collect()) == list(range(50))
