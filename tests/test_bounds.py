@@ -102,3 +102,15 @@ def test_questions_use_all_cores(spark, tmp_path):
     rows = drafts.part(spark, str(tmp_path)).rows
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert sorted(r["row_index"] for r in rows.collect()) == list(range(50))
+
+
+def test_profiles_make_no_text_of_numbers_and_times(spark, tmp_path):
+    spark.range(1000).selectExpr(
+        "id", "CASE WHEN id % 10 > 0 THEN id / 3 END AS x", "date_add(DATE'2020-01-01', CAST(id % 90 AS int)) AS d", "CAST(id AS decimal(9,2)) AS m"
+    ).write.parquet(str(tmp_path / "in"))
+    parts = incremental_profile.file_profiles(spark.read.parquet(str(tmp_path / "in")))
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "date_format" not in plan
+    found = {r["field"]: r for r in incremental_profile.merged_profile(parts).collect()}
+    assert {f: (r["data_type"], r["null_count"]) for f, r in found.items()} == {"id": ("number", 0), "x": ("number", 100), "d": ("date", 0), "m": ("number", 0)}
+    assert found["d"]["about_unique"] == pytest.approx(90, rel=0.06) and found["x"]["about_unique"] == pytest.approx(900, rel=0.06)
