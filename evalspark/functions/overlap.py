@@ -146,15 +146,32 @@ class Anchor(NamedTuple):
     rights: np.ndarray
 
 
-def _sides(hashes: RollingHash, size_class: int, pos: int, left: tuple[int, int], right: tuple[int, int]) -> tuple:
-    """Hashes beside the block at ``pos``, for side lengths from the first to the second of ``left`` and ``right``."""
-    left_grain, right_grain = grains(size_class)
-    lefts = np.arange(left[0] // left_grain, left[1] // left_grain + 1) * left_grain
-    rights = np.arange(right[0] // right_grain, right[1] // right_grain + 1) * right_grain
-    starts = np.full(len(lefts) + len(rights), pos + _widths(size_class)[1])
-    starts[: len(lefts)] = pos - lefts
-    found = hashes.spans(starts, np.concatenate((lefts, rights))).view(np.int64)
-    return left[0] // left_grain, found[: len(lefts)], right[0] // right_grain, found[len(lefts) :]
+class _Sides:
+    """What stands beside the blocks of one text; all of it is hashed at once."""
+
+    def __init__(self, whole: int):
+        self._whole = whole
+        self._blocks, self._starts, self._sizes = [], [], []
+
+    def add(self, contained: bool, size_class: int, block_key: int, pos: int, left: tuple[int, int], right: tuple[int, int]) -> None:
+        """The block at ``pos``, with side lengths from the first to the second of ``left`` and ``right``."""
+        left_grain, right_grain = grains(size_class)
+        left_first, right_first = left[0] // left_grain, right[0] // right_grain
+        lefts = np.arange(left_first * left_grain, left[1] + 1, left_grain)
+        rights = np.arange(right_first * right_grain, right[1] + 1, right_grain)
+        self._blocks.append((contained, size_class, block_key, pos, left_first, right_first))
+        self._starts += [pos - lefts, np.full(len(rights), pos + _widths(size_class)[1])]
+        self._sizes += [lefts, rights]
+
+    def anchors(self, hashes: RollingHash) -> list[Anchor]:
+        found = hashes.spans(np.concatenate(self._starts), np.concatenate(self._sizes)).view(np.int64)
+        out, at = [], 0
+        for i, (contained, size_class, block_key, pos, left_first, right_first) in enumerate(self._blocks):
+            middle = at + len(self._sizes[2 * i])
+            end = middle + len(self._sizes[2 * i + 1])
+            out.append(Anchor(contained, size_class, block_key, pos, self._whole, left_first, found[at:middle], right_first, found[middle:end]))
+            at = end
+        return out
 
 
 def text_keys(text: str) -> list[Anchor]:
@@ -163,9 +180,9 @@ def text_keys(text: str) -> list[Anchor]:
     length = hashes.length
     own = class_of(length)
     (pos,), (key,) = (x.tolist() for x in _anchors(hashes, own, 1))
-    whole = hashes.all_of(length, 1).view(np.int64).item()
+    sides = _Sides(hashes.all_of(length, 1).view(np.int64).item())
     right = length - pos - _widths(own)[1]
-    out = [Anchor(True, own, key, pos, whole, *_sides(hashes, own, pos, (pos, pos), (right, right)))]
+    sides.add(True, own, key, pos, (pos, pos), (right, right))
     shortest, longest = length * 4 // 5 + 1, length - 1
     if shortest <= longest:
         first = np.searchsorted(_CLASSES, shortest, side="right") - 1
@@ -177,10 +194,8 @@ def text_keys(text: str) -> list[Anchor]:
                 # What the block and the longest other side leave of the shortest contained text.
                 most_left, most_right = min(pos, width - 1), length - pos - block
                 least_left, least_right = max(0, shortest - block - most_right), max(0, shortest - block - most_left)
-                out.append(
-                    Anchor(False, size_class, key, pos, whole, *_sides(hashes, size_class, pos, (least_left, most_left), (least_right, most_right)))
-                )
-    return out
+                sides.add(False, size_class, key, pos, (least_left, most_left), (least_right, most_right))
+    return sides.anchors(hashes)
 
 
 _KEY_ARROW = pa.schema(

@@ -12,7 +12,7 @@ from evalspark.functions.text import normalize_prompt
 from evalspark.operators.graphs import drop_linked_to_kept
 from evalspark.operators.joins import lookup_join
 from evalspark.operators.questions import CATEGORY_WEIGHTS, category_dimension
-from evalspark.session import ensure_checkpoint_dir
+from evalspark.session import ensure_checkpoint_dir, scratch_path
 
 MAX_SHARE_GAP = 0.15
 MIN_COVERAGE = 0.3
@@ -26,9 +26,12 @@ def first_of_equal(texts: DataFrame) -> DataFrame:
     The rank filter keeps one row per text and map task before the shuffle, so copies that make up a
     large part of the table do not meet in one task; the digest keeps the sort keys short. Texts are made and moved once.
     """
-    digest = F.sha2("norm", 256)
-    rank = F.row_number().over(Window.partitionBy(digest).orderBy("ord"))
-    return texts.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
+    return _first_of(texts, F.col("norm"))
+
+
+def _first_of(rows: DataFrame, norm: Column) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(F.sha2(norm, 256)).orderBy("ord"))
+    return rows.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank")
 
 
 def first_ords(texts: DataFrame) -> DataFrame:
@@ -36,6 +39,16 @@ def first_ords(texts: DataFrame) -> DataFrame:
     return texts.groupBy(F.sha2("norm", 256)).agg(F.min("ord").alias("ord")).select("ord")
 
 
+def _written(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` written once and compressed; those with types that Parquet lacks as a checkpoint."""
+    kinds = rows.schema.simpleString()
+    if "void" in kinds or "interval" in kinds:
+        return rows.checkpoint()
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.parquet(path)
+
+
 def candidate_spans(usable: DataFrame) -> DataFrame:
     """``(ord, start, size, digest)``: spans of a text that may be another whole text; none of those that are one is missing.
 
@@ -48,7 +61,7 @@ def candidate_spans(usable: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(usable.sparkSession)
     # Read four times below; ten short rows per text are cheaper to keep than to compute again.
-    keys = usable.mapInArrow(overlap_keys, KEY_SCHEMA).checkpoint()
+    keys = _written(usable.mapInArrow(overlap_keys, KEY_SCHEMA), "block-keys")
     block = F.xxhash64("size_class", "block_key")
     inside = keys.filter("contained").select(
         block.alias("_block"),
@@ -106,11 +119,13 @@ def deduplicate(items: DataFrame, text: str = "prompt") -> DataFrame:
     Copies of a dropped text match the same kept item, so equal texts can go first.
     """
     ensure_checkpoint_dir(items.sparkSession)
-    normed = items.withColumn("norm", normalize_prompt(F.col(text)))
-    # The distinct items are read by every later step, so they are written once.
-    first = first_of_equal(normed).checkpoint()
-    dropped = resolve_keep_first(near_duplicate_pairs(first.select("ord", "norm")))
-    return first.join(dropped, "ord", "left_anti").drop("norm")
+    norm = normalize_prompt(F.col(text))
+    # The distinct items are read by every later step, so they are written once. Their normalised texts are as long again: they
+    # aren't shuffled, but made after it and written compressed.
+    first = _written(_first_of(items, norm), "items")
+    norms = _written(first.select("ord", norm.alias("norm")), "norms")
+    dropped = resolve_keep_first(near_duplicate_pairs(norms))
+    return first.join(dropped, "ord", "left_anti")
 
 
 def category_balance(items: DataFrame) -> DataFrame:

@@ -114,3 +114,24 @@ def test_profiles_make_no_text_of_numbers_and_times(spark, tmp_path):
     found = {r["field"]: r for r in incremental_profile.merged_profile(parts).collect()}
     assert {f: (r["data_type"], r["null_count"]) for f, r in found.items()} == {"id": ("number", 0), "x": ("number", 100), "d": ("date", 0), "m": ("number", 0)}
     assert found["d"]["about_unique"] == pytest.approx(90, rel=0.06) and found["x"]["about_unique"] == pytest.approx(900, rel=0.06)
+
+
+def test_links_are_found_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for frame in batches:
+            seen.add(len(frame))
+            yield frame
+
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)], "earlier long, later long").mapInPandas(count, "earlier long, later long")
+    assert sorted(r["ord"] for r in graphs.drop_linked_to_kept(links).collect()) == list(range(1, 41, 2))
+    assert seen.value == 40
+
+
+def test_kept_items_are_written_without_normalised_text(spark):
+    items = spark.createDataFrame([(1, "What is it?"), (2, "what is  it"), (3, "other"), (4, None), (5, None)], "ord long, prompt string")
+    kept = validation.deduplicate(items)
+    assert sorted(r["ord"] for r in kept.collect()) == [1, 3, 4]
+    assert "norm" not in kept._jdf.queryExecution().analyzed().toString()
+    assert validation.deduplicate(items.withColumn("nothing", F.lit(None))).count() == 3
