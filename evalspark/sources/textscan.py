@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from evalspark.functions.text import trim_ws, word_count
 from evalspark.operators.chunking import CHUNK_CHARS
 from evalspark.session import scratch_path
+from evalspark.sources.rowindex import with_offsets
 
 #: Sections in a group, and groups whose functions one task composes.
 GROUP = 4096
@@ -88,18 +89,20 @@ def text_file_sections(spark: SparkSession, paths: Sequence[str], reader: DataFr
         F.sum(starts.cast("long")).over(inner).alias("in_block"),
     )
     written = scratch_path(spark, "text-pieces")
-    numbered.write.parquet(written)
+    numbered.write.option("compression", "zstd").parquet(written)
     numbered = spark.read.parquet(written)
 
     counts = numbered.groupBy("path", "block").agg(F.max("in_block").alias("n"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("path", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("offset"))
-    placed = numbered.join(offsets, ["path", "block"]).withColumn("section", F.col("offset") + F.col("in_block"))
+    # One row per split: small beside the texts, which therefore stay where they are.
+    scan = reader.option("lineSep", "\n").text(list(paths))
+    placed = with_offsets(numbered, offsets, ["path", "block"], scan.rdd.getNumPartitions() + len(scan.inputFiles())).withColumn("section", F.col("offset") + F.col("in_block"))
     joined = placed.groupBy("path", "section").agg(F.sort_array(F.collect_list(F.struct("number", "part", "piece"))).alias("pieces"))
     raw = F.array_join(F.transform("pieces", lambda p: p.piece), "")
     sections = joined.select("path", "section", F.regexp_replace(raw, r"\n{2,}\z", "").alias("text"))
     out = scratch_path(spark, "text-sections")
-    sections.filter(trim_ws(F.col("text")) != "").write.parquet(out)
+    sections.filter(trim_ws(F.col("text")) != "").write.option("compression", "zstd").parquet(out)
     return spark.read.parquet(out)
 
 

@@ -135,3 +135,13 @@ def test_kept_items_are_written_without_normalised_text(spark):
     assert sorted(r["ord"] for r in kept.collect()) == [1, 3, 4]
     assert "norm" not in kept._jdf.queryExecution().analyzed().toString()
     assert validation.deduplicate(items.withColumn("nothing", F.lit(None))).count() == 3
+
+
+def test_pieces_of_text_files_stay_where_they_are(spark, tmp_path, monkeypatch):
+    asked = []
+    monkeypatch.setattr(textscan, "with_offsets", lambda *a, real=textscan.with_offsets: asked.append(a[3]) or real(*a))
+    text = "# a\nline\n\nmore\n# b\n" + "word " * 200 + "\n\nlast\n"
+    (tmp_path / "one.txt").write_text(text)
+    found = textscan.chunk_text_files(spark, [str(tmp_path / "one.txt")]).select("chunk_number", "content").collect()
+    whole = chunk_sections(spark.createDataFrame([(1, text)], "id long, text string"), ["id"]).select("chunk_number", "content").collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, whole)) and asked == [2]
