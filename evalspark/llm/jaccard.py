@@ -5,18 +5,17 @@ segments; by the pigeonhole principle at least m - D segments hold the same subs
 bands that grow by half, each with a number of segments of its own; a set takes part in its own band and, where a
 larger partner may lie there, in the next.
 
-*Index of segment subsets.* Every non-empty segment gives one signature. Signatures shared by few sets propose their
-members: each member gets its size and sketch once, and pairs are tried inside the task that holds their list, so that only possible
-ones become rows. A segment costs what its signature's list is long: empty segments and lists over ``LIST`` members are not
-allotted. A set that loses no more of them than its segments in reserve is certain to meet each partner elsewhere.
+*Sets without partners.* At least three quarters of a linked set's shingles stand in its partner. Half of the universe is
+counted first; a set with more than a quarter of its shingles to itself there is linked with nothing and not indexed.
 
-*One-deletion neighbourhoods.* Sets that lose more are indexed again with about half as many segments, each under its
-subset and under every subset with one element less, which allows one difference per segment. Whoever still depends on
-long lists is compared along those lists, one list member after the other, until each list is one component or used up.
+*Index of segment subsets, allotted by cost.* Every non-empty segment gives one signature, which costs what its list is long. Of
+m signatures a set needs its D + 1 cheapest: in one order of all signatures the first D + 1 of each of two partners have one in
+common. So the longest lists lose all members that can do without them, and no link is lost.
 
-*Exact verification.* Sketches of parities leave out pairs that differ too much; what they leave is compared by whole sets. Lists are first compared with their smallest
-member only; members that fall into one component are not compared again, so a group of copies costs its size and not
-its square, and no link between different components is ever skipped.
+*Exact verification.* In each list every member is first compared with the one that has the most company. Lists whose members then fall into one
+component are used up, so a group of copies costs its size and not its square. In the others, members of different
+components are tried by sketches of parities inside the task that holds the list; only possible pairs become rows, and those are compared by
+whole sets.
 
 Sets are told apart, and shingles compared, by 64-bit hashes. Equal texts share one set from the start.
 
@@ -31,22 +30,26 @@ from collections.abc import Iterator
 from math import isqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evalspark.llm.components import components
-from evalspark.llm.frames import frame
 from evalspark.llm.shingles import mix, set_digest, shingle_set
 from evalspark.session import ensure_checkpoint_dir, remove_path, scratch_path
 
-LIST = 64
+# Lists of more members count as equally long.
+LIST = 4096
 _BAND_BITS = np.uint64(63)
 _BITMAP = 1 << 24
-_SKETCH_BITS = 1024
-_ROUNDS = 3
-_SETS_SCHEMA = "row_id long, text_key long, node long, n long, band int, empty long, empty_next long, sketch binary, signatures binary"
+_BUCKET_BITS = 11
+_BLOCK = 1 << 19
+_ROWS = 1000
+_FINE = 8
+_MEASURED_SCHEMA = (
+    "row_id long, text_key long, node long, n long, place long, sampled long, bucket int, base long, hashes binary, places binary"
+)
 
 
 def band_limits(limit: int = 1 << 33) -> np.ndarray:
@@ -84,163 +87,235 @@ def bands_of(size: int) -> list[int]:
     return [own, own + 1] if 4 * size // 3 >= LIMITS[own + 1] else [own]
 
 
-def _segmented(values: np.ndarray, band: int, deletions: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(segment of each element, weight of each element, sum of weights of each segment)``."""
-    count = segments(band, deletions)
-    segment = (mix(values + np.uint64(2 * band + deletions + 1)) % np.uint64(count)).astype(np.int64)
-    weight = mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    sums = np.zeros(count, dtype=np.uint64)
-    np.add.at(sums, segment, weight)
-    return segment, weight, sums
-
-
-def _named(sums: np.ndarray, segment: np.ndarray, band: int) -> np.ndarray:
-    """Signatures; the band stands in the low bits."""
-    return (mix(sums + mix(segment.astype(np.uint64) + np.uint64(band << 40))) & ~_BAND_BITS) | np.uint64(band)
-
-
-def subset_signatures(values: np.ndarray) -> np.ndarray:
-    out = []
-    for band in bands_of(len(values)):
-        segment, _, sums = _segmented(values, band, False)
-        filled = np.flatnonzero(np.bincount(segment, minlength=len(sums)))
-        out.append(_named(sums[filled], filled, band))
-    return np.concatenate(out)
-
-
-def deletion_signatures(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of every segment's subset and of it without one element, and a number for (band, segment)."""
-    keys, places = [], []
-    for band in bands_of(len(values)):
-        segment, weight, sums = _segmented(values, band, True)
-        every = np.arange(len(sums))
-        keys += [_named(sums, every, band), _named(sums[segment] - weight, segment, band)]
-        places += [every * 64 + band, segment * 64 + band]
-    return np.concatenate(keys), np.concatenate(places)
-
-
-def _empty(values: np.ndarray, band: int) -> int:
-    segment, _, sums = _segmented(values, band, False)
-    return len(sums) - len(np.unique(segment))
+def _signed(values: np.ndarray, band: int) -> tuple[np.ndarray, int]:
+    """Signatures of a set's segments, and how many of them it can do without.
 
+    A set and its partner agree in all but D of m segments. In one order of all signatures, the first D + 1 of each have
+    one in common. Empty segments come last in it; a set that needs some of them takes those with the smallest numbers.
+    """
+    segment = (mix(values + np.uint64(2 * band + 1)) % np.uint64(segments(band, False))).astype(np.int64)
+    sums = np.zeros(segments(band, False), dtype=np.uint64)
+    np.add.at(sums, segment, mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    filled = np.bincount(segment, minlength=len(sums)) > 0
+    spare = int(filled.sum()) - differences(len(values), band) - 1
+    taken = np.flatnonzero(filled)
+    if spare < 0:
+        taken = np.concatenate((taken, np.flatnonzero(~filled)[:-spare]))
+    named = mix(sums[taken] + mix(taken.astype(np.uint64) + np.uint64(band << 40)))
+    return (named & ~_BAND_BITS) | np.uint64(band), max(spare, 0)
+
+
+def _measured(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows of documents, and rows of blocks: half of the shingles of many sets, by buckets of their hashes.
+
+    Documents ``(row_id, text_key, node, n, place, sampled)``; ``place`` numbers the sets of blocks, of which copies in one
+    block have none. Blocks ``(bucket, base, hashes, places)``: 32 bits of each hash, and its set's place less ``base``.
+    """
 
-def _sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per document: its set's digest and size, how many of its segments are empty, its sketch and its signatures."""
-    names = [c.split()[0] for c in _SETS_SCHEMA.split(", ")]
+    def block(base: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(held)
+        places = np.repeat(np.arange(len(held), dtype=np.uint16), [len(h) for h in held])
+        order = np.argsort(values)
+        values, places = values[order], places[order]
+        bucket = (values >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+        hashes = (values >> np.uint64(32 - _BUCKET_BITS)).astype(np.uint32)
+        begin = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(values) else np.empty(0, dtype=np.int64)
+        end = np.append(begin[1:], len(values))
+        rows = len(begin)
+        packed = [pa.array([x[i:j].tobytes() for i, j in zip(begin, end)], pa.binary()) for x in (hashes, places)]
+        blank = [pa.nulls(rows, f.type) for f in schema][:6]
+        return pa.RecordBatch.from_arrays([*blank, pa.array(bucket[begin]), pa.array(np.full(rows, base)), *packed], schema=schema)
+
+    schema = pa.schema(
+        [(c, pa.int64()) for c in ("row_id", "text_key", "node", "n", "place", "sampled")]
+        + [("bucket", pa.int32()), ("base", pa.int64()), ("hashes", pa.binary()), ("places", pa.binary())]
+    )
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for row_id, text_key, whole in zip(rows["row_id"], rows["text_key"], rows["t"]):
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, seen, count = TaskContext.get().partitionId() << 40, [], set(), 0
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
+            rows = []
+            for whole in batch.column(2).to_pylist():
                 values = shingle_set(whole)
-                if not len(values):
-                    out.append((row_id, text_key, None, 0, 0, 0, 0, None, None))
+                node = int(np.uint64(set_digest(values)).astype(np.int64)) if len(values) else None
+                if node is None or node in seen:
+                    rows.append((node, len(values), None, None))
                     continue
-                bands = bands_of(len(values))
-                empty = [_empty(values, band) for band in bands]
-                node = np.uint64(set_digest(values)).astype(np.int64)
-                packed = parity_sketch(values).tobytes(), subset_signatures(values).tobytes()
-                out.append((row_id, text_key, int(node), len(values), bands[0], empty[0], empty[-1], *packed))
-            yield frame(out, names, ("row_id", "node"))
+                sample = values[(values & np.uint64(1)) == 0]
+                rows.append((node, len(values), base + len(held), len(sample)))
+                seen.add(node)
+                held.append(sample)
+                count += len(sample)
+                if len(held) == 1 << 16 or count >= _BLOCK:
+                    yield block(base, held)
+                    base, held, seen, count = base + len(held), [], set(), 0
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            blank = [pa.nulls(len(rows), f.type) for f in schema][6:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, *blank], schema=schema)
+        if held:
+            yield block(base, held)
 
     whole = F.col(f"`{text}`")
     return docs.select(
-        F.col(f"`{key}`").cast("long").cast("string").alias("row_id"), F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t")
-    ).mapInPandas(measure, _SETS_SCHEMA)
+        F.col(f"`{key}`").cast("long").alias("row_id"), F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t")
+    ).mapInArrow(measure, _MEASURED_SCHEMA)
+
 
+def _hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks sorted by bucket in; one row ``(place)`` for each shingle of a set that stands in another one as well."""
 
-def _signatures(rows: DataFrame) -> DataFrame:
-    """``(sig, node)`` of the subset index; copies inside a batch count once."""
+    def shared(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        size = [len(r[2]) // 4 for r in rows]
+        bucket = np.repeat(np.array([r[0] for r in rows], dtype=np.uint64), size)
+        value = (bucket << np.uint64(32)) | np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint32)
+        place = np.repeat(np.array([r[1] for r in rows], dtype=np.int64), size) + np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint16)
+        order = np.argsort(value)
+        value = value[order]
+        same = value[1:] == value[:-1]
+        often = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        yield pa.RecordBatch.from_arrays([pa.array(place[order[often]])], names=["place"])
+
+    held, count = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            # Buckets stay whole.
+            if count >= _BLOCK and row[0] != held[-1][0]:
+                yield from shared(held)
+                held, count = [], 0
+            held.append(row)
+            count += len(row[2]) // 4
+    if held:
+        yield from shared(held)
+
+
+def _candidates(measured: DataFrame) -> DataFrame:
+    """``(node, text_key)`` of the sets that may have a partner, with one of their texts.
+
+    A linked set has at most a quarter of its shingles to itself. Whoever has more of them in the sampled half of the
+    universe alone is linked with nothing.
+    """
+    blocks = measured.filter("bucket IS NOT NULL").select("bucket", "base", "hashes", "places")
+    hits = blocks.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_hits, "place long")
+    hits = hits.groupBy("place").agg(F.count(F.lit(1)).alias("hits"))
+    sets = measured.filter("place IS NOT NULL").select("place", "node", "n", "sampled", "text_key")
+    own = F.col("sampled") - F.coalesce("hits", F.lit(0))
+    return sets.join(hits, "place", "left").filter(4 * own <= F.col("n")).groupBy("node").agg(F.min("text_key").alias("text_key"))
+
+
+def _index(sets: DataFrame) -> DataFrame:
+    """``(sig, node, spare)``: the signatures of all sets, in each of their bands."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy()
-            nodes, first = np.unique(nodes, return_index=True)
-            packed = batch.column(1).take(pa.array(first)).to_pylist()
-            for at in range(0, len(nodes), 1000):
-                part = packed[at : at + 1000]
-                counts = [len(p) // 8 for p in part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(b"".join(part), dtype=np.int64)), pa.array(np.repeat(nodes[at : at + 1000], counts))], names=["sig", "node"]
-                )
+            for at in range(0, batch.num_rows, 500):
+                named, nodes, spares = [], [], []
+                part = batch.slice(at, 500)
+                for node, elements in zip(part.column(0).to_pylist(), part.column(1)):
+                    values = elements.values.to_numpy().view(np.uint64)
+                    for band in bands_of(len(values)):
+                        signatures, spare = _signed(values, band)
+                        named.append(signatures.view(np.int64))
+                        nodes.append(np.full(len(signatures), node))
+                        spares.append(np.full(len(signatures), spare, dtype=np.int32))
+                if named:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (named, nodes, spares)], names=["sig", "node", "spare"])
+
+    return sets.select("node", "elements").mapInArrow(sign, "sig long, node long, spare int")
+
+
+def _shared(signatures: DataFrame) -> DataFrame:
+    """``(sig, node, spare, held)``: signatures of two sets or more, and how many hold them (``LIST`` if more)."""
+    limit = LIST
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32)]
+        long = None  # the list last reported as a long one may go on
+
+        def closed(rows: list[np.ndarray], size: np.ndarray) -> pa.RecordBatch:
+            size = size.copy()
+            if long is not None and rows[0][0] == long:
+                size[0] = limit
+            held = np.repeat(np.minimum(size, limit), np.diff(np.append(np.flatnonzero(_first(rows[0])), len(rows[0]))))
+            chosen = held > 1
+            return pa.RecordBatch.from_arrays([*(pa.array(r[chosen]) for r in rows), pa.array(held[chosen])], names=["sig", "node", "spare", "held"])
 
-    return rows.filter("node IS NOT NULL").select("node", "signatures").mapInArrow(sign, "sig long, node long")
+        for batch in batches:
+            rows = [np.concatenate((old, batch.column(i).to_numpy())) for i, old in enumerate(rest)]
+            if not len(rows[0]):
+                continue
+            begin = np.flatnonzero(_first(rows[0]))
+            size = np.diff(np.append(begin, len(rows[0])))
+            last = int(rows[0][-1])
+            if size[-1] >= limit or last == long:
+                yield closed(rows, size)
+                long, rest = last, [r[:0] for r in rows]
+                continue
+            if len(begin) > 1:
+                yield closed([r[: begin[-1]] for r in rows], size[:-1])
+            rest = [r[begin[-1] :] for r in rows]
+        if len(rest[0]):
+            yield closed(rest, np.array([len(rest[0])]))
 
+    return signatures.repartition("sig").sortWithinPartitions("sig").mapInArrow(shared, "sig long, node long, spare int, held long")
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Lists of equal signatures in sorted input: short ones whole, long ones row by row."""
-    sig, node = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-    is_long = False  # the run held over has already been reported up to its last row
 
-    def short(s: np.ndarray, members: np.ndarray) -> pa.RecordBatch:
-        rows, width = members.shape
-        lists = pa.ListArray.from_arrays(np.arange(0, rows * width + 1, width, dtype=np.int32), pa.array(members.ravel()))
-        return pa.RecordBatch.from_arrays([pa.array(s), pa.nulls(rows, pa.int64()), lists], names=["sig", "node", "members"])
+def _first(sig: np.ndarray) -> np.ndarray:
+    return np.concatenate(([True], sig[1:] != sig[:-1]))
 
-    def long(s: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(s), pa.array(n), pa.nulls(len(s), pa.list_(pa.int64()))], names=["sig", "node", "members"]
-        )
 
-    def closed(s: np.ndarray, n: np.ndarray, first_long: bool) -> Iterator[pa.RecordBatch]:
-        """``s, n``: whole runs; of a first run reported before, its last reported row and the rows after it."""
-        if not len(s):
-            return
-        begin = np.concatenate(([0], np.flatnonzero(s[1:] != s[:-1]) + 1))
-        size = np.diff(np.concatenate((begin, [len(s)])))
-        wide = size > LIST
-        if first_long:
-            if size[0] > 1:
-                yield long(s[1 : size[0]], n[1 : size[0]])
-            size[0], wide[0] = 0, False
-        if wide.any():
-            rows = np.repeat(wide, size) if not first_long else np.concatenate((np.zeros(begin[1] if len(begin) > 1 else len(s), bool), np.repeat(wide[1:], size[1:])))
-            yield long(s[rows], n[rows])
-        for width in range(2, LIST + 1):
-            at = begin[(size == width) & ~wide]
-            if len(at):
-                yield short(s[at], n[at[:, None] + np.arange(width)])
+def _allotted(shared: DataFrame) -> DataFrame:
+    """``(sig, node, weight)``: each set on its shortest lists, without as many of the longest as it can spare.
+
+    The weight, the sum of its lists' lengths, is large for a set in the midst of similar ones.
+    """
+    own = Window.partitionBy("node", _band())
+    rank = F.row_number().over(own.orderBy(F.desc("held"), F.desc("sig")))
+    weight = F.sum("held").over(own)
+    return shared.select("sig", "node", "spare", rank.alias("rank"), weight.alias("weight")).filter("rank > spare").select("sig", "node", "weight")
 
+
+def _hub_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists in, each with its heaviest member first; that member with each other."""
+    sig, hub = None, None
     for batch in batches:
-        s = np.concatenate((sig, batch.column(0).to_numpy()))
-        n = np.concatenate((node, batch.column(1).to_numpy()))
-        new = np.concatenate(([True], (s[1:] != s[:-1]) | (n[1:] != n[:-1])))
-        s, n = s[new], n[new]
-        if not len(s):
+        sigs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if not len(sigs):
             continue
-        last = int(np.searchsorted(s, s[-1]))
-        yield from closed(s[:last], n[:last], is_long)
-        is_long = is_long and last == 0
-        sig, node = s[last:], n[last:]
-        if len(sig) > LIST or (is_long and len(sig) > 1):
-            start = 1 if is_long else 0
-            yield long(sig[start:], node[start:])
-            sig, node, is_long = sig[-1:], node[-1:], True
-    yield from closed(sig, node, is_long)
-
-
-def _lists(signatures: DataFrame, label: str) -> DataFrame:
-    """The shared signatures, written once: rows ``members`` of short lists, rows ``(sig, node)`` of long ones."""
-    path = scratch_path(signatures.sparkSession, label)
-    (
-        signatures.repartition("sig")
-        .sortWithinPartitions("sig", "node")
-        .mapInArrow(_runs, "sig long, node long, members array<long>")
-        .write.parquet(path)
-    )
-    return signatures.sparkSession.read.parquet(path)
+        first = _first(sigs)
+        hubs = nodes[first]
+        if sigs[0] == sig:
+            hubs[0] = hub
+        every = hubs[np.cumsum(first) - 1]
+        sig, hub = sigs[-1], hubs[-1]
+        pairs = np.unique(np.stack((every, nodes), axis=1)[every != nodes], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
-def parity_sketch(values: np.ndarray) -> np.ndarray:
-    """For each of 1024 segments whether it has an odd number of elements, as 16 longs.
+def parity_sketch(values: np.ndarray, scale: int = 1) -> np.ndarray:
+    """For each of many segments whether it has an odd number of elements, as longs.
 
     An element in one of two sets only turns one bit, so two sketches never differ in more bits than their sets differ
-    in elements.
+    in elements. There are at least ``scale`` times as many bits as elements, up to 131,072; a sketch folds to one of half its length.
     """
-    odd = np.bincount((values & np.uint64(_SKETCH_BITS - 1)).astype(np.int64), minlength=_SKETCH_BITS) & 1
+    bits = 1 << min(17, max(8, (scale * len(values) - 1).bit_length()))
+    odd = np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    while sketches.shape[1] > width:
+        half = sketches.shape[1] // 2
+        sketches = sketches[:, :half] ^ sketches[:, half:]
+    return sketches
+
+
+def _folded_all(sketches: list[bytes], width: int) -> np.ndarray:
+    """Sketches of different lengths, folded to one."""
+    if all(len(s) == 8 * width for s in sketches):
+        return np.frombuffer(b"".join(sketches), dtype=np.uint64).reshape(-1, width)
+    return np.concatenate([_folded(np.frombuffer(s, dtype=np.uint64).reshape(1, -1), width) for s in sketches])
+
+
 def _bitmap(keys: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that holds every key; some others pass as well."""
     slot = F.pmod(F.col("text_key"), F.lit(_BITMAP))
@@ -253,22 +328,21 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``(node, n, sketch, elements)`` for ``nodes``, written once. One text per set is read again.
+def _fetch_sets(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
+    """``(node, n, sketch, elements)`` for the sets of ``chosen(node, text_key)``, written once. One text per set is read again.
 
     The bitmap of those texts keeps most others from being cut into shingles; the join leaves out the rest.
     """
     spark = docs.sparkSession
-    keys = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
-    bitmap = spark.sparkContext.broadcast(_bitmap(keys))
+    bitmap = spark.sparkContext.broadcast(_bitmap(chosen))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bitmap.value
-        for batch in batches:
+        for batch in (b.slice(at, _ROWS) for b in batches for at in range(0, b.num_rows, _ROWS)):
             slot = batch.column(0).to_numpy() % _BITMAP
-            chosen = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
+            taken = np.flatnonzero((bits[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1))
             found, sketches = {}, []
-            for whole in batch.column(1).take(pa.array(chosen)).to_pylist():
+            for whole in batch.column(1).take(pa.array(taken)).to_pylist():
                 values = shingle_set(whole)
                 node = int(np.uint64(set_digest(values)).astype(np.int64))
                 if len(values) and node not in found:
@@ -289,7 +363,7 @@ def _fetch_sets(docs: DataFrame, text: str, rows: DataFrame, nodes: DataFrame) -
     texts = docs.select(F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t"))
     sets = texts.mapInArrow(fetch, "node long, n long, sketch binary, elements array<long>")
     path = scratch_path(spark, "sets")
-    sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    sets.join(chosen, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -307,9 +381,15 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             na, nb = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64) for c in ("sa", "sb"))
-            chosen = pa.array(_near(na, nb, sa, sb))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(chosen), batch.column("b").filter(chosen)], names=["a", "b"])
+            sa, sb = (batch.column(c).to_pylist() for c in ("sa", "sb"))
+            width = np.minimum([len(s) for s in sa], [len(s) for s in sb])
+            chosen = np.zeros(len(na), dtype=bool)
+            for w in np.unique(width):
+                at = np.flatnonzero(width == w)
+                one, other = (_folded_all([s[i] for i in at], w // 8) for s in (sa, sb))
+                chosen[at] = _near(na[at], nb[at], one, other)
+            taken = pa.array(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(taken), batch.column("b").filter(taken)], names=["a", "b"])
 
     return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
 
@@ -323,93 +403,89 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").filter(100 * common >= 75 * union).select("a", "b")
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose members aren't in one component yet."""
-    a = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-    b = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    named = pairs.join(a, "a", "left").join(b, "b", "left")
-    return named.filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b").distinct()
-
-
-def _relabelled(rows: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """``rows(key, node)`` with ``label``, without the keys whose nodes all share one label."""
-    named = rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    mixed = named.groupBy(key).agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y").select(key)
-    return named.join(mixed, key, "left_semi")
-
-
-def _within(rows: DataFrame, key: str) -> DataFrame:
-    """All pairs of different labels inside short lists."""
-    other = rows.select(key, F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return (
-        rows.join(other, key)
-        .filter((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")))
-        .select(F.col("node").alias("a"), "b")
+def _mixed(allotted: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(sig, node, label)`` of the lists that several components share; of lists with equal members one."""
+    named = allotted.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
+    mixed = (
+        named.groupBy("sig")
+        .agg(
+            F.min("label").alias("least"),
+            F.max("label").alias("most"),
+            F.count(F.lit(1)).alias("size"),
+            F.bit_xor(F.xxhash64("node")).alias("x"),
+            F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        )
+        .filter("least != most")
+        .groupBy("x", "y", "size")
+        .agg(F.min("sig").alias("sig"))
     )
-
-
-def _stars(rows: DataFrame, key: str) -> DataFrame:
-    """Every member of a list with the smallest one."""
-    hubs = rows.groupBy(key).agg(F.min("node").alias("a"))
-    return rows.join(hubs, key).filter("node != a").select("a", F.col("node").alias("b"))
-
-
-def _short(lists: DataFrame) -> DataFrame:
-    members = lists.filter(F.col("members").isNotNull()).select("members").distinct()
-    return members.select(F.xxhash64("members").alias("list"), F.explode("members").alias("node"))
-
-
-_MEMBER = ["list", "met", "band", "node", "n", "need", "sketch"]
+    return named.join(mixed.select("sig"), "sig", "left_semi")
 
 
 def _pairs_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_MEMBER`` sorted by list in; the pairs of members that sizes and sketches leave possible out, with how often the list's
-    members meet in it and how often they need to."""
-    whole = len(_MEMBER) - 1
-    held = [np.empty(0, dtype=np.int64)] * whole + [np.empty((0, _SKETCH_BITS // 64), dtype=np.uint64)]
-
-    def possible(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        lists, met, band, node, n, need, sketch = rows
-        begin = np.concatenate(([0], np.flatnonzero(lists[1:] != lists[:-1]) + 1))
-        width = np.diff(np.concatenate((begin, [len(lists)])))
-        for members in np.unique(width[width > 1]).tolist():
-            one, other = np.triu_indices(members, 1)
-            starts = begin[width == members][:, None]
-            # At most as many lists at once as make 2 ** 17 pairs.
-            step = max(1, (1 << 17) // len(one))
-            for at in range(0, len(starts), step):
-                a, b = ((starts[at : at + step] + x).ravel() for x in (one, other))
-                near = _near(n[a], n[b], sketch[a], sketch[b])
-                a, b = a[near], b[near]
-                columns = [np.minimum(node[a], node[b]), np.maximum(node[a], node[b]), band[a], met[a], np.maximum(need[a], need[b])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "band", "met", "need"])
-
+    """Rows ``(sig, label, node, n, sketch)`` sorted by list in; the pairs of different labels that sizes and sketches leave possible out."""
+
+    def tried(a: np.ndarray, b: np.ndarray, label: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        apart = (label[a] != label[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+        a, b = a[apart], b[apart]
+        near = _near(n[a], n[b], sketch[a], sketch[b])
+        a, b = node[a[near]], node[b[near]]
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+    def possible(sig: np.ndarray, label: np.ndarray, node: np.ndarray, n: np.ndarray, sketch: list[bytes]) -> Iterator[pa.RecordBatch]:
+        begin = np.flatnonzero(_first(sig))
+        size = np.diff(np.append(begin, len(sig)))
+        band = sig[begin] & int(_BAND_BITS)
+        for members, of in {(s, b) for s, b in zip(size.tolist(), band.tolist()) if s > 1}:
+            rows = (begin[(size == members) & (band == of)][:, None] + np.arange(members)).ravel()
+            sketches = [sketch[i] for i in rows]
+            columns = label[rows], node[rows], n[rows], _folded_all(sketches, min(map(len, sketches)) // 8)
+            # About 8 MB of sketches at once: pairs of many short lists, or some rows of a long one with those behind them.
+            most = (1 << 20) // columns[-1].shape[1]
+            if members <= 256:
+                one, other = np.triu_indices(members, 1)
+                starts, step = np.arange(0, len(rows), members)[:, None], max(1, most // len(one))
+                for at in range(0, len(starts), step):
+                    yield tried((starts[at : at + step] + one).ravel(), (starts[at : at + step] + other).ravel(), *columns)
+                continue
+            for start in range(0, len(rows), members):
+                at = 0
+                while at < members - 1:
+                    step = min(max(1, most // (members - at)), members - 1 - at)
+                    one, other = np.triu_indices(step, 1, members - at)
+                    yield tried(start + at + one, start + at + other, *columns)
+                    at += step
+
+    held: list = [np.empty(0, dtype=np.int64)] * 4 + [[]]
     for batch in batches:
-        sketches = np.frombuffer(b"".join(batch.column(whole).to_pylist()), dtype=np.uint64).reshape(-1, _SKETCH_BITS // 64)
-        new = [*(batch.column(i).to_numpy() for i in range(whole)), sketches]
-        rows = [np.concatenate(x) for x in zip(held, new)]
+        new = [*(batch.column(i).to_numpy() for i in range(4)), batch.column(4).to_pylist()]
         # The last list may go on in the next batch.
+        rows = [np.concatenate((old, x)) for old, x in zip(held[:4], new)] + [held[4] + new[4]]
         last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
         held = [x[last:] for x in rows]
         if last:
-            yield from possible([x[:last] for x in rows])
+            yield from possible(*(x[:last] for x in rows))
     if len(held[0]):
-        yield from possible(held)
+        yield from possible(*held)
 
 
-def _meetings(lists: DataFrame, needs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` that sizes and sketches leave possible, and that meet on short lists of one band as often as each of them needs.
+def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of one list and different labels that sizes and sketches leave possible.
 
-    Each member of a different list gets its size, need and sketch once; pairs are then tried inside the task that holds
-    the list, so only possible ones become rows.
+    A pair may stand in many lists, so the sketches are fine ones: they leave out pairs that come less close than 0.73 or so.
     """
-    alike = lists.filter(F.col("members").isNotNull()).groupBy("members", _band().alias("band")).agg(F.count(F.lit(1)).alias("met"))
-    members = alike.select(F.xxhash64("members", "band").alias("list"), "met", F.col("band").cast("long").alias("band"), F.explode("members").alias("node"))
-    known = needs.select("node", F.col("band").cast("long").alias("band"), F.col("need").cast("long").alias("need")).join(sketches, "node")
-    described = members.join(known, ["node", "band"]).select(*_MEMBER)
-    pairs = described.repartition("list").sortWithinPartitions("list").mapInArrow(_pairs_in_lists, "a long, b long, band long, met long, need long")
-    often = pairs.groupBy("a", "b", "band").agg(F.sum("met").alias("met"), F.max("need").alias("need")).filter("met >= need")
-    return often.select("a", "b").distinct()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(at, _ROWS)
+                fine = [parity_sketch(e.values.to_numpy().view(np.uint64), _FINE).tobytes() for e in part.column(2)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fine, pa.binary())], names=["node", "n", "sketch"])
+
+    fine = sets.select("node", "n", "elements").mapInArrow(sketch, "node long, n long, sketch binary")
+    members = mixed.join(fine, "node").select("sig", "label", "node", "n", "sketch")
+    return members.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs_in_lists, "a long, b long").distinct()
 
 
 class _Links:
@@ -432,142 +508,28 @@ def _band() -> Column:
     return F.col("sig").bitwiseAND(F.lit(int(_BAND_BITS))).cast("int")
 
 
-def _needs(lost: DataFrame, sizes: DataFrame, deletions: bool) -> DataFrame:
-    """``(node, band, need)``: in how many segments with short lists a node surely meets each partner of the band.
-
-    That is how many segments agree at least, less the ones lost to long lists (``lost(node, band, lost)``) and, without
-    deletions, the empty ones. ``sizes(node, n, band, empty, empty_next)``.
-    """
-    table = [(b, segments(b, deletions), int(LIMITS[b]), int(LIMITS[b + 1]) - 1) for b in range(len(LIMITS) - 1)]
-    bands = F.broadcast(sizes.sparkSession.createDataFrame(table, "band int, m long, first long, most long"))
-    partner = F.floor(4 * F.col("n") / 3)
-    own = sizes.select("node", "n", "band", F.col("empty").alias("gone"))
-    next_band = sizes.select("node", "n", (F.col("band") + 1).alias("band"), F.col("empty_next").alias("gone"))
-    both = own.join(bands, "band").union(next_band.join(bands, "band").filter(partner >= F.col("first")))
-    worst = F.floor((F.col("n") + F.least(partner, F.col("most"))) / 7)
-    agree = F.col("m") - (F.floor(worst / 2) if deletions else worst)
-    gone = F.lit(0) if deletions else F.col("gone")
-    return both.join(lost, ["node", "band"], "left").select(
-        "node", "band", (agree - gone - F.coalesce("lost", F.lit(0))).alias("need")
-    )
-
-
-def _heavy(needs: DataFrame) -> DataFrame:
-    """Nodes that may not meet a partner on short lists."""
-    return needs.filter("need <= 0").select("node").distinct()
-
-
-def _lost(long: DataFrame) -> DataFrame:
-    """``(node, band, lost)``: how many segments of a node have long lists."""
-    return long.groupBy("node", _band().alias("band")).agg(F.count(F.lit(1)).alias("lost"))
-
-
-def _settle(pairs: DataFrame, state: _Links, sets: DataFrame) -> None:
-    """Add the links among ``pairs``. A few rounds compare each set with one other, so that groups of similar sets become
-    components early; then only the pairs between different components are left."""
-    apart = pairs.checkpoint()
-    for _ in range(_ROUNDS):
-        chosen = apart.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").checkpoint()
-        if not state.add(_linked(chosen, sets)):
-            break
-        apart = _apart(apart.join(chosen, ["a", "b"], "left_anti"), state.labels).checkpoint()
-    state.add(_linked(apart, sets))
-
-
-def _neighbourhoods(sets: DataFrame) -> DataFrame:
-    """``(sig, node, place)`` of the one-deletion index."""
-
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for node, elements in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, places = deletion_signatures(elements.values.to_numpy().view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(np.full(len(keys), node)), pa.array(places)],
-                    names=["sig", "node", "place"],
-                )
-
-    return sets.select("node", "elements").mapInArrow(sign, "sig long, node long, place long")
-
-
-def _along(rows: DataFrame, state: _Links, sets: DataFrame) -> None:
-    """Compare the members of long lists, until no list has two components.
-
-    In turn t the members of the next 2**t ranks of a list are compared with those behind them that are still apart, so
-    a list of one component ends early and any other after as many turns as its length has digits.
-    """
-    order = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-    ranked = rows.select("sig", "node").distinct().withColumn("rank", order).checkpoint()
-    tested = None
-    first, count = 1, 1
-    while True:
-        behind = ranked.filter(F.col("rank") >= first)
-        mixed = _relabelled(behind, state.labels, "sig").checkpoint()
-        if mixed.isEmpty():
-            return
-        hubs = mixed.filter(F.col("rank") < first + count).select(
-            "sig", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("rank").alias("rank_a")
-        )
-        pairs = mixed.join(hubs, "sig").filter((F.col("label") != F.col("label_a")) & (F.col("rank") > F.col("rank_a")))
-        pairs = pairs.select("a", F.col("node").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.checkpoint()
-        tested = pairs if tested is None else tested.union(pairs)
-        state.add(_linked(_possible(pairs, sets), sets))
-        first, count = first + count, 2 * count
-
-
-def _close_neighbours(heavy: DataFrame, sizes: DataFrame, sets: DataFrame, state: _Links) -> None:
-    """Add the links among ``heavy`` by the index of one-deletion neighbourhoods, then along what lists stay long."""
-    sets = sets.join(heavy, "node", "left_semi").checkpoint()
-    close = _neighbourhoods(sets)
-    lists = _lists(close.select("sig", "node"), "deletions")
-    short, long = _short(lists), lists.filter(F.col("node").isNotNull()).select("sig", "node")
-    _settle(_possible(_within(_relabelled(short, state.labels, "list"), "list").distinct(), sets), state, sets)
-    mixed = _relabelled(long, state.labels, "sig").select("sig", "node").checkpoint()
-    if mixed.isEmpty():
-        return
-    _settle(_possible(_apart(_stars(mixed, "sig").distinct(), state.labels), sets), state, sets)
-    mixed = _relabelled(mixed, state.labels, "sig").select("sig", "node").checkpoint()
-    held = close.join(mixed, ["sig", "node"], "left_semi").select("node", "place").distinct()
-    lost = held.groupBy("node", F.pmod("place", F.lit(64)).cast("int").alias("band")).agg(F.count(F.lit(1)).alias("lost"))
-    left = _heavy(_needs(lost, sizes.join(heavy, "node", "left_semi"), True))
-    _along(mixed.join(left, "node", "left_semi"), state, sets)
-
-
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``(row_id, text_key, n, label, component_id)`` per row of ``docs``; equal labels are linked."""
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    path = scratch_path(spark, "measured")
-    _sets(docs, key, text).write.parquet(path)
+    path, narrow, lists = (scratch_path(spark, label) for label in ("measured", "rows", "lists"))
+    _measured(docs, key, text).write.parquet(path)
     measured = spark.read.parquet(path)
-    lists = _lists(_signatures(measured), "subsets")
-    # Signatures are used up; what goes on is narrow.
-    narrow = scratch_path(spark, "rows")
-    measured.drop("signatures").write.parquet(narrow)
-    remove_path(spark, path)
+    measured.filter("bucket IS NULL").select("row_id", "text_key", "node", "n").write.parquet(narrow)
     rows = spark.read.parquet(narrow)
-    sizes = rows.filter("node IS NOT NULL").groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "band", "empty", "empty_next")])
-
-    long = lists.filter(F.col("node").isNotNull()).select("sig", "node")
-    needs = _needs(_lost(long), sizes, False).checkpoint()
-    heavy = _heavy(needs).checkpoint()
-    # Only sets that may depend on long lists go on with them.
-    long = long.join(heavy, "node", "left_semi").select("sig", "node").checkpoint()
-    sketches = rows.filter("node IS NOT NULL").select("node", "n", "sketch").dropDuplicates(["node"])
-    pairs = _meetings(lists, needs, sketches).union(_possible(_stars(long, "sig").distinct(), sketches)).distinct().checkpoint()
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(heavy).distinct()
-    sets = _fetch_sets(docs, text, rows, wanted)
+    chosen = _candidates(measured).checkpoint()
+    # Blocks are used up; what goes on is narrow.
+    remove_path(spark, path)
+    sets = _fetch_sets(docs, text, chosen)
+    _allotted(_shared(_index(sets))).write.parquet(lists)
+    allotted = spark.read.parquet(lists)
 
     state = _Links(spark)
-    _settle(pairs, state, sets)
-
-    # A list inside one component hides no link; what still depends on other long lists, or on empty segments.
-    mixed = _relabelled(long, state.labels, "sig").select("sig", "node")
-    heavy = _heavy(_needs(_lost(mixed), sizes.join(heavy, "node", "left_semi"), False)).checkpoint()
-    if not heavy.isEmpty():
-        _close_neighbours(heavy, sizes, sets, state)
+    by_list = allotted.repartition("sig").sortWithinPartitions("sig", F.desc("weight"), "node")
+    state.add(_linked(_possible(by_list.mapInArrow(_hub_pairs, "a long, b long").distinct(), sets), sets))
+    # A list inside one component hides no link.
+    state.add(_linked(_across(_mixed(allotted, state.labels), sets), sets))
+    remove_path(spark, lists)
 
     named = rows.join(state.labels, "node", "left").select(
         "row_id", "text_key", "n", F.coalesce("component", "node").alias("label")

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from evalspark.llm import jaccard, shingles
@@ -113,3 +114,91 @@ def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
+
+
+def near_copies(seed, count=80, length=200, changes=3):
+    """Copies of one text with some words changed, and as many unrelated texts."""
+    rnd = random.Random(seed)
+    base = [f"w{rnd.randrange(5000)}" for _ in range(length)]
+    rows = []
+    for i in range(count):
+        copy = list(base)
+        for _ in range(changes if i else 0):
+            copy[rnd.randrange(length)] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(copy)))
+        rows.append((1000 + i, " ".join(f"u{rnd.randrange(10**9)}" for _ in range(length))))
+    return rows
+
+
+def test_jobs_of_a_large_group(spark):
+    """A group of near copies with lists longer than any other takes few jobs, as each of them costs the driver memory."""
+    rows = near_copies(5)
+    spark.sparkContext.setJobGroup("jaccard", "jobs of one run")
+    try:
+        assert found(spark, rows) == brute_components(rows)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("jaccard")) < 90
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_sets_without_partners_are_not_indexed(spark):
+    rows = near_copies(6, count=20)
+    measured = jaccard._measured(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").localCheckpoint()
+    chosen = {r.node for r in jaccard._candidates(measured).collect()}
+    assert chosen == {r.node for r in measured.filter("row_id < 1000").collect()}
+
+
+def test_allotted_lists_keep_a_meeting_of_linked_sets(spark):
+    """In the one order of signatures each set may leave out its longest lists, and still meets every partner."""
+    sets = [np.sort(np.unique(np.array([shingles.mix(np.uint64([hash(s) & (2**64 - 1)]))[0] for s in x], dtype=np.uint64))) for x in brute_sets([t for _, t in corpus(4)]) if x]
+    held, own = {}, []
+    for values in sets:
+        for band in jaccard.bands_of(len(values)):
+            signatures, spare = jaccard._signed(values, band)
+            own.append((band, signatures, spare))
+            for s in signatures.tolist():
+                held[s] = held.get(s, 0) + 1
+    places = iter(own)
+    kept = []
+    for values in sets:
+        lists = set()
+        for _ in jaccard.bands_of(len(values)):
+            _, signatures, spare = next(places)
+            lists |= set(sorted(signatures.tolist(), key=lambda s: (-held[s], -s))[spare:])
+        kept.append(lists)
+    for (x, lx), (y, ly) in combinations(list(zip(sets, kept)), 2):
+        common = len(np.intersect1d(x, y))
+        if 100 * common >= 75 * (len(x) + len(y) - common):
+            assert lx & ly
+
+
+def test_folded_sketches_never_differ_more_than_sets():
+    rnd = np.random.default_rng(1)
+    for n, m in [(10, 13), (250, 300), (500, 520), (2000, 2600)]:
+        values = rnd.integers(0, 2**63, m).astype(np.uint64)
+        one, other = values[:n], values[m - n :]
+        for scale in (1, 8):
+            a, b = (jaccard.parity_sketch(x, scale).view(np.uint64) for x in (one, other))
+            width = min(len(a), len(b))
+            a, b = (jaccard._folded(x.reshape(1, -1), width) for x in (a, b))
+            assert np.bitwise_count(a ^ b).sum() <= len(np.setxor1d(one, other))
+
+
+def test_pairs_of_a_long_list_are_tried_in_parts():
+    """All near pairs of different labels, though a list spans batches and parts."""
+    import pyarrow as pa
+
+    rnd = np.random.default_rng(2)
+    base = rnd.integers(0, 2**63, 3000).astype(np.uint64)
+    sets = [np.concatenate((base[: 2990 + i % 7], rnd.integers(0, 2**63, 4).astype(np.uint64))) if i % 50 == 0 else rnd.integers(0, 2**63, 3000).astype(np.uint64) for i in range(400)]
+    columns = [
+        pa.array([64] * 400 + [128]),
+        pa.array(range(401)),
+        pa.array(range(401)),
+        pa.array([len(s) for s in sets] + [5]),
+        pa.array([jaccard.parity_sketch(s, 8).tobytes() for s in sets] + [b"\0" * 32]),
+    ]
+    batch = pa.RecordBatch.from_arrays(columns, names=["sig", "label", "node", "n", "sketch"])
+    parts = [batch.slice(0, 150), batch.slice(150, 200), batch.slice(350)]
+    pairs = [p for b in jaccard._pairs_in_lists(iter(parts)) for p in zip(*(c.to_pylist() for c in b.columns))]
+    assert sorted(pairs) == list(combinations(range(0, 400, 50), 2))
