@@ -28,3 +28,18 @@ def test_stages(spark, tmp_path):
     clean = results["benchmark_decontamination"]
     assert decontamination.decontaminate(clean, spark.read.parquet(f"{SF}/benchmark.parquet")).filter("contaminated").count() == 0
     assert set(ids["packing"]) == set(ids["benchmark_decontamination"])
+
+
+def test_near_duplicates_takes_few_jobs(spark):
+    """Plans of many jobs fill the driver, whatever the rows are."""
+    base = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(base[: 3 * i] + [f"x{i}", f"y{i}"] + base[3 * i + 2 :]), "a") for i in range(60)]
+    rows += [(1000 + i, " ".join(f"u{i}n{k}" for k in range(150)), "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    spark.sparkContext.setJobGroup("near", "jobs of one run")
+    try:
+        kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near")) < 90
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept == [0, *range(1000, 1040)]
