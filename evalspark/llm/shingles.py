@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 WORDS_PER_SHINGLE = 5
-_CACHED_WORDS = 500_000
+_CACHED_WORDS = 100_000
 # Letters A-Z in lower case; words are separated by white space of ASCII, as bytes.split does it.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
