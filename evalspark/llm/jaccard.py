@@ -19,6 +19,9 @@ whole sets.
 
 Sets are told apart, and shingles compared, by 64-bit hashes. Equal texts share one set from the start.
 
+*Joins.* Every table here grows with the input, so none is broadcast: Spark takes a table of sets, whose size it estimates from a
+few of its bytes, for a small one and would gather it in the driver. All joins exchange both sides (``_merged``).
+
 Defined results: a null text, or one without words, has no shingles and is linked with nothing. Repeated rows share a
 component. Rows without an id are compared like others; a component of such rows alone has no id. Other columns are not
 touched. An empty table gives an empty table.
@@ -52,6 +55,11 @@ _MEASURED_SCHEMA = (
 )
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """A side of a join that must not pass through the driver, however small Spark takes it to be."""
+    return table.hint("merge")
+
+
 def band_limits(limit: int = 1 << 33) -> np.ndarray:
     """First sizes of the bands: 1, 2, 3, 4, 6, 9, 13, ..."""
     out = [1]
@@ -199,7 +207,7 @@ def _candidates(measured: DataFrame) -> DataFrame:
     hits = hits.groupBy("place").agg(F.count(F.lit(1)).alias("hits"))
     sets = measured.filter("place IS NOT NULL").select("place", "node", "n", "sampled", "text_key")
     own = F.col("sampled") - F.coalesce("hits", F.lit(0))
-    return sets.join(hits, "place", "left").filter(4 * own <= F.col("n")).groupBy("node").agg(F.min("text_key").alias("text_key"))
+    return sets.join(_merged(hits), "place", "left").filter(4 * own <= F.col("n")).groupBy("node").agg(F.min("text_key").alias("text_key"))
 
 
 def _index(sets: DataFrame) -> DataFrame:
@@ -323,8 +331,8 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
         F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))).alias("bits")
     )
     out = np.zeros(_BITMAP >> 6, dtype=np.int64)
-    found = words.toPandas()
-    out[found["w"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    found = words.select(F.col("w").cast("long").alias("w"), "bits").toArrow()
+    out[found["w"].to_numpy()] = found["bits"].to_numpy()
     return out.view(np.uint64)
 
 
@@ -363,7 +371,7 @@ def _fetch_sets(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
     texts = docs.select(F.xxhash64(whole).alias("text_key"), whole.cast("binary").alias("t"))
     sets = texts.mapInArrow(fetch, "node long, n long, sketch binary, elements array<long>")
     path = scratch_path(spark, "sets")
-    sets.join(chosen, "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
+    sets.join(_merged(chosen), "node", "left_semi").dropDuplicates(["node"]).write.parquet(path)
     return spark.read.parquet(path)
 
 
@@ -391,7 +399,7 @@ def _possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             taken = pa.array(chosen)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(taken), batch.column("b").filter(taken)], names=["a", "b"])
 
-    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
+    return pairs.join(_merged(b), "b").join(_merged(a), "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -400,12 +408,12 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("ea"))
     common = F.size(F.array_intersect("ea", "eb"))
     union = F.size("ea") + F.size("eb") - common
-    return pairs.join(right, "b").join(left, "a").filter(100 * common >= 75 * union).select("a", "b")
+    return pairs.join(_merged(right), "b").join(_merged(left), "a").filter(100 * common >= 75 * union).select("a", "b")
 
 
 def _mixed(allotted: DataFrame, labels: DataFrame) -> DataFrame:
     """``(sig, node, label)`` of the lists that several components share; of lists with equal members one."""
-    named = allotted.select("sig", "node").join(labels, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
+    named = allotted.select("sig", "node").join(_merged(labels), "node", "left").select("sig", "node", F.coalesce("component", "node").alias("label"))
     mixed = (
         named.groupBy("sig")
         .agg(
@@ -419,7 +427,7 @@ def _mixed(allotted: DataFrame, labels: DataFrame) -> DataFrame:
         .groupBy("x", "y", "size")
         .agg(F.min("sig").alias("sig"))
     )
-    return named.join(mixed.select("sig"), "sig", "left_semi")
+    return named.join(_merged(mixed.select("sig")), "sig", "left_semi")
 
 
 def _pairs_in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -484,7 +492,7 @@ def _across(mixed: DataFrame, sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(fine, pa.binary())], names=["node", "n", "sketch"])
 
     fine = sets.select("node", "n", "elements").mapInArrow(sketch, "node long, n long, sketch binary")
-    members = mixed.join(fine, "node").select("sig", "label", "node", "n", "sketch")
+    members = mixed.join(_merged(fine), "node").select("sig", "label", "node", "n", "sketch")
     return members.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs_in_lists, "a long, b long").distinct()
 
 
@@ -494,14 +502,12 @@ class _Links:
     def __init__(self, spark):
         self.labels = spark.createDataFrame([], "node long, component long")
 
-    def add(self, found: DataFrame) -> int:
+    def add(self, found: DataFrame) -> None:
         found = found.checkpoint()
-        count = found.count()
-        if count:
+        if not found.isEmpty():
             # Components of components: the old ones enter as their stars.
             stars = self.labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
             self.labels = components(stars.union(found)).checkpoint()
-        return count
 
 
 def _band() -> Column:
@@ -531,11 +537,11 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     state.add(_linked(_across(_mixed(allotted, state.labels), sets), sets))
     remove_path(spark, lists)
 
-    named = rows.join(state.labels, "node", "left").select(
+    named = rows.join(_merged(state.labels), "node", "left").select(
         "row_id", "text_key", "n", F.coalesce("component", "node").alias("label")
     )
     smallest = named.filter("label IS NOT NULL").groupBy("label").agg(F.min("row_id").alias("smallest"))
-    return named.join(smallest, "label", "left").select(
+    return named.join(_merged(smallest), "label", "left").select(
         "row_id", "text_key", "n", "label", F.when(F.col("label").isNull(), F.col("row_id")).otherwise(F.col("smallest")).alias("component_id")
     )
 
@@ -556,6 +562,6 @@ def keep_first(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         F.coalesce(F.col(f"`{text}`").rlike(r"[^ \t-\r]"), F.lit(False)).alias("_words"),
     )
     same = F.col("_id").eqNullSafe(F.col("row_id")) & (F.col("_key") == F.col("text_key"))
-    chosen = packed.filter("_words").join(first, same, "left_semi")
+    chosen = packed.filter("_words").join(_merged(first), same, "left_semi")
     one = chosen.dropDuplicates(["_id", "_key"])
     return one.select("_row.*").unionByName(packed.filter(~F.col("_words")).select("_row.*"))

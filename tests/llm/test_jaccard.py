@@ -141,6 +141,54 @@ def test_jobs_of_a_large_group(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_components_take_few_jobs(spark, tmp_path):
+    """Each job of a round leaves its plan in the driver: a chain of 60 took 77 jobs by joins."""
+    path = str(tmp_path / "links")
+    spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long").write.parquet(path)
+    spark.sparkContext.setJobGroup("components", "jobs of one run")
+    try:
+        got = {r.node: r.component for r in components(spark.read.parquet(path)).collect()}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == dict.fromkeys(range(61), 0)
+
+
+def test_components_of_repeated_and_null_links(spark):
+    links = spark.createDataFrame([(2, 1), (1, 2), (2, 1), (None, 2), (7, None), (4, 4), (-3, 9), (9, 2)], "a long, b long")
+    assert sorted(tuple(r) for r in components(links).collect()) == [(-3, -3), (1, -3), (2, -3), (9, -3)]
+    assert components(links.limit(0)).collect() == []
+
+
+def test_no_table_of_the_corpus_is_broadcast(spark, tmp_path):
+    """Tables of sets look small to Spark, which takes an array for one element: broadcast, they fill the driver."""
+
+    def table(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    sets = table("sets", [(i, 2, bytes(32), [1, 2]) for i in range(3)], "node long, n long, sketch binary, elements array<long>")
+    pairs = table("pairs", [(0, 1), (1, 2)], "a long, b long")
+    lists = table("lists", [(64, 0), (64, 1)], "sig long, node long")
+    labels = table("labels", [(0, 0), (1, 0)], "node long, component long")
+    mixed = table("mixed", [(64, 0, 0), (64, 1, 1)], "sig long, node long, label long")
+    docs = table("docs", [(1, "a b"), (2, "c d")], SCHEMA)
+    measured = jaccard._measured(docs, "doc_id", "text")
+    measured.write.parquet(str(tmp_path / "measured"))
+    found = [
+        jaccard._candidates(spark.read.parquet(str(tmp_path / "measured"))),
+        jaccard._possible(pairs, sets),
+        jaccard._linked(pairs, sets),
+        jaccard._mixed(lists, labels),
+        jaccard._across(mixed, sets),
+        components(pairs),
+        jaccard.keep_first(docs),
+    ]
+    for df in found:
+        df.collect()
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_sets_without_partners_are_not_indexed(spark):
     rows = near_copies(6, count=20)
     measured = jaccard._measured(spark.createDataFrame(rows, SCHEMA), "doc_id", "text").localCheckpoint()
