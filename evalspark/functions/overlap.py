@@ -19,18 +19,12 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 
-KEY_SCHEMA = (
-    "ord long, contained boolean, size_class int, block_key long, pos int, len int, whole long, "
-    "left_first int, lefts array<long>, right_first int, rights array<long>"
-)
-
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POSITION_BITS = 28
@@ -131,8 +125,45 @@ def _anchors(hashes: RollingHash, size_class: int, offsets: int) -> tuple[np.nda
     return positions, hashes.of(positions, block).view(np.int64)
 
 
+class Block(NamedTuple):
+    """A block of a text in one of its roles."""
+
+    contained: bool
+    size_class: int
+    block_key: int
+    pos: int
+
+
+def text_blocks(hashes: RollingHash) -> list[Block]:
+    """The blocks of one text, first as a contained text, then as a container."""
+    length = hashes.length
+    own = class_of(length)
+    (pos,), (key,) = (x.tolist() for x in _anchors(hashes, own, 1))
+    blocks = [Block(True, own, key, pos)]
+    shortest, longest = length * 4 // 5 + 1, length - 1
+    if shortest <= longest:
+        first = np.searchsorted(_CLASSES, shortest, side="right") - 1
+        last = np.searchsorted(_CLASSES, longest, side="right") - 1
+        for size_class in _CLASSES[first : last + 1].tolist():
+            offsets = length - max(size_class, shortest) + 1
+            for pos, key in zip(*(x.tolist() for x in _anchors(hashes, size_class, offsets))):
+                blocks.append(Block(False, size_class, key, pos))
+    return blocks
+
+
+def _side_lengths(block: Block, length: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    """The least and the most that can stand left and right of a block of a text of that length."""
+    width, size = _widths(block.size_class)
+    right = length - block.pos - size
+    if block.contained:
+        return (block.pos, block.pos), (right, right)
+    # What the block and the longest other side leave of the shortest contained text.
+    shortest, most_left = length * 4 // 5 + 1, min(block.pos, width - 1)
+    return (max(0, shortest - size - right), most_left), (max(0, shortest - size - most_left), right)
+
+
 class Anchor(NamedTuple):
-    """A block of a text in one of its roles. ``lefts[i]`` is the hash of the ``(left_first + i) * grain`` characters before
+    """A block and what stands beside it. ``lefts[i]`` is the hash of the ``(left_first + i) * grain`` characters before
     the block, ``rights`` likewise after it; a contained text has one of each. ``whole`` is the hash of the text."""
 
     contained: bool
@@ -146,102 +177,78 @@ class Anchor(NamedTuple):
     rights: np.ndarray
 
 
-class _Sides:
-    """What stands beside the blocks of one text; all of it is hashed at once."""
-
-    def __init__(self, whole: int):
-        self._whole = whole
-        self._blocks, self._starts, self._sizes = [], [], []
-
-    def add(self, contained: bool, size_class: int, block_key: int, pos: int, left: tuple[int, int], right: tuple[int, int]) -> None:
-        """The block at ``pos``, with side lengths from the first to the second of ``left`` and ``right``."""
-        left_grain, right_grain = grains(size_class)
+def anchors(hashes: RollingHash, blocks: list[Block]) -> list[Anchor]:
+    """The blocks of one text with their sides; all of them are hashed at once."""
+    firsts, starts, sizes = [], [], []
+    for block in blocks:
+        left, right = _side_lengths(block, hashes.length)
+        left_grain, right_grain = grains(block.size_class)
         left_first, right_first = left[0] // left_grain, right[0] // right_grain
         lefts = np.arange(left_first * left_grain, left[1] + 1, left_grain)
         rights = np.arange(right_first * right_grain, right[1] + 1, right_grain)
-        self._blocks.append((contained, size_class, block_key, pos, left_first, right_first))
-        self._starts += [pos - lefts, np.full(len(rights), pos + _widths(size_class)[1])]
-        self._sizes += [lefts, rights]
-
-    def anchors(self, hashes: RollingHash) -> list[Anchor]:
-        found = hashes.spans(np.concatenate(self._starts), np.concatenate(self._sizes)).view(np.int64)
-        out, at = [], 0
-        for i, (contained, size_class, block_key, pos, left_first, right_first) in enumerate(self._blocks):
-            middle = at + len(self._sizes[2 * i])
-            end = middle + len(self._sizes[2 * i + 1])
-            out.append(Anchor(contained, size_class, block_key, pos, self._whole, left_first, found[at:middle], right_first, found[middle:end]))
-            at = end
-        return out
+        firsts.append((left_first, right_first))
+        starts += [block.pos - lefts, np.full(len(rights), block.pos + _widths(block.size_class)[1])]
+        sizes += [lefts, rights]
+    found = hashes.spans(np.concatenate(starts), np.concatenate(sizes)).view(np.int64)
+    whole = hashes.all_of(hashes.length, 1).view(np.int64).item()
+    out, at = [], 0
+    for i, (block, (left_first, right_first)) in enumerate(zip(blocks, firsts)):
+        middle = at + len(sizes[2 * i])
+        end = middle + len(sizes[2 * i + 1])
+        out.append(Anchor(*block, whole, left_first, found[at:middle], right_first, found[middle:end]))
+        at = end
+    return out
 
 
 def text_keys(text: str) -> list[Anchor]:
     """The anchors of one text, first as a contained text, then as a container."""
     hashes = RollingHash(text)
-    length = hashes.length
-    own = class_of(length)
-    (pos,), (key,) = (x.tolist() for x in _anchors(hashes, own, 1))
-    sides = _Sides(hashes.all_of(length, 1).view(np.int64).item())
-    right = length - pos - _widths(own)[1]
-    sides.add(True, own, key, pos, (pos, pos), (right, right))
-    shortest, longest = length * 4 // 5 + 1, length - 1
-    if shortest <= longest:
-        first = np.searchsorted(_CLASSES, shortest, side="right") - 1
-        last = np.searchsorted(_CLASSES, longest, side="right") - 1
-        for size_class in _CLASSES[first : last + 1].tolist():
-            offsets = length - max(size_class, shortest) + 1
-            width, block = _widths(size_class)
-            for pos, key in zip(*(x.tolist() for x in _anchors(hashes, size_class, offsets))):
-                # What the block and the longest other side leave of the shortest contained text.
-                most_left, most_right = min(pos, width - 1), length - pos - block
-                least_left, least_right = max(0, shortest - block - most_right), max(0, shortest - block - most_left)
-                sides.add(False, size_class, key, pos, (least_left, most_left), (least_right, most_right))
-    return sides.anchors(hashes)
+    return anchors(hashes, text_blocks(hashes))
+
 
+# Bodies for ``operators/placed``: a text, its number and what is known of it, to rows of the schema above them.
 
-_KEY_ARROW = pa.schema(
-    [("ord", pa.int64()), ("contained", pa.bool_()), ("size_class", pa.int32()), ("block_key", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())]
-    + [("whole", pa.int64()), ("left_first", pa.int32()), ("lefts", pa.list_(pa.int64())), ("right_first", pa.int32()), ("rights", pa.list_(pa.int64()))]
+_BLOCK_FIELDS = [("size_class", pa.int32()), ("block_key", pa.int64()), ("pos", pa.int32()), ("len", pa.int32())]
+KEYS = pa.schema(
+    [("row", pa.int64()), ("contained", pa.bool_()), *_BLOCK_FIELDS, ("whole", pa.int64())]
+    + [("left_at", pa.int32()), ("left_hash", pa.int64()), ("right_at", pa.int32()), ("right_hash", pa.int64())]
 )
 
 
-def _lists(values: Sequence[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, values)], dtype=np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values) if values else np.zeros(0, dtype=np.int64)))
+def key_rows(row: int, order: int | None, text: str | None, _: list[dict]) -> Iterator[tuple]:
+    """The blocks of a text, with sides only where it is the contained text; one without a number is no container."""
+    if not text:
+        return
+    hashes = RollingHash(text)
+    blocks = text_blocks(hashes)
+    (own,) = anchors(hashes, blocks[:1])
+    yield (row, *own[:4], len(text), own.whole, own.left_first, own.lefts[0].item(), own.right_first, own.rights[0].item())
+    if order is not None:
+        for block in blocks[1:]:
+            yield (row, *block, len(text), None, None, None, None, None)
 
 
-def _key_batch(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) or [()] * len(_KEY_ARROW)
-    made = [_lists(c) if pa.types.is_list(f.type) else pa.array(c, f.type) for c, f in zip(columns, _KEY_ARROW)]
-    return pa.RecordBatch.from_arrays(made, schema=_KEY_ARROW)
+SIDES = pa.schema(
+    [("row", pa.int64()), *_BLOCK_FIELDS]
+    + [("left_first", pa.int32()), ("lefts", pa.list_(pa.int64())), ("right_first", pa.int32()), ("rights", pa.list_(pa.int64()))]
+)
 
 
-def overlap_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``mapInArrow`` body: batches of ``(ord, norm)`` to batches of :data:`KEY_SCHEMA`."""
-    for batch in batches:
-        rows: list[tuple] = []
-        for order, text in zip(batch.column("ord").to_pylist(), batch.column("norm").to_pylist()):
-            for a in text_keys(text):
-                rows.append((order, *a[:4], len(text), *a[4:]))
-            if len(rows) > 10_000:
-                yield _key_batch(rows)
-                rows = []
-        yield _key_batch(rows)
+def side_rows(row: int, order: int, text: str, wanted: list[dict]) -> Iterator[tuple]:
+    """Container blocks of a text, named by (size_class, block_key, pos), with their sides."""
+    blocks = [Block(False, w["size_class"], w["block_key"], w["pos"]) for w in wanted]
+    for a in anchors(RollingHash(text), blocks):
+        yield (row, *a[1:4], len(text), *a[5:])
 
 
-SPAN_SCHEMA = "ord long, start int, size int, digest string"
+SPANS = pa.schema([("ord", pa.int64()), ("start", pa.int32()), ("size", pa.int32()), ("digest", pa.binary())])
 
 
-def span_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """``mapInPandas`` body: texts with ``spans`` of (start, size, whole, single) to those that have the hash ``whole`` if it is the single one, with SHA-256."""
-    names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
-    for frame in batches:
-        rows: list[tuple] = []
-        for order, text, spans in zip(frame["ord"], frame["norm"], frame["spans"]):
-            hashes = RollingHash(text)
-            starts, sizes = (np.array([s[n] for s in spans], dtype=np.int64) for n in ("start", "size"))
-            own = hashes.spans(starts, sizes).view(np.int64).tolist()
-            for start, size, have, span in zip(starts.tolist(), sizes.tolist(), own, spans):
-                if span["single"] and span["whole"] != have:
-                    continue
-                rows.append((order, start, size, hashlib.sha256(text[start : start + size].encode()).hexdigest()))
-        yield pd.DataFrame(rows, columns=names)
+def span_rows(row: int, order: int, text: str, wanted: list[dict]) -> Iterator[tuple]:
+    """Spans of a text by (start, size, whole) with their SHA-256; those without the hash ``whole``, where one is given, are left out."""
+    hashes = RollingHash(text)
+    spans = sorted({(w["start"], w["size"], w["whole"]) for w in wanted}, key=lambda s: s[:2])
+    starts, sizes = (np.array(x, dtype=np.int64) for x in list(zip(*spans))[:2])
+    for (start, size, whole), have in zip(spans, hashes.spans(starts, sizes).view(np.int64).tolist()):
+        if whole is None or whole == have:
+            yield order, start, size, hashlib.sha256(text[start : start + size].encode()).digest()

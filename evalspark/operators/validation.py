@@ -7,10 +7,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evalspark.functions.overlap import KEY_SCHEMA, SPAN_SCHEMA, overlap_keys, span_digests
+from evalspark.functions.overlap import KEYS, SIDES, SPANS, key_rows, side_rows, span_rows
 from evalspark.functions.text import normalize_prompt
 from evalspark.operators.graphs import drop_linked_to_kept
 from evalspark.operators.joins import lookup_join
+from evalspark.operators.placed import beside, place
 from evalspark.operators.questions import CATEGORY_WEIGHTS, category_dimension
 from evalspark.session import ensure_checkpoint_dir, scratch_path
 
@@ -18,6 +19,8 @@ MAX_SHARE_GAP = 0.15
 MIN_COVERAGE = 0.3
 PASS_COVERAGE = 0.2
 MAX_LOW_SHARE = 0.2
+# Shapes (position of the block and length) of a block that are tried on each of its containers; beyond, sides are matched first.
+MOST_SHAPES = 16
 
 
 def first_of_equal(texts: DataFrame) -> DataFrame:
@@ -40,59 +43,85 @@ def first_ords(texts: DataFrame) -> DataFrame:
 
 
 def _written(rows: DataFrame, label: str) -> DataFrame:
-    """``rows`` written once and compressed; those with types that Parquet lacks as a checkpoint."""
-    kinds = rows.schema.simpleString()
-    if "void" in kinds or "interval" in kinds:
-        return rows.checkpoint()
+    """``rows`` written once and compressed."""
     path = scratch_path(rows.sparkSession, label)
     rows.write.option("compression", "zstd").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def candidate_spans(usable: DataFrame) -> DataFrame:
+def _spans(shapes: str | Column) -> list[Column]:
+    """Where a shape would lie in its container, and the hash it must have if all its texts share one."""
+    s = F.col(shapes) if isinstance(shapes, str) else shapes
+    return [(F.col("pos") - s.pos).alias("start"), s["size"].alias("size"), F.when(s.single, s.whole).alias("whole")]
+
+
+def _fits(span: Column, length: Column) -> Column:
+    return (span.start >= 0) & (span.start + span["size"] <= length) & (span["size"] < length) & (span["size"] * 5 > length * 4)
+
+
+def candidate_spans(texts: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
     """``(ord, start, size, digest)``: spans of a text that may be another whole text; none of those that are one is missing.
 
+    ``texts`` has ``ord`` and ``norm``, or is placed already and ``chosen`` names its rows. Texts aren't moved: blocks, then
+    sides, then spans are taken from them where they lie.
+
     1. each text gives one block key as the contained text and about ten as the container (``functions/overlap``);
        containers of a block in which no shorter text is contained go at once;
-    2. the left sides of a container's block are looked up among the distinct left sides of contained texts, then its
-       right sides among the distinct (left, right) sides. A side counts up to a multiple of its grain, so a container
-       looks up a root of its length in sides, however many texts share the block;
-    3. the lengths that fall within matched grains are tried on the text, in one pass with the digest of those left.
+    2. a block of at most ``MOST_SHAPES`` shapes proposes each of them to its containers; the others are matched by sides
+       (``_spans_by_sides``), so what is proposed doesn't grow with the pairs of texts that share a block;
+    3. the proposed lengths are tried on the text, in one pass with the digest of those left.
     """
-    ensure_checkpoint_dir(usable.sparkSession)
-    # Read four times below; ten short rows per text are cheaper to keep than to compute again.
-    keys = _written(usable.mapInArrow(overlap_keys, KEY_SCHEMA), "block-keys")
-    block = F.xxhash64("size_class", "block_key")
-    inside = keys.filter("contained").select(
-        block.alias("_block"),
-        F.xxhash64("size_class", "block_key", "left_first", F.col("lefts")[0]).alias("_left"),
-        F.xxhash64("size_class", "block_key", "left_first", F.col("lefts")[0], "right_first", F.col("rights")[0]).alias("_sides"),
-        F.struct("pos", F.col("len").alias("size"), "whole").alias("shape"),
+    ensure_checkpoint_dir(texts.sparkSession)
+    if chosen is None:
+        texts = place(texts.select("ord", "norm"), "norms")
+        chosen = texts
+    # Read by every step below.
+    keys = _written(beside(texts, chosen.select("row"), key_rows, KEYS), "block-keys").withColumn("_block", F.xxhash64("size_class", "block_key"))
+    inside, around = keys.filter("contained"), keys.filter("NOT contained")
+    shapes = inside.groupBy("_block", "pos", F.col("len").alias("size")).agg(
+        F.min("whole").alias("whole"), (F.min("whole") == F.max("whole")).alias("single")
     )
-    shortest = inside.groupBy("_block").agg(F.min("shape.size").alias("_least"))
-    around = keys.filter("NOT contained").withColumn("_block", block)
-    around = lookup_join(around, shortest, "_block", "inner").filter(F.col("_least") < F.col("len"))
-
-    side = F.posexplode("lefts").alias("_i", "_hash")
-    lefts = around.select("*", side).withColumn("_at", F.col("left_first") + F.col("_i"))
-    lefts = lefts.withColumn("_left", F.xxhash64("size_class", "block_key", "_at", "_hash"))
-    lefts = lookup_join(lefts, inside.select("_left").distinct(), "_left", "inner").select(
-        "ord", "size_class", "block_key", "pos", "len", "right_first", "rights", F.col("_at").alias("_left_at"), F.col("_hash").alias("_left_hash")
+    blocks = shapes.groupBy("_block").agg(F.min("size").alias("_least"), (F.count(F.lit(1)) > MOST_SHAPES).alias("_many")).checkpoint()
+    few = lookup_join(shapes, blocks.filter("NOT _many"), "_block", "inner")
+    few = few.select("_block", F.struct("pos", "size", "whole", "single").alias("shape"))
+    met = around.join(few, "_block").select("row", "len", F.struct(*_spans("shape")).alias("span"))
+    spans = met.filter(_fits(F.col("span"), F.col("len"))).select("row", "span.*")
+    many = blocks.filter("_many")
+    if not many.isEmpty():
+        wanted = lookup_join(around, many, "_block", "inner").filter(F.col("_least") < F.col("len"))
+        sides = beside(texts, wanted.select("row", "size_class", "block_key", "pos"), side_rows, SIDES)
+        spans = spans.unionAll(_spans_by_sides(_written(sides, "sides"), inside.join(many, "_block", "left_semi")))
+    return beside(texts, spans, span_rows, SPANS)
+
+
+def _spans_by_sides(around: DataFrame, inside: DataFrame) -> DataFrame:
+    """``(row, start, size, whole)``: spans of containers that agree with a contained text on both sides of a block.
+
+    The left sides of a container's block are looked up among the distinct left sides of contained texts, then its right sides
+    among the distinct (left, right) sides. A side counts up to a multiple of its grain, so a container looks up a root of
+    its length in sides, however many texts share the block.
+    """
+    inside = inside.select(
+        F.xxhash64("size_class", "block_key", "left_at", "left_hash").alias("_left"),
+        F.xxhash64("size_class", "block_key", "left_at", "left_hash", "right_at", "right_hash").alias("_sides"),
+        "pos", F.col("len").alias("size"), "whole",
     )
-    sides = lefts.select("*", F.posexplode("rights").alias("_i", "_hash")).select(
-        "ord", "pos", "len", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash", F.col("right_first") + F.col("_i"), "_hash").alias("_sides")
+    block = ["row", "size_class", "block_key", "pos"]
+    lefts = around.select(*block, "left_first", F.posexplode("lefts").alias("_i", "_left_hash"))
+    lefts = lefts.select(*block, (F.col("left_first") + F.col("_i")).alias("_left_at"), "_left_hash")
+    lefts = lefts.withColumn("_left", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash"))
+    lefts = lookup_join(lefts, inside.select("_left").distinct(), "_left", "inner").drop("_left")
+    # The right sides join the few left sides that are matched; they don't travel with all of them.
+    sides = lefts.join(around.select(*block, "len", "right_first", "rights"), block)
+    sides = sides.select("*", F.posexplode("rights").alias("_i", "_hash")).select(
+        "row", "pos", "len", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash", F.col("right_first") + F.col("_i"), "_hash").alias("_sides")
     )
     # A cell holds at most as many shapes as pairs of lengths within its grains; a shape of one text names its hash.
-    shapes = inside.groupBy("_sides", F.col("shape.pos").alias("pos"), F.col("shape.size").alias("size")).agg(
-        F.min("shape.whole").alias("whole"), (F.min("shape.whole") == F.max("shape.whole")).alias("single")
-    )
+    shapes = inside.groupBy("_sides", "pos", "size").agg(F.min("whole").alias("whole"), (F.min("whole") == F.max("whole")).alias("single"))
     cells = shapes.groupBy("_sides").agg(F.collect_list(F.struct("pos", "size", "whole", "single")).alias("shapes"))
     found = lookup_join(sides, cells, "_sides", "inner")
-    spans = F.transform("shapes", lambda s: F.struct((F.col("pos") - s.pos).alias("start"), s["size"].alias("size"), s.whole.alias("whole"), s.single.alias("single")))
-    fits = lambda s: (s.start >= 0) & (s.start + s["size"] <= F.col("len")) & (s["size"] < F.col("len")) & (s["size"] * 5 > F.col("len") * 4)
-    kept = found.select("ord", F.filter(spans, fits).alias("spans")).filter(F.size("spans") > 0)
-    per_text = kept.groupBy("ord").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return usable.join(per_text, "ord").select("ord", "norm", "spans").mapInPandas(span_digests, SPAN_SCHEMA)
+    proposed = F.filter(F.transform("shapes", lambda s: F.struct(*_spans(s))), lambda s: _fits(s, F.col("len")))
+    return found.select("row", F.explode(proposed).alias("span")).select("row", "span.*")
 
 
 def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
@@ -101,10 +130,20 @@ def near_duplicate_pairs(texts: DataFrame) -> DataFrame:
     ``texts`` has ``ord`` and distinct ``norm``. The digests of candidate spans are looked up among the digests of all texts, of
     which every digest has exactly one.
     """
-    usable = texts.filter(F.col("norm") != "").select("ord", "norm")
-    pieces = candidate_spans(usable).select(F.col("ord").alias("long_ord"), F.col("digest").alias("_digest")).distinct()
-    digests = usable.select(F.sha2("norm", 256).alias("_digest"), F.col("ord").alias("short_ord"))
-    return lookup_join(pieces, digests, "_digest", "inner").select("short_ord", "long_ord").distinct()
+    ensure_checkpoint_dir(texts.sparkSession)
+    placed = _placed(texts)
+    return _pairs(placed, placed.select("row", "ord", "digest"))
+
+
+def _placed(texts: DataFrame) -> DataFrame:
+    """``ord``, ``norm``, its ``digest`` and the ``row``, written where they are made."""
+    return place(texts.select("ord", "norm").withColumn("digest", F.unhex(F.sha2("norm", 256))), "norms")
+
+
+def _pairs(placed: DataFrame, chosen: DataFrame) -> DataFrame:
+    pieces = candidate_spans(placed, chosen).select(F.col("ord").alias("long_ord"), "digest").distinct()
+    digests = chosen.select("digest", F.col("ord").alias("short_ord"))
+    return lookup_join(pieces, digests, "digest", "inner").select("short_ord", "long_ord").distinct()
 
 
 def resolve_keep_first(pairs: DataFrame) -> DataFrame:
@@ -116,16 +155,21 @@ def resolve_keep_first(pairs: DataFrame) -> DataFrame:
 def deduplicate(items: DataFrame, text: str = "prompt") -> DataFrame:
     """Items that a greedy first-come pass keeps: no equal and no near-equal earlier kept item.
 
-    Copies of a dropped text match the same kept item, so equal texts can go first.
+    Copies of a dropped text match the same kept item, so equal texts can go first. Of the items only the normalised texts
+    are written; the items themselves are read again for the result, so those that are costly to make are checkpointed first.
     """
     ensure_checkpoint_dir(items.sparkSession)
     norm = normalize_prompt(F.col(text))
-    # The distinct items are read by every later step, so they are written once. Their normalised texts are as long again: they
-    # aren't shuffled, but made after it and written compressed.
-    first = _written(_first_of(items, norm), "items")
-    norms = _written(first.select("ord", norm.alias("norm")), "norms")
-    dropped = resolve_keep_first(near_duplicate_pairs(norms))
-    return first.join(dropped, "ord", "left_anti")
+    placed = _placed(items.select("ord", norm.alias("norm")))
+    rank = F.row_number().over(Window.partitionBy("digest").orderBy("ord", "row"))
+    ords = placed.select("row", "ord", "digest")
+    first = _written(ords.withColumn("_rank", rank).filter(F.col("_rank") == 1).drop("_rank"), "first")
+    dropped = resolve_keep_first(_pairs(placed, first))
+    if ords.groupBy("ord").count().filter("count > 1 OR ord IS NULL").isEmpty():
+        # Each item is named by its ``ord``, so its text isn't needed again.
+        kept = first.select("ord").join(dropped, "ord", "left_anti")
+        return items.join(kept, "ord", "left_semi")
+    return _first_of(items, norm).join(dropped, "ord", "left_anti")
 
 
 def category_balance(items: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from evalspark.plans import drafts as d
 from evalspark.plans import profiling_queries as pq
 from evalspark.plans import sqltext as q
 from evalspark.plans.registry import numbered, query, table
-from evalspark.session import ensure_checkpoint_dir, scratch_path
+from evalspark.session import scratch_path
 
 WEIGHTS = ", ".join(f"({i}, '{c}', {w})" for i, (c, w) in enumerate(questions.CATEGORY_WEIGHTS.items()))
 
@@ -326,9 +326,8 @@ def _variants(spark, sf):
 
 
 def _variant_norms(spark, sf):
-    ensure_checkpoint_dir(spark)
     normed = _variants(spark, sf).select("ord", normalize_prompt(F.col("text")).alias("norm"))
-    return validation.first_of_equal(normed).checkpoint()
+    return validation.first_of_equal(normed)
 
 
 @query("dedup_near_pairs", f"WITH {_PAIRS} SELECT * FROM pairs")

@@ -1,11 +1,15 @@
+import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from evalspark.functions import overlap
 from evalspark.operators import graphs, validation
 from evalspark.operators.joins import lookup_join
+from evalspark.operators.placed import beside, place
+from evalspark.session import scratch_root
 
 
 def random_texts(rng, groups, alphabet=None):
@@ -115,6 +119,62 @@ def test_near_pairs_and_resolution(spark, seed):
     assert set(range(len(texts))) - dropped == greedy(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("most", [0, 2])
+def test_near_pairs_by_sides(spark, monkeypatch, most):
+    monkeypatch.setattr(validation, "MOST_SHAPES", most)
+    body = "".join(random.Random(5).choice("abcdefgh") for _ in range(600))
+    texts = sorted({*random_texts(random.Random(4), 25, "abc "), *_near_copies(60, body, 6), body})
+    df = spark.createDataFrame(list(enumerate(texts)), "ord long, norm string").repartition(5)
+    assert {(r["short_ord"], r["long_ord"]) for r in validation.near_duplicate_pairs(df).collect()} == contained_pairs(texts)
+
+
+def test_facts_come_to_the_texts(spark):
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "ord long, norm string").repartition(7)
+    placed = place(texts, "norms")
+    chosen = placed.filter("ord % 3 = 0").selectExpr("row", "ord * 10 AS v")
+    facts = chosen.unionAll(chosen.selectExpr("row", "v + 1")).repartition(3)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        schema = pa.schema([("ord", pa.int64()), ("norm", pa.string()), ("vs", pa.list_(pa.int64()))])
+        found = beside(placed, facts, lambda row, order, text, known: [(order, text, sorted(k["v"] for k in known))], schema)
+        assert sorted(map(tuple, found.collect())) == [(i, f"text {i}", [i * 10, i * 10 + 1]) for i in range(0, 200, 3)]
+        assert beside(placed, facts.limit(0), lambda *_: [], schema).count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+def _folder_bytes(path):
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(path.removeprefix("file:")) for f in names)
+
+
+def test_kept_items_take_little_scratch(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(2000)).strip() for _ in range(300)]
+    rows = [*enumerate(texts), *((300 + i, f"src {t} copy") for i, t in enumerate(texts))]
+    df = spark.createDataFrame(rows, "ord long, prompt string").repartition(4)
+    before = _folder_bytes(scratch_root(spark))
+    assert sorted(r["ord"] for r in validation.deduplicate(df).select("ord").collect()) == list(range(300))
+    # Letters of nine kinds take four tenths of a byte at least; neither the items nor the sides of blocks are written.
+    assert _folder_bytes(scratch_root(spark)) - before < 0.75 * sum(len(t) for _, t in rows)
+
+
+def test_texts_are_not_shuffled_for_their_spans(spark):
+    texts = ["a b c d e f g h i j k l", "x a b c d e f g h i j k l", "other"]
+    spans = validation.candidate_spans(spark.createDataFrame(list(enumerate(texts)), "ord long, norm string"))
+    assert [tuple(r)[:3] for r in spans.collect()] == [(1, 2, 23)]
+    assert "Exchange" not in spans._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deduplicate_with_repeated_and_missing_numbers(spark):
+    long = "tell me about the first of all things"
+    rows = [(1, long), (1, "another"), (1, "Another!"), (2, f"{long} now"), (2, "a third"), (None, "a third"), (None, f"{long} then"), (4, "last")]
+    df = spark.createDataFrame(rows, "ord long, prompt string").repartition(3)
+    kept = sorted((r["ord"] or 0, r["prompt"].lower().strip("!")) for r in validation.deduplicate(df).collect())
+    # Both rows with the number of a dropped one go; rows without a number are dropped only as copies.
+    assert kept == [(0, "a third"), (0, f"{long} then"), (1, "another"), (1, long), (4, "last")]
+
+
 def test_group_of_near_copies_is_not_paired(spark):
     # A third of all texts share all but a serial number: blocks are full, yet only real pairs come out.
     shared = "the quick brown fox jumps over the lazy dog and runs far away from the house " * 3
