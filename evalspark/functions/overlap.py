@@ -12,7 +12,7 @@ Many texts may share a block (one body with different heads and tails). So a con
 either side of the block, over lengths rounded down to a multiple of a *grain* that is the root of the longest side. A
 container gives the hashes of its own sides at all those multiples, a root's worth each, and matches a contained text
 only where both sides agree. What is left are the lengths within one grain, however many texts share the block; each is
-tried against the hash of the whole contained text, at the cost of one subtraction (``span_digests``).
+tried against the hash of the whole contained text, at the cost of one subtraction (``span_rows``).
 """
 
 from __future__ import annotations

@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from evalspark.functions.batches import pieces
+from evalspark.functions.batches import pieces, slices
 from evalspark.session import scratch_path
 
 # ``monotonically_increasing_id`` has the partition above these bits.
 _PART_BITS = 33
-# Facts are read again for each batch of texts, so their row groups are small.
+# Facts are opened again for each slice of texts, so their row groups are small.
 _ROW_GROUP = 1 << 20
+# Bytes of texts whose facts are held at once.
+_SLICE = 8 << 20
 
 #: ``(row, ord, text, facts)`` to rows of the result.
 Body = Callable[[int, int | None, str | None, list[dict]], Iterable[tuple]]
@@ -59,7 +61,7 @@ def _size(row: tuple) -> int:
 def beside(placed: DataFrame, facts: DataFrame, body: Body, schema: pa.Schema) -> DataFrame:
     """``body`` for each text of ``placed`` (``row``, ``ord``, ``norm``) that has facts, with all of its facts.
 
-    Facts (``row`` and values of their own) are written by part; a task opens those of the rows it holds, a batch at a time.
+    Facts (``row`` and values of their own) are written by part; a task opens those of the rows it holds, a slice at a time.
     """
     path = scratch_path(placed.sparkSession, "facts")
     parted = facts.withColumn("part", F.shiftright("row", _PART_BITS)).repartition("part").sortWithinPartitions("part", "row")
@@ -80,7 +82,7 @@ def beside(placed: DataFrame, facts: DataFrame, body: Body, schema: pa.Schema) -
                     yield from body(int(rows[i]), order, text, known.slice(low, high - low).to_pylist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, _SLICE):
             for held in pieces(found(batch), _size):
                 yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 

@@ -49,10 +49,9 @@ def _written(rows: DataFrame, label: str) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def _spans(shapes: str | Column) -> list[Column]:
+def _span(shape: Column) -> Column:
     """Where a shape would lie in its container, and the hash it must have if all its texts share one."""
-    s = F.col(shapes) if isinstance(shapes, str) else shapes
-    return [(F.col("pos") - s.pos).alias("start"), s["size"].alias("size"), F.when(s.single, s.whole).alias("whole")]
+    return F.struct((F.col("pos") - shape.pos).alias("start"), shape["size"].alias("size"), F.when(shape.single, shape.whole).alias("whole"))
 
 
 def _fits(span: Column, length: Column) -> Column:
@@ -84,7 +83,7 @@ def candidate_spans(texts: DataFrame, chosen: DataFrame | None = None) -> DataFr
     blocks = shapes.groupBy("_block").agg(F.min("size").alias("_least"), (F.count(F.lit(1)) > MOST_SHAPES).alias("_many")).checkpoint()
     few = lookup_join(shapes, blocks.filter("NOT _many"), "_block", "inner")
     few = few.select("_block", F.struct("pos", "size", "whole", "single").alias("shape"))
-    met = around.join(few, "_block").select("row", "len", F.struct(*_spans("shape")).alias("span"))
+    met = around.join(few, "_block").select("row", "len", _span(F.col("shape")).alias("span"))
     spans = met.filter(_fits(F.col("span"), F.col("len"))).select("row", "span.*")
     many = blocks.filter("_many")
     if not many.isEmpty():
@@ -113,14 +112,15 @@ def _spans_by_sides(around: DataFrame, inside: DataFrame) -> DataFrame:
     lefts = lookup_join(lefts, inside.select("_left").distinct(), "_left", "inner").drop("_left")
     # The right sides join the few left sides that are matched; they don't travel with all of them.
     sides = lefts.join(around.select(*block, "len", "right_first", "rights"), block)
-    sides = sides.select("*", F.posexplode("rights").alias("_i", "_hash")).select(
-        "row", "pos", "len", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash", F.col("right_first") + F.col("_i"), "_hash").alias("_sides")
+    sides = sides.select("*", F.posexplode("rights").alias("_i", "_hash")).withColumn("_right_at", F.col("right_first") + F.col("_i"))
+    sides = sides.select(
+        "row", "pos", "len", F.xxhash64("size_class", "block_key", "_left_at", "_left_hash", "_right_at", "_hash").alias("_sides")
     )
     # A cell holds at most as many shapes as pairs of lengths within its grains; a shape of one text names its hash.
     shapes = inside.groupBy("_sides", "pos", "size").agg(F.min("whole").alias("whole"), (F.min("whole") == F.max("whole")).alias("single"))
     cells = shapes.groupBy("_sides").agg(F.collect_list(F.struct("pos", "size", "whole", "single")).alias("shapes"))
     found = lookup_join(sides, cells, "_sides", "inner")
-    proposed = F.filter(F.transform("shapes", lambda s: F.struct(*_spans(s))), lambda s: _fits(s, F.col("len")))
+    proposed = F.filter(F.transform("shapes", _span), lambda s: _fits(s, F.col("len")))
     return found.select("row", F.explode(proposed).alias("span")).select("row", "span.*")
 
 
